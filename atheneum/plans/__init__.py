@@ -1,0 +1 @@
+"""Operators joined to whole runs."""

@@ -1,7 +1,398 @@
-"""Queries over the driver's tables and their SQL, by name."""
+"""Queries over the driver's tables and their SQL, by name. Names carry the operator's number in the survey."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from atheneum.functions import paths as P
+from atheneum.functions import text as T
+from atheneum.functions.vectors import cosine, mean_vectors
+from atheneum.operators import audit, chunking, graph, placement, retrieval, state
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
 FLAGSHIP = "r01_hybrid_search"
+QUERY_VECTOR, QUERY_WORDS = 7, "the of"
+
+
+def query(sql: str | None = None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Paths of files, made from parts: the same text in both engines.
+PART_PATH = """concat('01 Project/', 2020 + p_size % 4, '/C', p_partkey % 7, '/', CASE p_size % 3 WHEN 0 THEN 'A.1. Proposal' WHEN 1 THEN 'B.2. Report' ELSE 'notes' END,
+ '/', replace(p_name, ' ', '_'), '_', CASE p_size % 4 WHEN 0 THEN 'proposal' WHEN 1 THEN 'minutes' WHEN 2 THEN 'deck' ELSE 'v2' END,
+ CASE p_size % 5 WHEN 0 THEN '.pdf' WHEN 1 THEN '.pptx' WHEN 2 THEN '.md' WHEN 3 THEN '.xlsx' ELSE '.bin' END)"""
+FILES_SQL = f"WITH f AS (SELECT p_partkey, {PART_PATH} AS path, p_partkey % 97 AS size_bytes FROM part) "
+STEM_SQL = r"regexp_replace(split_part(path, '/', -1), '\.[^.]*$', '')"
+EXT_SQL = r"lower(regexp_extract(split_part(path, '/', -1), '(\.[^.]*)$', 1))"
+KIND_SQL = f"CASE {EXT_SQL} WHEN '.pdf' THEN 'document' WHEN '.pptx' THEN 'presentation' WHEN '.md' THEN 'note' WHEN '.xlsx' THEN 'spreadsheet' ELSE 'other' END"
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "part").select("p_partkey", F.expr(PART_PATH).alias("path"), (F.col("p_partkey") % 97).alias("size_bytes"))
+
+
+# ---- retrieval
+
+VEC_SQL = f"""vec AS (SELECT vec_id AS id, similarity, row_number() OVER (ORDER BY similarity DESC, vec_id) AS rank_v FROM (
+  SELECT e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS similarity
+  FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = {QUERY_VECTOR}) q) ORDER BY similarity DESC, vec_id LIMIT 50)"""
+FTS_SQL = """tok AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents),
+tf AS (SELECT doc_id, len(t) AS n, len(list_filter(t, lambda x: x = 'of')) AS a, len(list_filter(t, lambda x: x = 'the')) AS b FROM tok),
+st AS (SELECT count(*) AS docs, avg(n) AS mean, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM tf),
+sc AS (SELECT doc_id, round(ln(1 + (docs - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * n / mean))
+  + ln(1 + (docs - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * n / mean)), 6) AS bm25 FROM tf, st WHERE a > 0 AND b > 0),
+fts AS (SELECT doc_id AS id, bm25, row_number() OVER (ORDER BY bm25 DESC, doc_id) AS rank_f FROM sc ORDER BY bm25 DESC, doc_id LIMIT 50)"""
+
+
+def _query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
+    return list(_t(spark, sf_dir, "embeddings").where(F.col("vec_id") == QUERY_VECTOR).select("embedding").first()[0])
+
+
+@query(f"WITH {VEC_SQL} SELECT id, similarity, rank_v::BIGINT AS rank_v FROM vec")
+def r02_vector_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = F.array(*(F.lit(float(x)) for x in _query_vector(spark, sf_dir)))
+    return retrieval.vector_channel(_t(spark, sf_dir, "embeddings"), q).withColumn("rank_v", F.col("rank_v").cast("long"))
+
+
+@query(f"WITH {FTS_SQL} SELECT id, bm25, rank_f::BIGINT AS rank_f FROM fts")
+def r03_word_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.word_channel(_t(spark, sf_dir, "documents"), QUERY_WORDS).withColumn("rank_f", F.col("rank_f").cast("long"))
+
+
+@query(f"""WITH {VEC_SQL}, {FTS_SQL}
+SELECT id, round(coalesce(1.0::DOUBLE / (60 + rank_v), 0) + coalesce(0.5::DOUBLE / (60 + rank_f), 0), 6) AS score, similarity, rank_v::BIGINT AS rank_v, rank_f::BIGINT AS rank_f
+FROM vec FULL OUTER JOIN fts USING (id) ORDER BY score DESC, similarity DESC NULLS LAST, id LIMIT 20""")
+def r01_hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = retrieval.fuse(r02_vector_channel(spark, sf_dir), r03_word_channel(spark, sf_dir))
+    return out.select("id", "score", "similarity", "rank_v", "rank_f")
+
+
+@query("""SELECT h.conv_id, h.turn AS hit, string_agg(c.text, chr(10) || chr(10) ORDER BY c.turn) AS context, min(c.turn) AS first, max(c.turn) AS last
+FROM conversations h JOIN conversations c ON c.conv_id = h.conv_id AND c.turn BETWEEN h.turn - 1 AND h.turn + 1 WHERE h.role = 'assistant' GROUP BY 1, 2""")
+def r05_neighbour_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _t(spark, sf_dir, "conversations")
+    return retrieval.neighbours(c.where("role = 'assistant'").select("conv_id", "turn"), c, 1, "conv_id", "turn", "text")
+
+
+@query("""WITH h AS (SELECT label AS query, vec_id AS chunk, CASE WHEN vec_id % 5 = 0 THEN NULL ELSE vec_id % 7 END AS parent,
+  row_number() OVER (PARTITION BY label ORDER BY vec_id * 37 % 101, vec_id) AS rank FROM embeddings),
+g AS (SELECT *, coalesce('p' || parent, 'c' || chunk) AS grp FROM h),
+n AS (SELECT *, row_number() OVER (PARTITION BY query, grp ORDER BY rank) AS nth FROM g),
+r AS (SELECT *, sum(CASE WHEN nth = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY query ORDER BY rank) AS results FROM n),
+s AS (SELECT *, min(CASE WHEN results = 6 AND nth = 1 THEN rank END) OVER (PARTITION BY query) AS stop FROM r)
+SELECT query, min(results)::BIGINT AS position, arg_min(chunk, rank) AS chunk, coalesce(string_agg(chunk::VARCHAR, ',' ORDER BY chunk) FILTER (nth > 1), '') AS also
+FROM s WHERE stop IS NULL OR rank <= stop GROUP BY query, grp""")
+def r06_parent_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _t(spark, sf_dir, "embeddings")
+    rank = F.row_number().over(W.partitionBy("label").orderBy(F.col("vec_id") * 37 % 101, "vec_id"))
+    hits = e.select(F.col("label").alias("query"), F.col("vec_id").alias("chunk"), F.when(F.col("vec_id") % 5 != 0, F.col("vec_id") % 7).alias("parent"), rank.alias("rank"))
+    out = retrieval.collapse_parents(hits, 6)
+    return out.select("query", F.col("position").cast("long").alias("position"), "chunk", F.array_join("also", ",").alias("also"))
+
+
+@query("""SELECT s_name AS name, count(DISTINCT l_orderkey) AS files FROM supplier JOIN lineitem ON l_suppkey = s_suppkey
+WHERE s_name ILIKE '%00001%' GROUP BY s_name""")
+def r08_entity_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _t(spark, sf_dir, "supplier").where(F.lower("s_name").contains("00001")).join(_t(spark, sf_dir, "lineitem"), F.col("l_suppkey") == F.col("s_suppkey"))
+    return found.groupBy(F.col("s_name").alias("name")).agg(F.countDistinct("l_orderkey").alias("files"))
+
+
+@query("""WITH e AS (SELECT o_custkey AS source, l_suppkey AS target, l_shipmode FROM (SELECT o_orderkey, o_custkey FROM orders) JOIN (SELECT l_orderkey, l_suppkey, l_linestatus AS l_shipmode FROM lineitem) ON o_orderkey = l_orderkey)
+SELECT source, target, l_shipmode AS kind, count(*) AS evidence FROM e WHERE target = 5 OR source = 5 GROUP BY ALL ORDER BY evidence DESC, source, target, kind LIMIT 25""")
+def r12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _t(spark, sf_dir, "orders").join(_t(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    e = e.select(F.col("o_custkey").alias("source"), F.col("l_suppkey").alias("target"), F.col("l_linestatus").alias("kind")).where("target = 5 or source = 5")
+    return e.groupBy("source", "target", "kind").agg(F.count("*").alias("evidence")).orderBy(F.desc("evidence"), "source", "target", "kind").limit(25)
+
+
+# ---- joins, aggregates, windows, sets
+
+@query("SELECT event_type AS status, count(*) AS n FROM events GROUP BY 1")
+def a01_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "events").groupBy(F.col("event_type").alias("status")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT user_id, count(value) AS with_value, count(DISTINCT event_type) AS types FROM events GROUP BY 1")
+def a02_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "events").groupBy("user_id").agg(F.count("value").alias("with_value"), F.countDistinct("event_type").alias("types"))
+
+
+@query("""SELECT s_suppkey AS entity, count(*) AS mentions, count(DISTINCT l_orderkey) AS files, round(sum(coalesce(l_discount, 0)::DECIMAL(18,4))::DOUBLE / count(*), 10) AS confidence
+FROM supplier JOIN lineitem ON l_suppkey = s_suppkey GROUP BY 1""")
+def a04_entity_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    j = _t(spark, sf_dir, "supplier").join(_t(spark, sf_dir, "lineitem"), F.col("l_suppkey") == F.col("s_suppkey"))
+    return j.groupBy(F.col("s_suppkey").alias("entity")).agg(F.count("*").alias("mentions"), F.countDistinct("l_orderkey").alias("files"), F.round(F.sum(F.coalesce("l_discount", F.lit(0.0)).cast("decimal(18,4)")).cast("double") / F.count("*"), 10).alias("confidence"))
+
+
+@query("SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS content, count(*) AS turns FROM conversations GROUP BY 1")
+def a09_ordered_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])
+    return _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(ordered, "\n\n").alias("content"), F.count("*").alias("turns"))
+
+
+@query("""SELECT n_name, string_agg(DISTINCT s_name, ',' ORDER BY s_name) AS names, count(*) FILTER (s_acctbal > 0) AS positive
+FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1 HAVING count(*) > 1""")
+def a10_array_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    j = _t(spark, sf_dir, "nation").join(_t(spark, sf_dir, "supplier"), F.col("s_nationkey") == F.col("n_nationkey"), "left")
+    out = j.groupBy("n_name").agg(F.array_join(F.array_sort(F.collect_set("s_name")), ",").alias("names"), F.count_if(F.col("s_acctbal") > 0).alias("positive"), F.count("*").alias("n"))
+    return out.where("n > 1").drop("n")
+
+
+@query("""WITH x AS (SELECT label, vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+m AS (SELECT label, i, round(avg(x), 4)::DECIMAL(10,4) AS m, count(*) AS n FROM x GROUP BY 1, 2)
+SELECT label, max(n) AS n, string_agg(m::VARCHAR, ',' ORDER BY i) AS mean FROM m GROUP BY 1""")
+def a12_mean_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mean_vectors(_t(spark, sf_dir, "embeddings"), ["label"], "embedding")
+    return out.select("label", "n", F.array_join(F.transform("mean", lambda x: F.round(x, 4).cast("decimal(10,4)").cast("string")), ",").alias("mean"))
+
+
+@query("""SELECT 'customer' AS name, count(*) AS n FROM customer UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem
+UNION ALL SELECT 'documents', count(*) FROM documents UNION ALL SELECT 'embeddings', count(*) FROM embeddings""")
+def a15_table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = [_t(spark, sf_dir, n).agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "n") for n in ("customer", "orders", "lineitem", "documents", "embeddings")]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out
+
+
+@query("""SELECT c_custkey AS node, count(DISTINCT o_orderkey) AS degree, count(*) FILTER (o_orderstatus = 'F') AS closed FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1""")
+def j05_left_join_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.countDistinct("o_orderkey").alias("degree"), F.count_if(F.col("o_orderstatus") == "F").alias("closed"))
+    j = _t(spark, sf_dir, "customer").join(o, F.col("o_custkey") == F.col("c_custkey"), "left")
+    zero = F.lit(0).cast("long")
+    return j.select(F.col("c_custkey").alias("node"), F.coalesce("degree", zero).alias("degree"), F.coalesce("closed", zero).alias("closed"))
+
+
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def j12_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "customer").join(_t(spark, sf_dir, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
+
+
+@query("SELECT s_suppkey FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
+def j13_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _t(spark, sf_dir, "nation").where("n_regionkey = 1")
+    return _t(spark, sf_dir, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"), "left_semi").select("s_suppkey")
+
+
+@query("""SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1""")
+def w03_latest_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.latest(_t(spark, sf_dir, "events"), ["user_id"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_type", "event_id")
+
+
+@query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n FROM labels) WHERE (n - 1) % 7 = 0 ORDER BY doc_id LIMIT 20")
+def k09_stride_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The feature: a sample of 20 rows by stride.
+    numbered = _t(spark, sf_dir, "labels").select("doc_id", F.row_number().over(W.orderBy("doc_id")).alias("n"))
+    return numbered.where((F.col("n") - 1) % 7 == 0).orderBy("doc_id").limit(20).select("doc_id")
+
+
+@query("SELECT event_id, (props->>'k')::BIGINT AS k FROM events WHERE (props->>'k')::BIGINT = 26")
+def p03_json_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("long")
+    return _t(spark, sf_dir, "events").where(k == 26).select("event_id", k.alias("k"))
+
+
+@query("SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents WHERE lang = 'en'")
+def u04_set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "labels").join(_t(spark, sf_dir, "documents").where("lang = 'en'"), "doc_id", "left_anti").select("doc_id").distinct()
+
+
+# ---- text
+
+@query(r"""WITH l AS (SELECT doc_id, line, no FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents))
+SELECT doc_id, no - 1 AS no, length(regexp_extract(trim(line), '^(#{1,6})\s+(.+?)\s*#*\s*$', 1)) AS level, regexp_extract(trim(line), '^(#{1,6})\s+(.+?)\s*#*\s*$', 2) AS title FROM l WHERE regexp_matches(trim(line), '^(#{1,6})\s+(.+?)\s*#*\s*$')""")
+def f04_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(F.trim("line").rlike(T.HEADING))
+    return lines.select("doc_id", F.col("no").cast("long").alias("no"), T.heading_level(F.col("line")).cast("long").alias("level"), T.heading_title(F.col("line")).alias("title"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, text, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS ls FROM documents)
+SELECT doc_id, CASE WHEN len(list_filter(ls, lambda x: contains(x, '|'))) >= greatest(2, len(ls) // 2) THEN 'table'
+ WHEN len(list_filter(ls, lambda x: regexp_matches(x, '^\s*([-*+]|[0-9]+[.)])\s+'))) >= greatest(2, len(ls) // 2) THEN 'list' ELSE 'paragraph' END AS chunk_type,
+ greatest(1, length(text) // 4)::BIGINT AS tokens FROM l""")
+def f05_chunk_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    return _t(spark, sf_dir, "documents").select("doc_id", T.chunk_type(text).alias("chunk_type"), T.token_estimate(text).cast("long").alias("tokens"))
+
+
+@query(r"""WITH d AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS flat FROM documents),
+s AS (SELECT doc_id, flat, list_filter(string_split(regexp_replace(flat, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: length(x) > 30)[1:3] AS top FROM d)
+SELECT doc_id, substring(CASE WHEN len(top) > 0 THEN array_to_string(top, ' ') ELSE substring(flat, 1, 700) END, 1, 1200) AS summary FROM s""")
+def f07_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").select("doc_id", T.summary(None, F.col("text")).alias("summary"))
+
+
+@query()
+def t01_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.sections(_t(spark, sf_dir, "documents"))
+
+
+@query()
+def t04_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.chunks(_t(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+
+
+@query()
+def t07_speaker_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.chunks(_t(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), "text", 600, 120, "role")
+
+
+# ---- paths
+
+@query(FILES_SQL + f"""SELECT p_partkey, regexp_replace(path, '/[^/]*$', '') AS folder, split_part(path, '/', 1) AS top, {KIND_SQL} AS kind,
+ CASE WHEN contains({STEM_SQL}, '_proposal') THEN 'proposal' WHEN contains({STEM_SQL}, '_minutes') THEN 'meeting' WHEN contains({STEM_SQL}, '_deck') THEN 'presentation' ELSE '' END AS signals,
+ trim(regexp_replace(trim(regexp_replace(lower({STEM_SQL}), '[\\s_\\-.]+', ' ', 'g')), '\\(?(copy|final|draft|v[0-9]+(\\.[0-9]+)*|[0-9]{{8}})\\)?$', '')) AS asset_name FROM f""".replace("\\\\", "\\"))
+def f19_path_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("path")
+    return _files(spark, sf_dir).select("p_partkey", P.parent(p).alias("folder"), P.top_folder(p).alias("top"), P.file_kind(p).alias("kind"), F.array_join(P.name_signals(p), ",").alias("signals"), P.asset_name(p).alias("asset_name"))
+
+
+@query(FILES_SQL + """SELECT p_partkey, split_part(path, '/', 3) AS customer, split_part(path, '/', 3) || '/' || split_part(path, '/', 4) AS project,
+ CASE WHEN regexp_matches(split_part(path, '/', 4), '^[A-Z]') THEN left(split_part(path, '/', 4), 1) END AS letter, regexp_matches(split_part(path, '/', 2), '^20[0-9]{2}$') AS temporal FROM f""")
+def f20_project_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, parts = P.project_context(F.col("path")), F.split("path", "/")
+    return _files(spark, sf_dir).select("p_partkey", c["customer"].alias("customer"), c["project"].alias("project"), P.stage_parts(parts[3])["letter"].alias("letter"), P.temporal(parts[1]).alias("temporal"))
+
+
+# ---- state
+
+@query("""WITH o AS (SELECT c_custkey AS k, c_name AS name, c_mktsegment AS segment FROM customer WHERE c_custkey % 3 <> 0),
+n AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 5 = 0 THEN upper(c_name) ELSE c_name END AS name, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_mktsegment END AS segment FROM customer WHERE c_custkey % 2 = 0)
+SELECT coalesce(o.k, n.k) AS k, coalesce(n.name, o.name) AS name, coalesce(n.segment, o.segment) AS segment,
+ CASE WHEN o.k IS NULL THEN 'inserted' WHEN n.k IS NULL THEN 'kept' WHEN coalesce(n.name, o.name) IS NOT DISTINCT FROM o.name AND coalesce(n.segment, o.segment) IS NOT DISTINCT FROM o.segment THEN 'unchanged' ELSE 'updated' END AS change
+FROM o FULL OUTER JOIN n ON o.k = n.k""")
+def d05_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _t(spark, sf_dir, "customer")
+    old = c.where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    new = c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 5 == 0, F.upper("c_name")).otherwise(F.col("c_name")).alias("name"), F.when(F.col("c_custkey") % 7 != 0, F.col("c_mktsegment")).alias("segment"))
+    return state.upsert(old, new, "k", ["name", "segment"])
+
+
+@query("""SELECT user_id, arg_max(event_type, (ts, event_id)) AS status, count(*) FILTER (event_type = 'view') AS attempts, min(ts) AS started,
+ max(ts) FILTER (event_type = 'purchase') AS completed, count(*) AS events FROM events GROUP BY 1""")
+def d04_queue_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.fold_queue(_t(spark, sf_dir, "events"), "user_id", "event_type", "ts", "event_id", "view", "purchase")
+
+
+# ---- graph
+
+@query("""WITH e AS (SELECT o_orderkey AS edge_id, o_custkey AS source, o_orderkey % 50 AS target FROM orders), m AS (SELECT c_custkey AS node FROM customer WHERE c_acctbal > 0),
+d AS (SELECT node, count(DISTINCT edge_id) AS degree FROM (SELECT edge_id, source AS node FROM e UNION ALL SELECT edge_id, target FROM e) GROUP BY 1), s AS (SELECT node, count(*) AS mentions FROM m GROUP BY 1)
+SELECT coalesce(d.node, s.node) AS node, coalesce(degree, 0) AS degree, coalesce(mentions, 0) AS mentions, greatest(1, coalesce(degree, 0) + coalesce(mentions, 0)) AS weight FROM d FULL OUTER JOIN s ON d.node = s.node""")
+def g07_node_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("edge_id"), F.col("o_custkey").alias("source"), (F.col("o_orderkey") % 50).alias("target"))
+    return graph.node_weights(e, _t(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("node")))
+
+
+@query("""WITH g AS (SELECT n_regionkey, row_number() OVER (ORDER BY n_regionkey) - 1 AS g, count(*) OVER () AS gs FROM (SELECT DISTINCT n_regionkey FROM nation)),
+n AS (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) - 1 AS i, count(*) OVER (PARTITION BY n_regionkey) AS c FROM nation)
+SELECT n_name, round(cos(2 * pi() * g / gs) * 18 + cos(2 * pi() * i / c) * greatest(3, sqrt(c) * 2.5), 4) AS x, round(sin(2 * pi() * g / gs) * 18 + sin(2 * pi() * i / c) * greatest(3, sqrt(c) * 2.5), 4) AS y FROM n JOIN g USING (n_regionkey)""")
+def g10_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.ring_layout(_t(spark, sf_dir, "nation").select("n_regionkey", "n_name"), "n_regionkey", "n_name").select("n_name", "x", "y")
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT c_custkey AS a, c_custkey // 3 * 3 + (c_custkey + 1) % 3 AS b FROM customer), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(n, m) AS (SELECT a, a FROM u UNION SELECT r.n, u.b FROM r JOIN u ON r.m = u.a) SELECT n AS node, min(m) AS component FROM r GROUP BY 1""")
+def g15_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    third = F.floor(k / 3) * 3 + (k + 1) % 3
+    return graph.components(_t(spark, sf_dir, "customer").select(k.cast("long").alias("a"), third.cast("long").alias("b")))
+
+
+@query("""SELECT lower(n_name) AS key, 'concept' AS type, min(n_name) AS name, string_agg(DISTINCT s_name, ',' ORDER BY s_name) AS aliases, count(*) AS mentions FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1""")
+def g03_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    j = _t(spark, sf_dir, "nation").join(_t(spark, sf_dir, "supplier"), F.col("s_nationkey") == F.col("n_nationkey"))
+    out = graph.merge_entities(j.select(F.col("n_name").alias("name"), F.lit("nation").alias("type"), F.col("s_name").alias("alias")))
+    return out.withColumn("aliases", F.array_join("aliases", ","))
+
+
+# ---- audit
+
+@query("""WITH s AS (SELECT *, count(*) OVER (PARTITION BY length(text)) AS n FROM documents WHERE length(text) > 0)
+SELECT sha256(text) AS content_hash, count(*) AS copies, min(doc_id) AS first, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS members FROM s WHERE n > 1 GROUP BY 1 HAVING count(*) > 1""")
+def n24_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.duplicate_groups(_t(spark, sf_dir, "documents"), F.col("text"), F.length("text"), "doc_id")
+
+
+@query(FILES_SQL + """, d AS (SELECT regexp_replace(path, '/[^/]*$', '') AS folder, split_part(path, '/', -1) AS name, size_bytes FROM f)
+SELECT folder, count(*) AS file_count, sum(size_bytes)::BIGINT AS total_bytes, arg_max(name, (size_bytes, name)) AS largest, array_to_string(list_sort(list(name))[1:12], '|') AS samples,
+ sha256(array_to_string(list_sort(list(name || ':' || size_bytes)), '|')) AS signature FROM d GROUP BY 1""")
+def s04_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.inventory(_files(spark, sf_dir)).drop("extensions")
+
+
+@query(FILES_SQL + f""", a AS (SELECT {EXT_SQL} AS ext, {STEM_SQL} AS stem, path, p_partkey % 3 AS root, split_part(path, '/', 3) AS customer, split_part(path, '/', 3) || '/' || split_part(path, '/', 4) AS project FROM f),
+g AS (SELECT 'name:' || ext || ':' || trim(regexp_replace(replace(lower(stem), '_', ' '), '(copy|final|draft|v[0-9]+)$', '')) AS asset_key, count(*) AS copy_count, count(DISTINCT customer) AS customer_count,
+ count(DISTINCT project) AS project_count, count(DISTINCT root) AS root_count, min(path) AS canonical FROM a GROUP BY 1)
+SELECT *, least(least(copy_count - 1, 5) * 6 + least(project_count, 4) * 10 + least(customer_count, 3) * 8 + least(greatest(root_count - 1, 0), 2) * 3, 100) AS reuse_score FROM g""")
+def n28_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.assets(_files(spark, sf_dir).withColumn("root", F.col("p_partkey") % 3).withColumn("content_hash", F.lit(None).cast("string")))
+
+
+@query("""WITH f AS (SELECT p_brand AS folder, CASE p_partkey % 5 WHEN 0 THEN 'naming_ambiguity' WHEN 1 THEN 'architecture_review' WHEN 2 THEN 'reusable_asset' WHEN 3 THEN 'unknown_customer' ELSE 'other' END AS issue,
+ CASE p_size % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS severity, 0.25 * (1 + p_size % 3) AS confidence FROM part WHERE p_partkey % 29 = 1),
+p AS (SELECT folder, issue, floor(CASE severity WHEN 'high' THEN 30 WHEN 'medium' THEN 18 ELSE 8 END * confidence)::INT AS p FROM f),
+s AS (SELECT folder, count(*) AS n, sum(CASE WHEN issue = 'naming_ambiguity' THEN p END) AS nam, sum(CASE WHEN issue = 'reusable_asset' THEN p END) AS pla, sum(CASE WHEN issue = 'architecture_review' THEN greatest(3, p // 2) END) AS str,
+ sum(CASE issue WHEN 'reusable_asset' THEN greatest(4, p // 2) WHEN 'unknown_customer' THEN greatest(3, p // 2) WHEN 'other' THEN p END) AS com FROM p GROUP BY 1),
+r AS (SELECT b.folder, greatest(0, 100 - coalesce(nam, 0))::BIGINT AS naming, 100::BIGINT AS duplicate, greatest(0, 100 - coalesce(pla, 0))::BIGINT AS placement, greatest(0, 100 - coalesce(str, 0))::BIGINT AS structure, greatest(0, 100 - coalesce(com, 0))::BIGINT AS compliance, coalesce(n, 0) AS n_findings
+ FROM (SELECT DISTINCT p_brand AS folder FROM part) b LEFT JOIN s USING (folder))
+SELECT *, round_even((naming + duplicate + placement + structure + compliance) / 5.0, 0)::BIGINT AS total FROM r""")
+def n29_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _t(spark, sf_dir, "part")
+    k, s = F.col("p_partkey") % 5, F.col("p_size") % 3
+    issue = F.when(k == 0, "naming_ambiguity").when(k == 1, "architecture_review").when(k == 2, "reusable_asset").when(k == 3, "unknown_customer").otherwise("other")
+    severity = F.when(s == 0, "high").when(s == 1, "medium").otherwise("low")
+    findings = p.where("p_partkey % 29 = 1").select(F.col("p_brand").alias("folder"), issue.alias("issue_type"), severity.alias("severity"), (0.25 * (1 + s)).alias("confidence"))
+    return audit.scores(p.select(F.col("p_brand").alias("folder")).distinct(), findings)
+
+
+@query("""WITH m AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id)
+SELECT a, b, similarity FROM m WHERE similarity >= 0.92""")
+def n26_similar_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs within a label, the block; the similarity is exact."""
+    e = _t(spark, sf_dir, "embeddings")
+    pairs = e.alias("x").join(e.alias("y"), (F.col("x.label") == F.col("y.label")) & (F.col("x.vec_id") < F.col("y.vec_id")))
+    sim = F.round(cosine(F.col("x.embedding"), F.col("y.embedding")), 6)
+    return pairs.select(F.col("x.vec_id").alias("a"), F.col("y.vec_id").alias("b"), sim.alias("similarity")).where("similarity >= 0.92")
+
+
+# ---- placement
+
+PLACED_SQL = FILES_SQL + f""", p AS (SELECT path, split_part(path, '/', 3) AS customer, regexp_replace(path, '/[^/]*$', '') AS destination, {KIND_SQL} AS kind, p_partkey FROM f)"""
+
+
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("path")
+    none = F.lit(None).cast("string")
+    return _files(spark, sf_dir).select("p_partkey", "path", P.project_context(p)["customer"].alias("customer"), none.alias("initiative"), none.alias("stage"), P.file_kind(p).alias("kind"), P.name_signals(p).alias("signals"), P.parent(p).alias("destination"))
+
+
+@query(PLACED_SQL + " SELECT customer, kind, destination, count(*) AS support, min(path) AS first_path FROM p GROUP BY 1, 2, 3")
+def l02_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return placement.patterns(_placed(spark, sf_dir)).select("customer", "kind", "destination", "support", "first_path")
+
+
+@query()
+def l07_simulation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of every fifth key are held out, predicted from the others and compared with where they are."""
+    placed = _placed(spark, sf_dir)
+    held = placed.where("p_partkey % 5 = 0")
+    out = held.join(placement.predict(held.drop("destination", "p_partkey"), placement.patterns(placed.where("p_partkey % 5 <> 0"))).withColumnRenamed("destination", "predicted"), "path", "left")
+    return out.select("path", "destination", "predicted", "confidence", P.match_level(F.col("destination"), F.col("predicted")).alias("level"), P.band(F.coalesce("confidence", F.lit(0.0))).alias("band"))
