@@ -108,13 +108,25 @@ class ShardStore:
             for p in parts[1:]:
                 out = out.union(p)
             folder = f"{self.root}/data/{uuid.uuid4().hex}"
-            out.write.option("compression", "zstd").parquet(folder)
+            self._write_apart(out, folder)
             merged = self._shards(folder, schema, 1 + max(r.merged for r in todo))
             gone = self.spark.createDataFrame([(r.shard,) for r in todo], "shard string")
             self.commit(shards.join(gone, "shard", "left_anti").select(merged.columns).unionByName(merged), version + 1)
             for r in todo:  # no version from here on names them
                 self._fs.delete(self._path(r.path), False)
 
+    def _write_apart(self, union: DataFrame, folder: str) -> None:
+        """Writes a union of groups of one partition each as a file a group.
+
+        Spark otherwise zips children that all have a single partition into one."""
+        conf, name = self.spark.conf, "spark.sql.unionOutputPartitioning"
+        before = conf.get(name, None)
+        conf.set(name, "false")
+        try:
+            union.write.option("compression", "zstd").parquet(folder)
+        finally:
+            conf.unset(name) if before is None else conf.set(name, before)
+
     def read(self, schema) -> DataFrame:  # noqa: ANN001
         """All rows of the last version, with shard, tier, shard_rows and manifest_version."""
         version = self.version()
