@@ -221,6 +221,45 @@ def test_katz(docs, empty):
     assert katz.katz_scores(empty, held).count() == 0
 
 
+def test_katz_scores_are_those_of_a_plain_model(docs):
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2
+    words = {i: [*(t or "").lower().split(), "</s>"] for i, t, *_ in corpus()}
+    one, two, context = Counter(), Counter(), Counter()
+    for i, _, *_ in corpus():
+        if i is None or zlib.crc32(str(i).encode()) % 7 != 2:
+            pairs = list(zip(["<s>", *words[i]], words[i], strict=False))
+            one.update(words[i])
+            two.update(pairs)
+            context.update(h for h, _ in pairs)
+    of_counts = lambda c: [sum(n == r for n in c.values()) for r in range(1, katz.K + 2)]
+    d1, d2, total = katz.discounts(of_counts(one)), katz.discounts(of_counts(two)), sum(one.values())
+    low = lambda n, d: n * (d[n - 1] if n <= katz.K else 1)
+    norm = total if min(one.values()) <= katz.K else total + 1
+    p1 = {w: low(n, d1) / norm for w, n in one.items()}
+    unseen = (1 - sum(p1.values())) / max(1, of_counts(one)[0])
+    after = defaultdict(dict)
+    for (h, w), n in two.items():
+        after[h][w] = n
+
+    def p2(h, w):
+        if not context[h]:
+            return p1.get(w, unseen)
+        c, full = context[h], min(after[h].values()) > katz.K
+        if w in after[h]:
+            return after[h][w] / (c + 1) if full else low(after[h][w], d2) / c
+        left = 1 / (c + 1) if full else 1 - sum(low(n, d2) for n in after[h].values()) / c
+        return left / (1 - sum(p1[x] for x in after[h])) * p1.get(w, unseen)
+
+    for h in context:
+        assert math.isclose(sum(p2(h, w) for w in p1) + p2(h, "never seen") * max(1, of_counts(one)[0]), 1, rel_tol=1e-9)
+    for parts in (500, 10**6):
+        got = katz.katz_scores(docs, held, part_tokens=parts).collect()
+        assert len(got) == len(corpus())
+        for r in got:
+            ws = words[r.doc_id]
+            assert math.isclose(r.score, sum(math.log10(p2(h, w)) for h, w in zip(["<s>", *ws], ws, strict=False)), rel_tol=1e-9)
+
+
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_same_as_sql(spark, name):
     from atheneum.llm.queries import QUERIES
