@@ -260,6 +260,15 @@ def test_katz_scores_are_those_of_a_plain_model(docs):
             assert math.isclose(r.score, sum(math.log10(p2(h, w)) for h, w in zip(["<s>", *ws], ws, strict=False)), rel_tol=1e-9)
 
 
+def test_katz_base_scores_do_not_depend_on_the_class_of_rare_words(docs):
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2
+    one, two = (sorted(katz.katz_scores(docs, held, frequent=n).collect(), key=lambda r: (str(r.doc_id), r.n_tokens)) for n in (20, katz.FREQUENT))
+    assert len(one) == len(two) == len(corpus())
+    for a, b in zip(one, two, strict=True):
+        assert (a.doc_id, a.n_tokens, a.n_known, a.train_tokens) == (b.doc_id, b.n_tokens, b.n_known, b.train_tokens)
+        assert math.isclose(a.base_score, b.base_score, rel_tol=1e-9) and a.score < 0
+
+
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_same_as_sql(spark, name):
     from atheneum.llm.queries import QUERIES
