@@ -289,3 +289,23 @@ def test_pipeline(spark):
     groups = {r.component_id for r in simhash.simhash_groups(docs).collect()}
     bad = {r.doc_id for r in decontaminate.verdict(decontaminate.find_windows(docs, spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet"), ["doc_id"])).where("contaminated").collect()}
     assert set(got) == groups - bad and max(got.values()) <= 3
+
+
+def test_pruning_of_lines_loses_no_similar_pair(spark):
+    rng = random.Random(5)
+    words = ["alpha", "beta", "gamma", "delta", "omega", "kappa", "sigma"]
+    lines = set()
+    for _ in range(25):
+        base = [rng.choice(words) for _ in range(rng.randint(1, 40))]
+        lines.add(" ".join(base))
+        for _ in range(3):
+            other = list(base)
+            other[rng.randrange(len(other))] = rng.choice(words)
+            lines.add(" ".join(other))
+    rows = spark.createDataFrame([(t,) for t in sorted(lines)], "_line string").withColumn("_key", F.xxhash64("_line"))
+    sets = F.array_distinct(line_dedup.shingles(F.col("_line"))).alias("s")
+    known = rows.select("_key", sets).join(line_dedup._signatures(rows), "_key").select("s", F.struct(F.col("_key").alias("key"), line_dedup._sketch().alias("sketch"), "c").alias("x"))
+    a, b = known.toDF("sa", "xa"), known.toDF("sb", "xb")
+    pairs = a.join(b, F.col("xa.key") < F.col("xb.key")).select("sa", "sb", line_dedup._possible(F.col("xa"), F.col("xb")).alias("possible")).collect()
+    near = [p for p in pairs if len(set(p.sa) & set(p.sb)) >= line_dedup.SIMILARITY * len(set(p.sa) | set(p.sb))]
+    assert len(near) > 20 and all(p.possible for p in near) and not all(p.possible for p in pairs)
