@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from atheneum.functions import names
 from atheneum.functions import paths as P
 from atheneum.functions import text as T
 from atheneum.functions.vectors import cosine, mean_vectors
-from atheneum.operators import audit, chunking, graph, placement, retrieval, state
+from atheneum.operators import audit, chunking, findings, graph, placement, retrieval, state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -396,3 +398,60 @@ def l07_simulation(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = placed.where("p_partkey % 5 = 0")
     out = held.join(placement.predict(held.drop("destination", "p_partkey"), placement.patterns(placed.where("p_partkey % 5 <> 0"))).withColumnRenamed("destination", "predicted"), "path", "left")
     return out.select("path", "destination", "predicted", "confidence", P.match_level(F.col("destination"), F.col("predicted")).alias("level"), P.band(F.coalesce("confidence", F.lit(0.0))).alias("band"))
+
+
+# ---- names, findings, relationships
+
+PART_NAME = """concat(CASE WHEN p_partkey % 3 = 0 THEN concat(260000 + p_partkey, '-250024 ') ELSE '' END, CASE WHEN p_size % 4 = 0 THEN 'VTJ_' ELSE '' END, p_name, '_', p_brand, '_',
+ CASE p_size % 5 WHEN 0 THEN 'Proposal' WHEN 1 THEN 'deck' ELSE 'other' END, CASE WHEN p_partkey % 2 = 0 THEN concat('_V', p_size % 4, '.1') ELSE '' END, '.docx')"""
+
+
+@query(f"""WITH n AS (SELECT p_partkey, regexp_replace({PART_NAME}, '\\.[^.]*$', '') AS stem FROM part),
+f AS (SELECT *, nullif(regexp_extract(stem, '^([0-9]+(-[0-9]+)*)', 1), '') AS doc_ids, string_split(regexp_replace(stem, '^[0-9]+(-[0-9]+)* ', ''), '_') AS fields FROM n),
+v AS (SELECT *, list_filter(fields, lambda x: regexp_full_match(x, 'V[0-9]+\\.[0-9]+'))[1] AS v, list_filter(fields, lambda x: x IN ('Proposal', 'deck'))[1] AS d FROM f),
+t AS (SELECT *, list_filter(fields, lambda x: x IS DISTINCT FROM v AND x IS DISTINCT FROM d) AS t FROM v)
+SELECT p_partkey, doc_ids, lower(v) AS version, CASE d WHEN 'deck' THEN 'Presentation' ELSE d END AS doc_type, CASE WHEN t[1] = 'VTJ' THEN t[1] END AS originator,
+ CASE WHEN t[1] = 'VTJ' THEN t[2] ELSE t[1] END AS client, CASE WHEN t[1] = 'VTJ' THEN t[3] ELSE t[2] END AS product, CASE WHEN t[1] = 'VTJ' THEN t[4] ELSE t[3] END AS topic,
+ replace(replace(stem, '_', ' '), '-', ' ') AS clean_name FROM t""")
+def f01_filename_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = names.filename_fields(_t(spark, sf_dir, "part").select("p_partkey", F.expr(PART_NAME).alias("file_name")))
+    return df.select("p_partkey", "doc_ids", "version", "doc_type", "originator", "client", "product", "topic", "clean_name")
+
+
+FOLDERS = """concat(CASE WHEN p_partkey % 2 = 0 THEN '01 Project/' ELSE '04 Resources/' END, p_brand, '/', p_partkey, '/', CASE p_partkey % 7 WHEN 0 THEN 'Misc' WHEN 1 THEN '<name>' WHEN 2 THEN 'Challanges' ELSE 'A.1. Plan' END) AS path,
+ p_size % 3 AS file_count, CASE p_size % 5 WHEN 0 THEN 'customer' WHEN 1 THEN 'stage' WHEN 2 THEN 'resource' WHEN 3 THEN 'unknown' END AS folder_type, 'A.1. Proposal' AS stage, 0.5 + p_size % 2 * 0.45 AS confidence,
+ 'X' AS customer_code, CASE WHEN p_partkey % 4 = 0 THEN 'Name' END AS customer_name, 'customer_code:unknown' AS matched_rule"""
+
+
+@query(f"""WITH f AS (SELECT {FOLDERS} FROM part), n AS (SELECT *, split_part(path, '/', -1) AS name, coalesce(folder_type, '') AS role FROM f)
+SELECT path, 'unknown_customer' AS issue_type, 'low' AS severity, 0.74::DOUBLE AS confidence, 'enrich_registry' AS action, 'customer_registry' AS destination FROM n WHERE role = 'customer' AND customer_name IS NULL
+UNION ALL SELECT path, 'naming_inconsistency', 'low', 0.76::DOUBLE, 'standardize', stage FROM n WHERE role = 'stage' AND stage <> name
+UNION ALL SELECT path, 'naming_ambiguity', 'low', 0.8::DOUBLE, 'review', NULL FROM n WHERE role NOT IN ('customer', 'stage') AND name = 'Misc'
+UNION ALL SELECT path, 'resource_leakage', 'medium', least(0.9, confidence)::DOUBLE, 'review', 'Resources' FROM n WHERE role = 'resource' AND path LIKE '01 Project/%'
+UNION ALL SELECT path, 'orphaned_knowledge', 'medium', 0.66::DOUBLE, 'review', NULL FROM n WHERE role = 'unknown' AND file_count > 0
+UNION ALL SELECT path, 'template_drift', 'low', 0.9::DOUBLE, 'move', '04 Resources/02 Delivery/00 Templates' FROM n WHERE name = '<name>'
+UNION ALL SELECT path, 'naming_inconsistency', 'low', 0.85::DOUBLE, 'rename', 'Challenges' FROM n WHERE name = 'Challanges'""")
+def n10_folder_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings N10 to N14, N21 and N30 in one scan."""
+    return findings.folder_findings(_t(spark, sf_dir, "part").selectExpr(*_columns(FOLDERS)))
+
+
+def _columns(select: str) -> list[str]:
+    """The expressions of a select list, each ended by its alias."""
+    return [x.strip(" ,\n") for x in re.findall(r".+?\sAS\s\w+(?=,|$)", select.replace("\n", " "))]
+
+
+@query(FILES_SQL + """SELECT regexp_replace(path, '/[^/]*$', '') AS parent, string_agg(path, '|' ORDER BY path) AS children FROM (SELECT DISTINCT path FROM f) GROUP BY 1""")
+def n35_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings.children(_files(spark, sf_dir)).withColumn("children", F.array_join("children", "|"))
+
+
+@query("""SELECT o_orderkey AS id, c_name AS source, n_name AS target, o_orderstatus AS kind, count(DISTINCT l_linenumber) AS evidence
+FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey LEFT JOIN lineitem ON l_orderkey = o_orderkey
+WHERE c_name ILIKE '%A1%' OR n_name ILIKE '%a1%' OR o_orderstatus ILIKE '%a1%' OR l_returnflag ILIKE '%a%' GROUP BY 1, 2, 3, 4""")
+def r09_relationship_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A filter on names, kind or evidence runs before grouping: a match by evidence alone counts only that evidence."""
+    o = _t(spark, sf_dir, "orders").join(_t(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey")).join(_t(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    j = o.join(_t(spark, sf_dir, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    hit = F.col("c_name").ilike("%A1%") | F.col("n_name").ilike("%a1%") | F.col("o_orderstatus").ilike("%a1%") | F.coalesce(F.col("l_returnflag").ilike("%a%"), F.lit(False))
+    return j.where(hit).groupBy(F.col("o_orderkey").alias("id"), F.col("c_name").alias("source"), F.col("n_name").alias("target"), F.col("o_orderstatus").alias("kind")).agg(F.countDistinct("l_linenumber").alias("evidence"))

@@ -2,9 +2,10 @@ import random
 
 from pyspark.sql import functions as F
 
+from atheneum.functions import names as N
 from atheneum.functions import paths as P
 from atheneum.functions import text as T
-from atheneum.operators import chunking, graph, retrieval, state
+from atheneum.operators import chunking, findings, graph, retrieval, state
 from atheneum.sources.files import discover, read_text
 from atheneum.streaming.queue import merged, queue_stream
 
@@ -117,3 +118,32 @@ def test_stream_equals_batch(spark, tmp_path):
     want = state.fold_queue(events, "user_id", "event_type", "ts", "event_id", "view", "purchase")
     columns = ["user_id", "status", "attempts", "started", "completed", "events"]
     assert sorted(map(str, merged(spark, out).select(columns).collect())) == sorted(map(str, want.select(columns).collect()))
+
+
+def test_file_names(spark):
+    rows = [("260003-250024 VTJ_Accrete_AIS_Voice Authentication_Proposal_v1.0.docx",), ("plain",), (None,), ("ABC.pdf",), ("V2_v3_deck_Plan.pptx",)]
+    got = N.filename_fields(spark.createDataFrame(rows, "file_name string")).collect()
+    r = got[0]
+    assert (r.doc_ids, r.originator, r.client, r.product, r.topic, r.doc_type, r.version) == ("260003-250024", "VTJ", "Accrete", "AIS", "Voice Authentication", "Proposal", "v1.0")
+    assert (got[1].client, got[1].originator, got[1].version) == ("plain", None, None) and got[2].tokens == [] and got[2].client is None
+    assert (got[3].client, got[3].originator) == ("ABC", None)
+    assert (got[4].version, got[4].doc_type, got[4].originator, got[4].terms) == ("v2", "Presentation", None, ["v3", "Plan"])
+
+
+def test_name_functions(spark):
+    assert value(spark, N.corrected(F.lit("01 CHALLANGES"))) == "01 Challenges" and value(spark, N.corrected(F.lit("fine"))) is None
+    for glob, path, want in (("a/*/b?", "a/x/y/b1", True), ("a/[!x]", "a/x", False), ("a.b", "aXb", False), ("[ab]", "b", True), ("a", "a\n", False)):
+        assert value(spark, N.glob_match(F.lit(path), glob)) is want
+    assert value(spark, N.humanized(F.lit("01_A_B"))) == "A B" and value(spark, N.project_id(F.lit(None).cast("int"), F.lit("A_B"))) == "XXXX-A-B"
+    assert value(spark, N.without_number(F.lit("01. X"))) == "X"
+    assert value(spark, N.keyword_text({"client": F.lit("c"), "topic": F.lit("")}, F.lit("body"))) == "c\nbody"
+
+
+def test_findings_can_be_rejected_and_nulls_meet_no_rule(spark):
+    fields = "path string, file_count int, folder_type string, stage string, confidence double, customer_code string, customer_name string, matched_rule string"
+    rows = [("a/misc", 3, "unknown", None, None, None, None, None), ("a/fine", None, None, None, None, None, None, None), (None,) + (None,) * 7]
+    found = findings.folder_findings(spark.createDataFrame(rows, fields))
+    assert sorted((r.path, r.issue_type) for r in found.collect()) == [("a/misc", "naming_ambiguity"), ("a/misc", "orphaned_knowledge")]
+    left = findings.without_rejected(found.union(found), spark.createDataFrame([("naming_ambiguity", "a/misc")], "issue_type string, path string"))
+    assert [r.issue_type for r in left.collect()] == ["orphaned_knowledge"]
+    assert findings.folder_findings(spark.createDataFrame([], fields)).count() == 0
