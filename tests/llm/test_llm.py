@@ -309,3 +309,23 @@ def test_pruning_of_lines_loses_no_similar_pair(spark):
     pairs = a.join(b, F.col("xa.key") < F.col("xb.key")).select("sa", "sb", line_dedup._possible(F.col("xa"), F.col("xb")).alias("possible")).collect()
     near = [p for p in pairs if len(set(p.sa) & set(p.sb)) >= line_dedup.SIMILARITY * len(set(p.sa) | set(p.sb))]
     assert len(near) > 20 and all(p.possible for p in near) and not all(p.possible for p in pairs)
+
+
+def test_passages_behind_a_shared_phrase(spark):
+    rng = random.Random(11)
+    words = lambda n: [f"x{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for k in range(30):  # a shared phrase of 12 to 30 words, unequal words, a shared passage of 100
+        phrase, passage, gap = words(12 + k % 19), words(100), 13 + k
+        rows += [(2 * k, words(40) + phrase + words(gap) + passage + words(30)), (2 * k + 1, words(20) + phrase + words(gap) + passage + words(50))]
+    got = {r.doc_id: r.spans for r in substring_dedup.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()}
+    for i, w in rows:
+        start = len(w) - (50 if i % 2 else 30) - 100
+        assert [(s.start, s.end) for s in got[i]] == [(start, start + 100)]
+
+
+def test_equal_stretch_within_a_poor_alignment():
+    same, poor = [(0, 0, 100)], [(100 + 12 * k, 100 + 12 * k, 4) for k in range(1, 30)]
+    (found,) = substring_dedup.alike(same + poor)
+    assert found[0] == found[2] == 0 and found[1] >= 100 and found[4] >= substring_dedup.MIN_IDENTITY * found[1]
+    assert not list(substring_dedup.alike(poor))
