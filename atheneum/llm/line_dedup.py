@@ -24,8 +24,10 @@ from atheneum.llm.common import components, lookup, table, written
 SHINGLE = 12
 BINS = 16
 SIMILARITY = 0.8
-#: A member of a bucket meets the bucket's first member and so many before it; buckets of up to NEAR + 2 meet in full.
+#: In rounds, a member of a bucket meets the bucket's first member and so many before it; buckets of up to NEAR + 2 meet in full.
 NEAR = 4
+#: Larger buckets are split into blocks of about so many members, and each pair of blocks meets in one place.
+BLOCK = 256
 #: Keys of lines are broadcast up to so many (8 bytes each), beyond they are joined by a shuffle.
 BROADCAST_KEYS = 2_000_000
 #: Pairs of lines to verify are broadcast up to so many (16 bytes each).
@@ -73,6 +75,20 @@ def _met(buckets: DataFrame) -> DataFrame:
     return pairs.where((F.col("a.key") != F.col("b.key")) & _possible(F.col("a"), F.col("b"))).select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct()
 
 
+def _all_met(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of all members of different label that share a bucket of rows (band, size, key, sketch, c, label) and can be similar.
+
+    Each pair of a bucket's blocks is a group of its own, so no group holds more than two blocks."""
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("key"), blocks).cast("int"))
+    line = F.struct("key", "sketch", "c", "label")
+    one = rows.select("band", F.col("own").alias("i"), F.explode(F.sequence("own", blocks - 1)).alias("j"), line.alias("x"))
+    two = rows.select("band", F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"), line.alias("y"))
+    apart = (F.col("x.label") != F.col("y.label")) & ((F.col("i") < F.col("j")) | (F.col("x.key") < F.col("y.key")))
+    pairs = one.withColumnsRenamed({"band": "band1", "i": "i1", "j": "j1"}).join(two, (F.col("band1") == F.col("band")) & (F.col("i1") == F.col("i")) & (F.col("j1") == F.col("j")) & apart & _possible(F.col("x"), F.col("y")))
+    return pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
+
+
 def _sets(keys: DataFrame, lines: DataFrame) -> DataFrame:
     """(key, s): the hashed shingles of each line of keys (key)."""
     keys = written(keys, "candidates")
@@ -105,7 +121,8 @@ def line_groups(lines: DataFrame) -> DataFrame:
     """(_key, label, n) of lines that occur twice or more or are linked to another; label names the component.
 
     A first round verifies what meets in buckets. While links are found, the components' least members
-    in each larger bucket meet in the same way, so no bucket ends with members that were left aside."""
+    in each larger bucket meet in the same way. These rounds only save pairs: at the end all pairs of a
+    larger bucket that are still in different components meet, so each pair that can be similar was checked."""
     signatures = written(_signatures(lines), "signatures")
     bands = [F.struct(F.coalesce(f"m{k}", F.lit(-1)).alias("x"), F.coalesce(f"m{k + 1}", F.lit(-1)).alias("y"), F.lit(k).alias("k")) for k in range(0, BINS, 2)]
     rows = signatures.select(F.col("_key").alias("key"), _sketch().alias("sketch"), F.col("c").cast("int").alias("c"), F.explode(F.array(*bands)).alias("b"))
@@ -113,17 +130,23 @@ def line_groups(lines: DataFrame) -> DataFrame:
     rows = rows.withColumn("size", F.count("*").over(W.partitionBy("band"))).where("size > 1")
     buckets = written(rows, "buckets")
     pairs = written(_met(buckets), "pairs")
-    large = buckets.where(F.col("size") > NEAR + 2).drop("size")
+    large = buckets.where(F.col("size") > NEAR + 2)
     sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("key")).union(large.select("key")).distinct(), lines)
     labels = written(components(written(_verified(pairs, sets), "links"), "lines"), "labels")
+    def labelled() -> DataFrame:
+        return large.join(labels, large.key == labels.node, "left").select("band", "size", "key", "sketch", "c", F.coalesce("label", "key").alias("label"))
+
     while not large.isEmpty():
-        of = large.join(labels, large.key == labels.node, "left").select("band", F.struct("key", "sketch", "c").alias("line"), F.coalesce("label", "key").alias("label"))
+        of = labelled().select("band", F.struct("key", "sketch", "c").alias("line"), "label")
         leads = of.groupBy("band", "label").agg(F.min("line").alias("line")).withColumn("n", F.count("*").over(W.partitionBy("band"))).where("n > 1")
         more = written(_met(leads.select("band", "line.*")).join(pairs, ["a", "b"], "left_anti"), "more")
         found = written(_verified(more, sets), "links")
+        pairs = pairs.unionByName(more)
         if found.isEmpty():
+            several = labelled().groupBy("band").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p < q").select("band")
+            rest = written(_all_met(labelled().join(several, "band", "left_semi")).join(pairs, ["a", "b"], "left_anti"), "rest")
+            labels = written(_joined(labels, written(_verified(rest, sets), "links")), "labels")
             break
-        pairs = pairs.unionByName(more)
         labels = written(_joined(labels, found), "labels")
     of = signatures.select("_key", "n").join(labels, F.col("_key") == F.col("node"), "left")
     return of.where("n > 1 or label is not null").select("_key", F.coalesce("label", "_key").alias("label"), "n")

@@ -329,3 +329,31 @@ def test_equal_stretch_within_a_poor_alignment():
     (found,) = substring_dedup.alike(same + poor)
     assert found[0] == found[2] == 0 and found[1] >= 100 and found[4] >= substring_dedup.MIN_IDENTITY * found[1]
     assert not list(substring_dedup.alike(poor))
+
+
+def test_lines_of_a_template_family_are_linked_as_by_brute_force(spark):
+    rng = random.Random(8)
+    word = lambda: f"{rng.randrange(10**6):06d}"
+    template = [word() for _ in range(30)]
+    lines = set()
+    for _ in range(150):
+        base = [word() if rng.random() < 0.13 else w for w in template]
+        copy = list(base)
+        copy[rng.randrange(30)] = word()
+        lines |= {" ".join(base), " ".join(copy)}
+    rows = spark.createDataFrame([(t,) for t in sorted(lines)], "_line string").withColumn("_key", F.xxhash64("_line"))
+    sets = {r._key: set(r.s) for r in rows.select("_key", line_dedup.shingles(F.col("_line")).alias("s")).collect()}
+    signatures = line_dedup._signatures(rows).collect()
+    band = lambda r, k: (r[f"m{k}"], r[f"m{k + 1}"])
+    bands = {r._key: {(k, band(r, k)) for k in range(0, line_dedup.BINS, 2) if band(r, k) != (None, None)} for r in signatures}
+    label = {k: k for k in sets}
+    keys = sorted(sets)
+    for i, a in enumerate(keys):
+        for b in keys[i + 1 :]:
+            if label[a] != label[b] and bands[a] & bands[b] and len(sets[a] & sets[b]) >= line_dedup.SIMILARITY * len(sets[a] | sets[b]):
+                old, new = max(label[a], label[b]), min(label[a], label[b])
+                label = {k: new if v == old else v for k, v in label.items()}
+    sizes = Counter(label.values())
+    want = {k: v for k, v in label.items() if sizes[v] > 1}
+    assert len(set(want.values())) > 20
+    assert {r._key: r.label for r in line_dedup.line_groups(rows).collect()} == want
