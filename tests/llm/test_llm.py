@@ -357,3 +357,13 @@ def test_lines_of_a_template_family_are_linked_as_by_brute_force(spark):
     want = {k: v for k, v in label.items() if sizes[v] > 1}
     assert len(set(want.values())) > 20
     assert {r._key: r.label for r in line_dedup.line_groups(rows).collect()} == want
+
+
+def test_lines_that_differ_behind_the_first_characters_of_a_word_stay(spark):
+    han = "".join(chr(0x4E00 + k) for k in range(60))
+    lines = ["https://www.a.org/x", "https://www.b.com/y", han[:12] + han[20:40], han[:12] + han[40:60], "a short line", "internationalization-of-texts", "internationalization-by-others"]
+    copies = [han, han[:30] + "x" + han[31:]]  # equal but for one character: too short to be alike by shingles of 12
+    long = "".join(chr(0x5000 + k) for k in range(400))
+    alike = [long, long[:399] + "x"]
+    got = {r.doc_id: r.dropped_lines for r in line_dedup.line_dedup(spark.createDataFrame([(1, "\n".join(lines + copies)), (2, "\n".join(alike))], "doc_id long, text string")).collect()}
+    assert got == {1: [], 2: [1]}
