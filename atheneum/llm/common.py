@@ -37,6 +37,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def apart(docs: DataFrame, *names: str) -> DataFrame:
+    """docs with `_in` behind the columns whose names (in any case) an operator uses itself, as often as it takes."""
+    taken = {n.lower() for n in names}
+    given = [f.name for f in docs.schema]
+    used = taken | {g.lower() for g in given}
+    out = []
+    for g in given:
+        if g.lower() in taken:
+            g += "_in"
+            while g.lower() in used:
+                g += "_in"
+            used.add(g.lower())
+        out.append(g)
+    return docs if out == given else docs.toDF(*out)
+
+
 def lookup(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: int) -> DataFrame:
     """rows inner-joined to groups (one row a key) by key.
 

@@ -1,114 +1,234 @@
-"""Fuzzy line deduplication by MinHash, in DataFrame functions only.
-
-A line is trimmed and lower-cased. Its shingles are the SHINGLE characters from the start of each word
-on and, in words of over SHINGLE characters (addresses, text without blanks), from each of their
-characters on, so every character of a line is part of a shingle.
-One-permutation MinHash: a shingle's hash picks one of BINS bins, and each bin keeps its least hash.
-Neighbouring bins pair up as bands; at Jaccard similarity 0.8 a pair of lines shares a band with a
-probability over 0.999. Candidates are verified by the exact Jaccard similarity of their shingles.
-
-Before that, candidates are pruned without loss: a bin in which two lines differ proves a shingle that
-only one of them has, and at similarity 0.8 these are at most a quarter of the smaller set. Lines carry
-four bits of each bin in one long, so differing bins are counted (never too high) as pairs are met.
+"""Fuzzy line deduplication by MinHash.
+
+A line is stripped and lower-cased; its shingles are the SHINGLE characters from each character on (a
+shorter line is one shingle). Signatures are least values of HASHES permutations of the shingles'
+hashes, made in Arrow batches; BANDS bands of ROWS values are the buckets in which lines meet. At
+Jaccard similarity 0.8 a pair of lines shares a band with a probability over 0.998. Pairs that meet
+are verified by the exact Jaccard similarity of their shingles, and links are joined by distributed
+union-find.
+
+In a bucket every line first meets one lead (within a run of lines, then the least of all runs, so
+that a hot bucket is combined before it is shuffled). Then all pairs of a bucket that are still in
+different components meet, in pairs of blocks, unless a sketch of their signatures says that they
+cannot be alike; so every pair that shares a bucket is decided.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from atheneum.llm.common import components, lookup, table, written
+from atheneum.llm.common import apart, components, lookup, raw, table, written
 
-SHINGLE = 12
-BINS = 16
+SHINGLE = 8
+ROWS, BANDS = 4, 12
+HASHES = ROWS * BANDS
 SIMILARITY = 0.8
-#: In rounds, a member of a bucket meets the bucket's first member and so many before it; buckets of up to NEAR + 2 meet in full.
-NEAR = 4
-#: Larger buckets are split into blocks of about so many members, and each pair of blocks meets in one place.
+#: Sketches (a bit of each value) of lines with similarity 0.8 differ in 4.8 bits on average, in over 14 of 48 once in 50,000 pairs.
+SKETCH_BITS = 14
+#: Buckets are split into blocks of about so many members, and each pair of blocks meets in one place.
 BLOCK = 256
 #: Keys of lines are broadcast up to so many (8 bytes each), beyond they are joined by a shuffle.
 BROADCAST_KEYS = 2_000_000
-#: Pairs of lines to verify are broadcast up to so many (16 bytes each).
-BROADCAST_PAIRS = 100_000
-
-
-def shingles(line: Column) -> Column:
-    return F.regexp_extract_all(line, F.lit(r"(?=(.{1,%d}))(?:(?<!\S)\S{1,%d}+(?!\S)|\S)\s*" % (SHINGLE, SHINGLE)), F.lit(1))
-
-
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(id_col, text_col).alias("_row"), F.posexplode(F.split(F.coalesce(text_col, F.lit("")), "\n", -1)).alias("_no", "_line"))
-    rows = rows.withColumn("_line", F.lower(F.trim("_line"))).where("_line <> ''")
-    return rows.withColumn("_key", F.xxhash64("_line"))
-
-
-def _signatures(lines: DataFrame) -> DataFrame:
-    """(_key, n, c, m0 ..): of each different line, its occurrences, its shingles and the least hash in each bin."""
-    each = lines.select("_key", F.posexplode(shingles(F.col("_line"))).alias("_at", "_shingle"))
-    each = each.select("_key", "_at", F.xxhash64("_shingle").alias("h"))
-    least = [F.min(F.when(F.col("h").bitwiseAND(F.lit(BINS - 1)) == k, F.shiftrightunsigned("h", 33).cast("int"))).alias(f"m{k}") for k in range(BINS)]
-    return each.groupBy("_key").agg(F.sum((F.col("_at") == 0).cast("long")).alias("n"), F.count("*").alias("c"), *least).withColumn("c", F.expr("c div n"))
-
-
-def _sketch() -> Column:
-    """Four bits of each bin, as one long."""
-    nibbles = [F.shiftleft(F.coalesce(F.col(f"m{k}"), F.lit(0)).bitwiseAND(F.lit(15)).cast("long"), 4 * k) for k in range(BINS)]
-    return reduce(lambda a, b: a.bitwiseOR(b), nibbles)
-
-
-def _possible(a: Column, b: Column) -> Column:
-    """Whether lines (key, sketch, c) can reach SIMILARITY: each bin that differs is a shingle they do not share."""
-    apart = a["sketch"].bitwiseXOR(b["sketch"])
-    apart = apart.bitwiseOR(F.shiftrightunsigned(apart, 1))
-    apart = apart.bitwiseOR(F.shiftrightunsigned(apart, 2)).bitwiseAND(F.lit(0x1111111111111111))
-    return F.bit_count(apart) * SIMILARITY <= (1 - SIMILARITY) * F.least(a["c"], b["c"]) + 1e-9
-
-
-def _met(buckets: DataFrame) -> DataFrame:
-    """Pairs (a, b) that meet in buckets (band, key, sketch, c) and can be similar: linear in a bucket's size."""
-    w = W.partitionBy("band").orderBy("key")
-    line = F.struct("key", "sketch", "c")
-    others = [F.first(line).over(w)] + [F.lag(line, d).over(w) for d in range(1, NEAR + 1)]
-    pairs = buckets.select(line.alias("b"), F.array(*others).alias("others")).select(F.explode("others").alias("a"), "b")
-    return pairs.where((F.col("a.key") != F.col("b.key")) & _possible(F.col("a"), F.col("b"))).select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct()
+#: Characters of text that a run of lines holds, and that are hashed at once.
+RUN_CHARS, CACHE_CHARS = 1 << 20, 1 << 15
+_RANDOM = np.random.default_rng(5)
+_TIMES = _RANDOM.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
+_PLUS = _RANDOM.integers(0, 1 << 32, HASHES, dtype=np.uint32)
+_PRIME = np.uint64(0x9E3779B97F4A7C15)
+
+
+def lines_of(text: bytes | None) -> list[str]:
+    """The stripped, lower-cased lines of a text; blank ones are empty."""
+    return [x.strip().lower() for x in (text or b"").decode("utf-8", "replace").split("\n")]
+
+
+def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles of non-empty lines in a row, and where each line's start."""
+    codes = np.frombuffer("".join(x if len(x) >= SHINGLE else x.ljust(SHINGLE, "\0") for x in lines).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    sizes = np.fromiter((max(len(x), SHINGLE) for x in lines), np.int64, len(lines))
+    h, step = codes.astype(np.uint64) * _PRIME, 1
+    while step < SHINGLE:
+        h = (h[:-step] ^ (h[:-step] >> np.uint64(31))) * _PRIME + h[step:]
+        step *= 2
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    inside = np.ones(len(codes), dtype=bool)
+    ends = np.cumsum(sizes)
+    for j in range(1, SHINGLE):
+        inside[ends - j] = False
+    return h[inside[: len(h)]], ends - sizes - (SHINGLE - 1) * np.arange(len(lines))
+
+
+def signatures(lines: list[str]) -> np.ndarray:
+    """A row of HASHES least values for each non-empty line."""
+    out = np.empty((len(lines), HASHES), dtype=np.uint32)
+    k = 0
+    while k < len(lines):
+        n, size = k, 0
+        while n < len(lines) and (n == k or size + len(lines[n]) <= CACHE_CHARS):
+            size += len(lines[n])
+            n += 1
+        h, starts = shingle_hashes(lines[k:n])
+        x = (h >> np.uint64(32)).astype(np.uint32)
+        for j in range(HASHES):
+            out[k:n, j] = np.minimum.reduceat(x * _TIMES[j] + _PLUS[j], starts)
+        k = n
+    return out
+
+
+def _bands(signed: np.ndarray) -> np.ndarray:
+    """The buckets of each signature."""
+    m = signed.reshape(-1, BANDS, ROWS).astype(np.uint64)
+    h = np.arange(BANDS, dtype=np.uint64)[None, :] * np.uint64(0x94D049BB133111EB) + np.uint64(1)
+    for j in range(ROWS):
+        h = (h ^ (h >> np.uint64(32)) ^ m[:, :, j]) * _PRIME
+    return (h ^ (h >> np.uint64(29))).view(np.int64)
+
+
+def _key(line: str) -> int:
+    return xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), 42)
+
+
+def _runs(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[list[str]]]]:
+    """Runs of rows with about RUN_CHARS of text, and their lines."""
+    for b in batches:
+        texts, start, size, held = raw(b.column(column)), 0, 0, []
+        for k, t in enumerate(texts):
+            held.append(lines_of(t))
+            size += len(t or b"")
+            if size >= RUN_CHARS:
+                yield b.slice(start, k + 1 - start), held
+                start, size, held = k + 1, 0, []
+        if held:
+            yield b.slice(start), held
+
+
+def _lines(rows: DataFrame) -> DataFrame:
+    """(_id, _row, _no, _key, sketch, bands, leads) of all lines that are not blank.
+
+    sketch and bands are null for a line that its run has signed before; leads, null where they are
+    all the line itself, are the first lines of the run in each of its bands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, texts in _runs(batches, 2):
+            of, no, keys, new, place = [], [], [], [], []
+            seen: dict[str, int] = {}
+            for k, lines in enumerate(texts):
+                for j, x in enumerate(lines):
+                    if x:
+                        if x not in seen:
+                            seen[x] = _key(x)
+                            new.append(x)
+                            place.append(len(keys))
+                        of.append(k)
+                        no.append(j)
+                        keys.append(seen[x])
+            if not keys:
+                continue
+            key = np.array(keys, dtype=np.uint64).view(np.int64)
+            signed = signatures(new)
+            bands, own = _bands(signed), key[place]
+            _, first, which = np.unique(bands.reshape(-1), return_index=True, return_inverse=True)
+            leads = own[first // BANDS][which.reshape(-1)].reshape(bands.shape)
+            led = (leads != own[:, None]).any(axis=1)
+            sketch = ((signed & np.uint32(1)).astype(np.int64) << np.arange(HASHES)).sum(axis=1)
+            at = np.full(len(keys), -1)
+            at[place] = np.arange(len(new))
+            at = at.tolist()
+            cols = [
+                b.column(0).take(pa.array(of)), b.column(1).take(pa.array(of)), pa.array(np.array(no, np.int32)), pa.array(key), pa.array([None if x < 0 else int(sketch[x]) for x in at], pa.int64()),
+                pa.array([None if x < 0 else bands[x] for x in at], pa.list_(pa.int64())), pa.array([None if x < 0 or not led[x] else leads[x] for x in at], pa.list_(pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays(cols, names=["_id", "_row", "_no", "_key", "sketch", "bands", "leads"])
+
+    fields = [rows.schema["_id"], *T._parse_datatype_string("_row long, _no int, _key long, sketch long, bands array<long>, leads array<long>").fields]
+    return rows.mapInArrow(run, T.StructType(fields))
+
+
+def _texts(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, line) of each line of keys (key)."""
+    n = keys.count()
+    sent = None
+    if n <= BROADCAST_KEYS:
+        sent = rows.sparkSession.sparkContext.broadcast(np.sort(keys.toArrow().column("key").to_numpy()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in _runs(batches, 2):
+            new = list({x: None for lines in texts for x in lines if x})
+            key = np.array([_key(x) for x in new], dtype=np.uint64).view(np.int64)
+            if sent is not None:
+                wanted = sent.value
+                if not len(wanted) or not len(key):
+                    continue
+                at = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key)
+                key, new = key[at], [new[k] for k in at]
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(new, pa.string())], names=["key", "line"])
+
+    found = rows.mapInArrow(run, "key long, line string")
+    return (found if sent is not None else found.join(keys, "key", "left_semi")).dropDuplicates(["key"])
+
+
+def jaccard(ones: list[str], twos: list[str]) -> np.ndarray:
+    """The Jaccard similarity of the shingle sets of ones[k] and twos[k]."""
+    n, both = len(ones), []
+    for lines in (ones, twos):
+        h, starts = shingle_hashes(lines)
+        of = np.repeat(np.arange(n), np.diff(np.append(starts, len(h))))
+        order = np.lexsort((h, of))
+        h, of = h[order], of[order]
+        new = np.ones(len(h), dtype=bool)
+        new[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
+        both.append((h[new], of[new]))
+    h, of = (np.concatenate([x[k] for x in both]) for k in range(2))
+    order = np.lexsort((h, of))
+    h, of = h[order], of[order]
+    shared = np.bincount(of[1:][(h[1:] == h[:-1]) & (of[1:] == of[:-1])], minlength=n)
+    return shared / (np.bincount(of, minlength=n) - shared)
+
+
+def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Edges (u, v) of pairs (a, b) whose lines have Jaccard similarity SIMILARITY or more."""
+    texts = written(_texts(rows, written(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "candidates")), "texts")
+    both = pairs.join(texts.toDF("a", "one"), "a").join(texts.toDF("b", "two"), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ones, twos = b.column(2).to_pylist(), b.column(3).to_pylist()
+            start = size = 0
+            for k in range(len(ones)):
+                size += len(ones[k]) + len(twos[k])
+                if size >= RUN_CHARS or k == len(ones) - 1:
+                    good = np.flatnonzero(jaccard(ones[start : k + 1], twos[start : k + 1]) >= SIMILARITY - 1e-9) + start
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(good)), b.column(1).take(pa.array(good))], names=["u", "v"])
+                    start, size = k + 1, 0
+
+    return both.select("a", "b", "one", "two").mapInArrow(run, "u long, v long")
 
 
 def _all_met(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of all members of different label that share a bucket of rows (band, size, key, sketch, c, label) and can be similar.
+    """Pairs (a, b) of all members of different label that share a bucket of rows (band, size, key, sketch, label) and can be similar.
 
     Each pair of a bucket's blocks is a group of its own, so no group holds more than two blocks."""
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("key"), blocks).cast("int"))
-    line = F.struct("key", "sketch", "c", "label")
+    line = F.struct("key", "sketch", "label")
     one = rows.select("band", F.col("own").alias("i"), F.explode(F.sequence("own", blocks - 1)).alias("j"), line.alias("x"))
     two = rows.select("band", F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"), line.alias("y"))
-    apart = (F.col("x.label") != F.col("y.label")) & ((F.col("i") < F.col("j")) | (F.col("x.key") < F.col("y.key")))
-    pairs = one.withColumnsRenamed({"band": "band1", "i": "i1", "j": "j1"}).join(two, (F.col("band1") == F.col("band")) & (F.col("i1") == F.col("i")) & (F.col("j1") == F.col("j")) & apart & _possible(F.col("x"), F.col("y")))
+    other = (F.col("x.label") != F.col("y.label")) & ((F.col("i") < F.col("j")) | (F.col("x.key") < F.col("y.key")))
+    possible = F.bit_count(F.col("x.sketch").bitwiseXOR(F.col("y.sketch"))) <= SKETCH_BITS
+    pairs = one.withColumnsRenamed({"band": "band1", "i": "i1", "j": "j1"}).join(two, (F.col("band1") == F.col("band")) & (F.col("i1") == F.col("i")) & (F.col("j1") == F.col("j")) & other & possible)
     return pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
 
 
-def _sets(keys: DataFrame, lines: DataFrame) -> DataFrame:
-    """(key, s): the hashed shingles of each line of keys (key)."""
-    keys = written(keys, "candidates")
-    side = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
-    of = lines.join(side, F.col("_key") == F.col("key"), "left_semi").groupBy("_key").agg(F.first("_line").alias("_line"))
-    return written(of.select(F.col("_key").alias("key"), F.array_distinct(F.transform(shingles(F.col("_line")), lambda s: F.xxhash64(s))).alias("s")), "sets")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Edges (u, v) of pairs whose lines have Jaccard similarity SIMILARITY or more."""
-    if pairs.count() <= BROADCAST_PAIRS:
-        one, two = (sets.join(F.broadcast(pairs), F.col("key") == F.col(c)).select("a", "b", F.col("s").alias(f"s{c}")) for c in "ab")
-        both = one.join(two, ["a", "b"])
-    else:
-        both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return both.where(shared >= SIMILARITY * (F.size("sa") + F.size("sb") - shared) - 1e-9).select(F.col("a").alias("u"), F.col("b").alias("v"))
-
-
 def _joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """labels (node, label) after further edges between nodes: only their components are joined anew."""
     of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
@@ -118,39 +238,31 @@ def _joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
     return labels.unionByName(new).join(merged, "label", "left").select("node", F.coalesce("least", "label").alias("label"))
 
 
-def line_groups(lines: DataFrame) -> DataFrame:
-    """(_key, label, n) of lines that occur twice or more or are linked to another; label names the component.
-
-    A first round verifies what meets in buckets. While links are found, the components' least members
-    in each larger bucket meet in the same way. These rounds only save pairs: at the end all pairs of a
-    larger bucket that are still in different components meet, so each pair that can be similar was checked."""
-    signatures = written(_signatures(lines), "signatures")
-    bands = [F.struct(F.coalesce(f"m{k}", F.lit(-1)).alias("x"), F.coalesce(f"m{k + 1}", F.lit(-1)).alias("y"), F.lit(k).alias("k")) for k in range(0, BINS, 2)]
-    rows = signatures.select(F.col("_key").alias("key"), _sketch().alias("sketch"), F.col("c").cast("int").alias("c"), F.explode(F.array(*bands)).alias("b"))
-    rows = rows.where("b.x >= 0 or b.y >= 0").select(F.xxhash64("b.k", "b.x", "b.y").alias("band"), "key", "sketch", "c")
-    rows = rows.withColumn("size", F.count("*").over(W.partitionBy("band"))).where("size > 1")
-    buckets = written(rows, "buckets")
-    pairs = written(_met(buckets), "pairs")
-    large = buckets.where(F.col("size") > NEAR + 2)
-    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("key")).union(large.select("key")).distinct(), lines)
-    labels = written(components(written(_verified(pairs, sets), "links"), "lines"), "labels")
-    def labelled() -> DataFrame:
-        return large.join(labels, large.key == labels.node, "left").select("band", "size", "key", "sketch", "c", F.coalesce("label", "key").alias("label"))
-
-    while not large.isEmpty():
-        of = labelled().select("band", F.struct("key", "sketch", "c").alias("line"), "label")
-        leads = of.groupBy("band", "label").agg(F.min("line").alias("line")).withColumn("n", F.count("*").over(W.partitionBy("band"))).where("n > 1")
-        more = written(_met(leads.select("band", "line.*")).join(pairs, ["a", "b"], "left_anti"), "more")
-        found = written(_verified(more, sets), "links")
-        pairs = pairs.unionByName(more)
-        if found.isEmpty():
-            several = labelled().groupBy("band").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p < q").select("band")
-            rest = written(_all_met(labelled().join(several, "band", "left_semi")).join(pairs, ["a", "b"], "left_anti"), "rest")
-            labels = written(_joined(labels, written(_verified(rest, sets), "links")), "labels")
-            break
-        labels = written(_joined(labels, found), "labels")
-    of = signatures.select("_key", "n").join(labels, F.col("_key") == F.col("node"), "left")
-    return of.where("n > 1 or label is not null").select("_key", F.coalesce("label", "_key").alias("label"), "n")
+def line_groups(lines: DataFrame, rows: DataFrame) -> DataFrame:
+    """(_key, label, n) of lines that occur twice or more or are linked to another; label names the component."""
+    counts = written(lines.groupBy(F.col("_key").alias("key")).agg(F.count("*").alias("n")).where("n > 1"), "counts")
+    signed = lines.where("bands is not null")
+    each = signed.select(F.col("_key").alias("key"), F.explode(F.arrays_zip("bands", F.coalesce("leads", F.array_repeat("_key", BANDS)).alias("leads"))).alias("x"))
+    each = each.select(F.col("x.bands").alias("band"), F.col("x.leads").alias("lead"), "key")
+    led = each.where("lead <> key")
+    # The least lead of all runs, for leads and, by them, for the lines that a run led.
+    first = F.first("key").over(W.partitionBy("band").orderBy("key"))
+    least = each.where("lead = key").select("band", first.alias("lead"), "key").where("lead <> key")
+    members = written(least.unionByName(led.select(least.columns)).distinct(), "buckets")
+    pairs = written(members.select(F.least("lead", "key").alias("a"), F.greatest("lead", "key").alias("b")).distinct(), "pairs")
+    labels = written(components(written(_verified(pairs, rows), "links"), "lines"), "labels")
+    # Buckets with members of several components, whole.
+    every = members.select("band", F.explode(F.array("lead", "key")).alias("key")).distinct()
+    every = every.join(labels, F.col("key") == F.col("node"), "left").select("band", "key", F.coalesce("label", "key").alias("label"))
+    several = every.groupBy("band").agg(F.min("label").alias("p"), F.max("label").alias("q"), F.count("*").alias("size")).where("p < q and size > 2").select("band", "size")
+    every = written(every.join(several, "band"), "open")
+    if not every.isEmpty():
+        sketches = signed.select(F.col("_key").alias("key"), "sketch").join(every.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+        rest = written(_all_met(every.join(sketches, "key")).join(pairs, ["a", "b"], "left_anti"), "rest")
+        labels = written(_joined(labels, written(_verified(rest, rows), "links")), "labels")
+    found = counts.join(labels, F.col("key") == F.col("node"), "full_outer")
+    key = F.coalesce("key", "node")
+    return found.select(key.alias("_key"), F.coalesce("label", key).alias("label"), F.coalesce("n", F.lit(1)).alias("n"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -158,11 +270,14 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Of each component of similar lines one occurrence stays: the least by id (null first), a hash of
     the row, and line number. Blank lines always stay. Null text has one (blank) line and stays null.
-    Repeated rows keep or drop the same lines. An empty table gives no rows; docs may not have the
-    added columns.
+    Lines of any length are read whole. Lines are told apart by 64-bit hashes: of n different lines,
+    n^2 / 2^65 pairs are expected to be taken for equal. Repeated rows keep or drop the same lines. An
+    empty table gives no rows. A column of docs with an added column's name comes out with `_in` behind it.
     """
-    lines = _lines(docs, id_col, text_col)
-    groups = written(line_groups(lines), "groups")
+    docs = apart(docs, "n_lines", "dropped_lines", "_row")
+    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(id_col, text_col).alias("_row"), F.col(text_col).alias("_text"))
+    lines = written(_lines(rows), "signed")
+    groups = written(line_groups(lines, rows), "groups")
     sizes = groups.groupBy("label").agg(F.sum("n").alias("size"))
     n = groups.agg(F.sum("n")).first()[0] or 0
     occurrences = written(lookup(lines.select("_id", "_row", "_no", "_key"), groups, "_key", "n", n), "occurrences")

@@ -291,26 +291,6 @@ def test_pipeline(spark):
     assert set(got) == groups - bad and max(got.values()) <= 3
 
 
-def test_pruning_of_lines_loses_no_similar_pair(spark):
-    rng = random.Random(5)
-    words = ["alpha", "beta", "gamma", "delta", "omega", "kappa", "sigma"]
-    lines = set()
-    for _ in range(25):
-        base = [rng.choice(words) for _ in range(rng.randint(1, 40))]
-        lines.add(" ".join(base))
-        for _ in range(3):
-            other = list(base)
-            other[rng.randrange(len(other))] = rng.choice(words)
-            lines.add(" ".join(other))
-    rows = spark.createDataFrame([(t,) for t in sorted(lines)], "_line string").withColumn("_key", F.xxhash64("_line"))
-    sets = F.array_distinct(line_dedup.shingles(F.col("_line"))).alias("s")
-    known = rows.select("_key", sets).join(line_dedup._signatures(rows), "_key").select("s", F.struct(F.col("_key").alias("key"), line_dedup._sketch().alias("sketch"), "c").alias("x"))
-    a, b = known.toDF("sa", "xa"), known.toDF("sb", "xb")
-    pairs = a.join(b, F.col("xa.key") < F.col("xb.key")).select("sa", "sb", line_dedup._possible(F.col("xa"), F.col("xb")).alias("possible")).collect()
-    near = [p for p in pairs if len(set(p.sa) & set(p.sb)) >= line_dedup.SIMILARITY * len(set(p.sa) | set(p.sb))]
-    assert len(near) > 20 and all(p.possible for p in near) and not all(p.possible for p in pairs)
-
-
 def test_passages_behind_a_shared_phrase(spark):
     rng = random.Random(11)
     words = lambda n: [f"x{rng.randrange(10**6)}" for _ in range(n)]
@@ -331,39 +311,93 @@ def test_equal_stretch_within_a_poor_alignment():
     assert not list(substring_dedup.alike(poor))
 
 
-def test_lines_of_a_template_family_are_linked_as_by_brute_force(spark):
+def shingle_set(line, k=line_dedup.SHINGLE):
+    return {line[i : i + k] for i in range(max(1, len(line) - k + 1))}
+
+
+def line_components(lines, similarity=line_dedup.SIMILARITY):
+    """Components of different lines by brute force over character shingles."""
+    lines = sorted(set(lines))
+    sets, root = [shingle_set(x) for x in lines], list(range(len(lines)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(lines)):
+        for j in range(i):
+            shared = len(sets[i] & sets[j])
+            if shared >= similarity * (len(sets[i]) + len(sets[j]) - shared):
+                root[find(i)] = find(j)
+    groups = defaultdict(set)
+    for i, x in enumerate(lines):
+        groups[find(i)].add(x)
+    return {frozenset(g) for g in groups.values()}
+
+
+def kept_lines(spark, lines, docs=7):
+    """The groups that line_dedup makes of different lines, dealt over documents, and the texts it leaves."""
+    rows = [(k, "\n".join(lines[k::docs])) for k in range(docs)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    source = line_dedup._lines(frame.select(F.col("doc_id").alias("_id"), F.xxhash64("doc_id", "text").alias("_row"), F.col("text").alias("_text"))).cache()
+    name = {line_dedup._key(x.strip().lower()) & (1 << 64) - 1: x.strip().lower() for x in lines}
+    groups = defaultdict(set)
+    for r in line_dedup.line_groups(source, frame.select("doc_id", F.lit(0).alias("_row"), "text")).collect():
+        groups[r.label].add(name[r._key & (1 << 64) - 1])
+    return {frozenset(g) for g in groups.values()}, {r.doc_id: r.dropped_lines for r in line_dedup.line_dedup(frame).collect()}
+
+
+def test_lines_of_a_template_family_are_linked_as_by_brute_force(spark, monkeypatch):
     rng = random.Random(8)
     word = lambda: f"{rng.randrange(10**6):06d}"
     template = [word() for _ in range(30)]
-    lines = set()
+    lines = []
     for _ in range(150):
         base = [word() if rng.random() < 0.13 else w for w in template]
         copy = list(base)
         copy[rng.randrange(30)] = word()
-        lines |= {" ".join(base), " ".join(copy)}
-    rows = spark.createDataFrame([(t,) for t in sorted(lines)], "_line string").withColumn("_key", F.xxhash64("_line"))
-    sets = {r._key: set(r.s) for r in rows.select("_key", line_dedup.shingles(F.col("_line")).alias("s")).collect()}
-    signatures = line_dedup._signatures(rows).collect()
-    band = lambda r, k: (r[f"m{k}"], r[f"m{k + 1}"])
-    bands = {r._key: {(k, band(r, k)) for k in range(0, line_dedup.BINS, 2) if band(r, k) != (None, None)} for r in signatures}
-    label = {k: k for k in sets}
-    keys = sorted(sets)
-    for i, a in enumerate(keys):
-        for b in keys[i + 1 :]:
-            if label[a] != label[b] and bands[a] & bands[b] and len(sets[a] & sets[b]) >= line_dedup.SIMILARITY * len(sets[a] | sets[b]):
-                old, new = max(label[a], label[b]), min(label[a], label[b])
-                label = {k: new if v == old else v for k, v in label.items()}
-    sizes = Counter(label.values())
-    want = {k: v for k, v in label.items() if sizes[v] > 1}
-    assert len(set(want.values())) > 20
-    assert {r._key: r.label for r in line_dedup.line_groups(rows).collect()} == want
+        lines += [" ".join(base), " ".join(copy)]
+    want = {g for g in line_components(lines) if len(g) > 1}
+    assert len(want) > 5 and max(map(len, want)) > 10
+    for block in (line_dedup.BLOCK, 16):
+        monkeypatch.setattr(line_dedup, "BLOCK", block)
+        got, dropped = kept_lines(spark, lines)
+        assert got == want
+    assert sum(map(len, dropped.values())) == sum(len(g) - 1 for g in want)
+
+
+def test_recall_and_precision_of_lines_on_real_documents(spark, monkeypatch):
+    lines = {x.strip().lower() for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() for x in (r.text or "").split("\n") if x.strip()}
+    lines = sorted(lines)[::2]
+    want = {g for g in line_components(lines) if len(g) > 1}
+    for keys in (line_dedup.BROADCAST_KEYS, 0):
+        monkeypatch.setattr(line_dedup, "BROADCAST_KEYS", keys)
+        got, _ = kept_lines(spark, lines)
+        pairs = lambda groups: {(a, b) for g in groups for a in g for b in g if a < b}
+        assert len(pairs(got) & pairs(want)) >= 0.98 * len(pairs(want)) and pairs(got) <= pairs(want)
+
+
+def test_shingles_cover_every_character():
+    lines = ["abc", "abcdefgh", "Ünïcödé wörds häve ströng tëxts", "x" * 300, "日本語" * 50]
+    h, starts = line_dedup.shingle_hashes(lines)
+    ends = [*starts[1:].tolist(), len(h)]
+    seen = {}
+    for x, a, b in zip(lines, starts.tolist(), ends, strict=True):
+        k = line_dedup.SHINGLE
+        of = [x[i : i + k] for i in range(max(1, len(x) - k + 1))]
+        assert len(of) == b - a
+        for s, v in zip(of, h[a:b].tolist(), strict=True):
+            assert seen.setdefault(s, v) == v
+    assert len(set(seen.values())) == len(seen)
 
 
 def test_lines_that_differ_behind_the_first_characters_of_a_word_stay(spark):
     han = "".join(chr(0x4E00 + k) for k in range(60))
-    lines = ["https://www.a.org/x", "https://www.b.com/y", han[:12] + han[20:40], han[:12] + han[40:60], "a short line", "internationalization-of-texts", "internationalization-by-others"]
-    copies = [han, han[:30] + "x" + han[31:]]  # equal but for one character: too short to be alike by shingles of 12
-    long = "".join(chr(0x5000 + k) for k in range(400))
-    alike = [long, long[:399] + "x"]
-    got = {r.doc_id: r.dropped_lines for r in line_dedup.line_dedup(spark.createDataFrame([(1, "\n".join(lines + copies)), (2, "\n".join(alike))], "doc_id long, text string")).collect()}
-    assert got == {1: [], 2: [1]}
+    lines = ["https://www.a.org/x", "https://www.b.com/y", "https://www.example.com/a-report-on-trains", "https://www.openstreetmap.org/way/123", "https://www.wikipedia.org/wiki/Zebra"]
+    lines += [han[:12] + han[20:40], han[:12] + han[40:60], "a short line", "internationalization-of-texts", "internationalization-by-others", "abc", "abd"]
+    long = "".join(chr(0x5000 + k % 7000) for k in range(60000))
+    alike = [long, long[:399] + "x" + long[400:], "  ABC\t"]
+    frame = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(alike)), (2, None), (None, "abd")], "doc_id long, text string")
+    got = sorted(((r.doc_id or 0, r.dropped_lines) for r in line_dedup.line_dedup(frame).collect()))
+    assert got == [(0, []), (1, [11]), (2, []), (2, [1, 2])]
