@@ -7,10 +7,14 @@ Jaccard similarity 0.8 a pair of lines shares a band with a probability over 0.9
 are verified by the exact Jaccard similarity of their shingles, and links are joined by distributed
 union-find.
 
-In a bucket every line first meets one lead (within a run of lines, then the least of all runs, so
-that a hot bucket is combined before it is shuffled). Then all pairs of a bucket that are still in
-different components meet, in pairs of blocks, unless a sketch of their signatures says that they
-cannot be alike; so every pair that shares a bucket is decided.
+Buckets are combined within runs of lines before they are shuffled. Within a task, all pairs of a
+bucket that no link joins yet are compared: first by signature (under AGREE equal values: not alike),
+then exactly; a task leaves a spanning forest of links, never pairs. A bucket over BLOCK lines first
+meets its lead, and only if that leaves several components its blocks meet, a pair of blocks a task.
+So every pair that shares a bucket is decided or joined by other links.
+
+Not native: with DataFrame functions alone, signatures of a sixth of the shingles took more CPU time
+than the limit allows (README).
 """
 
 from __future__ import annotations
@@ -31,10 +35,10 @@ SHINGLE = 8
 ROWS, BANDS = 4, 12
 HASHES = ROWS * BANDS
 SIMILARITY = 0.8
-#: Sketches (a bit of each value) of lines with similarity 0.8 differ in 4.8 bits on average, in over 14 of 48 once in 50,000 pairs.
-SKETCH_BITS = 14
-#: Buckets are split into blocks of about so many members, and each pair of blocks meets in one place.
-BLOCK = 256
+#: Equal values of two signatures below which lines are not compared exactly: at similarity 0.8 once in 500 pairs.
+AGREE = 30
+#: Buckets are split into blocks of about so many lines or characters, and each pair of blocks meets in one place.
+BLOCK, BLOCK_CHARS = 2048, 4 << 20
 #: Keys of lines are broadcast up to so many (8 bytes each), beyond they are joined by a shuffle.
 BROADCAST_KEYS = 2_000_000
 #: Characters of text that a run of lines holds, and that are hashed at once.
@@ -113,9 +117,9 @@ def _runs(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.R
 
 
 def _lines(rows: DataFrame) -> DataFrame:
-    """(_id, _row, _no, _key, sketch, bands, leads) of all lines that are not blank.
+    """(_id, _row, _no, _key, bands, leads) of all lines that are not blank.
 
-    sketch and bands are null for a line that its run has signed before; leads, null where they are
+    bands are null for a line that its run has signed before; leads, null where they are
     all the line itself, are the first lines of the run in each of its bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,22 +139,20 @@ def _lines(rows: DataFrame) -> DataFrame:
             if not keys:
                 continue
             key = np.array(keys, dtype=np.uint64).view(np.int64)
-            signed = signatures(new)
-            bands, own = _bands(signed), key[place]
+            bands, own = _bands(signatures(new)), key[place]
             _, first, which = np.unique(bands.reshape(-1), return_index=True, return_inverse=True)
             leads = own[first // BANDS][which.reshape(-1)].reshape(bands.shape)
             led = (leads != own[:, None]).any(axis=1)
-            sketch = ((signed & np.uint32(1)).astype(np.int64) << np.arange(HASHES)).sum(axis=1)
             at = np.full(len(keys), -1)
             at[place] = np.arange(len(new))
             at = at.tolist()
             cols = [
-                b.column(0).take(pa.array(of)), b.column(1).take(pa.array(of)), pa.array(np.array(no, np.int32)), pa.array(key), pa.array([None if x < 0 else int(sketch[x]) for x in at], pa.int64()),
+                b.column(0).take(pa.array(of)), b.column(1).take(pa.array(of)), pa.array(np.array(no, np.int32)), pa.array(key),
                 pa.array([None if x < 0 else bands[x] for x in at], pa.list_(pa.int64())), pa.array([None if x < 0 or not led[x] else leads[x] for x in at], pa.list_(pa.int64())),
             ]
-            yield pa.RecordBatch.from_arrays(cols, names=["_id", "_row", "_no", "_key", "sketch", "bands", "leads"])
+            yield pa.RecordBatch.from_arrays(cols, names=["_id", "_row", "_no", "_key", "bands", "leads"])
 
-    fields = [rows.schema["_id"], *T._parse_datatype_string("_row long, _no int, _key long, sketch long, bands array<long>, leads array<long>").fields]
+    fields = [rows.schema["_id"], *T._parse_datatype_string("_row long, _no int, _key long, bands array<long>, leads array<long>").fields]
     return rows.mapInArrow(run, T.StructType(fields))
 
 
@@ -195,9 +197,8 @@ def jaccard(ones: list[str], twos: list[str]) -> np.ndarray:
     return shared / (np.bincount(of, minlength=n) - shared)
 
 
-def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Edges (u, v) of pairs (a, b) whose lines have Jaccard similarity SIMILARITY or more."""
-    texts = written(_texts(rows, written(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "candidates")), "texts")
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Edges (u, v) of pairs (a, b) whose lines in texts (key, line) have Jaccard similarity SIMILARITY or more."""
     both = pairs.join(texts.toDF("a", "one"), "a").join(texts.toDF("b", "two"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,52 +215,111 @@ def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return both.select("a", "b", "one", "two").mapInArrow(run, "u long, v long")
 
 
-def _all_met(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of all members of different label that share a bucket of rows (band, size, key, sketch, label) and can be similar.
+def _sets(lines: list[str]) -> list[np.ndarray]:
+    """The sorted shingle hashes of each line."""
+    h, starts = shingle_hashes(lines)
+    of = np.repeat(np.arange(len(lines)), np.diff(np.append(starts, len(h))))
+    order = np.lexsort((h, of))
+    h, of = h[order], of[order]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
+    return np.split(h[new], np.flatnonzero(np.diff(of[new])) + 1)
+
+
+def _forest(own: np.ndarray, label: np.ndarray, signed: np.ndarray, bands: np.ndarray, sets: list[np.ndarray], band: int) -> list[tuple[int, int]]:
+    """Links that join all similar lines of one bucket, or of two blocks (own) of it; a pair is left to the first bucket that it shares."""
+    n, out = len(own), []
+    comp = np.unique(label, return_inverse=True)[1]
+    which = int(np.flatnonzero(bands[0] == band)[0])
+    apart = len(set(own.tolist())) > 1
+    for r in range(n - 1):
+        rest = np.arange(r + 1, n)
+        rest = rest[(comp[rest] != comp[r]) & ((own[rest] != own[r]) if apart else True)]
+        if not len(rest):
+            continue
+        rest = rest[(signed[rest] == signed[r]).sum(axis=1) >= AGREE]
+        for c in rest[~(bands[rest, :which] == bands[r, :which]).any(axis=1)].tolist():
+            if comp[c] == comp[r]:
+                continue
+            a, b = sets[r], sets[c]
+            shared = np.count_nonzero(a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b)
+            if shared >= SIMILARITY * (len(a) + len(b) - shared) - 1e-9:
+                out.append((r, c))
+                comp[comp == comp[c]] = comp[r]
+    return out
 
-    Each pair of a bucket's blocks is a group of its own, so no group holds more than two blocks."""
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("key"), blocks).cast("int"))
-    line = F.struct("key", "sketch", "label")
-    one = rows.select("band", F.col("own").alias("i"), F.explode(F.sequence("own", blocks - 1)).alias("j"), line.alias("x"))
-    two = rows.select("band", F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"), line.alias("y"))
-    other = (F.col("x.label") != F.col("y.label")) & ((F.col("i") < F.col("j")) | (F.col("x.key") < F.col("y.key")))
-    possible = F.bit_count(F.col("x.sketch").bitwiseXOR(F.col("y.sketch"))) <= SKETCH_BITS
-    pairs = one.withColumnsRenamed({"band": "band1", "i": "i1", "j": "j1"}).join(two, (F.col("band1") == F.col("band")) & (F.col("i1") == F.col("i")) & (F.col("j1") == F.col("j")) & other & possible)
-    return pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
 
+def _linked(rows: DataFrame) -> DataFrame:
+    """Links (u, v) among rows (band, i, j, own, label, key, line), whose groups (band, i, j) are a bucket or two blocks of one."""
 
-def _joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
-    """labels (node, label) after further edges between nodes: only their components are joined anew."""
-    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
-    between = edges.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("u_label", "u").alias("u"), F.coalesce("v_label", "v").alias("v"))
-    merged = written(components(between, "lines"), "merged").toDF("label", "least")
-    new = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("label"))
-    return labels.unionByName(new).join(merged, "label", "left").select("node", F.coalesce("least", "label").alias("label"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(b: pa.Table) -> pa.RecordBatch:
+            lines = b.column("line").to_pylist()
+            cols = [b.column(c).to_numpy() for c in ("band", "i", "j", "own", "label", "key")]
+            signed, sets, u, v = signatures(lines), _sets(lines), [], []
+            bands = _bands(signed)
+            edge = np.flatnonzero(np.concatenate([[True], (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1]), [True]]))
+            for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                for p, q in _forest(cols[3][x:y], cols[4][x:y], signed[x:y], bands[x:y], sets[x:y], cols[0][x]):
+                    u.append(cols[5][x + p])
+                    v.append(cols[5][x + q])
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+        held, size = [], 0
+        for b in batches:
+            for k in range(0, b.num_rows, 1024):
+                part = b.slice(k, 1024)
+                held.append(part)
+                size += part.column(6).nbytes
+                if size < RUN_CHARS:
+                    continue
+                whole = pa.Table.from_batches(held).combine_chunks()
+                cols = [whole.column(c).to_numpy() for c in ("band", "i", "j")]
+                other = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]) | (cols[2] != cols[2][-1]))
+                cut = int(other[-1]) + 1 if len(other) else 0
+                if cut:
+                    yield out(whole.slice(0, cut))
+                rest = whole.slice(cut)
+                held = rest.to_batches()
+                size = int(rest.column("line").nbytes) if cut else 0
+        if held and sum(h.num_rows for h in held):
+            yield out(pa.Table.from_batches(held))
+
+    rows = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "own")
+    return rows.select("band", "i", "j", "own", "label", "key", "line").mapInArrow(run, "u long, v long")
 
 
 def line_groups(lines: DataFrame, rows: DataFrame) -> DataFrame:
     """(_key, label, n) of lines that occur twice or more or are linked to another; label names the component."""
     counts = written(lines.groupBy(F.col("_key").alias("key")).agg(F.count("*").alias("n")).where("n > 1"), "counts")
-    signed = lines.where("bands is not null")
-    each = signed.select(F.col("_key").alias("key"), F.explode(F.arrays_zip("bands", F.coalesce("leads", F.array_repeat("_key", BANDS)).alias("leads"))).alias("x"))
+    each = lines.where("bands is not null").select(F.col("_key").alias("key"), F.explode(F.arrays_zip("bands", F.coalesce("leads", F.array_repeat("_key", BANDS)).alias("leads"))).alias("x"))
     each = each.select(F.col("x.bands").alias("band"), F.col("x.leads").alias("lead"), "key")
-    led = each.where("lead <> key")
-    # The least lead of all runs, for leads and, by them, for the lines that a run led.
+    # Lines that their run led, and the leads of all runs by the least of them.
     first = F.first("key").over(W.partitionBy("band").orderBy("key"))
     least = each.where("lead = key").select("band", first.alias("lead"), "key").where("lead <> key")
-    members = written(least.unionByName(led.select(least.columns)).distinct(), "buckets")
-    pairs = written(members.select(F.least("lead", "key").alias("a"), F.greatest("lead", "key").alias("b")).distinct(), "pairs")
-    labels = written(components(written(_verified(pairs, rows), "links"), "lines"), "labels")
-    # Buckets with members of several components, whole.
-    every = members.select("band", F.explode(F.array("lead", "key")).alias("key")).distinct()
-    every = every.join(labels, F.col("key") == F.col("node"), "left").select("band", "key", F.coalesce("label", "key").alias("label"))
-    several = every.groupBy("band").agg(F.min("label").alias("p"), F.max("label").alias("q"), F.count("*").alias("size")).where("p < q and size > 2").select("band", "size")
-    every = written(every.join(several, "band"), "open")
-    if not every.isEmpty():
-        sketches = signed.select(F.col("_key").alias("key"), "sketch").join(every.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
-        rest = written(_all_met(every.join(sketches, "key")).join(pairs, ["a", "b"], "left_anti"), "rest")
-        labels = written(_joined(labels, written(_verified(rest, rows), "links")), "labels")
+    met = written(least.unionByName(each.where("lead <> key").select(least.columns)).distinct(), "buckets")
+    every = met.select("band", "key").unionByName(met.select("band", F.col("lead").alias("key"))).distinct()
+    texts = written(_texts(rows, written(every.select("key").distinct(), "candidates")), "texts")
+    sizes = every.join(texts.select("key", F.length("line").alias("chars")), "key").groupBy("band").agg(F.count("*").alias("size"), F.sum("chars").alias("chars"))
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("chars") / BLOCK_CHARS)).cast("int")
+    every = written(every.join(sizes.select("band", blocks.alias("blocks")), "band"), "members")
+    small = every.where("blocks = 1").select("band", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("own"), F.col("key").alias("label"), "key")
+    large = every.where("blocks > 1")
+    links = None
+    if not large.isEmpty():
+        star = met.join(large.select("band").distinct(), "band", "left_semi").select("lead", "key")
+        star = star.unionByName(star.join(star.toDF("first", "lead"), "lead").select(F.col("first").alias("lead"), "key"))  # a run's lead's lead too
+        star = star.where("lead <> key").select(F.least("lead", "key").alias("a"), F.greatest("lead", "key").alias("b")).distinct()
+        links = written(_verified(star, texts), "links")
+        labels = written(components(links, "lines"), "labels")
+        of = large.join(labels, F.col("key") == F.col("node"), "left").select("band", "key", "blocks", F.coalesce("label", "key").alias("label"))
+        several = of.groupBy("band").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p < q").select("band")
+        own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+        of = of.join(several, "band").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        small = small.unionByName(of.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "label", "key"))
+    found = _linked(small.join(texts, "key"))
+    links = written(found if links is None else found.unionByName(links), "links")
+    labels = written(components(links, "lines"), "labels")
     found = counts.join(labels, F.col("key") == F.col("node"), "full_outer")
     key = F.coalesce("key", "node")
     return found.select(key.alias("_key"), F.coalesce("label", key).alias("label"), F.coalesce("n", F.lit(1)).alias("n"))

@@ -360,7 +360,7 @@ def test_lines_of_a_template_family_are_linked_as_by_brute_force(spark, monkeypa
         lines += [" ".join(base), " ".join(copy)]
     want = {g for g in line_components(lines) if len(g) > 1}
     assert len(want) > 5 and max(map(len, want)) > 10
-    for block in (line_dedup.BLOCK, 16):
+    for block in (line_dedup.BLOCK, 40):
         monkeypatch.setattr(line_dedup, "BLOCK", block)
         got, dropped = kept_lines(spark, lines)
         assert got == want
