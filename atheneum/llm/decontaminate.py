@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from atheneum.llm.common import raw, table
+from atheneum.llm.common import apart, raw, table
 
 WINDOW = 13
 #: A shard ends at so many bytes of text.
@@ -193,10 +193,13 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_co
 
     benchmark: item_id, text. Null texts have no words; an item without words has no window. A null
     item_id hits words but is never named; equal items count once. Empty tables give no rows or no hits.
+    A kept column named n_words, spans or items comes out with `_in` behind it. Texts of any length are read whole.
     Benchmarks over PASS_BYTES are searched in several passes, whose findings are merged.
     """
-    kept = T._parse_datatype_string(FOUND)
-    given = docs.select(*(F.col(c) for c in keep), F.col(text_col).alias("_searched"))
+    kept, old = T._parse_datatype_string(FOUND), keep
+    given = apart(docs.select(*keep), "n_words", "spans", "items", "_searched", "_found")
+    keep = given.columns
+    given = docs.select(*(F.col(c) for c in docs.select(*old).columns), F.col(text_col)).toDF(*keep, "_searched")
 
     def searched(df: DataFrame, items: list) -> DataFrame:
         windows = Windows(items, window)

@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atheneum.llm.common import raw, table
+from atheneum.llm.common import apart, raw, table
 
 UND = "und"
 LENGTH = 256
@@ -142,14 +142,16 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, windows_a_doc: in
     language, by a hash of doc_id, and windows_a_doc windows of each, at hashed places of its whole text.
     None if no row has both a text with a letter and a language."""
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    place = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 40)) / (1 << 40)
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    place = F.pmod(F.xxhash64("doc_id", "text", F.lit(1)), F.lit(1 << 40)) / (1 << 40)
+    size = F.length("text")
+    cut = [F.substring("text", (1 + F.pmod(F.xxhash64("doc_id", "text", F.lit(k + 2)), F.greatest(size - length, F.lit(1)))).cast("int"), F.lit(length)) for k in range(windows_a_doc)]
+    firsts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min(F.struct(place.alias("place"), F.array(*cut).alias("windows"))).alias("least")).collect()
+    counts = {r.lang: r.n for r in firsts}
     if not counts:
         return None
     share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 1.5 * sample_docs / n))))
-    size = F.length("text")
-    cut = [F.substring("text", (1 + F.pmod(F.xxhash64("doc_id", F.lit(k + 2)), F.greatest(size - length, F.lit(1)))).cast("int"), F.lit(length)) for k in range(windows_a_doc)]
-    picked = rows.where(place < share[F.col("lang")]).select("lang", place.alias("place"), F.array(*cut).alias("windows"))
+    # Rows that repeat share a place; they are taken once.
+    picked = rows.where(place < share[F.col("lang")]).select("lang", place.alias("place"), F.array(*cut).alias("windows")).dropDuplicates(["lang", "place"])
     texts: list[bytes] = []
     labels: list[int] = []
     langs = sorted(counts)
@@ -164,6 +166,10 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, windows_a_doc: in
                 seen[r.lang] += 1
                 texts += [w.encode()[:length] for w in r.windows]
                 labels += [langs.index(r.lang)] * windows_a_doc
+    for r in firsts:  # a language of which no row was picked has its first one
+        if langs.index(r.lang) not in set(labels):
+            texts += [w.encode()[:length] for w in r.least.windows]
+            labels += [langs.index(r.lang)] * windows_a_doc
     windows = np.frombuffer(b"".join(t.lower().ljust(length, b" ") for t in texts), dtype=np.uint8).reshape(-1, length)
     return ByteCNN(langs).fit(windows, np.array(labels))
 
@@ -171,8 +177,11 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, windows_a_doc: in
 def identify(docs: DataFrame, model: ByteCNN | None, text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score: `und` and 0 for null texts, texts without a letter, or no model.
 
-    Every byte of a text is looked at. Further columns pass through; an empty table gives no rows.
+    Every byte of a text is looked at. Further columns pass through, one with an added column's name
+    with `_in` behind it; an empty table gives no rows.
     """
+    text_col = apart(docs, "lang_pred", "score").columns[docs.columns.index(text_col)]
+    docs = apart(docs, "lang_pred", "score")
     if model is None:
         return docs.withColumn("lang_pred", F.lit(UND)).withColumn("score", F.lit(0.0))
     sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.widths, model.tables, model.bias, model.out, model.out_bias))

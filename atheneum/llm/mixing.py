@@ -16,10 +16,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from atheneum.llm.common import table, written
+from atheneum.llm.common import apart, table, written
 
 MAX_REPEATS = 2.0
-BLOCK_DOCS = 4096
+BLOCK_DOCS = 256
+#: Blocks are found within runs of so many neighbours, so no task sums up more than these of a source.
+RUN_BITS = 10
 #: Up to so many sources the bisection runs on the driver; beyond, each of its steps is an aggregation.
 DRIVER_SOURCES = 100_000
 #: A table of one row a source is broadcast up to so many sources.
@@ -75,9 +77,12 @@ def mix(docs: DataFrame, source_col: str = "source", text_col: str = "text", bud
     budget is in tokens; None takes the least budget at which every document is taken once or more.
     position, from 0 to 1, orders the mixture: sorted by it, sources interleave by weight. A null
     source is a source of its own. Sources without tokens weigh nothing and are taken once if budget
-    is None, else never. Equal rows tie in the permutation and are taken together. No column of docs
-    may be named n_tokens, weight, copies or position; an empty table gives no rows.
+    is None, else never. Equal rows tie in the permutation and are taken together. A column of docs named
+    n_tokens, weight, copies or position comes out with `_in` behind it; an empty table gives no rows.
     """
+    own = ("n_tokens", "weight", "copies", "position", "_key", "_block", "_order")
+    names = dict(zip(docs.columns, apart(docs, *own).columns, strict=True))
+    docs, source_col, text_col = apart(docs, *own), names[source_col], names[text_col]
     n, alone = docs.count(), F.lit(int(budget is None))
     bits = min(24, max(0, math.ceil(math.log2(max(1, n / block_docs)))))
     order = F.xxhash64(F.lit(seed), *(F.col(c) for c, kind in docs.dtypes if not kind.startswith("map")))
@@ -97,9 +102,15 @@ def mix(docs: DataFrame, source_col: str = "source", text_col: str = "text", bud
     quota = F.when(F.col("tokens") > 0, F.col("weight") * budget).otherwise(0.0)
     whole = F.floor(F.col("quota") / F.greatest("tokens", F.lit(1)) + 1e-9)
     weighted = weighted.withColumn("quota", quota).withColumn("passes", whole).withColumn("rest", F.greatest(F.lit(0.0), F.col("quota") - F.col("passes") * F.col("tokens")))
-    upto = F.sum("tokens").over(W.partitionBy("_key").orderBy("_block"))
-    ends = blocks.withColumn("_to", upto).withColumn("_from", F.col("_to") - F.col("tokens")).drop("tokens")
-    ends = ends.join(side(weighted), "_key").where("_from <= rest and rest < _to").select("_key", "_block", "_from", "rest")
+    # The block where a quota ends: first the run of blocks, by running sums over runs, then the block in it.
+    blocks = blocks.withColumn("_run", F.shiftright("_block", RUN_BITS))
+    runs = blocks.groupBy("_key", "_run").agg(F.sum("tokens").alias("tokens"))
+    upto = F.sum("tokens").over(W.partitionBy("_key").orderBy("_run"))
+    runs = runs.withColumn("_to", upto).withColumn("_start", F.col("_to") - F.col("tokens")).join(side(weighted.select("_key", "rest")), "_key")
+    runs = runs.where("_start <= rest and rest < _to").select("_key", "_run", "_start", "rest")
+    upto = F.sum("tokens").over(W.partitionBy("_key", "_run").orderBy("_block"))
+    ends = blocks.join(side(runs), ["_key", "_run"]).withColumn("_to", F.col("_start") + upto).withColumn("_from", F.col("_to") - F.col("tokens"))
+    ends = ends.where("_from <= rest and rest < _to").select("_key", "_block", "_from", "rest")
     within = narrow.join(side(ends), ["_key", "_block"])
     taken = F.sum("n_tokens").over(W.partitionBy("_key", "_block").orderBy("_order"))  # equal orders are summed together
     last = within.withColumn("_taken", taken + F.col("_from")).where("_taken <= rest").groupBy("_key").agg(F.max("_order").alias("_last"))

@@ -3,8 +3,10 @@
 Arrivals become small immutable shards (Parquet files). Compaction groups shards of similar size, each
 group up to the target size, and rewrites a group as one file; groups run in waves, one job a wave.
 Each append and wave commits a new version of the manifest: the manifest's table is written first,
-then a marker that names it is renamed to the version's name, which fails if that version exists. A
-reader sees the last committed version whole; files of a job that failed are in no manifest.
+then a marker that names it is renamed to the version's name, which fails if that version exists; a
+writer that loses such a race plans anew from the version that won. A reader sees the last committed
+version whole; files of a job that failed are in no manifest. Files that a compaction merged stay, so
+every committed version stays readable, until expire() gives old versions up.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from atheneum.llm.common import shared_dir, table
+from atheneum.llm.common import apart, shared_dir, table
 
 TARGET_BYTES = 32 << 20
 FAN_IN = 4
@@ -75,8 +77,45 @@ class ShardStore:
         """Writes each partition of arrivals as shards of at most small_rows and commits; no shuffle."""
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
         arrivals.write.option("maxRecordsPerFile", small_rows).option("compression", "zstd").parquet(folder)
-        version = self.version()
-        return self.commit(self.manifest(version).unionByName(self._shards(folder, arrivals.schema, 0)), version + 1)
+        new = self._shards(folder, arrivals.schema, 0)
+        while True:
+            version = self.version()
+            done = self._try_commit(self.manifest(version).unionByName(new), version + 1)
+            if done:
+                return done
+
+    def _try_commit(self, shards: DataFrame, version: int) -> int | None:
+        """The version, or None where another writer took it first."""
+        try:
+            return self.commit(shards, version)
+        except Exception:
+            if self.version() < version:
+                raise
+            return None
+
+    def expire(self, before: int) -> int:
+        """Gives up the versions below `before` (never the last one): their markers go first, then the files
+        that no remaining version names. Returns how many files went."""
+        before = min(before, self.version())
+        old = [v for v in range(1, before) if self._fs.exists(self._path(f"{self.root}/versions/{v:08d}"))]
+        if not old:
+            return 0
+        left = [self.manifest(v).select("path") for v in range(before, self.version() + 1)]
+        gone = [self.manifest(v).select("path") for v in old]
+        paths = self._all(gone).distinct().join(self._all(left).distinct(), "path", "left_anti")
+        named = [r.path for r in paths.toLocalIterator()]
+        for v in old:
+            self._fs.delete(self._path(f"{self.root}/versions/{v:08d}"), False)
+        for path in named:
+            self._fs.delete(self._path(path), False)
+        return len(named)
+
+    @staticmethod
+    def _all(frames: list[DataFrame]) -> DataFrame:
+        out = frames[0]
+        for f in frames[1:]:
+            out = out.unionByName(f)
+        return out
 
     def plan(self, shards: DataFrame, whole: bool) -> DataFrame:
         """Shards to merge and their group: within a tier, by running size up to the target; whole joins all tiers.
@@ -111,9 +150,9 @@ class ShardStore:
             self._write_apart(out, folder)
             merged = self._shards(folder, schema, 1 + max(r.merged for r in todo))
             gone = self.spark.createDataFrame([(r.shard,) for r in todo], "shard string")
-            self.commit(shards.join(gone, "shard", "left_anti").select(merged.columns).unionByName(merged), version + 1)
-            for r in todo:  # no version from here on names them
-                self._fs.delete(self._path(r.path), False)
+            left = shards.join(gone, "shard", "left_anti").select(merged.columns)
+            if self._try_commit(left.unionByName(merged), version + 1) is None:
+                self._fs.delete(self._path(folder), True)  # another writer came first: nothing names these files
 
     def _write_apart(self, union: DataFrame, folder: str) -> None:
         """Writes a union of groups of one partition each as a file a group.
@@ -142,10 +181,11 @@ class ShardStore:
 def shard(docs: DataFrame, arrivals: int = ARRIVALS, target_bytes: int = TARGET_BYTES) -> DataFrame:
     """docs through a store of its own: appended in so many arrivals (by a hash of all columns), compacted, read again.
 
-    Every row of docs is in exactly one shard, repeated rows too; nulls and empty texts are stored as
-    they are. Columns shard, tier, shard_rows and manifest_version are added and may not be in docs.
-    An empty table gives no rows.
+    Every row of docs is in exactly one shard, repeated rows too; nulls, empty and long texts are stored
+    as they are. Columns shard, tier, shard_rows and manifest_version are added; a column of docs with
+    such a name comes out with `_in` behind it. An empty table gives no rows.
     """
+    docs = apart(docs, "shard", "tier", "shard_rows", "manifest_version", "_shard", "_metadata")
     store = ShardStore(docs.sparkSession, f"{shared_dir(docs.sparkSession)}/shards-{uuid.uuid4().hex}", target_bytes)
     of = F.pmod(F.xxhash64(*(F.col(c) for c, kind in docs.dtypes if not kind.startswith("map"))), F.lit(arrivals))
     for k in range(arrivals):

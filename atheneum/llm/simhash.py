@@ -6,6 +6,11 @@ which every chain of 1, 2, 3 and 4 segments differs in at most floor(chain * 3 /
 bits. So a chain's first segment must be equal and its second within one bit: fingerprints meet under
 the key (start, first segment, second segment), under which each also probes with one set bit of the
 second segment cleared. What meets is checked on the chain of three, then on all 64 bits.
+
+Longer fingerprints (lanes of 64 bits, from further mixes of each shingle's hash) are one ring of all
+their segments. Links at up to (segments - 1) differing bits are sure to be met; the full check may
+allow more, of which keys find a part that grows with the number of starts. The chain of three is
+always held to its share of the bits allowed.
 """
 
 from __future__ import annotations
@@ -15,8 +20,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from atheneum.llm.common import components, lookup, raw, table, written
 
@@ -25,59 +31,77 @@ MAX_BITS = 3
 BLOCK = 1 << 14
 
 
-def fingerprint(text: bytes | None, words: int = 3) -> int:
-    """The SimHash of a text's word shingles, as an unsigned integer; 0 without words."""
+def fingerprint(text: bytes | None, words: int = 3, lanes: int = 1) -> np.ndarray:
+    """The SimHash of a text's word shingles, as lanes unsigned integers of 64 bits; 0 without words."""
     ws = (text or b"").lower().split()
     if not ws:
-        return 0
+        return np.zeros(lanes, np.uint64)
     digest = xxhash.xxh64_intdigest
     if len(ws) < words:
         hashes = [digest(b" ".join(ws), 42)]
     elif words == 3:
         hashes = [digest(b"%b %b %b" % w, 42) for w in zip(ws, ws[1:], ws[2:], strict=False)]
+    elif words == 5:
+        hashes = [digest(b"%b %b %b %b %b" % w, 42) for w in zip(ws, ws[1:], ws[2:], ws[3:], ws[4:], strict=False)]
     else:
         hashes = [digest(b" ".join(ws[i : i + words]), 42) for i in range(len(ws) - words + 1)]
     h = np.array(hashes, dtype="<u8")
-    ones = np.zeros(64, dtype=np.int64)
-    for k in range(0, len(h), 1 << 16):
-        ones += np.unpackbits(h[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+    out = np.zeros(lanes, dtype="<u8")
+    for lane in range(lanes):
+        if lane:  # another mix of the same hashes
+            h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        ones = np.zeros(64, dtype=np.int64)
+        for k in range(0, len(h), 1 << 16):
+            ones += np.unpackbits(h[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[lane] = np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0]
+    return out
+
+
+def _lanes(lanes: int) -> list[str]:
+    return ["fp", *(f"fp{k}" for k in range(1, lanes))]
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """id_col and fp, the fingerprint's bits as a signed long; a null text has no words."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, lanes: int = 1) -> DataFrame:
+    """id_col and fp, fp1, ..: the fingerprint's bits as signed longs; a null text has no words."""
+    names = _lanes(lanes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t, words) for t in raw(b.column(1))], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=[id_col, "fp"])
+            fps = np.array([fingerprint(t, words, lanes) for t in raw(b.column(1))], dtype=np.uint64).reshape(-1, lanes).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(fps[:, k])) for k in range(lanes))], names=[id_col, *names])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fp long")
+    shape = T.StructType([docs.schema[id_col], *(T.StructField(n, T.LongType()) for n in names)])
+    return docs.select(id_col, text_col).mapInArrow(run, shape)
 
 
-def _segment(fp: Column, k: int) -> Column:
-    return F.shiftrightunsigned(fp, 16 * (k % 4)).bitwiseAND(F.lit(0xFFFF))
+def _keyed(fps: DataFrame, lanes: int) -> DataFrame:
+    """(key, fp ..): a row for each start with the fingerprint's own key, doubled, and rows of its probes, doubled and one more.
 
+    A key is the start, the segment there and the next one; a probe has one set bit of the next one cleared."""
+    names = _lanes(lanes)
 
-def _keyed(fps: DataFrame) -> DataFrame:
-    """(key, probe, fp): four rows a fingerprint with its own keys, and the probes."""
-    def key(k: int, second: Column) -> Column:
-        return F.shiftleft(F.lit(k).cast("long"), 32).bitwiseOR(F.shiftleft(_segment(F.col("fp"), k), 16)).bitwiseOR(second)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = np.stack([b.column(k).to_numpy() for k in range(lanes)], axis=1)
+            segments = (fp.view(np.uint64)[:, :, None] >> (np.uint64(16) * np.arange(4, dtype=np.uint64)) & np.uint64(0xFFFF)).astype(np.int64).reshape(len(fp), 4 * lanes)
+            for k in range(4 * lanes):
+                second = segments[:, (k + 1) % (4 * lanes)]
+                own = k << 32 | segments[:, k] << 16 | second
+                at, bit = np.nonzero(second[:, None] >> np.arange(16) & 1)
+                key = np.concatenate([own * 2, (own[at] ^ (1 << bit)) * 2 + 1])
+                of = np.concatenate([np.arange(len(fp)), at])
+                yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(fp[of, k]) for k in range(lanes))], names=["key", *names])
 
-    own = F.array(*(F.struct(key(k, _segment(F.col("fp"), k + 1)).alias("key"), F.lit(False).alias("probe")) for k in range(4)))
-    probes = []
-    for k in range(4):
-        second = _segment(F.col("fp"), k + 1)
-        for bit in range(16):
-            probes.append(F.when(second.bitwiseAND(F.lit(1 << bit)) != 0, F.struct(key(k, second.bitwiseAND(F.lit(0xFFFF ^ (1 << bit)))).alias("key"), F.lit(True).alias("probe"))))
-    rows = fps.select("fp", F.explode(F.concat(own, F.array_compact(F.array(*probes)))).alias("x"))
-    return rows.select("x.key", "x.probe", "fp")
+    return fps.select(names).mapInArrow(run, ", ".join(f"{n} long" for n in ["key", *names]))
 
 
-def _links(keys: list[np.ndarray], probe: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links within MAX_BITS among rows that are next to each other with equal keys, as a spanning forest."""
-    n = len(fp)
+def _links(keys: list[np.ndarray], fp: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links within max_bits among rows that are next to each other with equal keys, as a spanning forest.
+
+    keys[0] is doubled, its last bit marks probes. fp has a row of lanes for each row; links name the first lane."""
+    n, lanes = fp.shape
+    probe, keys = keys[0] & 1, [keys[0] >> 1, *keys[1:]]
     root = np.arange(n)
 
     def find(x: int) -> int:
@@ -91,19 +115,21 @@ def _links(keys: list[np.ndarray], probe: np.ndarray, fp: np.ndarray) -> tuple[n
     for k in keys:
         first[1:] |= k[1:] != k[:-1]
     group = np.cumsum(first) - 1
-    start = (keys[0] >> 32).astype(np.uint64) * np.uint64(16)
-    ring = (fp >> start) | np.where(start > 0, fp << ((np.uint64(64) - start) % np.uint64(64)), np.uint64(0))
+    # The chain's third segment, which follows the two of the key.
+    at = ((keys[0] >> 32) + 2) % (4 * lanes)
+    third = (fp[np.arange(n), at // 4] >> (np.uint64(16) * (at % 4).astype(np.uint64))).astype(np.uint16)
+    chain = ((keys[0] >> 32) + 1) % (4 * lanes)
+    second = (fp[np.arange(n), chain // 4] >> (np.uint64(16) * (chain % 4).astype(np.uint64))).astype(np.uint16)
     kept_u, kept_v = [], []
-    left = np.flatnonzero(~probe)  # a pair needs a row with its own key, and those come first
+    left = np.flatnonzero(probe == 0)  # a pair needs a row with its own key, and those come first
     for d in range(1, n):
         left = left[left + d < n]
         left = left[group[left] == group[left + d]]
         if not len(left):
             break
-        apart = ring[left] ^ ring[left + d]
-        near = np.bitwise_count(apart & np.uint64((1 << 48) - 1)) <= 2
-        near &= np.bitwise_count(apart) <= MAX_BITS
+        near = np.bitwise_count(second[left] ^ second[left + d]) + np.bitwise_count(third[left] ^ third[left + d]) <= 3 * max_bits // (4 * lanes)
         u = left[near]
+        u = u[np.bitwise_count(fp[u] ^ fp[u + d]).sum(axis=1) <= max_bits]
         if len(u):
             far = root[u] != root[u + d]
             for x in u[far].tolist():
@@ -112,35 +138,41 @@ def _links(keys: list[np.ndarray], probe: np.ndarray, fp: np.ndarray) -> tuple[n
                     root[b] = a
                     kept_u.append(x)
                     kept_v.append(x + d)
-    return fp[kept_u].view(np.int64), fp[kept_v].view(np.int64)
-
-
-def links(fps: DataFrame) -> DataFrame:
-    """(u, v): enough of the pairs of distinct fingerprints (fp) within MAX_BITS to connect all that are linked."""
-    rows = written(_keyed(fps), "ring")
-    large = written(rows.where("not probe").groupBy("key").count().where(F.col("count") > BLOCK), "large")
-    if large.isEmpty():
-        rows = rows.select("key", F.lit(0).alias("a"), F.lit(0).alias("b"), "probe", "fp")
-    else:
-        own = F.pmod(F.xxhash64("fp"), F.ceil(F.col("count") / BLOCK)).cast("int")
+    return fp[kept_u, 0].view(np.int64), fp[kept_v, 0].view(np.int64)
+
+
+def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """(u, v), first lanes: enough of the pairs of distinct fingerprints (fp, fp1, ..) within max_bits that meet to connect all that are linked."""
+    lanes = len(fps.columns)
+    names = _lanes(lanes)
+    rows = written(_keyed(fps, lanes), "ring")
+    of = F.shiftright("key", 1)
+    large = written(rows.where("key % 2 = 0").groupBy(of.alias("of")).count().where(F.col("count") > BLOCK), "large")
+    group = []
+    if not large.isEmpty():
+        group = ["a", "b"]
+        own = F.pmod(F.xxhash64(*names), F.ceil(F.col("count") / BLOCK)).cast("int")
         other = F.explode(F.sequence(F.lit(0), (F.ceil(F.col("count") / BLOCK) - 1).cast("int")))
-        rows = rows.join(large, "key", "left").withColumn("count", F.coalesce("count", F.lit(1))).withColumn("own", own).withColumn("other", other)
-        rows = rows.select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "probe", "fp")
+        rows = rows.join(large, of == F.col("of"), "left").withColumn("count", F.coalesce("count", F.lit(1))).withColumn("own", own).withColumn("other", other)
+        rows = rows.select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), *names)
+    width = 1 + len(group)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(part: list) -> pa.RecordBatch:
-            u, v = _links(part[:3], part[3], part[4]) if len(part[4]) else (np.zeros(0, np.int64),) * 2
+            u, v = _links(part[:width], part[width], max_bits) if len(part[width]) else (np.zeros(0, np.int64),) * 2
             return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
         held: list[list[np.ndarray]] = []
         size = 0
         for b in batches:
-            held.append([b.column(k).to_numpy(zero_copy_only=False) for k in range(4)] + [b.column(4).to_numpy().view(np.uint64)])
+            held.append([b.column(k).to_numpy() for k in range(width)] + [np.stack([b.column(width + k).to_numpy() for k in range(lanes)], axis=1).view(np.uint64)])
             size += b.num_rows
             if size < 1 << 17:
                 continue
             cols = [np.concatenate(c) for c in zip(*held, strict=True)]
-            last = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1]) & (cols[2] == cols[2][-1])
+            last = cols[0] >> 1 == cols[0][-1] >> 1
+            for c in cols[1:width]:
+                last &= c == c[-1]
             cut = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
             if cut:
                 yield out([c[:cut] for c in cols])
@@ -149,26 +181,30 @@ def links(fps: DataFrame) -> DataFrame:
         if held:
             yield out([np.concatenate(c) for c in zip(*held, strict=True)])
 
-    rows = rows.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "probe")
-    return rows.mapInArrow(run, "u long, v long")
+    by = [of, *group]
+    rows = rows.repartition(*by).sortWithinPartitions(of, *group, "key")
+    return rows.select("key", *group, *names).mapInArrow(run, "u long, v long")
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, lanes: int = 1, max_bits: int = MAX_BITS) -> DataFrame:
     """One row per row of docs: id_col, fingerprint, component_id (the smallest id reachable over links).
 
-    Null and blank texts share fingerprint zero and are linked like any other. Equal fingerprints meet
-    once, as a class; a class keeps all its rows. Null ids never name a component unless all are null.
-    An empty table gives no rows; further columns of docs are not looked at.
+    Null and blank texts share fingerprint zero and are linked like any other. Equal fingerprints (with
+    several lanes: equal first lanes) meet once, as a class; a class keeps all its rows. Null ids never
+    name a component unless all are null. An empty table gives no rows; further columns of docs are not
+    looked at.
     """
-    rows = written(fingerprints(docs, id_col, text_col, words), "fingerprints")
+    names = _lanes(lanes)
+    rows = written(fingerprints(docs, id_col, text_col, words, lanes), "fingerprints")
     classes = written(rows.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("size")), "classes")
-    of = written(components(links(classes.select("fp")), "rings"), "rings")
+    of = written(components(links(classes.select("fp") if lanes == 1 else rows.select(names).distinct(), max_bits), "rings"), "rings")
     of = classes.join(of, classes.fp == of.node, "left").select("fp", "least", "size", F.coalesce("label", "fp").alias("label"))
     of = written(of, "labels")
     least = of.groupBy("label").agg(F.min("least").alias("component_id"))
     of = written(of.join(least, "label").select("fp", "size", "component_id"), "members")
     out = lookup(rows, of, "fp", "size", rows.count())
-    return out.select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    shown = F.concat(*(F.lpad(F.lower(F.hex(n)), 16, "0") for n in names))
+    return out.select(id_col, shown.alias("fingerprint"), "component_id")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

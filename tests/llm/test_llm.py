@@ -401,3 +401,130 @@ def test_lines_that_differ_behind_the_first_characters_of_a_word_stay(spark):
     frame = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(alike)), (2, None), (None, "abd")], "doc_id long, text string")
     got = sorted(((r.doc_id or 0, r.dropped_lines) for r in line_dedup.line_dedup(frame).collect()))
     assert got == [(0, []), (1, [11]), (2, []), (2, [1, 2])]
+
+
+CLASHES = ["n_tokens", "weight", "copies", "position", "n_words", "spans", "items", "n_hit", "contaminated", "score", "lang_pred", "shard", "tier", "shard_rows", "manifest_version", "_row", "_key", "n_lines", "dropped_lines", "_found"]
+
+
+@pytest.fixture(scope="module")
+def clashing(spark, docs):
+    return docs.withColumns({c: F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for c in CLASHES}).cache()
+
+
+def test_columns_that_clash_with_added_ones(spark, clashing):
+    bench = spark.createDataFrame([("a", corpus()[2][1])], "item_id string, text string")
+    model = language_id.train(clashing)
+    made = {
+        "mix": (mixing.mix(clashing), ["n_tokens", "weight", "copies", "position"]), "identify": (language_id.identify(clashing, model), ["score", "lang_pred"]),
+        "nothing learnt": (language_id.identify(clashing, None), ["score", "lang_pred"]), "shard": (sharding.shard(clashing), ["shard", "tier", "shard_rows", "manifest_version"]),
+        "find": (decontaminate.find_windows(clashing, bench, clashing.columns), ["n_words", "spans", "items"]), "lines": (line_dedup.line_dedup(clashing), ["n_lines", "dropped_lines"]),
+    }
+    for name, (found, added) in made.items():
+        rows = found.collect()
+        assert len(rows) == len(corpus()), name
+        for c in added:
+            assert {r[f"{c}_in"] for r in rows} == {f"{c} of {'-' if i is None else i}" for i, *_ in corpus()}, (name, c)
+
+
+@pytest.mark.parametrize("name", ["language_id", "near_dedup", "decontaminate", "mixing", "sharding"])
+def test_pipeline_stages(spark, docs, clashing, empty, name, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([("a", corpus()[2][1]), (None, None)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stage = dict(corpus_pipeline.STAGES)[name]
+    for given in (docs, clashing):
+        got = stage(spark, given, str(tmp_path))
+        if name != "sharding":
+            assert got.columns == given.columns
+        rows = [tuple(r)[:5] for r in got.collect()]
+        all_rows = Counter(corpus())
+        want = {
+            "language_id": Counter({r: n for r, n in all_rows.items() if r[1] and any(c.isalpha() for c in r[1])}),
+            "decontaminate": Counter({r: n for r, n in all_rows.items() if r[1] != corpus()[2][1]}),
+            "sharding": all_rows,
+        }.get(name)
+        if want:
+            assert Counter(rows) == want
+        elif name == "mixing":
+            assert set(rows) == set(all_rows) and all(n >= all_rows[r] for r, n in Counter(rows).items())
+        else:
+            assert Counter(rows) == brute_near_dedup(corpus())
+    assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def brute_near_dedup(rows):
+    """Rows that stay where any two with 29 of 192 differing bits or fewer are linked."""
+    import corpus_pipeline as own
+
+    fps = [int.from_bytes(simhash.fingerprint((r[1] or "").encode(), own.WORDS, own.LANES).tobytes(), "little") for r in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if (fps[a] ^ fps[b]).bit_count() <= own.MAX_BITS:
+                root[find(a)] = find(b)
+    groups = defaultdict(list)
+    for k, r in enumerate(rows):
+        groups[find(k)].append(r)
+    return Counter(min(g, key=lambda r: (r[0] is None, r[0] or 0)) for g in groups.values())
+
+
+def test_near_copies_are_dropped(spark):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    found, total = Counter(), Counter()
+    rows = []
+    for k in range(300):
+        words = [f"w{rng.randrange(10**5)}" for _ in range(300)]
+        rows.append((2 * k, " ".join(words)))
+        for place in rng.sample(range(300), k % 3 * 3):  # 0, 3 or 6 words: similarity 1, about 0.9, about 0.8
+            words[place] = "changed"
+        rows.append((2 * k + 1, " ".join(words)))
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    for k in range(300):
+        total[k % 3] += 1
+        found[k % 3] += 2 * k + 1 not in kept
+    assert all(2 * k in kept for k in range(300)) and found[0] == total[0] and found[1] >= 0.5 * total[1]
+
+
+def test_versions_stay_readable_until_they_expire(spark, tmp_path, docs):
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/store", target_bytes=1 << 20, fan_in=2)
+    for _ in range(3):
+        store.append(docs.repartition(2))
+    before = store.version()
+    last = store.compact(docs.schema)
+    old = [r.path for r in store.manifest(before).collect()]
+    assert last > before and spark.read.schema(docs.schema).parquet(*old).count() == 3 * len(corpus())
+    assert store.expire(last) == len(set(old) - {r.path for r in store.manifest().collect()})
+    assert store.read(docs.schema).count() == 3 * len(corpus())
+
+
+def test_groups_that_compaction_merges(spark, tmp_path):
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/store", target_bytes=100, fan_in=3)
+    sizes = {"a": 9, "b": 10, "c": 12, "d": 26, "e": 1, "f": 60, "g": 11, "h": 25}
+    shards = spark.createDataFrame([(k, k, int(math.log(n) / math.log(3)), 1, n, 0) for k, n in sizes.items()], sharding.MANIFEST)
+    got = defaultdict(set)
+    for r in store.plan(shards, False).collect():
+        got[r.group].add(r.shard)
+    small = {k: n for k, n in sizes.items() if n < 50}
+    want = defaultdict(set)
+    for tier in {int(math.log(n) / math.log(3)) for n in small.values()}:
+        members = sorted((n, k) for k, n in small.items() if int(math.log(n) / math.log(3)) == tier)
+        upto = 0
+        if len(members) >= 3:
+            for n, k in members:
+                upto += n
+                want[tier, (upto - 1) // 100].add(k)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, (g for g in want.values() if len(g) > 1)))
+
+
+def test_training_takes_rows_without_ids(spark):
+    rows = [(None, "the same text of many words", "en")] * 50 + [(7, "der gleiche Satz mit vielen Worten", "de")] * 50 + [(7, "the other text", "en")]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_docs=3)
+    assert model.langs == ["de", "en"] and [x for x, _ in model.classify([b"the same text of many words", b"der gleiche Satz mit vielen Worten"])] == ["en", "de"]
