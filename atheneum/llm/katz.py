@@ -3,9 +3,13 @@
 Order two: P(w | h) is the Good-Turing discounted share of (h, w) among what follows h, or, where the
 pair was never seen, alpha(h) times P(w); P(w) backs off in the same way from seen words to unseen
 ones. alpha(h) is the mass that discounting left at h over the unigram mass of what never followed h,
-so every context sums to one. Words under a count threshold share one class in pairs (as context and
-as follower): P(w | h) = P(class | h) * P(w) / P(class). The threshold is the least with at most
-FREQUENT words on or above it, so what is broadcast is bounded, while every word keeps its own count.
+so every context sums to one. Counts of counts are smoothed by a log-linear fit (Gale and Sampson
+1995), so the discounts are valid for every corpus.
+
+The model has no classes or thresholds: only the way to it differs. Of at most FREQUENT words (the
+most frequent ones) numbers and counts are broadcast, and their pairs take the packed way below. Pairs
+with any other word are rows of (context, word, document) that are counted, given the counts of their
+words and summed by joins on 64-bit hashes.
 
 Tables: word counts by hash; pair counts by a hash of the context (of the pair for the HOT most
 frequent contexts). Pair occurrences are shuffled once, as compressed blocks of (pair, document,
@@ -17,6 +21,7 @@ its key, a hash that does not shrink, travels once for each run and not with eac
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -34,6 +39,10 @@ FREQUENT = 1 << 20
 HOT = 1024
 #: Good-Turing discounts apply to counts up to this.
 K = 5
+#: The flattest slope of counts of counts that is taken as it is.
+FLATTEST = -1.2
+#: Hashes that stand for the start and the end of a document; no word has a blank.
+START, END = (np.uint64(xxhash.xxh64_intdigest(x)).astype(np.int64).item() for x in (b" start", b" end"))
 PART_TOKENS = 2_000_000
 BUCKET_DOCS = 8192
 BATCH_BYTES = 3 << 20
@@ -47,21 +56,22 @@ def tokens(text: bytes | None) -> list[bytes]:
 
 
 def discounts(n: list[int], k: int = K) -> np.ndarray:
-    """Katz's discounts d_1 .. d_k from the counts of counts n_1 .. n_(k+1), all within (0, 1).
+    """Katz's discounts d_1 .. d_k, all within (0, 1), from the counts of counts n_1 .. n_(k+1).
 
-    Where the counts of counts do not give that, as on small corpora, Ney's absolute discount
-    n_1 / (n_1 + 2 n_2) is taken off each count up to k instead."""
-    if min(n[: k + 1]) > 0 and (k + 1) * n[k] < n[0]:
-        a = (k + 1) * n[k] / n[0]
-        d = np.array([((r + 1) * n[r] / (n[r - 1] * r) - a) / (1 - a) for r in range(1, k + 1)])
-        if (d > 0).all() and (d < 1).all():
-            return d
-    part = n[0] / (n[0] + 2 * n[1]) if n[0] > 0 and n[1] > 0 else 0.5
-    return 1 - part / np.arange(1, k + 1)
+    Good-Turing counts r* = (r + 1) N(r + 1) / N(r), where N is the line fitted to log n_r over log r.
+    Its slope has to be under -1; FLATTEST stands for flatter ones, and for fewer than two points."""
+    seen = [(math.log(r + 1), math.log(x)) for r, x in enumerate(n[: k + 1]) if x > 0]
+    slope = FLATTEST
+    if len(seen) > 1:
+        x, y = np.array(seen).T
+        slope = min(FLATTEST, float(((x - x.mean()) * (y - y.mean())).sum() / ((x - x.mean()) ** 2).sum()))
+    r = np.arange(1, k + 1)
+    a = (k + 1) ** (slope + 1)
+    return ((1 + 1 / r) ** (slope + 1) - a) / (1 - a)
 
 
 class Unigrams:
-    """The frequent words (hash, count), the class of the rest, start and end, and P of each."""
+    """The frequent words (hash, count), a number for any other word, start and end, and P of each."""
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, n: list[int], total: int, docs: int, types: int) -> None:
         order = np.lexsort((hashes, -counts))
@@ -88,10 +98,10 @@ class Unigrams:
         self.unseen = self.unseen_mass / max(1, n[0])
         self.p = np.zeros(self.size)
         self.p[:f], self.p[self.end] = share[:-1], share[-1]
-        self.p[self.rare] = max(1e-300, 1 - share.sum())
+        self.context_hashes = np.concatenate([hashes, [0, START, END]])
 
     def ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and hashes of words; rare ones have the number of their class."""
+        """Numbers and hashes of words; all but frequent ones have the number `rare`."""
         h = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), dtype=np.uint64, count=len(words)).view(np.int64)
         if not len(self.hashes):
             return np.full(len(h), self.rare), h
@@ -168,7 +178,7 @@ def _number(texts: list[bytes | None], uni: Unigrams) -> tuple[np.ndarray, np.nd
 
 
 def _profile(docs: DataFrame, sent, threshold: int) -> DataFrame:  # noqa: ANN001
-    """One row per document: base score of its frequent words and end, and its rare words with counts."""
+    """One row per document: base score of its frequent words and end, its rare words with counts, and its pairs with a rare word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uni = sent.value
@@ -186,13 +196,37 @@ def _profile(docs: DataFrame, sent, threshold: int) -> DataFrame:  # noqa: ANN00
                 w, n = np.unique(hashes[cut][~hot[cut]], return_counts=True)
                 words.append(w)
                 counts.append(n.astype(np.int32))
+            # A pair before each word and one before each end.
+            at, first = np.arange(len(ids)) + of, ends + np.arange(len(texts))
+            h, w, odd = np.full(len(ids) + len(texts), START), np.full(len(ids) + len(texts), END), np.zeros(len(ids) + len(texts), bool)
+            w[at], odd[at] = hashes, ~hot
+            inner = np.ones(len(h), bool)
+            inner[first - sizes] = False
+            h[inner] = w[np.flatnonzero(inner) - 1]
+            odd[inner] |= odd_before(at, hot, len(h))[inner]
+            which = np.repeat(np.arange(len(texts)), sizes + 1)[odd]
+            h, w = h[odd], w[odd]
+            order = np.lexsort((w, h, which))
+            h, w, which = h[order], w[order], which[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (w[1:] != w[:-1]) | (which[1:] != which[:-1])
+            n = np.diff(np.append(np.flatnonzero(new), len(h))).astype(np.int32)
+            edge = np.searchsorted(which[new], np.arange(len(texts) + 1))
+            lists = [[x[edge[k] : edge[k + 1]] for k in range(len(texts))] for x in (h[new], w[new], n)]
             yield pa.RecordBatch.from_arrays([
                 b.column("_key"), b.column("_id"), b.column("_held_out"), pa.array(sizes + 1), pa.array(known), pa.array(score),
                 pa.array(words, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32())),
-            ], names=["_key", "_id", "_held_out", "n_tokens", "known", "base", "words", "counts"])
+                *(pa.array(x, pa.list_(t)) for x, t in zip(lists, (pa.int64(), pa.int64(), pa.int32()), strict=True)),
+            ], names=["_key", "_id", "_held_out", "n_tokens", "known", "base", "words", "counts", "before", "after", "times"])
+
+    def odd_before(at: np.ndarray, hot: np.ndarray, n: int) -> np.ndarray:
+        """Of each pair's place, whether the word before it is rare."""
+        out = np.zeros(n + 1, bool)
+        out[at + 1] = ~hot
+        return out[:n]
 
     kind = docs.schema["_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"_key long, _id {kind}, _held_out boolean, n_tokens long, known long, base double, words array<long>, counts array<int>")
+    return docs.mapInArrow(run, f"_key long, _id {kind}, _held_out boolean, n_tokens long, known long, base double, words array<long>, counts array<int>, before array<long>, after array<long>, times array<int>")
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -201,7 +235,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def _pairs(docs: DataFrame, sent, parts: int) -> DataFrame:  # noqa: ANN001
-    """(part, block): for a part of the pairs, their occurrences in a run of documents.
+    """(part, block): for a part of the pairs of frequent words, start and end, their occurrences in a run of documents.
 
     In a run, documents to learn from have the first places. The first block of a run also has their keys by place."""
 
@@ -227,7 +261,7 @@ def _pairs(docs: DataFrame, sent, parts: int) -> DataFrame:  # noqa: ANN001
                 inner[first] = False
                 h[inner] = ids
                 key = ((h << _SHIFT | w) << _PLACE) | np.repeat(place, sizes + 1)
-                key, n = np.unique(key, return_counts=True)
+                key, n = np.unique(key[(h != uni.rare) & (w != uni.rare)], return_counts=True)
                 h, pair = key >> (_SHIFT + _PLACE), key >> _PLACE
                 part = (_mixed(np.where(h < HOT, pair, h << _SHIFT)) % np.uint64(parts)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
@@ -235,7 +269,7 @@ def _pairs(docs: DataFrame, sent, parts: int) -> DataFrame:  # noqa: ANN001
                 numbers, blocks = [], []
                 head, once = np.array([run_no, learned.sum()], dtype=np.int64), [doc_keys[places]]
                 run_no += 1 << _PLACE
-                for p in np.flatnonzero(np.diff(edge)):
+                for p in np.flatnonzero(np.diff(edge)).tolist():
                     at = order[edge[p] : edge[p + 1]]
                     numbers.append(p)
                     blocks.append(pack(np.diff(pair[at], prepend=0), key[at].astype(np.uint16), n[at].astype(np.uint32), head, *once))
@@ -253,7 +287,7 @@ def _counted(blocks: DataFrame, sent, buckets: int) -> DataFrame:  # noqa: ANN00
 
     PAIRS: the part's pair counts. CONTEXTS: of each context, its seen followers' counts over K, how
     many followers have count 1 .. K, and their unigram mass. DOCS, by bucket of documents: the sum of
-    all terms that are known here, tokens of pairs seen 1 .. K times, and end tokens. BACKED, by
+    all terms that are known here and tokens of pairs seen 1 .. K times. BACKED, by
     bucket: documents, contexts that back off there and how often. FULL: the same for seen pairs of
     contexts without any count up to K in this part, whose probabilities may have to make room. KEYS,
     by bucket: a run of documents and their keys. All of a run's documents are in one bucket."""
@@ -298,14 +332,13 @@ def _counted(blocks: DataFrame, sent, buckets: int) -> DataFrame:  # noqa: ANN00
             known = np.where(seen, np.log10(np.maximum(count, 1) / np.maximum(1, uni.counts[h])), np.log10(np.maximum(uni.p[w], 1e-300)))
         size = len(docs)
         total = np.bincount(doc, weights=known[of] * n, minlength=size)
-        ends = np.bincount(doc, weights=n * (w[of] == uni.end), minlength=size).astype(np.int64)
         uses = [np.bincount(doc, weights=n * (count[of] == r), minlength=size).astype(np.int64) for r in range(1, K + 1)]
         bucket = bucket_of(docs)
         order = np.argsort(bucket, kind="stable")
         edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
         for k in np.flatnonzero(np.diff(edge)).tolist():
             at = order[edge[k] : edge[k + 1]]
-            out.append((DOCS, k, pack(np.diff(docs[at], prepend=0), total[at], ends[at].astype(np.uint32), *(u[at].astype(np.uint32) for u in uses))))
+            out.append((DOCS, k, pack(np.diff(docs[at], prepend=0), total[at], *(u[at].astype(np.uint32) for u in uses))))
         full = low.sum(axis=0) == 0
         for kind, rows in ((BACKED, np.flatnonzero(~seen[of])), (FULL, np.flatnonzero((seen & full[ctx])[of]))):
             order = rows[np.lexsort((doc[rows], bucket[doc[rows]]))]
@@ -333,23 +366,31 @@ def _counted(blocks: DataFrame, sent, buckets: int) -> DataFrame:  # noqa: ANN00
     return blocks.repartition("part").sortWithinPartitions("part").mapInArrow(run, "kind int, at int, block binary")
 
 
-def _alphas(counted: DataFrame, uni: Unigrams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _alphas(counted: DataFrame, uni: Unigrams, others: pa.Table, seen: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Discounts, log10 alpha of each context, and log10 of what divides seen pairs besides c(h).
 
-    Sums over parts into arrays of at most FREQUENT + 3 contexts; blocks reach the driver one by one."""
+    Sums over parts into arrays of at most FREQUENT + 3 contexts; blocks reach the driver one by one.
+    others: what rare followers add to contexts (h, low1 .., high, mass); seen: counts of counts, 1 .. K + 1, of pairs with a rare word."""
     low, high, mass = np.zeros((K, uni.size), np.int64), np.zeros(uni.size, np.int64), np.zeros(uni.size)
-    beyond = 0
+    n = np.array(seen, dtype=np.int64)
     for r in counted.where(F.col("kind") == CONTEXTS).select("at", "block").toLocalIterator():
         contexts, h, m, *ns = unpack(bytes(r.block))
-        beyond += r.at
+        n[K] += r.at
         np.add.at(high, contexts, h)
         np.add.at(mass, contexts, m)
         for k in range(K):
             np.add.at(low[k], contexts, ns[k])
-    d = discounts([*low.sum(axis=1).tolist(), beyond])
+            n[k] += ns[k].sum()
+    order = np.argsort(uni.context_hashes)
+    at = order[np.searchsorted(uni.context_hashes[order], others.column("h").to_numpy())]
+    high[at] += others.column("high").to_numpy()
+    mass[at] += others.column("mass").to_numpy()
+    for k in range(K):
+        low[k][at] += others.column(f"low{k + 1}").to_numpy()
+    d = discounts(n.tolist())
     c = np.maximum(1, uni.counts).astype(np.float64)
-    seen = high + sum((r + 1) * d[r] * low[r] for r in range(K))
-    left = 1 - seen / c
+    held = high + sum((r + 1) * d[r] * low[r] for r in range(K))
+    left = 1 - held / c
     # Nothing discounted: the context counts one unseen follower more.
     full = (low.sum(axis=0) == 0) & (uni.counts > 0)
     left = np.where(uni.counts > 0, np.where(full, 1 / (c + 1), left), 1.0)
@@ -357,14 +398,14 @@ def _alphas(counted: DataFrame, uni: Unigrams) -> tuple[np.ndarray, np.ndarray,
 
 
 def _summed(counted: DataFrame, sent) -> DataFrame:  # noqa: ANN001
-    """(_key, pairs, ends): of each document, the log10 probability at the level of frequent words, and its end tokens."""
+    """(_key, pairs): of each document, the log10 probability of its pairs of frequent words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d, alpha, scale = sent.value
         log_d = np.log10(d)
 
         def out(held: list[tuple[int, bytes]]) -> pa.RecordBatch:
-            docs, score, ends, runs, keys = [], [], [], [], []
+            docs, score, runs, keys = [], [], [], []
             for kind, data in held:
                 if kind == KEYS:
                     run_no, k = unpack(data)
@@ -372,20 +413,20 @@ def _summed(counted: DataFrame, sent) -> DataFrame:  # noqa: ANN001
                     keys.append(k)
                     continue
                 if kind == DOCS:
-                    k, total, end, *uses = unpack(data)
+                    k, total, *uses = unpack(data)
                     score.append(total + sum(u * log_d[r] for r, u in enumerate(uses)))
                 else:
                     k, h, n = unpack(data)
                     score.append((alpha if kind == BACKED else scale)[h] * n)
-                    end = np.zeros(len(k))
                 docs.append(np.cumsum(k))
-                ends.append(end)
+            if not docs:
+                return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.float64())], names=["_key", "pairs"])
             docs, at = np.unique(np.concatenate(docs), return_inverse=True)
             runs = np.concatenate(runs)
             order, first = np.argsort(runs), np.cumsum([0, *map(len, keys)])
             run = order[np.searchsorted(runs[order], docs >> _PLACE << _PLACE)]
-            cols = [pa.array(np.concatenate(keys)[first[run] + (docs & ((1 << _PLACE) - 1))]), pa.array(np.bincount(at, weights=np.concatenate(score))), pa.array(np.bincount(at, weights=np.concatenate(ends)).astype(np.int64))]
-            return pa.RecordBatch.from_arrays(cols, names=["_key", "pairs", "ends"])
+            cols = [pa.array(np.concatenate(keys)[first[run] + (docs & ((1 << _PLACE) - 1))]), pa.array(np.bincount(at, weights=np.concatenate(score)))]
+            return pa.RecordBatch.from_arrays(cols, names=["_key", "pairs"])
 
         bucket, held = None, []
         for b in batches:
@@ -399,21 +440,42 @@ def _summed(counted: DataFrame, sent) -> DataFrame:  # noqa: ANN001
             yield out(held)
 
     rows = counted.where(F.col("kind").isin(DOCS, BACKED, FULL, KEYS)).repartition("at").sortWithinPartitions("at")
-    found = rows.mapInArrow(run, "_key long, pairs double, ends long")
-    return found.groupBy("_key").agg(F.sum("pairs").alias("pairs"), F.sum("ends").alias("ends"))
+    return rows.mapInArrow(run, "_key long, pairs double").groupBy("_key").agg(F.sum("pairs").alias("pairs"))
+
+
+def _with(rows: DataFrame, key: str, frequent: DataFrame, others: DataFrame) -> DataFrame:
+    """rows left-joined by key to frequent, which is broadcast (at most FREQUENT + 2 rows), or else to others."""
+    rows = rows.withColumn("_hot", F.col(key))
+    hot = rows.join(F.broadcast(frequent.withColumnRenamed(frequent.columns[0], "_hot")), "_hot")
+    cold = rows.join(F.broadcast(frequent.select(F.col(frequent.columns[0]).alias("_hot"))), "_hot", "left_anti")
+    cold = cold.join(others.withColumnRenamed(others.columns[0], "_hot"), "_hot", "left")
+    return hot.unionByName(cold).drop("_hot")
+
+
+def _p(c: Column, uni: Unigrams) -> Column:
+    """P of a word that occurs c times."""
+    p = F.when(c == 0, F.lit(float(uni.unseen)))
+    for r in range(1, K + 1):
+        p = p.when(c == r, F.lit(float(uni.d[r - 1] * r / uni.norm)))
+    return p.otherwise(c / F.lit(uni.norm))
 
 
 def katz_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, part_tokens: int = PART_TOKENS) -> DataFrame:
     """One row per row of docs: id_col, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from rows for which held_out is false (null counts as false) and scores all. Null and empty
-    texts are one end token. Rows that repeat are learnt from and scored each. Without any training
-    row every token is unseen and its model probability 1. An empty table gives no rows; further columns are not looked at.
+    texts are one end token. Rows that repeat are learnt from and scored each; long texts are whole.
+    Without any training row there is no model, and scores are zero as base_score is. An empty table
+    gives no rows; further columns are not looked at. Words and pairs are told apart by 64-bit hashes.
     """
     spark = docs.sparkSession
     rows = docs.select(F.xxhash64(id_col, text_col).alias("_key"), F.col(id_col).alias("_id"), F.coalesce(held_out, F.lit(False)).alias("_held_out"), F.col(text_col).alias("_text"))
-    words = written(word_counts(rows.where("not _held_out"), "_text"), "words")
     train_docs = rows.where("not _held_out").count()
+    if not train_docs:
+        n = F.size(F.filter(F.split(F.coalesce(text_col, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")) + 1
+        none = F.lit(0).cast("long")
+        return docs.select(id_col, F.coalesce(held_out, F.lit(False)).alias("held_out"), n.cast("long").alias("n_tokens"), none.alias("n_known"), none.alias("train_tokens"), F.lit(0.0).alias("base_score"), F.lit(0.0).alias("score"))
+    words = written(word_counts(rows.where("not _held_out"), "_text"), "words")
     types, total = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     of_counts = {r.n: r.k for r in words.groupBy("n").agg(F.count("*").alias("k")).collect()}  # as many rows as there are different counts
     threshold, held = 1 + max(of_counts, default=0), 0
@@ -430,25 +492,49 @@ def katz_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     parts = max(4, -(-int(profile.agg(F.sum("n_tokens")).first()[0] or 0) // part_tokens))
     buckets = max(4, -(-profile.count() // BUCKET_DOCS))
     counted = written(_counted(_pairs(rows, sent, parts), sent, buckets), "pairs")
-    d, alpha, scale = _alphas(counted, uni)
+
+    # Pairs with a word that is not frequent.
+    ends = spark.createDataFrame([(START, train_docs), (END, train_docs)], "word long, n long")
+    frequent, others = words.where(F.col("n") >= threshold).unionByName(ends), words.where(F.col("n") < threshold)
+    odd = profile.where(F.size("before") > 0).select("_key", "_held_out", F.explode(F.arrays_zip("before", "after", "times")).alias("x"))
+    odd = odd.select("_key", "_held_out", F.col("x.before").alias("h"), F.col("x.after").alias("w"), F.col("x.times").alias("times"))
+    pairs = written(odd.where("not _held_out").groupBy("h", "w").agg(F.sum("times").alias("c")), "odd_pairs")
+    low = [F.sum((F.col("c") == r).cast("long")).alias(f"low{r}") for r in range(1, K + 1)]
+    contexts = _with(pairs, "w", frequent, others).withColumn("p", _p(F.coalesce("n", F.lit(0)), uni)).drop("n")
+    contexts = written(contexts.groupBy("h").agg(*low, F.sum(F.when(F.col("c") > K, F.col("c")).otherwise(0)).alias("high"), F.sum("p").alias("mass")), "contexts")
+    seen = pairs.agg(*(F.coalesce(F.sum((F.col("c") == r).cast("long")), F.lit(0)) for r in range(1, K + 2))).first()
+    d, alpha, scale = _alphas(counted, uni, contexts.join(F.broadcast(frequent.select(F.col("word").alias("h"))), "h", "left_semi").toArrow(), list(seen))
     summed = _summed(counted, spark.sparkContext.broadcast((d, alpha, scale)))
 
+    c, lows = F.coalesce("n", F.lit(0)), [F.coalesce(f"low{r}", F.lit(0)) for r in range(1, K + 1)]
+    held = F.coalesce("high", F.lit(0)) + sum((float((r + 1) * d[r]) * lows[r] for r in range(K)), F.lit(0.0))
+    full = sum(lows[1:], lows[0]) == 0
+    left = F.when(c == 0, F.lit(1.0)).when(full, 1 / (c + 1)).otherwise(1 - held / c)
+    room = F.greatest(1 - F.coalesce("mass", F.lit(0.0)), F.lit(1e-12))
+    seldom = others.join(contexts, others.word == contexts.h, "left").select("word", c.alias("ch"), F.log10(left / room).alias("alpha"), F.when(full, F.log10(c / (c + 1))).otherwise(0.0).alias("scale"))
+    live = np.flatnonzero((np.arange(uni.size) != uni.rare) & (np.arange(uni.size) != uni.end))
+    often = spark.createDataFrame(pa.table({"word": uni.context_hashes[live], "ch": uni.counts[live], "alpha": alpha[live], "scale": scale[live]}))
+    odd = _with(odd.drop("_held_out").join(pairs, ["h", "w"], "left"), "h", often, seldom)
+    known = odd.where("c is not null")
+    log_d = sum((F.when(F.col("c") == r + 1, F.lit(float(np.log10(d[r])))).otherwise(0.0) for r in range(K)), F.lit(0.0))
+    known = known.select("_key", (F.col("times") * (F.log10(F.col("c") / F.col("ch")) + log_d + F.col("scale"))).alias("term"))
+    backed = _with(odd.where("c is null").select("_key", "w", "times", F.coalesce("alpha", F.lit(0.0)).alias("alpha")), "w", frequent, others)
+    backed = backed.select("_key", (F.col("times") * (F.col("alpha") + F.log10(_p(F.coalesce("n", F.lit(0)), uni)))).alias("term"))
+    odd_scores = known.unionByName(backed).groupBy("_key").agg(F.sum("term").alias("odd_score"))
+
     rare = profile.where(F.size("words") > 0).select("_key", F.explode(F.arrays_zip("words", "counts")).alias("x"))
     rare = rare.select("_key", F.col("x.words").alias("word"), F.col("x.counts").alias("times"))
-    c = F.coalesce("n", F.lit(0))
-    p = F.when(c == 0, F.lit(float(uni.unseen)))
-    for r in range(1, K + 1):
-        p = p.when(c == r, F.lit(float(uni.d[r - 1] * r / uni.norm)))
-    p = p.otherwise(c / F.lit(uni.norm))
-    rare = rare.join(words.where(F.col("n") < threshold), "word", "left").groupBy("_key").agg(
-        F.sum(F.col("times") * F.log10(p / F.lit(float(uni.p[uni.rare])))).alias("rare_score"),
+    rare = rare.join(others, "word", "left").groupBy("_key").agg(
         F.sum(F.col("times") * F.log10((c + 1) / F.lit(float(uni.total + uni.types + 1)))).alias("rare_base"),
         F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("rare_known"),
     )
-    zero = lambda name: F.coalesce(name, F.lit(0)) / F.col("ends")
-    return profile.drop("words", "counts").join(summed, "_key", "left").join(rare, "_key", "left").select(
+    # Rows that repeat share a key: sums are theirs together.
+    alike = profile.groupBy("_key").agg(F.count("*").alias("rows"))
+    scores = alike.join(summed, "_key", "left").join(odd_scores, "_key", "left").join(rare, "_key", "left")
+    zero = lambda name: F.coalesce(name, F.lit(0)) / F.col("rows")
+    return profile.drop("words", "counts", "before", "after", "times").join(scores, "_key").select(
         F.col("_id").alias(id_col), F.col("_held_out").alias("held_out"), "n_tokens", (F.col("known") + zero("rare_known")).cast("long").alias("n_known"),
-        F.lit(uni.total).cast("long").alias("train_tokens"), (F.col("base") + zero("rare_base")).alias("base_score"), (zero("pairs") + zero("rare_score")).alias("score"),
+        F.lit(uni.total).cast("long").alias("train_tokens"), (F.col("base") + zero("rare_base")).alias("base_score"), (zero("pairs") + zero("odd_score")).alias("score"),
     )
 
 
