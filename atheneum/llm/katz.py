@@ -98,7 +98,15 @@ class Unigrams:
         self.unseen = self.unseen_mass / max(1, n[0])
         self.p = np.zeros(self.size)
         self.p[:f], self.p[self.end] = share[:-1], share[-1]
-        self.context_hashes = np.concatenate([hashes, [0, START, END]])
+
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of hashed words, start and end."""
+        out = np.full(len(hashes), self.rare)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            out = np.where(self.hashes[at] == hashes, self.sort[at], out)
+        out[hashes == START], out[hashes == END] = self.start, self.end
+        return out
 
     def ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and hashes of words; all but frequent ones have the number `rare`."""
@@ -366,27 +374,22 @@ def _counted(blocks: DataFrame, sent, buckets: int) -> DataFrame:  # noqa: ANN00
     return blocks.repartition("part").sortWithinPartitions("part").mapInArrow(run, "kind int, at int, block binary")
 
 
-def _alphas(counted: DataFrame, uni: Unigrams, others: pa.Table, seen: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _alphas(counted: DataFrame, uni: Unigrams, others: DataFrame, seen: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Discounts, log10 alpha of each context, and log10 of what divides seen pairs besides c(h).
 
     Sums over parts into arrays of at most FREQUENT + 3 contexts; blocks reach the driver one by one.
-    others: what rare followers add to contexts (h, low1 .., high, mass); seen: counts of counts, 1 .. K + 1, of pairs with a rare word."""
+    others: blocks of what rare followers add to contexts; seen: counts of counts, 1 .. K + 1, of pairs with a rare word."""
     low, high, mass = np.zeros((K, uni.size), np.int64), np.zeros(uni.size, np.int64), np.zeros(uni.size)
     n = np.array(seen, dtype=np.int64)
-    for r in counted.where(F.col("kind") == CONTEXTS).select("at", "block").toLocalIterator():
-        contexts, h, m, *ns = unpack(bytes(r.block))
-        n[K] += r.at
-        np.add.at(high, contexts, h)
-        np.add.at(mass, contexts, m)
-        for k in range(K):
-            np.add.at(low[k], contexts, ns[k])
-            n[k] += ns[k].sum()
-    order = np.argsort(uni.context_hashes)
-    at = order[np.searchsorted(uni.context_hashes[order], others.column("h").to_numpy())]
-    high[at] += others.column("high").to_numpy()
-    mass[at] += others.column("mass").to_numpy()
-    for k in range(K):
-        low[k][at] += others.column(f"low{k + 1}").to_numpy()
+    for blocks, own in ((counted, 1), (others, 0)):
+        for r in blocks.where(F.col("kind") == CONTEXTS).select("at", "block").toLocalIterator():
+            contexts, h, m, *ns = unpack(bytes(r.block))
+            n[K] += r.at
+            np.add.at(high, contexts, h)
+            np.add.at(mass, contexts, m)
+            for k in range(K):
+                np.add.at(low[k], contexts, ns[k])
+                n[k] += own * ns[k].sum()
     d = discounts(n.tolist())
     c = np.maximum(1, uni.counts).astype(np.float64)
     held = high + sum((r + 1) * d[r] * low[r] for r in range(K))
@@ -443,17 +446,46 @@ def _summed(counted: DataFrame, sent) -> DataFrame:  # noqa: ANN001
     return rows.mapInArrow(run, "_key long, pairs double").groupBy("_key").agg(F.sum("pairs").alias("pairs"))
 
 
-def _with(rows: DataFrame, key: str, frequent: DataFrame, others: DataFrame) -> DataFrame:
-    """rows left-joined by key to frequent, which is broadcast (at most FREQUENT + 2 rows), or else to others."""
-    rows = rows.withColumn("_hot", F.col(key))
-    hot = rows.join(F.broadcast(frequent.withColumnRenamed(frequent.columns[0], "_hot")), "_hot")
-    cold = rows.join(F.broadcast(frequent.select(F.col(frequent.columns[0]).alias("_hot"))), "_hot", "left_anti")
-    cold = cold.join(others.withColumnRenamed(others.columns[0], "_hot"), "_hot", "left")
-    return hot.unionByName(cold).drop("_hot")
+def _frequent(rows: DataFrame, sent, lookups: dict[str, str], arrays=None) -> DataFrame:  # noqa: ANN001
+    """rows with, for each key column of lookups, `<key>_hot` (a frequent word, start or end) and values of those, else null.
+
+    lookups name the values: p, or context for ch, alpha and scale, which come from arrays. No table is joined:
+    frequent words are numbered by what `sent` holds, at most FREQUENT of them."""
+    added = [x for key, kind in lookups.items() for x in ([f"{key}_hot boolean", "p double"] if kind == "p" else [f"{key}_hot boolean", "ch long", "alpha double", "scale double"])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uni = sent.value
+        for b in batches:
+            cols, names = list(b.columns), list(b.schema.names)
+            for key, kind in lookups.items():
+                number = uni.numbers(b.column(names.index(key)).to_numpy())
+                hot = number != uni.rare
+                values = {"p": uni.p} if kind == "p" else dict(zip(("ch", "alpha", "scale"), (uni.counts, *arrays.value[1:]), strict=True))
+                cols += [pa.array(hot), *(pa.array(v[number], mask=~hot) for v in values.values())]
+                names += [f"{key}_hot", *values]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    shape = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in rows.schema] + added)
+    return rows.mapInArrow(run, shape)
+
+
+def _context_blocks(contexts: DataFrame, sent) -> DataFrame:  # noqa: ANN001
+    """Blocks (kind, at, block) of the frequent ones of contexts (h, low1 .., high, mass), as _counted makes them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uni = sent.value
+        for b in batches:
+            number = uni.numbers(b.column(0).to_numpy())
+            hot = np.flatnonzero(number != uni.rare)
+            h, high, mass, *low = (b.column(k).to_numpy()[hot] for k in range(3 + K))
+            block = pack(number[hot].astype(np.int64), high, mass, *low)
+            yield pa.RecordBatch.from_arrays([pa.array([CONTEXTS], pa.int32()), pa.array([0], pa.int32()), pa.array([block], pa.binary())], names=["kind", "at", "block"])
+
+    return contexts.select("h", "high", "mass", *(f"low{r}" for r in range(1, K + 1))).mapInArrow(run, "kind int, at int, block binary")
 
 
 def _p(c: Column, uni: Unigrams) -> Column:
-    """P of a word that occurs c times."""
+    """P of a word that is not frequent and occurs c times."""
     p = F.when(c == 0, F.lit(float(uni.unseen)))
     for r in range(1, K + 1):
         p = p.when(c == r, F.lit(float(uni.d[r - 1] * r / uni.norm)))
@@ -494,17 +526,19 @@ def katz_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     counted = written(_counted(_pairs(rows, sent, parts), sent, buckets), "pairs")
 
     # Pairs with a word that is not frequent.
-    ends = spark.createDataFrame([(START, train_docs), (END, train_docs)], "word long, n long")
-    frequent, others = words.where(F.col("n") >= threshold).unionByName(ends), words.where(F.col("n") < threshold)
+    others = words.where(F.col("n") < threshold)
     odd = profile.where(F.size("before") > 0).select("_key", "_held_out", F.explode(F.arrays_zip("before", "after", "times")).alias("x"))
     odd = odd.select("_key", "_held_out", F.col("x.before").alias("h"), F.col("x.after").alias("w"), F.col("x.times").alias("times"))
     pairs = written(odd.where("not _held_out").groupBy("h", "w").agg(F.sum("times").alias("c")), "odd_pairs")
     low = [F.sum((F.col("c") == r).cast("long")).alias(f"low{r}") for r in range(1, K + 1)]
-    contexts = _with(pairs, "w", frequent, others).withColumn("p", _p(F.coalesce("n", F.lit(0)), uni)).drop("n")
-    contexts = written(contexts.groupBy("h").agg(*low, F.sum(F.when(F.col("c") > K, F.col("c")).otherwise(0)).alias("high"), F.sum("p").alias("mass")), "contexts")
+    placed = _frequent(pairs, sent, {"w": "p"})
+    seldom = placed.where("not w_hot").drop("p").join(others, F.col("w") == F.col("word"), "left").withColumn("p", _p(F.coalesce("n", F.lit(0)), uni))
+    placed = placed.where("w_hot").select("h", "c", "p").unionByName(seldom.select("h", "c", "p"))
+    contexts = written(placed.groupBy("h").agg(*low, F.sum(F.when(F.col("c") > K, F.col("c")).otherwise(0)).alias("high"), F.sum("p").alias("mass")), "contexts")
     seen = pairs.agg(*(F.coalesce(F.sum((F.col("c") == r).cast("long")), F.lit(0)) for r in range(1, K + 2))).first()
-    d, alpha, scale = _alphas(counted, uni, contexts.join(F.broadcast(frequent.select(F.col("word").alias("h"))), "h", "left_semi").toArrow(), list(seen))
-    summed = _summed(counted, spark.sparkContext.broadcast((d, alpha, scale)))
+    d, alpha, scale = _alphas(counted, uni, _context_blocks(contexts, sent), list(seen))
+    arrays = spark.sparkContext.broadcast((d, alpha, scale))
+    summed = _summed(counted, arrays)
 
     c, lows = F.coalesce("n", F.lit(0)), [F.coalesce(f"low{r}", F.lit(0)) for r in range(1, K + 1)]
     held = F.coalesce("high", F.lit(0)) + sum((float((r + 1) * d[r]) * lows[r] for r in range(K)), F.lit(0.0))
@@ -512,14 +546,14 @@ def katz_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     left = F.when(c == 0, F.lit(1.0)).when(full, 1 / (c + 1)).otherwise(1 - held / c)
     room = F.greatest(1 - F.coalesce("mass", F.lit(0.0)), F.lit(1e-12))
     seldom = others.join(contexts, others.word == contexts.h, "left").select("word", c.alias("ch"), F.log10(left / room).alias("alpha"), F.when(full, F.log10(c / (c + 1))).otherwise(0.0).alias("scale"))
-    live = np.flatnonzero((np.arange(uni.size) != uni.rare) & (np.arange(uni.size) != uni.end))
-    often = spark.createDataFrame(pa.table({"word": uni.context_hashes[live], "ch": uni.counts[live], "alpha": alpha[live], "scale": scale[live]}))
-    odd = _with(odd.drop("_held_out").join(pairs, ["h", "w"], "left"), "h", often, seldom)
-    known = odd.where("c is not null")
+    odd = written(_frequent(odd.drop("_held_out").join(pairs, ["h", "w"], "left"), sent, {"h": "context", "w": "p"}, arrays), "odd")
+    after = odd.where("not h_hot").drop("ch", "alpha", "scale").join(seldom, F.col("h") == F.col("word"), "left").drop("word")
+    odd = odd.where("h_hot").unionByName(after.select(odd.columns))
     log_d = sum((F.when(F.col("c") == r + 1, F.lit(float(np.log10(d[r])))).otherwise(0.0) for r in range(K)), F.lit(0.0))
-    known = known.select("_key", (F.col("times") * (F.log10(F.col("c") / F.col("ch")) + log_d + F.col("scale"))).alias("term"))
-    backed = _with(odd.where("c is null").select("_key", "w", "times", F.coalesce("alpha", F.lit(0.0)).alias("alpha")), "w", frequent, others)
-    backed = backed.select("_key", (F.col("times") * (F.col("alpha") + F.log10(_p(F.coalesce("n", F.lit(0)), uni)))).alias("term"))
+    known = odd.where("c is not null").select("_key", (F.col("times") * (F.log10(F.col("c") / F.col("ch")) + log_d + F.col("scale"))).alias("term"))
+    backed = odd.where("c is null").select("_key", "w", "w_hot", "times", F.coalesce("alpha", F.lit(0.0)).alias("alpha"), "p")
+    cold = backed.where("not w_hot").drop("p").join(others, F.col("w") == F.col("word"), "left").withColumn("p", _p(F.coalesce("n", F.lit(0)), uni))
+    backed = backed.where("w_hot").unionByName(cold.select(backed.columns)).select("_key", (F.col("times") * (F.col("alpha") + F.log10("p"))).alias("term"))
     odd_scores = known.unionByName(backed).groupBy("_key").agg(F.sum("term").alias("odd_score"))
 
     rare = profile.where(F.size("words") > 0).select("_key", F.explode(F.arrays_zip("words", "counts")).alias("x"))
