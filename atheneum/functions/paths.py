@@ -91,7 +91,7 @@ def version_container(folder: Column) -> Column:
 
 
 def band(confidence: Column) -> Column:
-    return F.when(confidence >= 0.95, "auto").when(confidence >= 0.75, "suggest").otherwise("review")
+    return F.when(confidence >= 0.95, "auto_place").when(confidence >= 0.75, "suggest").otherwise("needs_review")
 
 
 def match_level(actual: Column, predicted: Column) -> Column:

@@ -3,38 +3,24 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from atheneum import catalog, tree  # noqa: F401, they register their queries
 from atheneum.functions import names
 from atheneum.functions import paths as P
 from atheneum.functions import text as T
 from atheneum.functions.vectors import cosine, mean_vectors
 from atheneum.operators import audit, chunking, findings, graph, placement, retrieval, state
+from atheneum.registry import QUERIES, SQL, query
+from atheneum.registry import table as _t
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 FLAGSHIP = "r01_hybrid_search"
 QUERY_VECTOR, QUERY_WORDS = 7, "the of"
 
 
-def query(sql: str | None = None) -> Callable:
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 # Paths of files, made from parts: the same text in both engines.
 PART_PATH = """concat('01 Project/', 2020 + p_size % 4, '/C', p_partkey % 7, '/', CASE p_size % 3 WHEN 0 THEN 'A.1. Proposal' WHEN 1 THEN 'B.2. Report' ELSE 'notes' END,
  '/', replace(p_name, ' ', '_'), '_', CASE p_size % 4 WHEN 0 THEN 'proposal' WHEN 1 THEN 'minutes' WHEN 2 THEN 'deck' ELSE 'v2' END,

@@ -26,7 +26,7 @@ def test_names(spark):
     for name, want in (("2026", True), ("01_Jan", True), ("Q3 2026", True), ("26W12", True), ("January plans", False)):
         assert value(spark, P.temporal(F.lit(name))) is want
     assert value(spark, P.match_level(F.lit("a/b/c/d/e"), F.lit("a/b/c/d/f"))) == "initiative"
-    assert value(spark, P.band(F.lit(0.95))) == "auto"
+    assert value(spark, P.band(F.lit(0.95))) == "auto_place"
     assert value(spark, P.reuse_score(F.lit(1), F.lit(0), F.lit(0), F.lit(1))) == 0
 
 
