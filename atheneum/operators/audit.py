@@ -19,15 +19,21 @@ DIMENSIONS = {
 
 
 def inventory(files: DataFrame) -> DataFrame:
-    """Per folder of files (path, size_bytes): counts, bytes, extensions, 12 sample names, the largest file, a signature."""
+    """Per folder of files (path, size_bytes): counts, bytes, extensions, 12 sample names, the largest file, a signature.
+
+    No folder's names are gathered: the samples are cut by rank, and the signature is a digest of sums of
+    two hashes of the names and sizes, which does not depend on their order."""
     df = files.withColumn("folder", P.parent(F.col("path"))).withColumn("name", P.name(F.col("path"))).withColumn("ext", P.extension(F.col("path")))
     exts = df.groupBy("folder", "ext").agg(F.count("*").alias("n")).groupBy("folder").agg(F.array_sort(F.collect_list(F.struct("ext", "n"))).alias("exts"))
+    part = lambda seed: F.sum(F.pmod(F.xxhash64(F.lit(seed), "name", "size_bytes"), F.lit(1 << 31)))
     names = df.groupBy("folder").agg(
         F.count("*").alias("file_count"), F.sum("size_bytes").alias("total_bytes"), F.max_by("name", F.struct("size_bytes", "name")).alias("largest"),
-        F.slice(F.array_sort(F.collect_list("name")), 1, 12).alias("samples"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "name", "size_bytes"))), "|"), 256).alias("signature"),
+        F.sha2(F.concat_ws(":", F.count("*"), part(1), part(2), F.sum("size_bytes")), 256).alias("signature"),
     )
+    first = df.select("folder", "name", F.row_number().over(W.partitionBy("folder").orderBy("name")).alias("_k")).where("_k <= 12")
+    first = first.groupBy("folder").agg(F.array_join(F.array_sort(F.collect_list("name")), "|").alias("samples"))
     shown = F.array_join(F.transform("exts", lambda x: F.concat_ws("=", x["ext"], x["n"])), ",")
-    return names.join(exts, "folder").select("folder", "file_count", "total_bytes", "largest", F.array_join("samples", "|").alias("samples"), "signature", shown.alias("extensions"))
+    return names.join(exts, "folder").join(first, "folder").select("folder", "file_count", "total_bytes", "largest", "samples", "signature", shown.alias("extensions"))
 
 
 def assets(files: DataFrame) -> DataFrame:
@@ -43,9 +49,9 @@ def assets(files: DataFrame) -> DataFrame:
 
 
 def duplicate_groups(df: DataFrame, content: Column, size: Column, key: str) -> DataFrame:
-    """Groups of equal content among rows whose size repeats; only those are hashed."""
-    same = df.withColumn("_size", size).withColumn("_n", F.count("*").over(W.partitionBy("_size"))).where("_size > 0 and _n > 1")
-    groups = same.groupBy(F.sha2(content, 256).alias("content_hash")).agg(F.count("*").alias("copies"), F.min(key).alias("first"), F.array_join(F.array_sort(F.collect_list(key)), ",").alias("members"))
+    """Groups of equal content, of a size over 0. Contents are hashed where they are read; keys, sizes and hashes are all that is shuffled."""
+    hashed = df.where(size > 0).select(key, F.sha2(content, 256).alias("content_hash"))
+    groups = hashed.groupBy("content_hash").agg(F.count("*").alias("copies"), F.min(key).alias("first"), F.array_join(F.array_sort(F.collect_list(key)), ",").alias("members"))
     return groups.where("copies > 1")
 
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from atheneum.functions import text as T
 from atheneum.functions.text import heading_level, heading_title
 
 
@@ -90,3 +91,53 @@ def chunks(df: DataFrame, text: str, size: int = 1000, overlap: int = 200, prefi
 
     shape = df.select(*names, F.lit(0).alias("chunk_index"), F.lit("").alias("content")).schema
     return df.mapInPandas(run, shape)
+
+
+def titles(found: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, title): the first section of level 1, which is the file's stem where none has a heading of it."""
+    return found.groupBy(key).agg(F.min_by("title", F.when(F.col("level") == 1, F.col("ordinal"))).alias("title"))
+
+
+def section_paths(found: DataFrame, key: str = "doc_id", depth: int = 6) -> DataFrame:
+    """Sections with path, the titles from the top down joined by ` > `: five joins to the parents, as no section is deeper."""
+    df = found.withColumns({"path": F.col("title"), "_up": F.col("parent")})
+    for _ in range(depth - 1):
+        above = found.select(key, F.col("ordinal").alias("_up"), F.col("title").alias("_title"), F.col("parent").alias("_next"))
+        df = df.join(above, [key, "_up"], "left").withColumn("path", F.when(F.col("_title").isNotNull(), F.concat_ws(" > ", "_title", "path")).otherwise(F.col("path")))
+        df = df.withColumn("_up", F.col("_next")).drop("_title", "_next")
+    return df.drop("_up")
+
+
+def structured_chunks(docs: DataFrame, header: dict[str, Column], parent: tuple[int, int] = (2400, 200), child: tuple[int, int] = (600, 120), key: str = "doc_id") -> DataFrame:
+    """Chunks of sections: parents of a section, children of a parent.
+
+    Columns: key, ordinal, section_path, parent_index, chunk_index, content, contextual_text (the header's
+    lines over the content), chunk_type, token_estimate, parent_text. docs: key, text, stem and what header names."""
+    found = section_paths(sections(docs, key, "text", "stem"), key).where(F.trim("content") != "").select(key, "ordinal", F.col("path").alias("section_path"), "content")
+    big = chunks(found, "content", *parent).withColumnsRenamed({"chunk_index": "parent_index", "content": "parent_text"})
+    small = chunks(big.withColumn("_text", F.col("parent_text")), "_text", *child)
+    fields = docs.select(key, *(c.alias(f"_{n}") for n, c in header.items()))
+    df = small.join(fields, key)
+    lines = T.context_header({**{n: F.col(f"_{n}") for n in header}, "section_path": F.col("section_path")})
+    out = df.withColumns({"contextual_text": F.concat_ws("\n\n", F.when(lines != "", lines), "content"), "chunk_type": T.chunk_type(F.col("content")), "token_estimate": T.token_estimate(F.col("content"))})
+    return out.drop(*(f"_{n}" for n in header))
+
+
+def routed(items: DataFrame, structured: bool = True) -> DataFrame:
+    """Items (doc_id, text, stem, is_audio, speaker) with route and their chunks: audio by speaker, documents by structure or flat; blank ones have none, under `done`."""
+    blank = F.coalesce(F.trim("text"), F.lit("")) == ""
+    audio = chunks(items.where(F.col("is_audio") & ~blank).select("doc_id", "speaker", "text"), "text", prefix="speaker").select("doc_id", F.lit("audio").alias("route"), "chunk_index", "content")
+    docs = items.where(~F.col("is_audio") & ~blank)
+    flat = structured_chunks(docs, {}) if structured else chunks(docs.select("doc_id", "text"), "text")
+    flat = flat.select("doc_id", F.lit("structured" if structured else "flat").alias("route"), "chunk_index", "content")
+    none = items.where(blank).select("doc_id", F.lit("done").alias("route"), F.lit(None).cast("int").alias("chunk_index"), F.lit(None).cast("string").alias("content"))
+    return audio.unionByName(flat).unionByName(none)
+
+
+def hashed_embedding(text: Column, size: int = 64) -> Column:
+    """An embedding that needs no model: signed counts of hashed words, of unit length; zeros without words."""
+    words = T.terms(text)
+    at = lambda k: F.aggregate(words, F.lit(0.0), lambda acc, w: acc + F.when(F.pmod(F.xxhash64(w), F.lit(size)) == k, F.when(F.pmod(F.hash(w), F.lit(2)) == 0, 1.0).otherwise(-1.0)).otherwise(0.0))
+    raw = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), at)
+    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda acc, x: acc + x * x))
+    return F.transform(raw, lambda x: F.when(norm > 0, x / norm).otherwise(0.0).cast("float"))

@@ -43,9 +43,9 @@ def components(edges: DataFrame, source: str = "a", target: str = "b") -> DataFr
     """(node, component): the least node reachable, by least labels that also jump to their label's label.
 
     Each round is checkpointed to the shared folder; only the number of changes reaches the driver."""
-    sc = edges.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    spark = edges.sparkSession
+    if not spark.sparkContext.getCheckpointDir():  # tests: a cluster names a folder that its machines share
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
     both = edges.select(F.col(source).alias("n"), F.col(target).alias("m")).union(edges.select(target, source)).distinct().checkpoint()
     labels = both.groupBy("n").agg(F.least(F.min("m"), F.col("n")).alias("l")).checkpoint()
     while True:

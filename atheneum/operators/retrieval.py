@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from atheneum.functions import filters
 from atheneum.functions.text import terms
 from atheneum.functions.vectors import cosine
 
@@ -24,42 +25,60 @@ def vector_channel(vectors: DataFrame, query: Column, pool: int = POOL, key: str
     return _ranked(df, [F.desc("similarity"), F.asc("id")], pool, "rank_v")
 
 
-def parse_query(text: str) -> dict[str, list[str]]:
-    """Words that must occur, words that must not (leading -), and quoted phrases."""
+def parse_query(text: str) -> list[dict[str, list[str]]]:
+    """The alternatives of a query, parted by `or`: words that must occur, words and phrases that must not (leading -), and quoted phrases."""
     import re
 
-    out: dict[str, list[str]] = {"all": [], "none": [], "phrases": []}
+    out: list[dict[str, list[str]]] = [{"all": [], "none": [], "phrases": [], "no_phrases": []}]
     for minus, phrase, word in re.findall(r'(-?)(?:"([^"]*)"|(\S+))', text.lower()):
+        if word == "or" and not minus:
+            out.append({k: [] for k in out[0]})
+            continue
         found = re.findall("[a-z0-9]+", phrase or word)
-        if minus:
-            out["none"] += found
-        elif phrase:
-            out["phrases"].append(" ".join(found))
-            out["all"] += found
-        else:
-            out["all"] += [w for w in found if w != "or"]
-    return out
+        if not found:
+            continue
+        group = out[-1]
+        if len(found) > 1:
+            group["no_phrases" if minus else "phrases"].append(" ".join(found))
+        if not minus:
+            group["all"] += found
+        elif len(found) == 1:
+            group["none"] += found
+    return [g for g in out if g["all"] or g["none"] or g["no_phrases"]]
 
 
 def word_channel(docs: DataFrame, text: str, pool: int = POOL, key: str = "doc_id", k1: float = 1.2, b: float = 0.75, where: Column | None = None) -> DataFrame:
-    """(id, bm25, rank_f) of documents that match the query, by BM25 over the documents that pass `where`."""
+    """(id, bm25, rank_f) of documents that match the query, by BM25 over the documents that pass `where`.
+
+    A document matches if one alternative of the query holds; its score counts all words of the query
+    that it has. Words are read once; the text of all words is only made where a phrase asks for it."""
     query = parse_query(text)
-    words = sorted(set(query["all"]))
+    words = sorted({w for g in query for w in g["all"]})
+    absent = sorted({w for g in query for w in g["none"]})
+    phrases = sorted({p for g in query for p in g["phrases"] + g["no_phrases"]})
     df = (docs if where is None else docs.where(where)).select(F.col(key).alias("id"), terms(F.col("text")).alias("t"))
 
     def times(w: str) -> Column:
         return F.size(F.filter("t", lambda x: x == F.lit(w)))
 
-    tf = [times(w).alias(f"tf{k}") for k, w in enumerate(words)]
-    df = df.select("id", F.size("t").alias("n"), F.concat(F.lit(" "), F.array_join("t", " "), F.lit(" ")).alias("s"), *tf, *[F.array_contains("t", w).alias(f"no{k}") for k, w in enumerate(query["none"])])
+    joined = F.concat(F.lit(" "), F.array_join("t", " "), F.lit(" "))
+    df = df.select(
+        "id", F.size("t").alias("n"), *(times(w).alias(f"tf{k}") for k, w in enumerate(words)), *(F.array_contains("t", w).alias(f"no{k}") for k, w in enumerate(absent)),
+        *(joined.contains(f" {p} ").alias(f"ph{k}") for k, p in enumerate(phrases)),
+    )
     stats = df.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), *(F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(words))))
-    match = F.lit(bool(words))
-    for k in range(len(words)):
-        match &= F.col(f"tf{k}") > 0
-    for k in range(len(query["none"])):
-        match &= ~F.col(f"no{k}")
-    for p in query["phrases"]:
-        match &= F.col("s").contains(f" {p} ")
+    match = F.lit(False)
+    for g in query:
+        holds = F.lit(True)
+        for w in g["all"]:
+            holds &= F.col(f"tf{words.index(w)}") > 0
+        for w in g["none"]:
+            holds &= ~F.col(f"no{absent.index(w)}")
+        for p in g["phrases"]:
+            holds &= F.col(f"ph{phrases.index(p)}")
+        for p in g["no_phrases"]:
+            holds &= ~F.col(f"ph{phrases.index(p)}")
+        match |= holds
     score = F.lit(0.0)
     for k in range(len(words)):
         idf = F.log(1 + (F.col("docs") - F.col(f"df{k}") + 0.5) / (F.col(f"df{k}") + 0.5))
@@ -98,3 +117,24 @@ def collapse_parents(hits: DataFrame, top_k: int) -> DataFrame:
     df = df.withColumn("stop", stop).where("stop is null or rank <= stop")
     out = df.groupBy("query", "group").agg(F.min_by("chunk", "rank").alias("chunk"), F.min("results").alias("position"), F.array_sort(F.collect_list(F.when(F.col("nth") > 1, F.col("chunk")))).alias("also"))
     return out.select("query", "position", "chunk", "also")
+
+
+def search(chunks: DataFrame, files: DataFrame, text: str, vector: Column, top_k: int = TOP_K, folder: str | None = None, kind: str | None = None, window: int = 3, pool: int = POOL) -> DataFrame:
+    """Hybrid search over chunks (chunk_id, file_id, chunk_index, text, kind, embedding, parent_id, parent_text) of files (file_id, folder, file_name).
+
+    Filters apply before both channels are cut to the pool. The first hit of a parent gives the parent's
+    text and lists the later ones; a hit without a parent gives its neighbours within the window. Columns:
+    position, chunk_id, file_name, folder, score, similarity, text, first, last, also."""
+    cand = max(pool, top_k)
+    tests = [F.col("folder") == folder if folder else None, F.col("kind") == kind if kind else None]
+    where = filters.all_of(*tests)
+    of = chunks.join(files.select("file_id", "folder", "file_name"), "file_id").where(where)
+    hits = fuse(vector_channel(of, vector, cand, "chunk_id"), word_channel(of, text, cand, "chunk_id"), min(cand, 3 * top_k))
+    hits = hits.join(of.select(F.col("chunk_id").alias("id"), "file_id", "folder", "file_name", "chunk_index", "parent_id", "parent_text"), "id")
+    order = W.orderBy(F.desc("score"), F.desc_nulls_last("similarity"), "id")  # over the pool only
+    hits = hits.withColumns({"rank": F.row_number().over(order), "query": F.lit(1)})
+    found = collapse_parents(hits.select("query", "rank", F.col("id").alias("chunk"), F.col("parent_id").alias("parent")), top_k)
+    near = neighbours(hits.where("parent_id is null").select("file_id", "chunk_index"), chunks, window, "file_id", "chunk_index", "text")
+    near = near.withColumnRenamed("hit", "chunk_index")
+    out = found.join(hits, F.col("chunk") == F.col("id")).join(near, ["file_id", "chunk_index"], "left")
+    return out.select("position", F.col("chunk").alias("chunk_id"), "file_name", "folder", F.round("score", 6).alias("score"), F.round("similarity", 4).alias("similarity"), F.coalesce("parent_text", "context").alias("text"), "first", "last", "also")

@@ -13,7 +13,7 @@ from atheneum.functions import names
 from atheneum.functions import paths as P
 from atheneum.functions import text as T
 from atheneum.functions.vectors import cosine, mean_vectors
-from atheneum.operators import audit, chunking, findings, graph, placement, retrieval, state
+from atheneum.operators import audit, chunking, findings, graph, placement, retrieval, state, steward
 from atheneum.registry import QUERIES, SQL, query
 from atheneum.registry import table as _t
 
@@ -168,9 +168,9 @@ def j05_left_join_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select(F.col("c_custkey").alias("node"), F.coalesce("degree", zero).alias("degree"), F.coalesce("closed", zero).alias("closed"))
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def j12_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "customer").join(_t(spark, sf_dir, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
+    return _t(spark, sf_dir, "customer").join(_t(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
 
 
 @query("SELECT s_suppkey FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
@@ -204,11 +204,37 @@ def u04_set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- text
 
-@query(r"""WITH l AS (SELECT doc_id, line, no FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents))
-SELECT doc_id, no - 1 AS no, length(regexp_extract(trim(line), '^(#{1,6})\s+(.+?)\s*#*\s*$', 1)) AS level, regexp_extract(trim(line), '^(#{1,6})\s+(.+?)\s*#*\s*$', 2) AS title FROM l WHERE regexp_matches(trim(line), '^(#{1,6})\s+(.+?)\s*#*\s*$')""")
+@query(r"""WITH l AS (SELECT p_partkey, ' ' || repeat('#', p_size % 9) || ' ' || p_name || CASE p_size % 2 WHEN 0 THEN ' ##' ELSE '' END AS line FROM part)
+SELECT p_partkey, length(regexp_extract(trim(line), '^(#{1,6})\s+(.+?)\s*#*\s*$', 1)) AS level, regexp_extract(trim(line), '^(#{1,6})\s+(.+?)\s*#*\s*$', 2) AS title FROM l WHERE regexp_matches(trim(line), '^(#{1,6})\s+(.+?)\s*#*\s*$')""")
 def f04_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(F.trim("line").rlike(T.HEADING))
-    return lines.select("doc_id", F.col("no").cast("long").alias("no"), T.heading_level(F.col("line")).cast("long").alias("level"), T.heading_title(F.col("line")).alias("title"))
+    line = F.expr("concat(' ', repeat('#', p_size % 9), ' ', p_name, CASE p_size % 2 WHEN 0 THEN ' ##' ELSE '' END)")
+    lines = _t(spark, sf_dir, "part").select("p_partkey", line.alias("line")).where(F.trim("line").rlike(T.HEADING))
+    return lines.select("p_partkey", T.heading_level(F.col("line")).cast("long").alias("level"), T.heading_title(F.col("line")).alias("title"))
+
+
+MARKED = "concat('intro', chr(10), '# A ', p_name, chr(10), 'body', chr(10), '## B', chr(10), p_type, chr(10), '### C', chr(10), 'x', chr(10), '## D', chr(10), 'y')"
+
+
+@query("""SELECT p_partkey, ordinal::BIGINT AS ordinal, level::BIGINT AS level, CASE ordinal WHEN 2 THEN 'A ' || p_name ELSE title END AS title, parent::BIGINT AS parent,
+CASE WHEN ordinal = 1 THEN 'intro' WHEN ordinal = 2 THEN 'body' WHEN ordinal = 3 THEN p_type WHEN ordinal = 4 THEN 'x' ELSE 'y' END AS content
+FROM part, (VALUES (1, 1, 'file', NULL), (2, 1, '', NULL), (3, 2, 'B', 2), (4, 3, 'C', 3), (5, 2, 'D', 2)) t(ordinal, level, title, parent)""")
+def t03_section_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _t(spark, sf_dir, "part").select("p_partkey", F.expr(MARKED).alias("text"), F.lit("file").alias("stem"))
+    long = lambda c: F.col(c).cast("long").alias(c)
+    return chunking.sections(docs, "p_partkey", "text", "stem").select("p_partkey", long("ordinal"), long("level"), "title", long("parent"), "content")
+
+
+@query("""SELECT p_partkey, ordinal::BIGINT AS ordinal, CASE ordinal WHEN 1 THEN 'file' WHEN 2 THEN 'A ' || p_name WHEN 3 THEN 'A ' || p_name || ' > B' WHEN 4 THEN 'A ' || p_name || ' > B > C' ELSE 'A ' || p_name || ' > D' END AS path
+FROM part, (VALUES (1), (2), (3), (4), (5)) t(ordinal)""")
+def t05_section_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _t(spark, sf_dir, "part").select("p_partkey", F.expr(MARKED).alias("text"), F.lit("file").alias("stem"))
+    return chunking.section_paths(chunking.sections(docs, "p_partkey", "text", "stem"), "p_partkey").select("p_partkey", F.col("ordinal").cast("long").alias("ordinal"), "path")
+
+
+@query("SELECT p_partkey, 'file' AS title FROM part")
+def t02_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _t(spark, sf_dir, "part").select("p_partkey", F.expr(MARKED).alias("text"), F.lit("file").alias("stem"))
+    return chunking.titles(chunking.sections(docs, "p_partkey", "text", "stem"), "p_partkey")
 
 
 @query(r"""WITH l AS (SELECT doc_id, text, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS ls FROM documents)
@@ -281,12 +307,12 @@ def d04_queue_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- graph
 
-@query("""WITH e AS (SELECT o_orderkey AS edge_id, o_custkey AS source, o_orderkey % 50 AS target FROM orders), m AS (SELECT c_custkey AS node FROM customer WHERE c_acctbal > 0),
+@query("""WITH e AS (SELECT o_orderkey AS edge_id, o_custkey AS source, o_orderkey % 50 AS target FROM orders), m AS (SELECT c_custkey AS node FROM customer),
 d AS (SELECT node, count(DISTINCT edge_id) AS degree FROM (SELECT edge_id, source AS node FROM e UNION ALL SELECT edge_id, target FROM e) GROUP BY 1), s AS (SELECT node, count(*) AS mentions FROM m GROUP BY 1)
 SELECT coalesce(d.node, s.node) AS node, coalesce(degree, 0) AS degree, coalesce(mentions, 0) AS mentions, greatest(1, coalesce(degree, 0) + coalesce(mentions, 0)) AS weight FROM d FULL OUTER JOIN s ON d.node = s.node""")
 def g07_node_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("edge_id"), F.col("o_custkey").alias("source"), (F.col("o_orderkey") % 50).alias("target"))
-    return graph.node_weights(e, _t(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("node")))
+    return graph.node_weights(e, _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node")))
 
 
 @query("""WITH g AS (SELECT n_regionkey, row_number() OVER (ORDER BY n_regionkey) - 1 AS g, count(*) OVER () AS gs FROM (SELECT DISTINCT n_regionkey FROM nation)),
@@ -320,10 +346,14 @@ def n24_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(FILES_SQL + """, d AS (SELECT regexp_replace(path, '/[^/]*$', '') AS folder, split_part(path, '/', -1) AS name, size_bytes FROM f)
-SELECT folder, count(*) AS file_count, sum(size_bytes)::BIGINT AS total_bytes, arg_max(name, (size_bytes, name)) AS largest, array_to_string(list_sort(list(name))[1:12], '|') AS samples,
- sha256(array_to_string(list_sort(list(name || ':' || size_bytes)), '|')) AS signature FROM d GROUP BY 1""")
+SELECT folder, count(*) AS file_count, sum(size_bytes)::BIGINT AS total_bytes, arg_max(name, (size_bytes, name)) AS largest, array_to_string(list_sort(list(name))[1:12], '|') AS samples FROM d GROUP BY 1""")
 def s04_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.inventory(_files(spark, sf_dir)).drop("extensions")
+    return audit.inventory(_files(spark, sf_dir)).drop("extensions", "signature")
+
+
+@query(FILES_SQL + f""", d AS (SELECT regexp_replace(path, '/[^/]*$', '') AS folder, {EXT_SQL} AS ext, count(*) AS n FROM f GROUP BY 1, 2) SELECT folder, string_agg(ext || '=' || n, ',' ORDER BY ext) AS extensions FROM d GROUP BY 1""")
+def s04_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.inventory(_files(spark, sf_dir)).select("folder", "extensions")
 
 
 @query(FILES_SQL + f""", a AS (SELECT {EXT_SQL} AS ext, {STEM_SQL} AS stem, path, p_partkey % 3 AS root, split_part(path, '/', 3) AS customer, split_part(path, '/', 3) || '/' || split_part(path, '/', 4) AS project FROM f),
@@ -334,21 +364,22 @@ def n28_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.assets(_files(spark, sf_dir).withColumn("root", F.col("p_partkey") % 3).withColumn("content_hash", F.lit(None).cast("string")))
 
 
-@query("""WITH f AS (SELECT p_brand AS folder, CASE p_partkey % 5 WHEN 0 THEN 'naming_ambiguity' WHEN 1 THEN 'architecture_review' WHEN 2 THEN 'reusable_asset' WHEN 3 THEN 'unknown_customer' ELSE 'other' END AS issue,
- CASE p_size % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS severity, 0.25 * (1 + p_size % 3) AS confidence FROM part WHERE p_partkey % 29 = 1),
+@query("""WITH f AS (SELECT p_brand || '/' || p_partkey % 50 AS folder, CASE p_partkey % 5 WHEN 0 THEN 'naming_ambiguity' WHEN 1 THEN 'architecture_review' WHEN 2 THEN 'reusable_asset' WHEN 3 THEN 'unknown_customer' ELSE 'other' END AS issue,
+ CASE p_size % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS severity, 0.25 * (1 + p_size % 3) AS confidence FROM part),
 p AS (SELECT folder, issue, floor(CASE severity WHEN 'high' THEN 30 WHEN 'medium' THEN 18 ELSE 8 END * confidence)::INT AS p FROM f),
 s AS (SELECT folder, count(*) AS n, sum(CASE WHEN issue = 'naming_ambiguity' THEN p END) AS nam, sum(CASE WHEN issue = 'reusable_asset' THEN p END) AS pla, sum(CASE WHEN issue = 'architecture_review' THEN greatest(3, p // 2) END) AS str,
  sum(CASE issue WHEN 'reusable_asset' THEN greatest(4, p // 2) WHEN 'unknown_customer' THEN greatest(3, p // 2) WHEN 'other' THEN p END) AS com FROM p GROUP BY 1),
 r AS (SELECT b.folder, greatest(0, 100 - coalesce(nam, 0))::BIGINT AS naming, 100::BIGINT AS duplicate, greatest(0, 100 - coalesce(pla, 0))::BIGINT AS placement, greatest(0, 100 - coalesce(str, 0))::BIGINT AS structure, greatest(0, 100 - coalesce(com, 0))::BIGINT AS compliance, coalesce(n, 0) AS n_findings
- FROM (SELECT DISTINCT p_brand AS folder FROM part) b LEFT JOIN s USING (folder))
+ FROM (SELECT DISTINCT p_brand || '/' || p_partkey % 50 AS folder FROM part) b LEFT JOIN s USING (folder))
 SELECT *, round_even((naming + duplicate + placement + structure + compliance) / 5.0, 0)::BIGINT AS total FROM r""")
 def n29_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _t(spark, sf_dir, "part")
     k, s = F.col("p_partkey") % 5, F.col("p_size") % 3
+    folder = F.concat_ws("/", "p_brand", (F.col("p_partkey") % 50).cast("string")).alias("folder")
     issue = F.when(k == 0, "naming_ambiguity").when(k == 1, "architecture_review").when(k == 2, "reusable_asset").when(k == 3, "unknown_customer").otherwise("other")
     severity = F.when(s == 0, "high").when(s == 1, "medium").otherwise("low")
-    findings = p.where("p_partkey % 29 = 1").select(F.col("p_brand").alias("folder"), issue.alias("issue_type"), severity.alias("severity"), (0.25 * (1 + s)).alias("confidence"))
-    return audit.scores(p.select(F.col("p_brand").alias("folder")).distinct(), findings)
+    findings = p.select(folder, issue.alias("issue_type"), severity.alias("severity"), (0.25 * (1 + s)).alias("confidence"))
+    return audit.scores(p.select(folder).distinct(), findings)
 
 
 @query("""WITH m AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id)
@@ -379,11 +410,32 @@ def l02_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def l07_simulation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files of every fifth key are held out, predicted from the others and compared with where they are."""
-    placed = _placed(spark, sf_dir)
-    held = placed.where("p_partkey % 5 = 0")
-    out = held.join(placement.predict(held.drop("destination", "p_partkey"), placement.patterns(placed.where("p_partkey % 5 <> 0"))).withColumnRenamed("destination", "predicted"), "path", "left")
-    return out.select("path", "destination", "predicted", "confidence", P.match_level(F.col("destination"), F.col("predicted")).alias("level"), P.band(F.coalesce("confidence", F.lit(0.0))).alias("band"))
+    """Each file is held out with a fifth of all, predicted from the others and compared with where it is."""
+    placed, folds = _placed(spark, sf_dir), None
+    for k in range(5):
+        held, known = placed.where(F.col("p_partkey") % 5 == k), placed.where(F.col("p_partkey") % 5 != k)
+        found = placement.predict(held.drop("destination", "p_partkey"), placement.patterns(known)).withColumnRenamed("destination", "predicted")
+        fold = held.join(found, "path", "left")
+        folds = fold if folds is None else folds.unionByName(fold)
+    return folds.select("path", "destination", "predicted", "confidence", P.match_level(F.col("destination"), F.col("predicted")).alias("level"), P.band(F.coalesce("confidence", F.lit(0.0))).alias("band"))
+
+
+@query(FILES_SQL + f""", p AS (SELECT path, p_partkey % 9 AS g FROM f), l AS (SELECT path AS a, lead(path) OVER (PARTITION BY g ORDER BY path) AS b, g FROM (SELECT DISTINCT path, g FROM p))
+SELECT min(a) AS component, count(*) AS members FROM l GROUP BY g HAVING count(*) > 1""")
+def n26_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _files(spark, sf_dir).select("path", (F.col("p_partkey") % 9).alias("g")).distinct()
+    pairs = p.select(F.col("path").alias("a"), F.lead("path").over(W.partitionBy("g").orderBy("path")).alias("b"), F.lit(0.95).alias("similarity")).where("b is not null")
+    # Names differ by more than versions, so no pair is a working set.
+    return steward.duplicate_clusters(pairs, [], graph.components).select("component", "members")
+
+
+ANY_SQL = """tok AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents), q AS (SELECT doc_id, t, ' ' || array_to_string(t, ' ') || ' ' AS s FROM tok)"""
+
+
+@query(f"WITH {ANY_SQL} SELECT doc_id AS id FROM q WHERE (list_contains(t, 'der') AND list_contains(t, 'die')) OR (list_contains(t, 'of') AND s LIKE '% of the %' AND NOT list_contains(t, 'la')) OR list_contains(t, 'los')")
+def r03_word_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _t(spark, sf_dir, "documents")
+    return retrieval.word_channel(docs, 'der die or "of the" -la or los', pool=1 << 30).select("id")
 
 
 # ---- names, findings, relationships

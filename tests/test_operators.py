@@ -67,7 +67,7 @@ def test_split():
 
 def test_query_parts():
     q = retrieval.parse_query('alpha "beta gamma" -delta or')
-    assert q == {"all": ["alpha", "beta", "gamma"], "none": ["delta"], "phrases": ["beta gamma"]}
+    assert q == [{"all": ["alpha", "beta", "gamma"], "none": ["delta"], "phrases": ["beta gamma"], "no_phrases": []}]
 
 
 def test_words_without_match(spark):
@@ -147,3 +147,86 @@ def test_findings_can_be_rejected_and_nulls_meet_no_rule(spark):
     left = findings.without_rejected(found.union(found), spark.createDataFrame([("naming_ambiguity", "a/misc")], "issue_type string, path string"))
     assert [r.issue_type for r in left.collect()] == ["orphaned_knowledge"]
     assert findings.folder_findings(spark.createDataFrame([], fields)).count() == 0
+
+
+def test_template_drift(spark):
+    from atheneum.operators import template
+
+    tree = [{"prefix": "A", "label": "PreSales", "canonical": "A. PreSales", "children": [
+        {"prefix": "A.1", "label": "RFI_RFP_RFQ", "canonical": "A.1. RFI_RFP_RFQ", "core": True},
+        {"prefix": "A.2", "label": "Proposal", "canonical": "A.2. Proposal", "core": True, "children": [{"prefix": "A.2.3", "label": "Timeline", "canonical": "A.2.3. Timeline"}, {"prefix": "A.2.5", "label": "Contract", "canonical": "A.2.5. Contract"}]},
+    ]}, {"prefix": "B", "label": "Delivery", "canonical": "B. Delivery"}]
+    paths = ["p/one/A.2. Proposal/A.2.5. Contract", "p/one/A.2. Proposal/A.2.5. Proposal", "p/one/A.2. Proposal", "p/two/A.1. RFI.RFP.RFQ", "p/two/A.1. RFI.RFP.RFQ/B.1.1. Things", "p/two/A.1. RFI.RFP.RFQ/B.1.1. Things/C.1. Skipped", "p/one/A.2. Proposal/A.2.4. Timeline", "p/one/A.2. Proposal/A.2.9. Own"]
+    folders = spark.createDataFrame([(p,) for p in paths], "path string")
+    nodes = template.flatten(spark, tree)
+    initiatives = spark.createDataFrame([("p/one",), ("p/two",), ("p/three",)], "path string")
+    got = {(r.path, r.action, r.destination) for r in template.drift(folders, initiatives, nodes).collect()}
+    assert got == {
+        (paths[1], "renumber", "p/one/A.2. Proposal/A.2.10. Proposal"), (paths[3], "standardize", "A.1. RFI_RFP_RFQ"),
+        (paths[4], "move", "under 'B. Delivery'"), (paths[6], "renumber", "A.2.3. Timeline"),
+    }
+    core = {(r.path, r.destination) for r in template.missing_core(folders, initiatives, nodes).collect()}
+    assert core == {("p/one", "p/one/A.1. RFI_RFP_RFQ"), ("p/two", "p/two/A.2. Proposal"), ("p/three", "p/three/A.1. RFI_RFP_RFQ"), ("p/three", "p/three/A.2. Proposal")}
+    assert {r.path for r in template.outermost(spark.createDataFrame([("a",), ("a/b",), ("c/d",), ("ab",)], "path string")).collect()} == {"a", "c/d", "ab"}
+
+
+def test_word_queries_are_trees():
+    from atheneum.operators.retrieval import parse_query
+
+    group = lambda **k: {"all": [], "none": [], "phrases": [], "no_phrases": []} | k
+    assert parse_query("alpha or beta") == [group(all=["alpha"]), group(all=["beta"])]
+    assert parse_query('a "b c" -d -"e f" or -g') == [group(all=["a", "b", "c"], none=["d"], phrases=["b c"], no_phrases=["e f"]), group(none=["g"])]
+    assert parse_query("!! or") == []
+
+
+def test_search_with_parents_and_neighbours(spark):
+    from atheneum.operators import retrieval
+
+    vector = lambda x: [float(x), 1.0]
+    rows = [(k, 1 if k < 6 else 2, k, f"alpha w{k}", "document", vector(k), 7 if k in (1, 2) else None, "the parent" if k in (1, 2) else None) for k in range(10)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, file_id long, chunk_index long, text string, kind string, embedding array<double>, parent_id long, parent_text string")
+    files = spark.createDataFrame([(1, "f", "one"), (2, "g", "two")], "file_id long, folder string, file_name string")
+    got = retrieval.search(chunks, files, "w2 or w4", F.array(F.lit(2.0), F.lit(1.0)), top_k=3, folder="f", window=1).orderBy("position").collect()
+    assert [r.chunk_id for r in got][0] == 2 and got[0].text == "the parent" and all(r.folder == "f" for r in got) and len(got) == 3
+    four = next(r for r in got if r.chunk_id == 4)
+    assert four.text == "alpha w3\n\nalpha w4\n\nalpha w5" and (four.first, four.last) == (3, 5)
+
+
+def test_registry_cache_and_transcript(spark):
+    from atheneum.sources import files as S
+
+    found = spark.createDataFrame([("a.md", "1"), ("b.md", "2"), ("c.md", "3")], "path string, file_hash string")
+    old = spark.createDataFrame([("a.md", "1"), ("b.md", "x"), ("gone.md", "y")], "path string, file_hash string")
+    now, queue, counters = S.update_registry(old, found)
+    assert counters == {"new": 1, "changed": 1, "unchanged": 1, "deleted": 1} and {r.path for r in queue.collect()} == {"b.md", "c.md"} and now.count() == 3
+    docs = spark.createDataFrame([("a.md", "1", ".md", bytearray(b"plain")), ("b.pdf", "2", ".pdf", bytearray(b"x")), ("c.pdf", "3", ".pdf", bytearray(b"y"))], "path string, file_hash string, extension string, content binary")
+    version = S.converter_version("own", "m", True)
+    cache = spark.createDataFrame([("b.pdf", version, "2", "kept"), ("c.pdf", version, "old", "stale")], "path string, version string, file_hash string, text string")
+    texts, after = S.converted(docs, cache, lambda df: df.select("path", F.lit("made").alias("text")), version)
+    assert {(r.path, r.text) for r in texts.collect()} == {("a.md", "plain"), ("b.pdf", "kept"), ("c.pdf", "made")}
+    assert {(r.path, r.file_hash, r.text) for r in after.collect()} == {("b.pdf", "2", "kept"), ("c.pdf", "3", "made")}
+    segments = spark.createDataFrame([(1, 61.5, 3723.0, "A", " hello "), (1, 0.0, 61.5, "B", "first"), (1, 5.0, 6.0, "A", " ")], "file_id long, start_s double, end_s double, speaker string, text string")
+    assert S.transcript(segments).first().text == "[00:00:00 → 00:01:01] B: first\n[00:01:01 → 01:02:03] A: hello"
+    assert S.expand("${A}-${B:-two}-${C}", {"A": "one"}) == "one-two-"
+
+
+def test_chunks_by_structure(spark):
+    from atheneum.operators import chunking
+
+    docs = spark.createDataFrame([(1, "# Top\nintro words\n## Part\n- a\n- b\n- c", "stem", False, "x"), (2, "  ", "s", False, "x"), (3, "spoken words", "s", True, "Ann")], "doc_id long, text string, stem string, is_audio boolean, speaker string")
+    got = {r.section_path: r for r in chunking.structured_chunks(docs, {"folder": F.lit("own")}).where("doc_id = 1").collect()}
+    assert set(got) == {"Top", "Top > Part"} and got["Top > Part"].chunk_type == "list" and got["Top"].contextual_text.endswith("\n\nintro words") and got["Top"].parent_text == "intro words"
+    routes = {(r.doc_id, r.route, r.content) for r in chunking.routed(docs).collect()}
+    assert (2, "done", None) in routes and (3, "audio", "Ann: spoken words") in routes and len(routes) == 4
+    vectors = docs.select(chunking.hashed_embedding(F.col("text")).alias("v")).collect()
+    assert abs(sum(x * x for x in vectors[0].v) - 1) < 1e-5 and not any(vectors[1].v) and len(vectors[0].v) == 64
+
+
+def test_code_folders_hide_what_is_below(spark):
+    from atheneum.operators import steward
+
+    repos = spark.createDataFrame([("a/repo", True), ("a/docs", False)], "folder string, is_code_repo boolean")
+    rows = spark.createDataFrame([("a/repo",), ("a/repo/src/x",), ("a/docs/y",), ("a/repository",)], "path string")
+    assert {r.path for r in steward.outside_code(rows, repos).collect()} == {"a/repo", "a/docs/y", "a/repository"}
+    levels = spark.createDataFrame([("exact",), ("customer",), ("wrong",), ("exact",)], "match_level string")
+    assert tuple(steward.accuracies(levels).first()) == (4, 2, 0, 1, 1, 0.5, 0.5, 0.75)
