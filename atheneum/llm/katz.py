@@ -122,7 +122,7 @@ def pack(*arrays: np.ndarray) -> bytes:
     parts = []
     for a in arrays:
         a = np.ascontiguousarray(a)
-        parts.append(len(a).to_bytes(8, "little") + a.dtype.str.encode().ljust(4) + a.view(np.uint8).reshape(len(a), -1).T.tobytes())
+        parts.append(len(a).to_bytes(8, "little") + a.dtype.str.encode().ljust(4) + a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes())
     return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
 
 
@@ -477,6 +477,8 @@ def _context_blocks(contexts: DataFrame, sent) -> DataFrame:  # noqa: ANN001
         for b in batches:
             number = uni.numbers(b.column(0).to_numpy())
             hot = np.flatnonzero(number != uni.rare)
+            if not len(hot):
+                continue
             h, high, mass, *low = (b.column(k).to_numpy()[hot] for k in range(3 + K))
             block = pack(number[hot].astype(np.int64), high, mass, *low)
             yield pa.RecordBatch.from_arrays([pa.array([CONTEXTS], pa.int32()), pa.array([0], pa.int32()), pa.array([block], pa.binary())], names=["kind", "at", "block"])

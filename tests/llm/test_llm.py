@@ -542,3 +542,8 @@ def test_training_takes_rows_without_ids(spark):
     rows = [(None, "the same text of many words", "en")] * 50 + [(7, "der gleiche Satz mit vielen Worten", "de")] * 50 + [(7, "the other text", "en")]
     model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_docs=3)
     assert model.langs == ["de", "en"] and [x for x, _ in model.classify([b"the same text of many words", b"der gleiche Satz mit vielen Worten"])] == ["en", "de"]
+
+
+def test_packed_arrays_may_be_empty():
+    given = [np.zeros(0, np.int64), np.arange(5), np.zeros(0, np.float64), np.array([1.5])]
+    assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(katz.unpack(katz.pack(*given)), given, strict=True))
