@@ -260,10 +260,10 @@ def g13_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.readiness({k: g[k] for k in ("entities", "relationships", "evidence", "communities")})
 
 
-@query("""SELECT source AS file, count(*) AS chunks, count(lang) AS with_section, count(DISTINCT lang) AS sections, round(count(lang) / count(*)::DOUBLE, 4) AS coverage
-FROM documents WHERE source ILIKE '%e%' GROUP BY 1""")
+@query("""SELECT lang AS file, count(*) AS chunks, count(source) AS with_section, count(DISTINCT source) AS sections, round(count(source) / count(*)::DOUBLE, 4) AS coverage
+FROM documents WHERE lang ILIKE '%e%' GROUP BY 1""")
 def g14_structure_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.structure_status(_t(spark, sf_dir, "documents").withColumn("section", F.col("lang")), F.col("source"), "e")
+    return K.structure_status(_t(spark, sf_dir, "documents").withColumn("section", F.col("source")), F.col("lang"), "e")
 
 
 CHUNK_STATE = "SELECT doc_id AS chunk_id, CASE doc_id % 3 WHEN 0 THEN 'v1' ELSE 'v2' END AS version, CASE doc_id % 5 WHEN 0 THEN 'failed' ELSE 'done' END AS status FROM documents WHERE doc_id % 4 > 0"
