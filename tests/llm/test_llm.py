@@ -318,6 +318,51 @@ def test_passages_behind_a_shared_phrase(spark):
         assert [(s.start, s.end) for s in got[i]] == [(start, start + 100)]
 
 
+def test_passages_whose_parts_lead_elsewhere(spark):
+    """Words 1-45 of a passage of 80 are in one text and 36-80 in another; the two texts that share the whole are linked."""
+    rng, found = np.random.default_rng(8), 0
+
+    def noise(n):
+        return [f"n{x}" for x in rng.integers(0, 10**9, n)]
+
+    rows = []
+    for g in range(40):
+        passage = [f"g{g}w{k}" for k in range(80)]
+        rows += [noise(40) + passage[:45] + noise(40), noise(40) + passage[35:] + noise(40), noise(40) + passage + noise(40), noise(30) + passage + noise(50)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r for r in substring_dedup.repeated_passages(docs).collect()}
+    for g in range(40):
+        found += all(got[4 * g + k].n_dup_words >= 75 for k in (2, 3))
+        assert got[4 * g + 2].n_dup_words <= 85 and got[4 * g].n_dup_words == got[4 * g + 1].n_dup_words == 0
+    assert found >= 36
+
+
+def test_frequent_keys_are_led_within_a_batch():
+    """Of each frequent key, every row but those of the least class is linked to the least class's first place."""
+    rng = np.random.default_rng(2)
+    seed, of, pos = rng.integers(0, 9, 400).astype(np.uint64) ** 3, rng.integers(-20, 20, 400), rng.permutation(400)
+    led, lead, other = substring_dedup._led(seed, of, pos, often=44)
+    seen = set()
+    for s in np.unique(seed):
+        rows = sorted((int(of[k]), int(pos[k]), int(k)) for k in np.flatnonzero(seed == s))
+        seen.add(len(rows) >= 44)
+        for c, _, k in rows:
+            assert led[k] == (len(rows) >= 44 and c != rows[0][0])
+            assert not led[k] or (lead[k], other[k]) == rows[0][:2]
+    assert seen == {True, False}
+
+
+def test_passages_of_frequent_keys_are_found_alike(spark):
+    """A passage that all texts share is found at the same words whether its keys are led within a batch or not."""
+    rng = np.random.default_rng(5)
+    common = [f"c{k}" for k in range(60)]
+    rows = [[f"n{x}" for x in rng.integers(0, 10**9, 30 + i % 7)] + common + [f"m{x}" for x in rng.integers(0, 10**9, 20)] for i in range(90)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string").coalesce(2)
+    for r in substring_dedup.repeated_passages(docs).collect():
+        start = 30 + r.doc_id % 7
+        assert [tuple(s) for s in r.spans] == [(start, start + 60)] and r.n_dup_words == 60
+
+
 def test_equal_stretch_within_a_poor_alignment():
     same, poor = [(0, 0, 100)], [(100 + 12 * k, 100 + 12 * k, 4) for k in range(1, 30)]
     (found,) = substring_dedup.alike(same + poor)
