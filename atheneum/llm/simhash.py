@@ -11,6 +11,10 @@ Longer fingerprints (lanes of 64 bits, from further mixes of each shingle's hash
 their segments. Links at up to (segments - 1) differing bits are sure to be met; the full check may
 allow more, of which keys find a part that grows with the number of starts. The chain of three is
 always held to its share of the bits allowed.
+
+Where a similarity is demanded, links are candidates only: the exact Jaccard similarity of the shingle
+sets decides. Candidates are thinned to forests by levels of differing bits, so that any two that meet
+within a level are joined by a path of candidates within that level.
 """
 
 from __future__ import annotations
@@ -29,13 +33,19 @@ from atheneum.llm.common import components, lookup, raw, table, written
 MAX_BITS = 3
 #: Fingerprints under one key that a task compares at once; larger groups are split into pairs of blocks.
 BLOCK = 1 << 14
+#: Levels of differing bits that candidates are thinned by, as shares of the bits allowed.
+LEVELS = (0.25, 0.5, 0.75, 1.0)
+#: Candidates of one node are verified in up to so many groups.
+SLOTS = 1024
+#: Ids whose texts are verified are broadcast up to so many; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
-def fingerprint(text: bytes | None, words: int = 3, lanes: int = 1) -> np.ndarray:
-    """The SimHash of a text's word shingles, as lanes unsigned integers of 64 bits; 0 without words."""
+def shingle_hashes(text: bytes | None, words: int = 3) -> np.ndarray:
+    """XXH64 of a text's word shingles, repeats included."""
     ws = (text or b"").lower().split()
     if not ws:
-        return np.zeros(lanes, np.uint64)
+        return np.zeros(0, "<u8")
     digest = xxhash.xxh64_intdigest
     if len(ws) < words:
         hashes = [digest(b" ".join(ws), 42)]
@@ -45,8 +55,18 @@ def fingerprint(text: bytes | None, words: int = 3, lanes: int = 1) -> np.ndarra
         hashes = [digest(b"%b %b %b %b %b" % w, 42) for w in zip(ws, ws[1:], ws[2:], ws[3:], ws[4:], strict=False)]
     else:
         hashes = [digest(b" ".join(ws[i : i + words]), 42) for i in range(len(ws) - words + 1)]
-    h = np.array(hashes, dtype="<u8")
+    return np.array(hashes, dtype="<u8")
+
+
+def fingerprint(text: bytes | None, words: int = 3, lanes: int = 1) -> np.ndarray:
+    """The SimHash of a text's word shingles, as lanes unsigned integers of 64 bits; 0 without words."""
+    return _folded(shingle_hashes(text, words), lanes)
+
+
+def _folded(h: np.ndarray, lanes: int) -> np.ndarray:
     out = np.zeros(lanes, dtype="<u8")
+    if not len(h):
+        return out
     for lane in range(lanes):
         if lane:  # another mix of the same hashes
             h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
@@ -75,15 +95,65 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(id_col, text_col).mapInArrow(run, shape)
 
 
+def _node(distinct: np.ndarray) -> int:
+    """A hash that names a set of shingles, given sorted."""
+    return xxhash.xxh64_intdigest(distinct.tobytes(), 7)
+
+
+def nodes(docs: DataFrame, id_col: str, text_col: str, words: int, lanes: int) -> DataFrame:
+    """id_col, fp, fp1, .. and node, the name of the text's set of shingles."""
+    names = [*_lanes(lanes), "node"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hashes = [shingle_hashes(t, words) for t in raw(b.column(1))]
+            out = np.array([[*_folded(h, lanes), _node(np.unique(h))] for h in hashes], dtype=np.uint64).reshape(-1, lanes + 1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(out[:, k])) for k in range(lanes + 1))], names=[id_col, *names])
+
+    shape = T.StructType([docs.schema[id_col], *(T.StructField(n, T.LongType()) for n in names)])
+    return docs.select(id_col, text_col).mapInArrow(run, shape)
+
+
+def shingle_sets(docs: DataFrame, text_col: str, words: int) -> DataFrame:
+    """(node, shingles), a row for each row of docs: the distinct hashes of its shingles, and their set's name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = raw(b.column(0))
+            for start in range(0, len(texts), 256):
+                sets = [np.unique(shingle_hashes(t, words)) for t in texts[start : start + 256]]
+                offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.array([_node(x) for x in sets], np.uint64).view(np.int64)), lists], names=["node", "shingles"])
+
+    return docs.select(text_col).mapInArrow(run, "node long, shingles array<long>")
+
+
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of pairs (u, v) of nodes whose sets (node, shingles) have at least this Jaccard similarity.
+
+    A node's set is sent once for each of up to SLOTS groups of its pairs, so no task meets all pairs of a node of many."""
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
+    pairs = pairs.withColumns({"us": slot("v"), "vs": slot("u")})
+
+    def side(node: str, group: str, name: str) -> DataFrame:
+        return pairs.select(node, group).distinct().join(sets.select(F.col("node").alias(node), F.col("shingles").alias(name)), node)
+
+    both = pairs.join(side("u", "us", "a"), ["u", "us"]).join(side("v", "vs", "b"), ["v", "vs"])
+    shared = F.size(F.array_intersect("a", "b"))
+    return both.where(shared >= F.lit(similarity) * (F.size("a") + F.size("b") - shared)).select("u", "v")
+
+
 def _keyed(fps: DataFrame, lanes: int) -> DataFrame:
-    """(key, fp ..): a row for each start with the fingerprint's own key, doubled, and rows of its probes, doubled and one more.
+    """(key, fp .., further columns of fps): a row for each start with the fingerprint's own key, doubled, and rows of its probes, doubled and one more.
 
     A key is the start, the segment there and the next one; a probe has one set bit of the next one cleared."""
-    names = _lanes(lanes)
+    names = fps.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.stack([b.column(k).to_numpy() for k in range(lanes)], axis=1)
+            cols = [b.column(k).to_numpy() for k in range(len(names))]
+            fp = np.stack(cols[:lanes], axis=1)
             segments = (fp.view(np.uint64)[:, :, None] >> (np.uint64(16) * np.arange(4, dtype=np.uint64)) & np.uint64(0xFFFF)).astype(np.int64).reshape(len(fp), 4 * lanes)
             for k in range(4 * lanes):
                 second = segments[:, (k + 1) % (4 * lanes)]
@@ -91,20 +161,21 @@ def _keyed(fps: DataFrame, lanes: int) -> DataFrame:
                 at, bit = np.nonzero(second[:, None] >> np.arange(16) & 1)
                 key = np.concatenate([own * 2, (own[at] ^ (1 << bit)) * 2 + 1])
                 of = np.concatenate([np.arange(len(fp)), at])
-                yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(fp[of, k]) for k in range(lanes))], names=["key", *names])
+                yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(c[of]) for c in cols)], names=["key", *names])
 
     return fps.select(names).mapInArrow(run, ", ".join(f"{n} long" for n in ["key", *names]))
 
 
-def _links(keys: list[np.ndarray], fp: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within max_bits among rows that are next to each other with equal keys, as a spanning forest.
+def _links(keys: list[np.ndarray], fp: np.ndarray, name: np.ndarray, levels: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Links within levels[-1] bits among rows that are next to each other with equal keys, as a spanning forest for each level.
 
-    keys[0] is doubled, its last bit marks probes. fp has a row of lanes for each row; links name the first lane."""
+    keys[0] is doubled, its last bit marks probes. fp has a row of lanes for each row; links give the rows' names."""
     n, lanes = fp.shape
+    max_bits = levels[-1]
     probe, keys = keys[0] & 1, [keys[0] >> 1, *keys[1:]]
-    root = np.arange(n)
+    roots = [np.arange(n) for _ in levels]
 
-    def find(x: int) -> int:
+    def find(root: np.ndarray, x: int) -> int:
         while root[x] != x:
             root[x] = root[root[x]]
             x = root[x]
@@ -129,22 +200,26 @@ def _links(keys: list[np.ndarray], fp: np.ndarray, max_bits: int) -> tuple[np.nd
             break
         near = np.bitwise_count(second[left] ^ second[left + d]) + np.bitwise_count(third[left] ^ third[left + d]) <= 3 * max_bits // (4 * lanes)
         u = left[near]
-        u = u[np.bitwise_count(fp[u] ^ fp[u + d]).sum(axis=1) <= max_bits]
-        if len(u):
-            far = root[u] != root[u + d]
-            for x in u[far].tolist():
-                a, b = find(x), find(x + d)
-                if a != b:
-                    root[b] = a
+        bits = np.bitwise_count(fp[u] ^ fp[u + d]).sum(axis=1)
+        level = np.searchsorted(levels, bits)
+        for k, root in enumerate(roots):
+            x = u[level == k]
+            for x in x[root[x] != root[x + d]].tolist():
+                if find(root, x) != find(root, x + d):
                     kept_u.append(x)
                     kept_v.append(x + d)
-    return fp[kept_u, 0].view(np.int64), fp[kept_v, 0].view(np.int64)
+                    for wider in roots[k:]:
+                        wider[find(wider, x + d)] = find(wider, x)
+    return name[kept_u].view(np.int64), name[kept_v].view(np.int64)
 
 
-def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """(u, v), first lanes: enough of the pairs of distinct fingerprints (fp, fp1, ..) within max_bits that meet to connect all that are linked."""
-    lanes = len(fps.columns)
-    names = _lanes(lanes)
+def links(fps: DataFrame, max_bits: int = MAX_BITS, shares: tuple[float, ...] = (1.0,)) -> DataFrame:
+    """(u, v): enough of the pairs of distinct fingerprints (fp, fp1, ..) within max_bits that meet to connect all that are linked.
+
+    That holds at each level of bits, given as shares of max_bits. u and v are first lanes or, where fps has them, nodes."""
+    names = fps.columns
+    lanes = len(names) - ("node" in names)
+    levels = sorted({int(max_bits * x) for x in shares})
     rows = written(_keyed(fps, lanes), "ring")
     of = F.shiftright("key", 1)
     large = written(rows.where("key % 2 = 0").groupBy(of.alias("of")).count().where(F.col("count") > BLOCK), "large")
@@ -159,13 +234,13 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(part: list) -> pa.RecordBatch:
-            u, v = _links(part[:width], part[width], max_bits) if len(part[width]) else (np.zeros(0, np.int64),) * 2
+            u, v = _links(part[:width], part[width][:, :lanes], part[width][:, lanes if len(names) > lanes else 0], levels) if len(part[width]) else (np.zeros(0, np.int64),) * 2
             return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
         held: list[list[np.ndarray]] = []
         size = 0
         for b in batches:
-            held.append([b.column(k).to_numpy() for k in range(width)] + [np.stack([b.column(width + k).to_numpy() for k in range(lanes)], axis=1).view(np.uint64)])
+            held.append([b.column(k).to_numpy() for k in range(width)] + [np.stack([b.column(width + k).to_numpy() for k in range(len(names))], axis=1).view(np.uint64)])
             size += b.num_rows
             if size < 1 << 17:
                 continue
@@ -182,27 +257,42 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
             yield out([np.concatenate(c) for c in zip(*held, strict=True)])
 
     by = [of, *group]
-    rows = rows.repartition(*by).sortWithinPartitions(of, *group, "key")
+    rows = rows.repartition(*by).sortWithinPartitions(of, *group, "key", *names[-1:])  # in one order under all starts, so that links repeat
     return rows.select("key", *group, *names).mapInArrow(run, "u long, v long")
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, lanes: int = 1, max_bits: int = MAX_BITS) -> DataFrame:
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, lanes: int = 1, max_bits: int = MAX_BITS, similarity: float | None = None) -> DataFrame:
     """One row per row of docs: id_col, fingerprint, component_id (the smallest id reachable over links).
 
     Null and blank texts share fingerprint zero and are linked like any other. Equal fingerprints (with
-    several lanes: equal first lanes) meet once, as a class; a class keeps all its rows. Null ids never
-    name a component unless all are null. An empty table gives no rows; further columns of docs are not
-    looked at.
+    several lanes: equal first lanes) meet once, as a class; a class keeps all its rows. With a similarity,
+    a class is a set of shingles, and of the links only those count whose sets have at least this Jaccard
+    similarity. Null ids never name a component unless all are null. An empty table gives no rows; further
+    columns of docs are not looked at.
     """
     names = _lanes(lanes)
-    rows = written(fingerprints(docs, id_col, text_col, words, lanes), "fingerprints")
-    classes = written(rows.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("size")), "classes")
-    of = written(components(links(classes.select("fp") if lanes == 1 else rows.select(names).distinct(), max_bits), "rings"), "rings")
-    of = classes.join(of, classes.fp == of.node, "left").select("fp", "least", "size", F.coalesce("label", "fp").alias("label"))
+    key = "fp" if similarity is None else "node"
+    made = fingerprints(docs, id_col, text_col, words, lanes) if similarity is None else nodes(docs, id_col, text_col, words, lanes)
+    rows = written(made, "fingerprints")
+    classes = written(rows.groupBy(key).agg(F.min(id_col).alias("least"), F.count("*").alias("size")), "classes")
+    if similarity is None:
+        found = links(classes.select("fp") if lanes == 1 else rows.select(names).distinct(), max_bits)
+    else:
+        met = links(rows.select(*names, "node").distinct(), max_bits, LEVELS).where("u <> v")
+        met = written(met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "met")
+        needed = met.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        # A row of every set that is needed: the one with the least id, or any if ids are null.
+        ids = written(classes.join(needed, "node").select(F.col("least").alias(id_col)).distinct(), "ids")
+        ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+        of = docs.select(id_col, text_col).alias("d").join(ids.alias("i"), F.col(f"d.{id_col}").eqNullSafe(F.col(f"i.{id_col}")), "left_semi")
+        sets = written(shingle_sets(of, text_col, words).groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+        found = similar(met, sets, similarity)
+    of = written(components(found, "rings"), "rings")
+    of = classes.join(of, classes[key] == of.node, "left").select(classes[key], "least", "size", F.coalesce("label", classes[key]).alias("label"))
     of = written(of, "labels")
     least = of.groupBy("label").agg(F.min("least").alias("component_id"))
-    of = written(of.join(least, "label").select("fp", "size", "component_id"), "members")
-    out = lookup(rows, of, "fp", "size", rows.count())
+    of = written(of.join(least, "label").select(key, "size", "component_id"), "members")
+    out = lookup(rows, of, key, "size", rows.count())
     shown = F.concat(*(F.lpad(F.lower(F.hex(n)), 16, "0") for n in names))
     return out.select(id_col, shown.alias("fingerprint"), "component_id")
 
