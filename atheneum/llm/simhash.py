@@ -8,8 +8,9 @@ the key (start, first segment, second segment), under which each also probes wit
 second segment cleared. What meets is checked on the chain of three, then on all 64 bits.
 
 Longer fingerprints (lanes of 64 bits, from further mixes of each shingle's hash) are one ring of all
-their segments. Links at up to (segments - 1) differing bits are sure to be met; the full check may
-allow more, of which keys find a part that grows with the number of starts. The chain of three is
+their segments, and of the key's second segment only eight bits count. Links at up to (segments - 1) differing
+bits are sure to be met; the full check may allow more, of which keys find a part that grows with the
+number of starts. The chain of three is
 always held to its share of the bits allowed.
 
 Where a similarity is demanded, links are candidates only: the exact Jaccard similarity of the shingle
@@ -144,11 +145,12 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.where(shared >= F.lit(similarity) * (F.size("a") + F.size("b") - shared)).select("u", "v")
 
 
-def _keyed(fps: DataFrame, lanes: int) -> DataFrame:
+def _keyed(fps: DataFrame, lanes: int, probes: bool = True) -> DataFrame:
     """(key, fp .., further columns of fps): a row for each start with the fingerprint's own key, doubled, and rows of its probes, doubled and one more.
 
-    A key is the start, the segment there and the next one; a probe has one set bit of the next one cleared."""
+    A key is the start, the segment there and the next one (of several lanes: eight bits of it); a probe has one set bit of the next one cleared."""
     names = fps.columns
+    wide = 16 if lanes == 1 else 8
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -156,11 +158,12 @@ def _keyed(fps: DataFrame, lanes: int) -> DataFrame:
             fp = np.stack(cols[:lanes], axis=1)
             segments = (fp.view(np.uint64)[:, :, None] >> (np.uint64(16) * np.arange(4, dtype=np.uint64)) & np.uint64(0xFFFF)).astype(np.int64).reshape(len(fp), 4 * lanes)
             for k in range(4 * lanes):
-                second = segments[:, (k + 1) % (4 * lanes)]
+                second = segments[:, (k + 1) % (4 * lanes)] & ((1 << wide) - 1)
                 own = k << 32 | segments[:, k] << 16 | second
-                at, bit = np.nonzero(second[:, None] >> np.arange(16) & 1)
-                key = np.concatenate([own * 2, (own[at] ^ (1 << bit)) * 2 + 1])
-                of = np.concatenate([np.arange(len(fp)), at])
+                key, of = own * 2, np.arange(len(fp))
+                if probes:
+                    at, bit = np.nonzero(second[:, None] >> np.arange(wide) & 1)
+                    key, of = np.concatenate([key, (own[at] ^ (1 << bit)) * 2 + 1]), np.concatenate([of, at])
                 yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(c[of]) for c in cols)], names=["key", *names])
 
     return fps.select(names).mapInArrow(run, ", ".join(f"{n} long" for n in ["key", *names]))
@@ -220,9 +223,9 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, shares: tuple[float, ...] =
     names = fps.columns
     lanes = len(names) - ("node" in names)
     levels = sorted({int(max_bits * x) for x in shares})
-    rows = written(_keyed(fps, lanes), "ring")
+    rows = _keyed(fps, lanes)  # made twice, which costs less than to store it
     of = F.shiftright("key", 1)
-    large = written(rows.where("key % 2 = 0").groupBy(of.alias("of")).count().where(F.col("count") > BLOCK), "large")
+    large = written(_keyed(fps, lanes, probes=False).groupBy(of.alias("of")).count().where(F.col("count") > BLOCK), "large")
     group = []
     if not large.isEmpty():
         group = ["a", "b"]
@@ -276,9 +279,9 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = written(made, "fingerprints")
     classes = written(rows.groupBy(key).agg(F.min(id_col).alias("least"), F.count("*").alias("size")), "classes")
     if similarity is None:
-        found = links(classes.select("fp") if lanes == 1 else rows.select(names).distinct(), max_bits)
+        found = links(classes.select("fp") if lanes == 1 else written(rows.select(names).distinct(), "distinct"), max_bits)
     else:
-        met = links(rows.select(*names, "node").distinct(), max_bits, LEVELS).where("u <> v")
+        met = links(written(rows.select(*names, "node").distinct(), "distinct"), max_bits, LEVELS).where("u <> v")
         met = written(met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "met")
         needed = met.select(F.explode(F.array("u", "v")).alias("node")).distinct()
         # A row of every set that is needed: the one with the least id, or any if ids are null.
