@@ -199,7 +199,10 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_co
     kept, old = T._parse_datatype_string(FOUND), keep
     given = apart(docs.select(*keep), "n_words", "spans", "items", "_searched", "_found")
     keep = given.columns
-    given = docs.select(*(F.col(c) for c in docs.select(*old).columns), F.col(text_col)).toDF(*keep, "_searched")
+    if text_col in old:  # a kept text is not sent twice
+        given, text = docs.select(*old).toDF(*keep), keep[old.index(text_col)]
+    else:
+        given, text = docs.select(*old, F.col(text_col)).toDF(*keep, "_searched"), "_searched"
 
     def searched(df: DataFrame, items: list) -> DataFrame:
         windows = Windows(items, window)
@@ -209,7 +212,7 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_co
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             def out(held: list[pa.RecordBatch]) -> pa.RecordBatch:
                 whole = pa.Table.from_batches(held).combine_chunks()
-                found = sent.value.search(raw(whole.column("_searched").combine_chunks()))
+                found = sent.value.search(raw(whole.column(text).combine_chunks()))
                 old = whole.column("_found").to_pylist() if "_found" in names else [None] * len(found)
                 merged = []
                 for (n, _, spans, got), was in zip(found, old, strict=True):
@@ -225,7 +228,7 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_co
                 for k in range(0, b.num_rows, 256):
                     part = b.slice(k, 256)
                     held.append(part)
-                    size += sum(len(t or b"") for t in raw(part.column(names.index("_searched"))))
+                    size += sum(len(t or b"") for t in raw(part.column(names.index(text))))
                     if size >= shard_bytes:
                         yield out(held)
                         held, size = [], 0

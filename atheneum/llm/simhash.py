@@ -3,9 +3,10 @@
 Fingerprints are made in Arrow batches. For linking, the 64 bits are a ring of four 16-bit segments.
 By the pigeonring principle (Qin and Xiao 2018), two fingerprints within 3 bits have a segment from
 which every chain of 1, 2, 3 and 4 segments differs in at most floor(chain * 3 / 4) = 0, 1, 2 and 3
-bits. So a chain's first segment must be equal and its second within one bit: fingerprints meet under
-the key (start, first segment, second segment), under which each also probes with one set bit of the
-second segment cleared. What meets is checked on the chain of three, then on all 64 bits.
+bits. So a chain's first segment must be equal and its second within one bit: fingerprints are shuffled
+by (start, first segment), and within a task they meet under the key (start, first segment, second
+segment), under which each also probes with one set bit of the second segment cleared. What meets is
+checked on the chain of three, then on all 64 bits.
 
 Longer fingerprints (lanes of 64 bits, from further mixes of each shingle's hash) are one ring of all
 their segments, and of the key's second segment only eight bits count. Links at up to (segments - 1) differing
@@ -107,8 +108,8 @@ def nodes(docs: DataFrame, id_col: str, text_col: str, words: int, lanes: int) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hashes = [shingle_hashes(t, words) for t in raw(b.column(1))]
-            out = np.array([[*_folded(h, lanes), _node(np.unique(h))] for h in hashes], dtype=np.uint64).reshape(-1, lanes + 1).view(np.int64)
+            out = [(*_folded(h, lanes), _node(np.unique(h))) for h in (shingle_hashes(t, words) for t in raw(b.column(1)))]
+            out = np.array(out, dtype=np.uint64).reshape(-1, lanes + 1).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(out[:, k])) for k in range(lanes + 1))], names=[id_col, *names])
 
     shape = T.StructType([docs.schema[id_col], *(T.StructField(n, T.LongType()) for n in names)])
@@ -145,30 +146,32 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.where(shared >= F.lit(similarity) * (F.size("a") + F.size("b") - shared)).select("u", "v")
 
 
-def _keyed(fps: DataFrame, lanes: int, probes: bool = True) -> DataFrame:
-    """(key, fp .., further columns of fps): a row for each start with the fingerprint's own key, doubled, and rows of its probes, doubled and one more.
-
-    A key is the start, the segment there and the next one (of several lanes: eight bits of it); a probe has one set bit of the next one cleared."""
+def _keyed(fps: DataFrame, lanes: int) -> DataFrame:
+    """(key, fp .., further columns of fps): a row for each start; a key is the start and the segment there."""
     names = fps.columns
-    wide = 16 if lanes == 1 else 8
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols = [b.column(k).to_numpy() for k in range(len(names))]
-            fp = np.stack(cols[:lanes], axis=1)
-            segments = (fp.view(np.uint64)[:, :, None] >> (np.uint64(16) * np.arange(4, dtype=np.uint64)) & np.uint64(0xFFFF)).astype(np.int64).reshape(len(fp), 4 * lanes)
             for k in range(4 * lanes):
-                second = segments[:, (k + 1) % (4 * lanes)] & ((1 << wide) - 1)
-                own = k << 32 | segments[:, k] << 16 | second
-                key, of = own * 2, np.arange(len(fp))
-                if probes:
-                    at, bit = np.nonzero(second[:, None] >> np.arange(wide) & 1)
-                    key, of = np.concatenate([key, (own[at] ^ (1 << bit)) * 2 + 1]), np.concatenate([of, at])
-                yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(c[of]) for c in cols)], names=["key", *names])
+                segment = b.column(k // 4).to_numpy() >> 16 * (k % 4) & 0xFFFF
+                yield pa.RecordBatch.from_arrays([pa.array(k << 16 | segment), *b.columns], names=["key", *names])
 
     return fps.select(names).mapInArrow(run, ", ".join(f"{n} long" for n in ["key", *names]))
 
 
+def _probing(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys with the next segment (of several lanes: eight bits of it), doubled, and the row of each.
+
+    Every row has its own key and, doubled and one more, a probe for each set bit of the next segment, with that bit cleared."""
+    lanes = fp.shape[1]
+    wide = 16 if lanes == 1 else 8
+    after = ((key >> 16) + 1) % (4 * lanes)
+    second = (fp[np.arange(len(fp)), after // 4] >> (np.uint64(16) * (after % 4).astype(np.uint64))).astype(np.int64) & ((1 << wide) - 1)
+    own = key << 16 | second
+    at, bit = np.nonzero(second[:, None] >> np.arange(wide) & 1)
+    return np.concatenate([own * 2, (own[at] ^ (1 << bit)) * 2 + 1]), np.concatenate([np.arange(len(fp)), at])
+
+
 def _links(keys: list[np.ndarray], fp: np.ndarray, name: np.ndarray, levels: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Links within levels[-1] bits among rows that are next to each other with equal keys, as a spanning forest for each level.
 
@@ -223,21 +226,27 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, shares: tuple[float, ...] =
     names = fps.columns
     lanes = len(names) - ("node" in names)
     levels = sorted({int(max_bits * x) for x in shares})
-    rows = _keyed(fps, lanes)  # made twice, which costs less than to store it
-    of = F.shiftright("key", 1)
-    large = written(_keyed(fps, lanes, probes=False).groupBy(of.alias("of")).count().where(F.col("count") > BLOCK), "large")
+    rows = _keyed(fps, lanes)
+    # A start has 2^16 keys, so there are at most 2^18 a lane to count, and large ones can be broadcast.
+    large = written(rows.groupBy(F.col("key").alias("of")).count().where(F.col("count") > BLOCK), "large")
     group = []
     if not large.isEmpty():
         group = ["a", "b"]
         own = F.pmod(F.xxhash64(*names), F.ceil(F.col("count") / BLOCK)).cast("int")
         other = F.explode(F.sequence(F.lit(0), (F.ceil(F.col("count") / BLOCK) - 1).cast("int")))
-        rows = rows.join(large, of == F.col("of"), "left").withColumn("count", F.coalesce("count", F.lit(1))).withColumn("own", own).withColumn("other", other)
+        rows = rows.join(F.broadcast(large), F.col("key") == F.col("of"), "left").withColumn("count", F.coalesce("count", F.lit(1))).withColumn("own", own).withColumn("other", other)
         rows = rows.select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), *names)
     width = 1 + len(group)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(part: list) -> pa.RecordBatch:
-            u, v = _links(part[:width], part[width][:, :lanes], part[width][:, lanes if len(names) > lanes else 0], levels) if len(part[width]) else (np.zeros(0, np.int64),) * 2
+            u = v = np.zeros(0, np.int64)
+            if len(part[0]):
+                key, of = _probing(part[0], part[width][:, :lanes])
+                blocks = [c[of] for c in part[1:width]]
+                order = np.lexsort([*blocks[::-1], key])
+                of = of[order]
+                u, v = _links([key[order], *(c[order] for c in blocks)], part[width][of, :lanes], part[width][of, -1 if len(names) > lanes else 0], levels)
             return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
         held: list[list[np.ndarray]] = []
@@ -245,10 +254,10 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, shares: tuple[float, ...] =
         for b in batches:
             held.append([b.column(k).to_numpy() for k in range(width)] + [np.stack([b.column(width + k).to_numpy() for k in range(len(names))], axis=1).view(np.uint64)])
             size += b.num_rows
-            if size < 1 << 17:
+            if size < BLOCK:
                 continue
             cols = [np.concatenate(c) for c in zip(*held, strict=True)]
-            last = cols[0] >> 1 == cols[0][-1] >> 1
+            last = cols[0] == cols[0][-1]
             for c in cols[1:width]:
                 last &= c == c[-1]
             cut = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
@@ -259,8 +268,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, shares: tuple[float, ...] =
         if held:
             yield out([np.concatenate(c) for c in zip(*held, strict=True)])
 
-    by = [of, *group]
-    rows = rows.repartition(*by).sortWithinPartitions(of, *group, "key", *names[-1:])  # in one order under all starts, so that links repeat
+    rows = rows.repartition("key", *group).sortWithinPartitions("key", *group, *names[-1:])  # in one order under all starts, so that links repeat
     return rows.select("key", *group, *names).mapInArrow(run, "u long, v long")
 
 
