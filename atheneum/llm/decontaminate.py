@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from atheneum.llm.common import apart, raw, table
+from atheneum.llm.common import apart, raw, table, words_of
 
 WINDOW = 13
 #: A shard ends at so many bytes of text.
@@ -26,13 +26,6 @@ SHARD_BYTES = 16 << 20
 PASS_BYTES = 16 << 20
 SAMPLE = 8
 
-_WORD = bytes(c if c >= 0x80 or chr(c).isdigit() or chr(c).islower() else ord(chr(c).lower()) if chr(c).isupper() else 0x20 for c in range(256))
-
-
-def words_of(text: bytes | None) -> list[bytes]:
-    return (text or b"").translate(_WORD).split()
-
-
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Prefix doubling: ranks of 1, 2, 4, ... symbols until all differ. text ends with a unique smallest symbol."""
     n = len(text)

@@ -9,6 +9,7 @@ from atheneum.llm.katz import op2_katz
 from atheneum.llm.language_id import op4_language_id
 from atheneum.llm.line_dedup import op5_line_dedup
 from atheneum.llm.mixing import op9_mixing
+from atheneum.llm.resampling import OP11_SQL, op11_resample
 from atheneum.llm.sharding import op6_sharding
 from atheneum.llm.simhash import op8_simhash
 from atheneum.llm.substring_dedup import op7_substring_dedup
@@ -18,7 +19,8 @@ QUERIES = {
     for f in (
         op1_exact_dedup, op2_katz, op3_chat_format, op4_language_id, op5_line_dedup,
         op6_sharding, op7_substring_dedup, op8_simhash, op9_mixing, op10_decontaminate,
+        op11_resample,
     )
 }
 
-SQL = {"op1_exact_dedup": OP1_SQL, "op3_chat_format": OP3_SQL, "op10_decontaminate": OP10_SQL}
+SQL = {"op1_exact_dedup": OP1_SQL, "op3_chat_format": OP3_SQL, "op10_decontaminate": OP10_SQL, "op11_resample": OP11_SQL}
