@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from atheneum.llm.chat_format import OP3_SQL, op3_chat_format
 from atheneum.llm.decontaminate import OP10_SQL, op10_decontaminate
+from atheneum.llm.divergence import OP12_SQL, op12_divergence
 from atheneum.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from atheneum.llm.katz import op2_katz
 from atheneum.llm.language_id import op4_language_id
@@ -19,8 +20,8 @@ QUERIES = {
     for f in (
         op1_exact_dedup, op2_katz, op3_chat_format, op4_language_id, op5_line_dedup,
         op6_sharding, op7_substring_dedup, op8_simhash, op9_mixing, op10_decontaminate,
-        op11_resample,
+        op11_resample, op12_divergence,
     )
 }
 
-SQL = {"op1_exact_dedup": OP1_SQL, "op3_chat_format": OP3_SQL, "op10_decontaminate": OP10_SQL, "op11_resample": OP11_SQL}
+SQL = {"op1_exact_dedup": OP1_SQL, "op3_chat_format": OP3_SQL, "op10_decontaminate": OP10_SQL, "op11_resample": OP11_SQL, "op12_divergence": OP12_SQL}
