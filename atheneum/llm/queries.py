@@ -14,13 +14,14 @@ from atheneum.llm.resampling import OP11_SQL, op11_resample
 from atheneum.llm.sharding import op6_sharding
 from atheneum.llm.simhash import op8_simhash
 from atheneum.llm.substring_dedup import op7_substring_dedup
+from atheneum.llm.toxicity import op13_toxicity
 
 QUERIES = {
     f.__name__: f
     for f in (
         op1_exact_dedup, op2_katz, op3_chat_format, op4_language_id, op5_line_dedup,
         op6_sharding, op7_substring_dedup, op8_simhash, op9_mixing, op10_decontaminate,
-        op11_resample, op12_divergence,
+        op11_resample, op12_divergence, op13_toxicity,
     )
 }
 
