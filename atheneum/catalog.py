@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from atheneum.functions import filters, labels
 from atheneum.operators import knowledge as K
-from atheneum.operators import ledger
+from atheneum.operators import ledger, state
 from atheneum.registry import query
 from atheneum.registry import table as _t
 
@@ -93,12 +93,11 @@ def j06_related_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.related_names(g["relationships"], g["entities"])
 
 
-@query("""SELECT o.o_orderkey, l.l_linenumber::BIGINT AS line, l.l_suppkey FROM orders o LEFT JOIN LATERAL
-(SELECT * FROM lineitem l WHERE l.l_orderkey = o.o_orderkey ORDER BY l_shipdate DESC, l_linenumber DESC LIMIT 1) l ON true""")
+@query("""SELECT o.o_orderkey, l.l_linenumber::BIGINT AS line, l.l_suppkey FROM orders o LEFT JOIN (SELECT l_orderkey, l_linenumber, l_suppkey,
+row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_linenumber DESC, l_partkey DESC, l_suppkey DESC) AS n FROM lineitem) l ON l.l_orderkey = o.o_orderkey AND l.n = 1""")
 def j10_latest_of_each(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max_by(F.struct("l_linenumber", "l_suppkey"), F.struct("l_shipdate", "l_linenumber")).alias("x"))
-    out = _t(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    return out.select("o_orderkey", F.col("x.l_linenumber").cast("long").alias("line"), "x.l_suppkey")
+    lines = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate", "l_partkey")
+    return state.with_latest(_t(spark, sf_dir, "orders").select("o_orderkey"), lines, "o_orderkey", "l_orderkey", ["l_shipdate", "l_linenumber", "l_partkey", "l_suppkey"]).select("o_orderkey", F.col("latest.l_linenumber").cast("long").alias("line"), "latest.l_suppkey")
 
 
 @query("""SELECT c_nationkey::BIGINT AS nation, c_mktsegment AS segment, count(*) AS customers, count(DISTINCT s_suppkey) AS suppliers FROM customer JOIN

@@ -73,6 +73,14 @@ def initiative_key(path: Column, containers: list[str] = ()) -> Column:
     return F.array_join(F.slice(parts, F.lit(1), last), "/")
 
 
+def working_folder(path: Column) -> Column:
+    """The parent folder without trailing folders of resources, drafts, materials or versions."""
+    parts = F.split(P.parent(path), "/")
+    holds = lambda x: F.lower(F.trim(x)).rlike(r"resource|^(drafts?|final|materials)$|^v\d+([ _-].*)?$|^version")
+    last = F.aggregate(F.sequence(F.lit(1), F.size(parts)), F.lit(0), lambda acc, k: F.when(holds(F.element_at(parts, k)), acc).otherwise(k))
+    return F.array_join(F.slice(parts, F.lit(1), last), "/")
+
+
 def rounded_vector(vector: Column, digits: int = 7) -> Column:
     """Elements as the text form of a stored vector keeps them."""
     return F.transform(vector, lambda x: F.round(x.cast("double"), digits))

@@ -23,7 +23,8 @@ TEMPORAL = [
     "(0[1-9]|1[0-2])", "sprint[ _-]?[0-9]+", "q[1-4]([ _-]?20[0-9]{2})?", "week[ _-]?[0-9]{1,2}", "[0-9]{2}[._ -]?w[0-9]{1,2}",
 ]
 VERSION = [r"version[ _-]?[0-9]+(\.[0-9]+)*", r"v[0-9]+(\.[0-9]+)*"]
-AFFIXES = [r"^page\s*\d+[ _-]?", r"^v\d+(\.\d+)?[ _-]?", r"[ _-]v\d+(\.\d+)?$", r"[ _-]?\(\d+\)$", r"[ _-]?_?conflict.*$", "[ _-]?copy$", "[ _-]?final$", "[ _-]?draft$"]
+FRONT_AFFIXES = [r"page\s*\d+[ _-]?", r"v\d+(\.\d+)?[ _-]?"]
+BACK_AFFIXES = [r"[ _-]v\d+(\.\d+)?", r"[ _-]?\(\d+\)", r"[ _-]?_?conflict.*", "[ _-]?copy", "[ _-]?final", "[ _-]?draft"]
 
 
 def name(path: Column) -> Column:
@@ -64,12 +65,11 @@ def asset_name(path: Column) -> Column:
     return F.trim(F.regexp_replace(value, r"\([0-9]+\)$", ""))
 
 
-def working_stem(path: Column, rounds: int = 6) -> Column:
-    value = stem(path)
-    for _ in range(rounds):
-        for affix in AFFIXES:
-            value = F.regexp_replace(value, f"(?i){affix}", "")
-    return F.lower(F.trim(value))
+def working_stem(path: Column) -> Column:
+    """The stem without any number of working affixes at either end, in lower case; what is nothing but affixes keeps its last."""
+    edge = "[ _-]+"
+    front = F.regexp_replace(stem(path), "(?is)^(?:" + "|".join([*FRONT_AFFIXES, edge]) + ")+(?=.)", "")
+    return F.lower(F.trim(F.regexp_replace(front, "(?is)^(.+?)(?:" + "|".join([*BACK_AFFIXES, edge]) + ")+$", "$1")))
 
 
 def project_context(path: Column) -> Column:
@@ -86,6 +86,16 @@ def temporal(folder: Column) -> Column:
     return folder.rlike("(?i)^(" + "|".join(TEMPORAL) + ")$")
 
 
+def under_temporal(path: Column) -> Column:
+    """Whether one of the folders above a file is named by a time."""
+    parts = F.split(path, "/")
+    return F.exists(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda x: temporal(F.trim(x)))
+
+
+def date_stamped(path: Column) -> Column:
+    return name(path).rlike(rf"(?i)\d{{1,2}}\s*({MONTHS})\w*\s*\d{{2,4}}")
+
+
 def version_container(folder: Column) -> Column:
     return folder.rlike("(?i)^(" + "|".join(VERSION) + ")$")
 

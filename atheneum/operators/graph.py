@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from atheneum.functions.text import entity_key, entity_type
+from atheneum.storage import written
 
 
 def merge_entities(mentions: DataFrame) -> DataFrame:
@@ -40,19 +39,32 @@ def ring_layout(nodes: DataFrame, group: str, order: str, center: float = 18.0)
 
 
 def components(edges: DataFrame, source: str = "a", target: str = "b") -> DataFrame:
-    """(node, component): the least node reachable, by least labels that also jump to their label's label.
-
-    Each round is checkpointed to the shared folder; only the number of changes reaches the driver."""
-    spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():  # tests: a cluster names a folder that its machines share
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    both = edges.select(F.col(source).alias("n"), F.col(target).alias("m")).union(edges.select(target, source)).distinct().checkpoint()
-    labels = both.groupBy("n").agg(F.least(F.min("m"), F.col("n")).alias("l")).checkpoint()
-    while True:
-        near = both.join(labels.toDF("m", "lm"), "m").groupBy("n").agg(F.min("lm").alias("best"))
-        step = labels.join(near, "n").select("n", F.col("l").alias("old"), F.least("l", "best").alias("l"))
-        jump = labels.toDF("l", "up")
-        step = step.join(jump, "l", "left").select("n", "old", F.least("l", F.coalesce("up", "l")).alias("l")).checkpoint()
-        labels = step.select("n", "l")
-        if step.where("old <> l").isEmpty():
-            return labels.toDF("node", "component")
+    """(node, component): the least node reachable from each node of edges, by star contraction (Kiveris et al. 2014).
+
+    In turn each node links its larger neighbours to the least one about it, then itself and its smaller ones; paths
+    shrink by halves. Each step is a written table, and only two numbers a step reach the driver. Nodes may be of any
+    ordered kind; loops are components of one, rows without both ends are left out."""
+    given = edges.select(F.col(source).alias("u"), F.col(target).alias("v")).where("u is not null and v is not null")
+
+    def directed(e: DataFrame) -> DataFrame:
+        return e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+    def mark(e: DataFrame) -> tuple:
+        return tuple(e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
+
+    step = written(directed(given), "links")
+    before = mark(step)
+    while before[0]:
+        both = step.unionByName(step.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = directed(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        step = written(directed(small.unionByName(least.select("u", F.col("m").alias("v")))), "links")
+        after = mark(step)
+        if after == before:
+            break
+        before = after
+    alone = given.where("u = v").select("u").distinct().join(step.select("u").union(step.select("v")), "u", "left_anti")
+    roots = step.select("v").distinct().union(alone)
+    return step.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("v", "v"))

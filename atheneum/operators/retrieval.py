@@ -13,8 +13,8 @@ from atheneum.functions.vectors import cosine
 POOL, TOP_K, RRF_K, W_VECTOR, W_WORDS = 50, 20, 60, 1.0, 0.5
 
 
-def _ranked(df: DataFrame, order: list[Column], pool: int, rank: str) -> DataFrame:
-    # The limit comes first, so the window without partition sees pool rows only.
+def ranked(df: DataFrame, order: list[Column], pool: int, rank: str) -> DataFrame:
+    """The first `pool` rows in an order, numbered; the window without partition sees these alone."""
     return df.orderBy(*order).limit(pool).withColumn(rank, F.row_number().over(W.orderBy(*order)))
 
 
@@ -22,7 +22,7 @@ def vector_channel(vectors: DataFrame, query: Column, pool: int = POOL, key: str
     """(id, similarity, rank_v) of the nearest vectors; filters apply before the limit."""
     df = vectors.where(F.col(vector).isNotNull() if where is None else F.col(vector).isNotNull() & where)
     df = df.select(F.col(key).alias("id"), F.round(cosine(F.col(vector), query), 6).alias("similarity"))
-    return _ranked(df, [F.desc("similarity"), F.asc("id")], pool, "rank_v")
+    return ranked(df, [F.desc("similarity"), F.asc("id")], pool, "rank_v")
 
 
 def parse_query(text: str) -> list[dict[str, list[str]]]:
@@ -56,7 +56,7 @@ def word_channel(docs: DataFrame, text: str, pool: int = POOL, key: str = "doc_i
     words = sorted({w for g in query for w in g["all"]})
     absent = sorted({w for g in query for w in g["none"]})
     phrases = sorted({p for g in query for p in g["phrases"] + g["no_phrases"]})
-    df = (docs if where is None else docs.where(where)).select(F.col(key).alias("id"), terms(F.col("text")).alias("t"))
+    df = (docs if where is None else docs.where(where)).select(F.col(key).alias("id"), terms(F.coalesce("text", F.lit(""))).alias("t"))
 
     def times(w: str) -> Column:
         return F.size(F.filter("t", lambda x: x == F.lit(w)))
@@ -84,7 +84,7 @@ def word_channel(docs: DataFrame, text: str, pool: int = POOL, key: str = "doc_i
         idf = F.log(1 + (F.col("docs") - F.col(f"df{k}") + 0.5) / (F.col(f"df{k}") + 0.5))
         score += idf * F.col(f"tf{k}") * (k1 + 1) / (F.col(f"tf{k}") + k1 * (1 - b + b * F.col("n") / F.col("mean")))
     df = df.where(match).crossJoin(F.broadcast(stats)).select("id", F.round(score, 6).alias("bm25"))  # stats is one row
-    return _ranked(df, [F.desc("bm25"), F.asc("id")], pool, "rank_f")
+    return ranked(df, [F.desc("bm25"), F.asc("id")], pool, "rank_f")
 
 
 def fuse(vector: DataFrame, words: DataFrame, top_k: int = TOP_K, k: int = RRF_K, w_vector: float = W_VECTOR, w_words: float = W_WORDS) -> DataFrame:

@@ -23,6 +23,14 @@ def latest(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 
+def with_latest(rows: DataFrame, history: DataFrame, key: str, history_key: str, order: list[str]) -> DataFrame:
+    """rows with `latest`, the struct of the row of history that is last in the order for their key, or null.
+
+    The order has to be total for a definite answer. Each task keeps one row a key, so a key of very many rows does not gather."""
+    last = history.groupBy(F.col(history_key).alias(key)).agg(F.max_by(F.struct(*history.columns), F.struct(*order)).alias("latest"))
+    return rows.join(last, key, "left")
+
+
 def fold_queue(events: DataFrame, key: str, status: str, at: str, seq: str, failed: str, done: str) -> DataFrame:
     """The queue row of each key from its events: last status, attempts, first start, completion and time by status.
 

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from atheneum.functions import filters, labels
 from atheneum.functions import names as N
 from atheneum.functions import paths as P
+from atheneum.functions.vectors import mean_vectors
 from atheneum.operators import classify as C
-from atheneum.operators import ledger
+from atheneum.operators import graph, ledger, vector_index
+from atheneum.storage import written
 
 # What each role may not be told, the sections of a report, extensions and folders of code.
 SUPPRESSED = {role: ["duplicate_topic", "knowledge_duplication", "architecture_review", "naming_ambiguity", "orphaned_knowledge", "missing_initiative_metadata"] for role in ("root", "container", "temporal")}
@@ -51,20 +53,42 @@ def reusable(assets: DataFrame, resources: str = "04 Resources", customers: int
     return df.orderBy(F.desc("reuse_score"), F.desc("copy_count"), "asset_key").limit(limit)
 
 
-def duplicate_clusters(pairs: DataFrame, containers: list[str], components) -> DataFrame:  # noqa: ANN001
-    """Clusters (component, members, initiatives, similarity, severity) of similar files from pairs (a, b, similarity), paths.
+def meant_apart(a: Column, b: Column) -> Column:
+    """Whether two like files are meant to be two: a working set (one stem begins the other, in one folder but for
+    drafts and versions) or entries of a time series (both in folders named by times, other names, one with a date)."""
+    one, two = P.working_stem(a), P.working_stem(b)
+    working = (one != "") & (two != "") & (one.startswith(two) | two.startswith(one)) & (labels.working_folder(a) == labels.working_folder(b))
+    series = P.under_temporal(a) & P.under_temporal(b) & (P.name(a) != P.name(b)) & (P.date_stamped(a) | P.date_stamped(b))
+    return working | series
 
-    Pairs of one working set (equal stems in one initiative) and pairs of dated notes do not count. A
-    cluster within one initiative is low, within several medium, of four files or more in several high."""
-    key = lambda c: labels.initiative_key(F.col(c), containers)
-    working = (P.working_stem(F.col("a")) == P.working_stem(F.col("b"))) & (key("a") == key("b"))
-    dated = P.temporal(P.stem(F.col("a"))) & P.temporal(P.stem(F.col("b")))
-    kept = pairs.where(~working & ~dated)
-    of = components(kept.select("a", "b"))
+
+def duplicate_clusters(pairs: DataFrame) -> DataFrame:
+    """Clusters (component, members, folders, files, similarity, severity, confidence) of pairs (a, b, similarity) of paths.
+
+    Pairs that are meant apart do not count. A cluster within one folder, but for drafts and versions, is low, else
+    medium. The first six files are listed."""
+    kept = written(pairs.where(~meant_apart(F.col("a"), F.col("b"))), "pairs")
+    of = graph.components(kept)
     best = kept.join(of.withColumnRenamed("node", "a"), "a").groupBy("component").agg(F.max("similarity").alias("similarity"))
-    out = of.withColumn("initiative", key("node")).groupBy("component").agg(F.count("*").alias("members"), F.countDistinct("initiative").alias("initiatives")).join(best, "component")
-    severity = F.when(F.col("initiatives") < 2, "low").when(F.col("members") >= 4, "high").otherwise("medium")
-    return out.withColumn("severity", severity)
+    ranked = of.withColumn("folder", labels.working_folder(F.col("node"))).withColumn("_n", F.row_number().over(W.partitionBy("component").orderBy("node")))
+    by = ranked.groupBy("component").agg(
+        F.count("*").alias("members"), F.countDistinct("folder").alias("folders"), F.array_sort(F.collect_list(F.when(F.col("_n") <= 6, F.col("node")))).alias("files"),
+    )
+    severity = F.when(F.col("folders") == 1, "low").otherwise("medium")
+    return by.join(best, "component").withColumns({"severity": severity, "confidence": F.round(F.least("similarity", F.lit(0.99)), 2)})
+
+
+def semantic_duplicates(files: DataFrame, chunks: DataFrame, least_chunks: int = 2, threshold: float = 0.92, most: int = 200) -> DataFrame:
+    """duplicate_clusters of files (path, root, file_hash) by the mean vectors of their chunks (path, embedding).
+
+    Files with fewer chunks or equal hashes make no pair; each root's `most` most similar pairs count, by path on ties.
+    Pairs are found by random hyperplanes (vector_index.similar_pairs, recall 0.99 at the threshold) and are exact."""
+    mean = mean_vectors(chunks.where(F.col("embedding").isNotNull()), ["path"], "embedding").where(F.col("n") >= least_chunks)
+    rows = written(files.select("path", "root", "file_hash").join(mean, "path").select(F.col("path").alias("id"), F.col("mean").alias("vector"), "root", "file_hash"), "vectors")
+    found = vector_index.similar_pairs(rows, threshold)
+    of = rows.select("id", "root", "file_hash")
+    found = found.join(of.toDF("a", "root", "ha"), "a").join(of.toDF("b", "rb", "hb"), "b").where((F.col("root") == F.col("rb")) & ~F.col("ha").eqNullSafe(F.col("hb")))
+    return duplicate_clusters(vector_index.best_pairs(found, "root", most).select("a", "b", "similarity"))
 
 
 def unsuppressed(findings: DataFrame) -> DataFrame:

@@ -13,9 +13,10 @@ from atheneum.functions import names
 from atheneum.functions import paths as P
 from atheneum.functions import text as T
 from atheneum.functions.vectors import cosine, mean_vectors
-from atheneum.operators import audit, chunking, findings, graph, placement, retrieval, state, steward
+from atheneum.operators import audit, chunking, findings, graph, placement, retrieval, state, steward, vector_index, word_index
 from atheneum.registry import QUERIES, SQL, query
 from atheneum.registry import table as _t
+from atheneum.storage import fresh_path
 
 FLAGSHIP = "r01_hybrid_search"
 QUERY_VECTOR, QUERY_WORDS = 7, "the of"
@@ -52,15 +53,44 @@ def _query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
     return list(_t(spark, sf_dir, "embeddings").where(F.col("vec_id") == QUERY_VECTOR).select("embedding").first()[0])
 
 
+#: Indexes of this session, by table and the last change of its files.
+_INDEXES: dict[tuple, word_index.WordIndex | vector_index.VectorIndex] = {}
+
+
+def _indexed(spark: SparkSession, rows: DataFrame, kind: str, build) -> word_index.WordIndex | vector_index.VectorIndex:  # noqa: ANN001
+    """The index of rows: built when a session first asks for it, and again when its files change."""
+    changed = rows.select(F.max("_metadata.file_modification_time")).first()[0]
+    key = (spark.sparkContext.applicationId, kind, tuple(rows.inputFiles()), changed)
+    if key not in _INDEXES:
+        _INDEXES[key] = build(fresh_path(spark, kind))
+    return _INDEXES[key]
+
+
+def _words(spark: SparkSession, sf_dir: str) -> word_index.WordIndex:
+    docs = _t(spark, sf_dir, "documents")
+    return _indexed(spark, docs, "words", lambda path: word_index.build(docs.select(F.col("doc_id").alias("id"), "text", "lang", "source"), path))
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> vector_index.VectorIndex:
+    rows = _t(spark, sf_dir, "embeddings")
+    return _indexed(spark, rows, "vectors", lambda path: vector_index.build(rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label"), path))
+
+
 @query(f"WITH {VEC_SQL} SELECT id, similarity, rank_v::BIGINT AS rank_v FROM vec")
 def r02_vector_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = F.array(*(F.lit(float(x)) for x in _query_vector(spark, sf_dir)))
-    return retrieval.vector_channel(_t(spark, sf_dir, "embeddings"), q).withColumn("rank_v", F.col("rank_v").cast("long"))
+    return _vectors(spark, sf_dir).nearest(_query_vector(spark, sf_dir)).withColumn("rank_v", F.col("rank_v").cast("long"))
 
 
 @query(f"WITH {FTS_SQL} SELECT id, bm25, rank_f::BIGINT AS rank_f FROM fts")
 def r03_word_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.word_channel(_t(spark, sf_dir, "documents"), QUERY_WORDS).withColumn("rank_f", F.col("rank_f").cast("long"))
+    return _words(spark, sf_dir).match(QUERY_WORDS).withColumn("rank_f", F.col("rank_f").cast("long"))
+
+
+@query(f"WITH {FTS_SQL.replace('FROM documents)', chr(39).join(['FROM documents WHERE lang = ', 'en', ' AND source <> ', 'src3', ')']))} SELECT id, bm25, rank_f::BIGINT AS rank_f FROM fts")
+def r03_filtered_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filters hold before lengths and frequencies are taken and before the cut."""
+    found = _words(spark, sf_dir).match(QUERY_WORDS, (F.col("lang") == "en") & (F.col("source") != "src3"))
+    return found.withColumn("rank_f", F.col("rank_f").cast("long"))
 
 
 @query(f"""WITH {VEC_SQL}, {FTS_SQL}
@@ -382,14 +412,51 @@ def n29_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.scores(p.select(folder).distinct(), findings)
 
 
-@query("""WITH m AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id)
-SELECT a, b, similarity FROM m WHERE similarity >= 0.92""")
+# Files of two roots with chunks: each fourth vector has a copy that is a little off, each eighth another, each
+# sixteenth an exact one; some lie in a folder of their own, some are versions in one folder, some dated notes.
+CLOSE_SQL = """WITH p AS (SELECT a.vec_id, a.embedding::DOUBLE[] AS v, coalesce(b.embedding, a.embedding)::DOUBLE[] AS w FROM embeddings a LEFT JOIN embeddings b ON b.vec_id = a.vec_id + 1),
+f AS (SELECT vec_id, k, list_transform(range(1, len(v) + 1), lambda i: v[i] + CASE k WHEN 1 THEN 0.2::DOUBLE WHEN 2 THEN 0.35::DOUBLE ELSE 0 END * w[i]) AS m, 'r' || vec_id % 2 AS root, CASE WHEN k = 3 THEN vec_id || '-0' ELSE vec_id || '-' || k END AS hash,
+  'r' || vec_id % 2 || '/' || CASE vec_id % 3 WHEN 0 THEN 'P' || k || '/Deck/plan ' || vec_id || '.md' WHEN 1 THEN 'P/Deck/plan ' || vec_id || CASE k WHEN 0 THEN '' ELSE ' v' || k END || '.md' ELSE '2024/notes ' || (k + 1) || ' Jan 24 ' || vec_id || '.md' END AS path
+  FROM p, range(4) t(k) WHERE k = 0 OR vec_id % (CASE k WHEN 1 THEN 4 WHEN 2 THEN 8 ELSE 16 END) = 0),
+m AS (SELECT * FROM f WHERE vec_id % 11 <> 3),
+pairs AS (SELECT a.root, a.path AS a, b.path AS b, a.vec_id % 3 AS c, a.vec_id AS x, b.vec_id AS y, round(list_cosine_similarity(a.m, b.m), 6) AS similarity FROM m a JOIN m b ON a.root = b.root AND a.path < b.path AND a.hash <> b.hash),
+best AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY similarity DESC, a, b) AS n FROM pairs WHERE similarity >= 0.92)"""
+
+
+def _close(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Files (path, root, file_hash) and chunks (path, embedding) as in CLOSE_SQL."""
+    e = _t(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    p = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("w")), "vec_id", "left").withColumn("w", F.coalesce("w", "v"))
+    id, k = F.col("vec_id"), F.col("k")
+    p = p.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(3)))).where((k == 0) | (id % F.when(k == 1, 4).when(k == 2, 8).otherwise(16) == 0))
+    root = F.concat(F.lit("r"), (id % 2).cast("string"))
+    name = F.when(id % 3 == 0, F.concat(F.lit("P"), k.cast("string"), F.lit("/Deck/plan "), id.cast("string")))
+    name = name.when(id % 3 == 1, F.concat(F.lit("P/Deck/plan "), id.cast("string"), F.when(k == 0, "").otherwise(F.concat(F.lit(" v"), k.cast("string")))))
+    name = name.otherwise(F.concat(F.lit("2024/notes "), (k + 1).cast("string"), F.lit(" Jan 24 "), id.cast("string")))
+    off = F.when(k == 1, 0.2).when(k == 2, 0.35).otherwise(0.0)
+    p = p.select("vec_id", root.alias("root"), F.concat(root, F.lit("/"), name, F.lit(".md")).alias("path"), F.concat(id.cast("string"), F.lit("-"), F.when(k == 3, F.lit("0")).otherwise(k.cast("string"))).alias("file_hash"), F.zip_with("v", "w", lambda a, b: a + off * b).alias("m"))
+    chunks = p.withColumn("j", F.explode(F.sequence(F.lit(0), F.when(id % 11 == 3, 0).otherwise(2)))).select("path", F.transform("m", lambda x: x * (F.col("j") + 1)).alias("embedding"))
+    return p.select("path", "root", "file_hash"), chunks
+
+
+@query(f"{CLOSE_SQL} SELECT root, a, b, similarity FROM best WHERE n <= 200")
 def n26_similar_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs within a label, the block; the similarity is exact."""
-    e = _t(spark, sf_dir, "embeddings")
-    pairs = e.alias("x").join(e.alias("y"), (F.col("x.label") == F.col("y.label")) & (F.col("x.vec_id") < F.col("y.vec_id")))
-    sim = F.round(cosine(F.col("x.embedding"), F.col("y.embedding")), 6)
-    return pairs.select(F.col("x.vec_id").alias("a"), F.col("y.vec_id").alias("b"), sim.alias("similarity")).where("similarity >= 0.92")
+    """Pairs of near mean vectors within a root, met by random hyperplanes; the similarity is exact."""
+    files, chunks = _close(spark, sf_dir)
+    mean = mean_vectors(chunks, ["path"], "embedding").where("n >= 2").select(F.col("path").alias("id"), F.col("mean").alias("vector"))
+    of = files.select("path", "root", "file_hash")
+    found = vector_index.similar_pairs(mean, 0.92).join(of.toDF("a", "root", "ha"), "a").join(of.toDF("b", "rb", "hb"), "b").where("root = rb and not ha <=> hb")
+    return vector_index.best_pairs(found, "root", 200).select("root", "a", "b", "similarity")
+
+
+@query(f"""{CLOSE_SQL.replace("WITH p", "WITH RECURSIVE p", 1)}, kept AS (SELECT * FROM best WHERE n <= 200 AND NOT (x = y AND c IN (1, 2))),
+ends AS (SELECT a, b FROM kept UNION SELECT b, a FROM kept), reach AS (SELECT DISTINCT a AS node, a AS other FROM ends UNION SELECT reach.node, ends.b FROM reach JOIN ends ON ends.a = reach.other),
+of AS (SELECT node, min(other) AS component FROM reach GROUP BY 1), top AS (SELECT component, max(similarity) AS similarity FROM kept JOIN of ON node = a GROUP BY 1),
+g AS (SELECT component, count(*) AS members, count(DISTINCT regexp_replace(node, '/[^/]*$', '')) AS folders, list_sort(list(node))[1:6] AS files FROM of GROUP BY 1)
+SELECT component, members, folders, array_to_string(files, '|') AS files, similarity, CASE WHEN folders = 1 THEN 'low' ELSE 'medium' END AS severity, round(least(similarity, 0.99), 2) AS confidence FROM g JOIN top USING (component)""")
+def n26_semantic_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = steward.semantic_duplicates(*_close(spark, sf_dir))
+    return found.select("component", "members", "folders", F.array_join("files", "|").alias("files"), "similarity", "severity", "confidence")
 
 
 # ---- placement
@@ -420,13 +487,15 @@ def l07_simulation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.select("path", "destination", "predicted", "confidence", P.match_level(F.col("destination"), F.col("predicted")).alias("level"), P.band(F.coalesce("confidence", F.lit(0.0))).alias("band"))
 
 
-@query(FILES_SQL + f""", p AS (SELECT path, p_partkey % 9 AS g FROM f), l AS (SELECT path AS a, lead(path) OVER (PARTITION BY g ORDER BY path) AS b, g FROM (SELECT DISTINCT path, g FROM p))
-SELECT min(a) AS component, count(*) AS members FROM l GROUP BY g HAVING count(*) > 1""")
+@query(FILES_SQL.replace("WITH f", "WITH RECURSIVE f", 1) + """, p AS (SELECT DISTINCT path, p_partkey % 9 AS g FROM f), l AS (SELECT path AS a, lead(path) OVER (PARTITION BY g ORDER BY path) AS b FROM p),
+e AS (SELECT a, b FROM l WHERE b IS NOT NULL UNION SELECT b, a FROM l WHERE b IS NOT NULL),
+reach AS (SELECT s AS start, s AS node FROM (SELECT min(path) AS s FROM p GROUP BY g) UNION SELECT start, e.b FROM reach JOIN e ON e.a = reach.node)
+SELECT component, count(*) AS members FROM (SELECT node, min(start) AS component FROM (SELECT node, min(start) OVER (PARTITION BY node) AS start FROM reach) GROUP BY 1) GROUP BY 1""")
 def n26_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of files that share members are one component."""
     p = _files(spark, sf_dir).select("path", (F.col("p_partkey") % 9).alias("g")).distinct()
-    pairs = p.select(F.col("path").alias("a"), F.lead("path").over(W.partitionBy("g").orderBy("path")).alias("b"), F.lit(0.95).alias("similarity")).where("b is not null")
-    # Names differ by more than versions, so no pair is a working set.
-    return steward.duplicate_clusters(pairs, [], graph.components).select("component", "members")
+    pairs = p.select(F.col("path").alias("a"), F.lead("path").over(W.partitionBy("g").orderBy("path")).alias("b")).where("b is not null")
+    return graph.components(pairs).groupBy("component").agg(F.count("*").alias("members"))
 
 
 ANY_SQL = """tok AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents), q AS (SELECT doc_id, t, ' ' || array_to_string(t, ' ') || ' ' AS s FROM tok)"""
@@ -434,8 +503,7 @@ ANY_SQL = """tok AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+')
 
 @query(f"WITH {ANY_SQL} SELECT doc_id AS id FROM q WHERE (list_contains(t, 'der') AND list_contains(t, 'die')) OR (list_contains(t, 'of') AND s LIKE '% of the %' AND NOT list_contains(t, 'la')) OR list_contains(t, 'los')")
 def r03_word_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _t(spark, sf_dir, "documents")
-    return retrieval.word_channel(docs, 'der die or "of the" -la or los', pool=1 << 30).select("id")
+    return _words(spark, sf_dir).match('der die or "of the" -la or los', pool=1 << 30).select("id")
 
 
 # ---- names, findings, relationships
