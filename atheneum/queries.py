@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from atheneum import catalog, tree  # noqa: F401, they register their queries
+from atheneum import catalog, flows, tree  # noqa: F401, they register their queries
 from atheneum.functions import names
 from atheneum.functions import paths as P
 from atheneum.functions import text as T
