@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from atheneum.operators.refresh import Graph
 from atheneum.registry import query
 from atheneum.registry import table as _t
 from atheneum.storage import fresh_path
@@ -59,3 +60,28 @@ def st02_file_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _run_in_parts(scans, at, lambda s: machine.file_changes(s, 1800))
     k = ((F.unix_timestamp("scan_at") - 1_767_225_600) / 3600).cast("long")
     return spark.read.parquet(out).select("path", k.alias("k"), "file_hash", "change")
+
+
+# Chunks are orders: each has evidence for an edge from its customer to a target, and mentions its customer. In the end
+# the cancelled ones (status P) are gone, the open ones have another target, and the rest came in two parts.
+CHUNK_SQL = """chunks AS (SELECT o_orderkey AS chunk, o_custkey AS node, CASE o_orderstatus WHEN 'O' THEN o_orderkey % 40 ELSE o_orderkey % 50 END AS target FROM orders WHERE o_orderstatus <> 'P')"""
+
+
+@query(f"""WITH {CHUNK_SQL}, e AS (SELECT DISTINCT node * 1000 + target AS edge_id, node AS source, 1000000 + target AS target FROM chunks),
+ends AS (SELECT source AS node FROM e UNION ALL SELECT target FROM e), d AS (SELECT node, count(*) AS degree FROM ends GROUP BY 1), m AS (SELECT node, count(*) AS mentions FROM chunks GROUP BY 1)
+SELECT node, coalesce(degree, 0) AS degree, coalesce(mentions, 0) AS mentions, greatest(1, coalesce(degree, 0) + coalesce(mentions, 0)) AS weight FROM d FULL JOIN m USING (node)""")
+def g12_incremental_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Node weights kept by signed deltas over two inserts, an update and a delete, equal to a recount of what is left."""
+    o = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("chunk"), F.col("o_custkey").alias("node"), F.col("o_orderstatus").alias("status"))
+
+    def evidence(rows: DataFrame, targets: int) -> DataFrame:
+        target = F.col("chunk") % targets
+        return rows.select((F.col("node") * 1000 + target).alias("edge_id"), F.col("node").alias("source"), (1_000_000 + target).alias("target"))
+
+    none, first, late = o.limit(0), o.where("chunk % 3 <> 0"), o.where("chunk % 3 = 0")
+    opened, gone = o.where("status = 'O'"), o.where("status = 'P'")
+    graph = Graph.empty(spark, fresh_path(spark, "graph"))
+    for name, before, after in (("first", none, first), ("late", none, late), ("gone", gone, none)):
+        graph = graph.changed(name, (evidence(before, 50), evidence(after, 50)), (before, after))
+    graph = graph.changed("moved", (evidence(opened, 50), evidence(opened, 40)), (opened, opened))
+    return graph.weights()

@@ -475,16 +475,28 @@ def l02_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placement.patterns(_placed(spark, sf_dir)).select("customer", "kind", "destination", "support", "first_path")
 
 
-@query()
+LEFT_SQL = PLACED_SQL + """, s AS (SELECT path, customer, destination, kind, p_partkey % 5 AS fold, CASE p_size % 4 WHEN 0 THEN 'proposal' WHEN 1 THEN 'meeting' WHEN 2 THEN 'presentation' END AS signal FROM p JOIN part USING (p_partkey)),
+learned AS (SELECT f.fold, customer, kind, destination, count(*) AS support, list(DISTINCT signal) FILTER (signal IS NOT NULL) AS signals, min(path) AS first_path FROM s JOIN (SELECT DISTINCT fold FROM s) f ON f.fold <> s.fold GROUP BY ALL),
+met AS (SELECT s.path, s.fold, l.destination, l.support, l.first_path, round(least(0.4 + 0.5 * (0.45 + CASE WHEN s.kind = l.kind THEN 0.1 ELSE 0 END + CASE WHEN list_contains(l.signals, s.signal) THEN 0.1 ELSE 0 END) + 0.1 * least(l.support / 5, 1.0), 0.99)::DOUBLE, 4) AS confidence FROM s JOIN learned l ON l.fold = s.fold AND l.customer = s.customer),
+best AS (SELECT DISTINCT path, fold, destination AS predicted, confidence FROM (SELECT *, row_number() OVER (PARTITION BY path, fold ORDER BY confidence DESC, support DESC, first_path, destination) AS n FROM met) WHERE n = 1),
+sim AS (SELECT path, destination, predicted, confidence, CASE WHEN predicted IS NULL THEN 'wrong' WHEN predicted = destination THEN 'exact' WHEN array_length(string_split(predicted, '/')) >= 4 AND array_length(string_split(destination, '/')) >= 4 AND string_split(predicted, '/')[1:4] = string_split(destination, '/')[1:4] THEN 'initiative'
+  WHEN string_split(predicted, '/')[1:3] = string_split(destination, '/')[1:3] THEN 'customer' ELSE 'wrong' END AS match_level, CASE WHEN coalesce(confidence, 0) >= 0.95 THEN 'auto_place' WHEN coalesce(confidence, 0) >= 0.75 THEN 'suggest' ELSE 'needs_review' END AS band FROM s LEFT JOIN best USING (path, fold))"""
+
+
+def _simulated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return placement.simulate(_placed(spark, sf_dir).withColumn("fold", F.col("p_partkey") % 5), "fold")
+
+
+@query(LEFT_SQL + " SELECT path, destination, predicted, confidence, match_level AS level, band FROM sim")
 def l07_simulation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each file is held out with a fifth of all, predicted from the others and compared with where it is."""
-    placed, folds = _placed(spark, sf_dir), None
-    for k in range(5):
-        held, known = placed.where(F.col("p_partkey") % 5 == k), placed.where(F.col("p_partkey") % 5 != k)
-        found = placement.predict(held.drop("destination", "p_partkey"), placement.patterns(known)).withColumnRenamed("destination", "predicted")
-        fold = held.join(found, "path", "left")
-        folds = fold if folds is None else folds.unionByName(fold)
-    return folds.select("path", "destination", "predicted", "confidence", P.match_level(F.col("destination"), F.col("predicted")).alias("level"), P.band(F.coalesce("confidence", F.lit(0.0))).alias("band"))
+    return _simulated(spark, sf_dir).withColumnRenamed("match_level", "level")
+
+
+@query(LEFT_SQL + """ SELECT count(*) AS total, count(*) FILTER (match_level = 'exact') AS exact, count(*) FILTER (match_level = 'initiative') AS initiative, count(*) FILTER (match_level = 'customer') AS customer, count(*) FILTER (match_level = 'wrong') AS wrong,
+round(count(*) FILTER (match_level = 'exact') / count(*), 4) AS exact_accuracy, round(count(*) FILTER (match_level IN ('exact', 'initiative')) / count(*), 4) AS initiative_accuracy, round(count(*) FILTER (match_level <> 'wrong') / count(*), 4) AS customer_accuracy FROM sim""")
+def l07_accuracies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return steward.accuracies(_simulated(spark, sf_dir))
 
 
 @query(FILES_SQL.replace("WITH f", "WITH RECURSIVE f", 1) + """, p AS (SELECT DISTINCT path, p_partkey % 9 AS g FROM f), l AS (SELECT path AS a, lead(path) OVER (PARTITION BY g ORDER BY path) AS b FROM p),
