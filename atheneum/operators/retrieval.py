@@ -122,19 +122,27 @@ def collapse_parents(hits: DataFrame, top_k: int) -> DataFrame:
 def search(chunks: DataFrame, files: DataFrame, text: str, vector: Column, top_k: int = TOP_K, folder: str | None = None, kind: str | None = None, window: int = 3, pool: int = POOL) -> DataFrame:
     """Hybrid search over chunks (chunk_id, file_id, chunk_index, text, kind, embedding, parent_id, parent_text) of files (file_id, folder, file_name).
 
-    Filters apply before both channels are cut to the pool. The first hit of a parent gives the parent's
-    text and lists the later ones; a hit without a parent gives its neighbours within the window. Columns:
-    position, chunk_id, file_name, folder, score, similarity, text, first, last, also."""
+    Filters apply before both channels are cut to the pool; both read all chunks that pass (search.indexed_search does
+    not). Columns: see results()."""
     cand = max(pool, top_k)
-    tests = [F.col("folder") == folder if folder else None, F.col("kind") == kind if kind else None]
-    where = filters.all_of(*tests)
-    of = chunks.join(files.select("file_id", "folder", "file_name"), "file_id").where(where)
-    hits = fuse(vector_channel(of, vector, cand, "chunk_id"), word_channel(of, text, cand, "chunk_id"), min(cand, 3 * top_k))
-    hits = hits.join(of.select(F.col("chunk_id").alias("id"), "file_id", "folder", "file_name", "chunk_index", "parent_id", "parent_text"), "id")
+    of = chunks.join(files.select("file_id", "folder", "file_name"), "file_id").where(within(folder, kind))
+    return results(fuse(vector_channel(of, vector, cand, "chunk_id"), word_channel(of, text, cand, "chunk_id"), min(cand, 3 * top_k)), chunks, files, top_k, window)
+
+
+def within(folder: str | None, kind: str | None) -> Column:
+    return filters.all_of(F.col("folder") == folder if folder else None, F.col("kind") == kind if kind else None)
+
+
+def results(hits: DataFrame, chunks: DataFrame, files: DataFrame, top_k: int = TOP_K, window: int = 3) -> DataFrame:
+    """The results of fused hits: position, chunk_id, file_name, folder, score, similarity, text, first, last, also.
+
+    The first hit of a parent gives the parent's text and lists the later ones; a hit without a parent gives its
+    neighbours within the window. Hits are as many as a pool, so they are broadcast and chunks are not shuffled."""
+    of = chunks.select(F.col("chunk_id").alias("id"), "file_id", "chunk_index", "parent_id", "parent_text").join(F.broadcast(hits), "id").join(files.select("file_id", "folder", "file_name"), "file_id")
     order = W.orderBy(F.desc("score"), F.desc_nulls_last("similarity"), "id")  # over the pool only
-    hits = hits.withColumns({"rank": F.row_number().over(order), "query": F.lit(1)})
-    found = collapse_parents(hits.select("query", "rank", F.col("id").alias("chunk"), F.col("parent_id").alias("parent")), top_k)
-    near = neighbours(hits.where("parent_id is null").select("file_id", "chunk_index"), chunks, window, "file_id", "chunk_index", "text")
+    of = of.withColumns({"rank": F.row_number().over(order), "query": F.lit(1)})
+    found = collapse_parents(of.select("query", "rank", F.col("id").alias("chunk"), F.col("parent_id").alias("parent")), top_k)
+    near = neighbours(of.where("parent_id is null").select("file_id", "chunk_index"), chunks, window, "file_id", "chunk_index", "text")
     near = near.withColumnRenamed("hit", "chunk_index")
-    out = found.join(hits, F.col("chunk") == F.col("id")).join(near, ["file_id", "chunk_index"], "left")
+    out = found.join(of, F.col("chunk") == F.col("id")).join(near, ["file_id", "chunk_index"], "left")
     return out.select("position", F.col("chunk").alias("chunk_id"), "file_name", "folder", F.round("score", 6).alias("score"), F.round("similarity", 4).alias("similarity"), F.coalesce("parent_text", "context").alias("text"), "first", "last", "also")

@@ -13,7 +13,7 @@ from atheneum.functions import names
 from atheneum.functions import paths as P
 from atheneum.functions import text as T
 from atheneum.functions.vectors import cosine, mean_vectors
-from atheneum.operators import audit, chunking, findings, graph, placement, retrieval, state, steward, vector_index, word_index
+from atheneum.operators import audit, chunking, findings, graph, placement, retrieval, search, state, steward, vector_index, word_index
 from atheneum.registry import QUERIES, SQL, query
 from atheneum.registry import table as _t
 from atheneum.storage import fresh_path
@@ -54,10 +54,10 @@ def _query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
 
 
 #: Indexes of this session, by table and the last change of its files.
-_INDEXES: dict[tuple, word_index.WordIndex | vector_index.VectorIndex] = {}
+_INDEXES: dict[tuple, object] = {}
 
 
-def _indexed(spark: SparkSession, rows: DataFrame, kind: str, build) -> word_index.WordIndex | vector_index.VectorIndex:  # noqa: ANN001
+def _indexed(spark: SparkSession, rows: DataFrame, kind: str, build):  # noqa: ANN001, ANN202
     """The index of rows: built when a session first asks for it, and again when its files change."""
     changed = rows.select(F.max("_metadata.file_modification_time")).first()[0]
     key = (spark.sparkContext.applicationId, kind, tuple(rows.inputFiles()), changed)
@@ -101,6 +101,40 @@ def r01_hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", "score", "similarity", "rank_v", "rank_f")
 
 
+# Turns as chunks of conversations, which lie in five folders; the first turns of every other one have a parent.
+CHUNKS_SQL = """n AS (SELECT count(*) AS n FROM embeddings), c AS (SELECT conv_id * 100 + turn AS id, conv_id, turn, text, role, 'f' || conv_id % 5 AS folder, CASE WHEN conv_id % 2 = 0 AND turn < 3 THEN conv_id END AS parent_id, embedding::DOUBLE[] AS embedding
+  FROM conversations, n, embeddings WHERE vec_id = (conv_id * 7 + turn) % n.n), o AS (SELECT * FROM c WHERE folder = 'f1')"""
+FOUND_SQL = f"""{CHUNKS_SQL}, vec AS (SELECT id, similarity, row_number() OVER (ORDER BY similarity DESC, id) AS rank_v FROM (SELECT id, round(list_cosine_similarity(o.embedding, q.embedding::DOUBLE[]), 6) AS similarity FROM o, (SELECT embedding FROM embeddings WHERE vec_id = {QUERY_VECTOR}) q) ORDER BY similarity DESC, id LIMIT 50),
+tf AS (SELECT id, len(t) AS n, len(list_filter(t, lambda x: x = 'der')) AS a, len(list_filter(t, lambda x: x = 'the')) AS b FROM (SELECT id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM o)),
+st AS (SELECT count(*) AS docs, avg(n) AS mean, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM tf),
+fts AS (SELECT id, row_number() OVER (ORDER BY bm25 DESC, id) AS rank_f FROM (SELECT id, round(ln(1 + (docs - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * n / mean)) + ln(1 + (docs - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * n / mean)), 6) AS bm25 FROM tf, st WHERE a > 0 OR b > 0) ORDER BY bm25 DESC, id LIMIT 50),
+fused AS (SELECT id, round(coalesce(1.0::DOUBLE / (60 + rank_v), 0) + coalesce(0.5::DOUBLE / (60 + rank_f), 0), 6) AS score, similarity FROM vec FULL JOIN fts USING (id) ORDER BY score DESC, similarity DESC NULLS LAST, id LIMIT 30),
+h AS (SELECT *, row_number() OVER (ORDER BY score DESC, similarity DESC NULLS LAST, id) AS rank, coalesce('p' || parent_id, 'c' || id) AS grp FROM fused JOIN c USING (id)),
+m AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY rank) AS nth FROM h), r AS (SELECT *, sum(CASE WHEN nth = 1 THEN 1 ELSE 0 END) OVER (ORDER BY rank) AS results FROM m),
+s AS (SELECT *, min(CASE WHEN results = 10 AND nth = 1 THEN rank END) OVER () AS stop FROM r),
+g AS (SELECT min(results)::INT AS position, arg_min(id, rank) AS id, coalesce(string_agg(id::VARCHAR, ',' ORDER BY id) FILTER (nth > 1), '') AS also FROM s WHERE stop IS NULL OR rank <= stop GROUP BY grp),
+w AS (SELECT h.id, string_agg(c.text, chr(10) || chr(10) ORDER BY c.turn) AS context, min(c.turn) AS first, max(c.turn) AS last FROM h JOIN c ON c.conv_id = h.conv_id AND c.turn BETWEEN h.turn - 1 AND h.turn + 1 WHERE h.parent_id IS NULL GROUP BY 1)"""
+
+
+def _chunks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    e = _t(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    conv, turn = F.col("conv_id"), F.col("turn")
+    has_parent = (conv % 2 == 0) & (turn < 3)
+    c = _t(spark, sf_dir, "conversations").crossJoin(F.broadcast(e.agg(F.count("*").alias("n")))).withColumn("vec_id", (conv * 7 + turn) % F.col("n")).join(e, "vec_id")  # the count is one row
+    chunks = c.select((conv * 100 + turn).alias("chunk_id"), conv.alias("file_id"), turn.alias("chunk_index"), "text", F.col("role").alias("kind"), "embedding", F.when(has_parent, conv).alias("parent_id"), F.when(has_parent, F.concat(F.lit("parent of "), conv.cast("string"))).alias("parent_text"))
+    files = _t(spark, sf_dir, "conversations").select(conv.alias("file_id"), F.concat(F.lit("f"), (conv % 5).cast("string")).alias("folder"), F.concat(F.lit("c"), conv.cast("string")).alias("file_name")).distinct()
+    return chunks, files
+
+
+@query(f"""WITH {FOUND_SQL} SELECT position, id AS chunk_id, 'c' || conv_id AS file_name, folder, score, round(similarity, 4) AS similarity, coalesce('parent of ' || parent_id, context) AS text, w.first, w.last, also FROM g JOIN h USING (id) LEFT JOIN w USING (id)""")
+def r01_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole search over both indexes: a folder, pools, fusion, parents with their later hits, neighbours of the others."""
+    chunks, files = _chunks(spark, sf_dir)
+    index = _indexed(spark, _t(spark, sf_dir, "conversations"), "chunks", lambda path: search.build(chunks, files, path))
+    found = index.search(chunks, files, "der or the", _query_vector(spark, sf_dir), top_k=10, folder="f1", window=1)
+    return found.withColumn("also", F.array_join("also", ",")).withColumn("position", F.col("position").cast("int"))
+
+
 @query("""SELECT h.conv_id, h.turn AS hit, string_agg(c.text, chr(10) || chr(10) ORDER BY c.turn) AS context, min(c.turn) AS first, max(c.turn) AS last
 FROM conversations h JOIN conversations c ON c.conv_id = h.conv_id AND c.turn BETWEEN h.turn - 1 AND h.turn + 1 WHERE h.role = 'assistant' GROUP BY 1, 2""")
 def r05_neighbour_window(spark: SparkSession, sf_dir: str) -> DataFrame:
