@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from atheneum.functions import labels
 from atheneum.functions import paths as P
+from atheneum.storage import written
 
 NODES = "prefix string, label string, canonical string, core boolean, words string, by_prefix boolean, by_label boolean"
 
@@ -48,8 +49,8 @@ def outermost(paths: DataFrame) -> DataFrame:
     return own.join(inner, "path", "left_anti")
 
 
-def _finding(issue: str, severity: str, confidence: float, action: str, to: Column) -> list[Column]:
-    return [F.col("path"), F.lit(issue).alias("issue_type"), F.lit(severity).alias("severity"), F.lit(confidence).alias("confidence"), F.lit(action).alias("action"), to.cast("string").alias("destination")]
+def _finding(issue: str, severity: str, confidence: float, action: str, to: Column) -> Column:
+    return F.struct(F.lit(issue).alias("issue_type"), F.lit(severity).alias("severity"), F.lit(confidence).alias("confidence"), F.lit(action).alias("action"), to.cast("string").alias("destination"))
 
 
 def drift(folders: DataFrame, initiatives: DataFrame, template: DataFrame) -> DataFrame:
@@ -60,43 +61,43 @@ def drift(folders: DataFrame, initiatives: DataFrame, template: DataFrame) -> Da
     belongs elsewhere, and what is below it is not looked at. A template label under another spelling
     is standardised, one under another index of the same letter and depth renumbered, unless its own
     slot is held. Templates are small and broadcast."""
-    found = _under(stages(folders), initiatives).drop("initiative").distinct()
+    parts = F.split("path", "/")
+    inner = F.slice(parts, F.size(F.split("initiative", "/")) + 1, F.size(parts))
+    # Every folder name below an initiative is parsed once, and the rows are stored: the rest looks at them often.
+    found = _under(folders.select("path"), initiatives).where("path <> initiative").select("path", P.parent(F.col("path")).alias("parent"), P.name(F.col("path")).alias("name"), F.transform(inner, P.stage_parts).alias("chain"))
+    found = written(found.where(F.element_at("chain", -1).isNotNull()).distinct(), "stages")
+    over = F.filter(F.slice("chain", F.lit(1), F.size("chain") - 1), lambda s: s.isNotNull())
+    found = found.select("path", "parent", "name", F.element_at("chain", -1).alias("s"), F.transform(over, lambda s: s["letter"]).alias("letters"))
+    found = found.select("path", "parent", "name", "s.*", "letters", labels.stage_prefix(F.col("s")).alias("prefix"), labels.label_words(F.col("s.label")).alias("words"))
+    # What is below a stage under another letter is not looked at.
+    found = found.where(F.size(F.array_distinct("letters")) <= 1)
     nodes = F.broadcast(template.where("by_prefix").select("prefix", F.col("words").alias("slot_words"), F.col("canonical").alias("slot")))
-    found = found.join(nodes, "prefix", "left")
     named = F.broadcast(template.where("by_label").select("words", F.col("prefix").alias("home"), F.col("canonical").alias("home_name")))
-    found = found.join(named, "words", "left")
+    root = F.broadcast(template.where("by_prefix and not contains(prefix, '.')").select(F.col("prefix").alias("letter"), F.col("canonical").alias("letter_name")))
+    found = found.join(nodes, "prefix", "left").join(named, "words", "left").join(root, "letter", "left")
     fits = F.coalesce(F.col("words") == F.col("slot_words"), F.lit(False))
     siblings = W.partitionBy("parent")
     twins = W.partitionBy("parent", "prefix")
     found = found.withColumns({
-        "n": F.count("*").over(twins), "nth": F.row_number().over(twins.orderBy(F.desc(fits.cast("int")), "path")),
+        "fits": fits, "n": F.count("*").over(twins), "nth": F.row_number().over(twins.orderBy(F.desc(fits.cast("int")), "path")),
         "used": F.coalesce(F.max(F.try_element_at("indices", F.lit(-1))).over(siblings), F.lit(0)),
         "held": F.collect_set(F.when(fits, F.col("prefix"))).over(siblings),
     })
     collides = (F.col("n") > 1) & (F.col("nth") > 1)
-    astray = F.coalesce(F.col("above") != F.col("letter"), F.lit(False))
-    # A stage below one that is astray is not looked at further.
-    astray_paths = found.where(astray).select("path")
-    below = _under(found.select("path"), astray_paths).where("initiative <> path").select("path").distinct()
-    found = found.join(below, "path", "left_anti")
+    astray = F.coalesce(F.try_element_at("letters", F.lit(1)) != F.col("letter"), F.lit(False))
     order = F.sum(collides.cast("int")).over(siblings.orderBy("prefix", "nth").rowsBetween(W.unboundedPreceding, 0))
-    found = found.withColumn("next", F.col("used") + order)
+    found = found.withColumns({"next": F.col("used") + order, "collides": collides, "astray": astray})
     renumbered = F.concat(F.col("letter"), F.lit("."), F.array_join(F.concat(F.transform(F.slice("indices", F.lit(1), F.greatest(F.size("indices") - 1, F.lit(0))), lambda x: x.cast("string")), F.array(F.col("next").cast("string"))), "."), F.lit(". "), F.col("label"))
-    root = F.broadcast(template.where("by_prefix and not contains(prefix, '.')").select(F.col("prefix").alias("letter"), F.col("canonical").alias("letter_name")))
-    found = found.join(root, "letter", "left")
-    spelled = fits & (F.col("name") != F.col("slot"))
-    shifted = F.col("home").isNotNull() & ~collides & (F.col("prefix") != F.col("home")) & (F.col("letter") == F.substring("home", 1, 1))
+    spelled = F.col("fits") & (F.col("name") != F.col("slot"))
+    shifted = F.col("home").isNotNull() & ~F.col("collides") & (F.col("prefix") != F.col("home")) & (F.col("letter") == F.substring("home", 1, 1))
     shifted &= (F.size("indices") == F.size(F.split("home", r"\.")) - 1) & ~F.array_contains("held", F.col("home"))
-    parts = [
-        found.where(collides).select(*_finding("template_drift", "medium", 0.9, "renumber", F.concat_ws("/", "parent", renumbered))),
-        found.where(astray).select(*_finding("template_drift", "medium", 0.88, "move", F.concat(F.lit("under '"), F.col("letter_name"), F.lit("'")))),
-        found.where(~astray & spelled).select(*_finding("naming_inconsistency", "low", 0.85, "standardize", F.col("slot"))),
-        found.where(~astray & ~spelled & shifted).select(*_finding("template_drift", "low", 0.8, "renumber", F.col("home_name"))),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    told = F.array_compact(F.array(
+        F.when(F.col("collides"), _finding("template_drift", "medium", 0.9, "renumber", F.concat_ws("/", "parent", renumbered))),
+        F.when(F.col("astray"), _finding("template_drift", "medium", 0.88, "move", F.concat(F.lit("under '"), F.col("letter_name"), F.lit("'"))))
+        .when(spelled, _finding("naming_inconsistency", "low", 0.85, "standardize", F.col("slot")))
+        .when(shifted, _finding("template_drift", "low", 0.8, "renumber", F.col("home_name"))),
+    ))
+    return found.select("path", F.explode(told).alias("x")).select("path", "x.*")
 
 
 def missing_core(folders: DataFrame, initiatives: DataFrame, template: DataFrame) -> DataFrame:
@@ -110,4 +111,17 @@ def missing_core(folders: DataFrame, initiatives: DataFrame, template: DataFrame
     listed = F.array(*(F.struct(*(F.lit(r[c]).alias(c) for c in ("prefix", "words", "canonical"))) for r in core.collect()))
     wanted = initiatives.select(F.col("path").alias("initiative"), F.explode(listed).alias("x")).select("initiative", "x.*")
     left = wanted.join(have.select("initiative", "prefix"), ["initiative", "prefix"], "left_anti").join(have.select("initiative", "words"), ["initiative", "words"], "left_anti")
-    return left.withColumn("path", F.col("initiative")).select(*_finding("project_completeness", "medium", 0.85, "review", F.concat_ws("/", "initiative", "canonical")))
+    return left.select(F.col("initiative").alias("path"), _finding("project_completeness", "medium", 0.85, "review", F.concat_ws("/", "initiative", "canonical")).alias("x")).select("path", "x.*")
+
+
+def validated(folders: DataFrame, classified: DataFrame, archetypes: DataFrame, lifecycles: DataFrame, template: DataFrame, with_stages: list[str]) -> DataFrame:
+    """All template findings of a tree: folders (path), classified (path, folder_type), archetypes (path, archetype), lifecycles (path, lifecycle).
+
+    Initiatives are folders classified so, and customers with a stage right below; of nested ones the outermost counts.
+    Drift is looked for wherever there are stages; core stages are asked of archetypes with a stage tree (with_stages)
+    that are in presales, delivery or otherwise active."""
+    direct = folders.where(P.stage_parts(P.name(F.col("path"))).isNotNull()).select(P.parent(F.col("path")).alias("path")).distinct()
+    own = classified.where("folder_type = 'initiative'").select("path").union(classified.where("folder_type = 'customer'").join(direct, "path", "left_semi").select("path"))
+    initiatives = written(outermost(own).join(archetypes, "path", "left").join(lifecycles, "path", "left"), "initiatives")
+    active = initiatives.where(F.col("archetype").isin(with_stages) & F.col("lifecycle").isin("active_presales", "delivery", "active"))
+    return drift(folders, initiatives.select("path"), template).unionByName(missing_core(folders, active.select("path"), template))

@@ -115,6 +115,45 @@ def n15_template_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return template.drift(f, _initiatives(f), template.flatten(spark, TREE)).select("path", "action", "destination")
 
 
+# Stage folders of parts as initiatives: six kinds of drift, each with what is said of it.
+STAGES = {0: ["A.1. RFI.RFP"], 1: ["A.2. Proposal", "A.2. Extras", "A.2. More"], 2: ["A.1. RFI_RFP", "A.1. RFI_RFP/B.1. Things", "A.1. RFI_RFP/B.1. Things/C.1. Deep"], 3: ["A.5. Proposal"], 4: ["A.2. Proposal", "A.2. Proposal/A.2.7. Timeline"], 5: ["notes", "notes/A.1. Rfi-Rfp", "A.2. Proposal", "A.3. Proposal"]}
+
+
+def _staged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Folders and initiatives as STAGES has them, by p_size % 6."""
+    p = _t(spark, sf_dir, "part").select(F.concat(F.lit("01 Project/2024/C"), (F.col("p_partkey") % 7).cast("string"), F.lit("/I"), F.col("p_partkey").cast("string")).alias("path"), (F.col("p_size") % 6).alias("v"), "p_partkey")
+    below = F.lit(None).cast("array<string>")
+    for v, names in STAGES.items():
+        below = F.when(F.col("v") == v, F.array(*map(F.lit, names))).otherwise(below)
+    folders = p.select("path").union(p.select("path", F.explode(below).alias("name")).select(F.concat_ws("/", "path", "name").alias("path")))
+    return folders, p
+
+
+STAGED_SQL = """WITH p AS (SELECT '01 Project/2024/C' || p_partkey % 7 || '/I' || p_partkey AS path, p_size % 6 AS v, p_partkey FROM part), said(v, name, action, destination) AS (VALUES (0, 'A.1. RFI.RFP', 'standardize', 'A.1. RFI_RFP'), (1, 'A.2. Extras', 'renumber', '/A.3. Extras'), (1, 'A.2. More', 'renumber', '/A.4. More'),
+(2, 'A.1. RFI_RFP/B.1. Things', 'move', 'under ''B. Delivery'''), (3, 'A.5. Proposal', 'renumber', 'A.2. Proposal'), (4, 'A.2. Proposal/A.2.7. Timeline', 'renumber', 'A.2.3. Timeline'), (5, 'notes/A.1. Rfi-Rfp', 'standardize', 'A.1. RFI_RFP')),
+f AS (SELECT p.path || '/' || name AS path, action, CASE WHEN starts_with(destination, '/') THEN p.path || destination ELSE destination END AS destination FROM p JOIN said USING (v))"""
+
+
+@query(f"{STAGED_SQL} SELECT * FROM f")
+def n15_template_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Siblings that collide, stages under a wrong letter (nothing is said of what is below), other spellings, shifted indices."""
+    folders, p = _staged(spark, sf_dir)
+    return template.drift(folders, p.select("path"), template.flatten(spark, TREE)).select("path", "action", "destination")
+
+
+@query(f"""{STAGED_SQL} SELECT * FROM f UNION ALL SELECT path, 'review', path || '/' || name FROM p, (VALUES ('A.1. RFI_RFP', [0, 2]), ('A.2. Proposal', [1, 3, 4, 5])) c(name, have)
+WHERE NOT list_contains(have, v) AND p_partkey % 3 = 0 AND p_partkey % 5 < 3""")
+def n20_template_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole template run: initiatives and customers with stages, drift everywhere, core stages of active sales alone."""
+    folders, p = _staged(spark, sf_dir)
+    k = F.col("p_partkey")
+    kinds = p.select("path", F.when(k % 7 == 0, "customer").otherwise("initiative").alias("folder_type"))
+    inner = p.where(k % 2 == 0).select(F.concat_ws("/", "path", F.lit("inner")).alias("path"), F.lit("initiative").alias("folder_type"))  # within another: not looked at apart
+    archetypes = p.select("path", F.when(k % 3 == 0, "sales").otherwise("workshop").alias("archetype"))
+    lifecycles = p.select("path", F.when(k % 5 == 0, "delivery").when(k % 5 == 1, "active").when(k % 5 == 2, "active_presales").otherwise("done").alias("lifecycle"))
+    return template.validated(folders, kinds.union(inner), archetypes, lifecycles, template.flatten(spark, TREE), ["sales"]).select("path", "action", "destination")
+
+
 @query("SELECT * FROM (VALUES ('A', 'A. PreSales', false), ('A.1', 'A.1. RFI_RFP', true), ('A.2', 'A.2. Proposal', true), ('A.2.3', 'A.2.3. Timeline', false), ('B', 'B. Delivery', false)) t(prefix, canonical, core)")
 def n36_template_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return template.flatten(spark, TREE).select("prefix", "canonical", "core")
