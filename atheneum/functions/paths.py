@@ -12,6 +12,11 @@ KINDS = {
     "document": [".pdf", ".doc", ".docx", ".rtf"], "note": [".md", ".txt"], "presentation": [".ppt", ".pptx", ".key"],
     "spreadsheet": [".xls", ".xlsx", ".csv"], "image": [".png", ".jpg", ".jpeg", ".gif", ".webp", ".svg"], "video": [".mp4", ".mov"], "diagram": [".drawio", ".vsdx"],
 }
+CATEGORIES = {
+    "document": [".pdf", ".doc", ".docx", ".md", ".txt", ".rtf"], "presentation": [".ppt", ".pptx", ".key"], "spreadsheet": [".xls", ".xlsx", ".csv"],
+    "image": [".png", ".jpg", ".jpeg", ".gif", ".webp", ".svg"], "media": [".mp3", ".wav", ".m4a", ".mp4", ".mov", ".avi", ".mkv"],
+    "code": [".py", ".js", ".ts", ".tsx", ".jsx", ".json", ".yaml", ".yml", ".sql", ".sh"], "archive": [".zip", ".tar", ".gz", ".7z", ".rar"],
+}
 SIGNALS = {
     "proposal": ["proposal", "rfp", "rfi", "sow", "quote", "quotation", "pricing"], "poc": ["poc"], "demo": ["demo"], "workshop": ["workshop"],
     "presentation": ["presentation", "deck", "slides"], "meeting": ["agenda", "minutes", "mom"], "notes": ["notes"], "report": ["report", "summary"],
@@ -52,6 +57,11 @@ def file_kind(path: Column) -> Column:
     return reduce(lambda acc, k: F.when(ext.isin(k[1]), k[0]).otherwise(acc), KINDS.items(), F.lit("other"))
 
 
+def file_category(path: Column) -> Column:
+    ext = extension(path)
+    return reduce(lambda acc, k: F.when(ext.isin(k[1]), k[0]).otherwise(acc), CATEGORIES.items(), F.lit("other"))
+
+
 def name_signals(path: Column) -> Column:
     words = F.split(F.lower(stem(path)), r"[\s_\-.]+")
     of = lambda w: reduce(lambda acc, k: F.when(w.isin(k[1]), k[0]).otherwise(acc), SIGNALS.items(), F.lit(None).cast("string"))

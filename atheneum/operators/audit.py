@@ -36,6 +36,49 @@ def inventory(files: DataFrame) -> DataFrame:
     return names.join(exts, "folder").join(first, "folder").select("folder", "file_count", "total_bytes", "largest", "samples", "signature", shown.alias("extensions"))
 
 
+def _counted(df: DataFrame, what: str) -> DataFrame:
+    """(folder, what): how many files of each value a folder has, as a map."""
+    by = df.groupBy("folder", what).agg(F.count("*").alias("n")).groupBy("folder")
+    return by.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(what, "n")))).alias(what))
+
+
+def snapshots(files: DataFrame, samples: int = 12) -> DataFrame:
+    """Every folder above files (path, size_bytes, modified_at): path, parent, depth, counts of files and of folders below it,
+    bytes, latest change, sample names, maps of extensions and categories, largest file, has_ flags and a signature.
+
+    Folders without files of their own count none. The signature follows from names, sizes and times of the files and
+    from the names of the folders below, in any order. Only the first names of a folder are gathered."""
+    path = F.col("path")
+    df = files.select(path, F.when(P.parent(path) == "", ".").otherwise(P.parent(path)).alias("folder"), P.name(path).alias("name"), F.when(P.extension(path) == "", "[no_extension]").otherwise(P.extension(path)).alias("extensions"), P.file_category(path).alias("categories"), "size_bytes", "modified_at")
+    # 48 bits of each entry's digest are added up: entries come in any order.
+    mark = lambda *c: F.sum(F.conv(F.substring(F.md5(F.concat_ws(":", *c)), 1, 12), 16, 10).cast("decimal(20,0)"))
+    own = df.groupBy("folder").agg(
+        F.count("*").alias("file_count"), F.sum("size_bytes").alias("total_bytes"), F.max("modified_at").alias("latest_modified"),
+        F.min_by(F.struct("path", "size_bytes", F.col("categories").alias("category")), F.struct(-F.col("size_bytes"), "name")).alias("largest"),
+        mark(F.lit("f"), F.col("name"), F.col("size_bytes").cast("string"), F.date_format("modified_at", "yyyy-MM-dd HH:mm:ss")).alias("_files"),
+    )
+    parts = F.split("folder", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+    folders = df.select("folder").distinct().where("folder <> '.'").select(F.explode(above).alias("folder")).distinct()
+    kids = folders.select(F.when(F.col("folder").contains("/"), P.parent(F.col("folder"))).otherwise(".").alias("folder"), P.name(F.col("folder")).alias("name"))
+    kids = kids.groupBy("folder").agg(F.count("*").alias("child_count"), mark(F.lit("d"), F.col("name")).alias("_folders"))
+    first = df.select("folder", "name", F.row_number().over(W.partitionBy("folder").orderBy("name")).alias("_k")).where(F.col("_k") <= samples)
+    first = first.groupBy("folder").agg(F.array_sort(F.collect_list("name")).alias("samples"))
+    out = folders.union(folders.sparkSession.createDataFrame([(".",)], "folder string"))
+    for more in (own, kids, first, _counted(df, "extensions"), _counted(df, "categories")):
+        out = out.join(more, "folder", "left")
+    zero, none = F.lit(0).cast("long"), F.lit(0).cast("decimal(30,0)")
+    out = out.withColumns({c: F.coalesce(c, zero) for c in ("file_count", "total_bytes", "child_count")} | {"samples": F.coalesce("samples", F.array().cast("array<string>"))})
+    out = out.withColumns({c: F.coalesce(c, F.create_map().cast("map<string,bigint>")) for c in ("extensions", "categories")})
+    signature = F.sha2(F.concat_ws(":", "folder", "file_count", "child_count", "total_bytes", F.coalesce("_files", none).cast("string"), F.coalesce("_folders", none).cast("string")), 256)
+    has = {f"has_{c}s": F.map_contains_key("categories", c) for c in ("document", "presentation")} | {f"has_{c}": F.map_contains_key("categories", c) for c in ("media", "code")}
+    parent = F.when(F.col("folder") == ".", None).when(F.col("folder").contains("/"), P.parent(F.col("folder"))).otherwise(".")
+    return out.select(
+        F.col("folder").alias("path"), parent.alias("parent"), F.when(F.col("folder") == ".", 0).otherwise(F.size(parts)).alias("depth"), "file_count", "child_count", "total_bytes", "latest_modified", "samples", "extensions", "categories", "largest",
+        *(c.alias(k) for k, c in has.items()), signature.alias("signature"),
+    )
+
+
 def assets(files: DataFrame) -> DataFrame:
     """Assets from files (root, path, size_bytes, content_hash): by hash, else by extension and normalised name."""
     path, context = F.col("path"), P.project_context(F.col("path"))

@@ -415,6 +415,20 @@ def s04_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.inventory(_files(spark, sf_dir)).drop("extensions", "signature")
 
 
+@query(FILES_SQL + f""", u AS (SELECT path, max(size_bytes) AS size_bytes, TIMESTAMP '2024-01-01' + to_minutes(max(p_partkey)) AS t0 FROM f GROUP BY path), d AS (SELECT *, regexp_replace(path, '/[^/]*$', '') AS folder, split_part(path, '/', -1) AS name, {EXT_SQL} AS ext FROM u),
+c AS (SELECT *, CASE WHEN ext IN ('.pdf', '.md') THEN 'document' WHEN ext = '.pptx' THEN 'presentation' WHEN ext = '.xlsx' THEN 'spreadsheet' ELSE 'other' END AS cat, row_number() OVER (PARTITION BY folder ORDER BY name) AS k, ('0x' || substr(md5('f:' || name || ':' || size_bytes || ':' || strftime(t0, '%Y-%m-%d %H:%M:%S')), 1, 12))::BIGINT::HUGEINT AS mark FROM d),
+own AS (SELECT folder, count(*) AS file_count, sum(size_bytes)::BIGINT AS total_bytes, max(t0) AS latest, arg_min(path, (-size_bytes, name)) AS largest, string_agg(name, '|' ORDER BY name) FILTER (k <= 12) AS samples, sum(mark) AS files FROM c GROUP BY 1),
+e AS (SELECT folder, string_agg(ext || '=' || n, ',' ORDER BY ext) AS extensions FROM (SELECT folder, ext, count(*) AS n FROM c GROUP BY ALL) GROUP BY 1), g AS (SELECT folder, string_agg(cat || '=' || n, ',' ORDER BY cat) AS categories FROM (SELECT folder, cat, count(*) AS n FROM c GROUP BY ALL) GROUP BY 1),
+every AS (SELECT DISTINCT array_to_string(string_split(folder, '/')[1:i], '/') AS folder FROM own, unnest(range(1, 6)) t(i) WHERE i <= len(string_split(folder, '/')) UNION SELECT '.'),
+kids AS (SELECT CASE WHEN contains(folder, '/') THEN regexp_replace(folder, '/[^/]*$', '') ELSE '.' END AS folder, count(*) AS child_count, sum(('0x' || substr(md5('d:' || split_part(folder, '/', -1)), 1, 12))::BIGINT::HUGEINT) AS folders FROM every WHERE folder <> '.' GROUP BY 1)
+SELECT folder AS path, CASE WHEN folder = '.' THEN 0 ELSE len(string_split(folder, '/')) END AS depth, coalesce(file_count, 0) AS file_count, coalesce(child_count, 0) AS child_count, coalesce(total_bytes, 0) AS total_bytes, latest, largest, coalesce(samples, '') AS samples, coalesce(extensions, '') AS extensions, coalesce(categories, '') AS categories,
+sha256(concat_ws(':', folder, coalesce(file_count, 0), coalesce(child_count, 0), coalesce(total_bytes, 0), coalesce(files, 0), coalesce(folders, 0))) AS signature FROM every LEFT JOIN own USING (folder) LEFT JOIN e USING (folder) LEFT JOIN g USING (folder) LEFT JOIN kids USING (folder)""")
+def s04_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _files(spark, sf_dir).groupBy("path").agg(F.max("size_bytes").alias("size_bytes"), F.timestamp_seconds(F.lit(1_704_067_200) + F.max("p_partkey") * 60).alias("modified_at"))
+    shown = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda x: F.concat_ws("=", x["key"], x["value"])), ",").alias(c)
+    return audit.snapshots(files).select("path", "depth", "file_count", "child_count", "total_bytes", F.col("latest_modified").cast("timestamp_ntz").alias("latest"), F.col("largest.path").alias("largest"), F.array_join("samples", "|").alias("samples"), shown("extensions"), shown("categories"), "signature")
+
+
 @query(FILES_SQL + f""", d AS (SELECT regexp_replace(path, '/[^/]*$', '') AS folder, {EXT_SQL} AS ext, count(*) AS n FROM f GROUP BY 1, 2) SELECT folder, string_agg(ext || '=' || n, ',' ORDER BY ext) AS extensions FROM d GROUP BY 1""")
 def s04_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.inventory(_files(spark, sf_dir)).select("folder", "extensions")
