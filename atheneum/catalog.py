@@ -331,11 +331,6 @@ def d08_replace_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.replace_by_key(old, new, "file_id")
 
 
-@query("SELECT l_suppkey AS source, l_returnflag AS kind, l_partkey AS target, round(max(l_discount), 4) AS confidence FROM lineitem GROUP BY ALL")
-def d10_upsert_relationship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("source"), F.col("l_returnflag").alias("kind"), F.col("l_partkey").alias("target")).agg(F.round(F.max("l_discount"), 4).alias("confidence"))
-
-
 @query("""SELECT o_orderkey AS snapshot_id, o_orderstatus AS scope, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate DESC, o_orderkey DESC) = 1 AS current FROM orders""")
 def d14_rotate(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("snapshot_id"), F.col("o_orderstatus").alias("scope"), F.col("o_orderdate").alias("created_at"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from atheneum.operators import merge
 from atheneum.operators.refresh import Graph
 from atheneum.registry import query
 from atheneum.registry import table as _t
@@ -85,3 +86,34 @@ def g12_incremental_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
         graph = graph.changed(name, (evidence(before, 50), evidence(after, 50)), (before, after))
     graph = graph.changed("moved", (evidence(opened, 50), evidence(opened, 40)), (opened, opened))
     return graph.weights()
+
+
+@query("""WITH old AS (SELECT c_nationkey AS n, c_mktsegment AS type, min(c_custkey) AS id, list(DISTINCT 'a' || c_custkey % 3) AS aliases, max(c_custkey) AS k FROM customer GROUP BY 1, 2),
+new AS (SELECT s_nationkey AS n, CASE s_suppkey % 2 WHEN 0 THEN 'BUILDING' ELSE 'ROBOT' END AS type, s_suppkey AS seq, 'a' || s_suppkey % 5 AS alias FROM supplier),
+names AS (SELECT n, type FROM old UNION SELECT n, type FROM new),
+al AS (SELECT n, type, string_agg(DISTINCT x, ',' ORDER BY x) AS aliases FROM (SELECT n, type, unnest(aliases) AS x FROM old UNION ALL SELECT n, type, alias FROM new) GROUP BY ALL),
+v AS (SELECT n, type, max(seq) AS last, max(seq) FILTER (seq % 4 = 0) AS odd FROM new GROUP BY ALL)
+SELECT 'n' || n AS name, type, al.aliases, coalesce(last, k) AS seen, CASE WHEN k IS NOT NULL THEN 'old' END AS origin, odd, last IS NOT NULL AS touched, id FROM names LEFT JOIN old USING (n, type) LEFT JOIN al USING (n, type) LEFT JOIN v USING (n, type)""")
+def d09_merged_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities with metadata of their own after new ones: fields are replaced one by one, aliases united, ids kept."""
+    c, s = _t(spark, sf_dir, "customer"), _t(spark, sf_dir, "supplier")
+    name = lambda k: F.concat(F.lit("n"), F.col(k).cast("string")).alias("name")
+    alias = lambda k, n: F.concat(F.lit("a"), (F.col(k) % n).cast("string"))
+    old = c.groupBy(name("c_nationkey"), F.col("c_mktsegment").alias("type")).agg(F.min("c_custkey").cast("long").alias("id"), F.collect_set(alias("c_custkey", 3)).alias("aliases"), F.to_json(F.struct(F.max("c_custkey").alias("seen"), F.lit("old").alias("origin"))).alias("metadata"), F.lit(None).cast("timestamp").alias("updated_at"))
+    k = F.col("s_suppkey")
+    new = s.select(k.alias("seq"), name("s_nationkey"), F.when(k % 2 == 0, "BUILDING").otherwise("ROBOT").alias("type"), F.array(alias("s_suppkey", 5)).alias("aliases"), F.to_json(F.struct(k.alias("seen"), F.when(k % 4 == 0, k).alias("odd"))).alias("metadata"))
+    got = merge.upserted_entities(old, new)
+    of = lambda path, kind: F.try_variant_get(F.parse_json("metadata"), f"$.{path}", kind).alias(path)
+    return got.select("name", "type", F.array_join("aliases", ",").alias("aliases"), of("seen", "long"), of("origin", "string"), of("odd", "long"), F.col("updated_at").isNotNull().alias("touched"), F.when(of("origin", "string") == "old", F.col("id")).alias("id"))
+
+
+@query("""WITH old AS (SELECT l_suppkey AS source, l_returnflag AS kind, l_partkey AS target, max(l_discount) AS c FROM lineitem WHERE l_linenumber = 1 GROUP BY ALL), new AS (SELECT l_suppkey AS source, l_returnflag AS kind, l_partkey AS target, max(l_discount) AS c, count(*) AS n FROM lineitem WHERE l_linenumber > 1 GROUP BY ALL)
+SELECT source, kind, target, round(greatest(coalesce(old.c, 0), coalesce(new.c, 0)), 4)::DOUBLE AS confidence, old.c IS NOT NULL AS was, new.c IS NOT NULL AS came FROM old FULL JOIN new USING (source, kind, target)""")
+def d10_upsert_relationship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relationships after new ones: the greater confidence stays, metadata keeps the fields of both."""
+    line = _t(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("source"), F.col("l_returnflag").alias("kind"), F.col("l_partkey").alias("target"), F.col("l_discount").cast("double").alias("confidence"), F.col("l_orderkey").alias("seq"), "l_linenumber")
+    first = line.where("l_linenumber = 1").groupBy("source", "kind", "target").agg(F.max("confidence").alias("confidence"), F.min("seq").alias("id"))
+    old = first.select("id", "source", "kind", "target", "confidence", F.lit('{"was": true}').alias("metadata"), F.lit(None).cast("timestamp").alias("updated_at"))
+    got = merge.upserted_relationships(old, line.where("l_linenumber > 1").withColumn("metadata", F.lit('{"came": true}')))
+    of = lambda path: F.coalesce(F.try_variant_get(F.parse_json("metadata"), f"$.{path}", "boolean"), F.lit(False)).alias(path)
+    return got.select("source", "kind", "target", F.round("confidence", 4).alias("confidence"), of("was"), of("came"))
