@@ -221,10 +221,10 @@ def r13_ego_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {VIEWS}, j AS (SELECT c.community_id, c.name, c.summary, e.entity_id, e.name AS member FROM communities c LEFT JOIN members m USING (community_id) LEFT JOIN entities e USING (entity_id))
-SELECT community_id, name, summary, count(entity_id) AS member_count FROM j WHERE name ILIKE '%an%' OR summary ILIKE '%an%' OR member ILIKE '%an%' GROUP BY ALL ORDER BY member_count DESC, name, community_id LIMIT 20""")
+SELECT community_id, name, summary, count(entity_id) AS member_count FROM j WHERE name ILIKE '%on%' OR summary ILIKE '%on%' OR member ILIKE '%on%' GROUP BY ALL ORDER BY member_count DESC, name, community_id LIMIT 20""")
 def r10_community_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = _graph(spark, sf_dir)
-    return K.search_communities(g["communities"], g["members"], g["entities"], "an")
+    return K.search_communities(g["communities"], g["members"], g["entities"], "on")
 
 
 SUMMARIES = "SELECT o_orderkey AS summary_id, (o_custkey % 50)::VARCHAR AS document_id, 'file ' || o_custkey % 50 AS file_name, o_orderdate AS created_at FROM orders"

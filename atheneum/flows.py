@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atheneum.operators import merge
+from atheneum.functions.text import terms
+from atheneum.operators import knowledge, merge, steps
 from atheneum.operators.refresh import Graph
 from atheneum.registry import query
 from atheneum.registry import table as _t
@@ -117,3 +118,20 @@ def d10_upsert_relationship(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = merge.upserted_relationships(old, line.where("l_linenumber > 1").withColumn("metadata", F.lit('{"came": true}')))
     of = lambda path: F.coalesce(F.try_variant_get(F.parse_json("metadata"), f"$.{path}", "boolean"), F.lit(False)).alias(path)
     return got.select("source", "kind", "target", F.round("confidence", 4).alias("confidence"), of("was"), of("came"))
+
+
+@query(r"""WITH tok AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents), names AS (SELECT min(doc_id) AS id, w FROM (SELECT doc_id, list_filter(t, lambda x: len(x) >= 8)[1] AS w FROM tok WHERE doc_id % 20 = 0) WHERE w IS NOT NULL GROUP BY w),
+m AS (SELECT doc_id, i, id FROM (SELECT doc_id, unnest(t) AS w, generate_subscripts(t, 1) AS i FROM tok) JOIN names USING (w)),
+e AS (SELECT DISTINCT id AS source, after AS target FROM (SELECT id, lead(id) OVER (PARTITION BY doc_id ORDER BY i) AS after FROM m) WHERE after <> id),
+d AS (SELECT node, count(*) AS degree FROM (SELECT source AS node FROM e UNION ALL SELECT target FROM e) GROUP BY 1), n AS (SELECT id AS node, count(*) AS mentions FROM m GROUP BY 1)
+SELECT node, coalesce(degree, 0) AS degree, mentions, greatest(1, coalesce(degree, 0) + mentions) AS weight FROM n LEFT JOIN d USING (node)""")
+def g12_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The knowledge refresh as steps: summaries, mentions of names by the linker, relationships of neighbouring mentions, weights."""
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
+    first = F.try_element_at(F.filter(terms(F.col("text")), lambda w: F.length(w) >= 8), F.lit(1))
+    names = docs.where("doc_id % 20 = 0").select("doc_id", first.alias("name")).where("name is not null").groupBy("name").agg(F.min("doc_id").alias("id"))
+    store = steps.Store(spark, fresh_path(spark, "refresh"))
+    tables, told = store.run(knowledge.refresh_steps(), {"documents": docs, "names": names.select("id", "name", F.lit(None).cast("array<string>").alias("aliases"))})
+    if any(t != "made" for t in told.values()):
+        raise RuntimeError(f"{told}: {store.done}")
+    return tables["weights"]

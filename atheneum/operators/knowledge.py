@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from atheneum.functions import labels
 from atheneum.functions import text as T
+from atheneum.operators import graph, linker, steps
 
 # Bounds of node and edge sizes.
 EDGE_SIZES, MENTION_SIZES, ENTITY_SIZES, FILE_SIZES, COMMUNITY_SIZES = (1, 8), (1, 6), (4, 22), (5, 18), (8, 26)
@@ -178,3 +179,31 @@ def packet(query: str, hits: DataFrame, entities: DataFrame, relationships: Data
     of = hits.select("id", "file_id").join(summaries, "file_id")
     last = of.withColumn("_n", F.row_number().over(W.partitionBy("id").orderBy(F.desc("created_at"), F.desc("summary_id")))).where("_n = 1").drop("_n")
     return {"query": query, "chunks": hits, "entities": entities, "relationships": relationships, "communities": communities, "summaries": last, "provenance": hits.select("id", "file_id")}
+
+
+def refresh_steps(extract=None) -> list[steps.Step]:  # noqa: ANN001
+    """The refresh of documents (doc_id, text) and names (id, name, aliases) as steps for steps.Store: summaries, mentions,
+    relationships with evidence, weights, communities.
+
+    extract maps documents and mentions to relationships (doc_id, source, kind, target); without one, mentions next to
+    each other in a document are related."""
+
+    def near(_: DataFrame, found: DataFrame) -> DataFrame:
+        after = F.lead("id").over(W.partitionBy("doc_id").orderBy("at", "id"))
+        return found.select("doc_id", F.col("id").alias("source"), F.lit("RELATED_TO").alias("kind"), after.alias("target")).where("target <> source")
+
+    def weights(related: DataFrame, found: DataFrame) -> DataFrame:
+        edges = related.select(F.xxhash64("source", "kind", "target").alias("edge_id"), "source", "target").distinct()
+        return graph.node_weights(edges, found.select(F.col("id").alias("node")))
+
+    def grouped(related: DataFrame, names: DataFrame) -> DataFrame:
+        rels = related.groupBy("source", "kind", "target").agg(F.count("*").alias("evidence_count")).withColumn("rel_id", F.xxhash64("source", "kind", "target"))
+        return communities(rels, names.select(F.col("id").alias("entity_id"), "name", F.lit("concept").alias("type")))
+
+    return [
+        steps.Step("summaries", ("documents",), lambda d: document_summaries(d.withColumn("_n", F.lit(0)), ["doc_id"], "_n", "text")),
+        steps.Step("mentions", ("documents", "names"), linker.mentions),
+        steps.Step("relationships", ("documents", "mentions"), extract or near),
+        steps.Step("weights", ("relationships", "mentions"), weights),
+        steps.Step("communities", ("relationships", "names"), grouped),
+    ]

@@ -13,7 +13,7 @@ from atheneum.functions import names
 from atheneum.functions import paths as P
 from atheneum.functions import text as T
 from atheneum.functions.vectors import cosine, mean_vectors
-from atheneum.operators import audit, chunking, findings, graph, placement, retrieval, search, state, steward, vector_index, word_index
+from atheneum.operators import audit, chunking, findings, graph, order, placement, retrieval, search, state, steward, vector_index, word_index
 from atheneum.registry import QUERIES, SQL, query
 from atheneum.registry import table as _t
 from atheneum.storage import fresh_path
@@ -248,11 +248,9 @@ def w03_latest_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.latest(_t(spark, sf_dir, "events"), ["user_id"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_type", "event_id")
 
 
-@query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n FROM labels) WHERE (n - 1) % 7 = 0 ORDER BY doc_id LIMIT 20")
+@query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n, greatest(1, count(*) OVER () // 20) AS step FROM labels) WHERE (n - 1) % step = 0 AND n <= step * 20")
 def k09_stride_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The feature: a sample of 20 rows by stride.
-    numbered = _t(spark, sf_dir, "labels").select("doc_id", F.row_number().over(W.orderBy("doc_id")).alias("n"))
-    return numbered.where((F.col("n") - 1) % 7 == 0).orderBy("doc_id").limit(20).select("doc_id")
+    return order.strided(_t(spark, sf_dir, "labels").select("doc_id"), [F.col("doc_id")], 20)
 
 
 @query("SELECT event_id, (props->>'k')::BIGINT AS k FROM events WHERE (props->>'k')::BIGINT = 26")
