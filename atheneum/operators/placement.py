@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from atheneum.functions import paths as P
+from atheneum.storage import written
 
 CONTEXT = ["customer", "initiative", "stage", "kind"]
 #: What a match of each part of the context adds to a score.
@@ -77,6 +78,7 @@ def _last_first(text: Column) -> Column:
 
 def simulate(placed: DataFrame, fold: str) -> DataFrame:
     """Each placed file (path, destination, context, signals, fold) predicted from the other folds: predicted, confidence, level and band."""
+    placed = written(placed.select("path", "destination", *CONTEXT, "signals", fold), "placed")  # read three times
     found = predict(placed, held_out_patterns(placed, fold), fold).withColumnRenamed("destination", "predicted")
     out = placed.select("path", "destination", fold).join(found, ["path", fold], "left")
     return out.select("path", "destination", "predicted", "confidence", P.match_level(F.col("destination"), F.col("predicted")).alias("match_level"), P.band(F.coalesce("confidence", F.lit(0.0))).alias("band"))
