@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from atheneum.functions.text import terms
-from atheneum.operators import knowledge, merge, steps
+from atheneum.operators import calls, knowledge, merge, steps
 from atheneum.operators.refresh import Graph
 from atheneum.registry import query
 from atheneum.registry import table as _t
-from atheneum.storage import fresh_path
+from atheneum.storage import fresh_path, written
 from atheneum.streaming import machine
 
 STATUS_SQL = "CASE event_type WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'converting' WHEN 'click' THEN 'chunking' WHEN 'purchase' THEN 'done' ELSE 'failed' END"
@@ -135,3 +135,25 @@ def g12_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     if any(t != "made" for t in told.values()):
         raise RuntimeError(f"{told}: {store.done}")
     return tables["weights"]
+
+
+def _sizes(rows: list[dict]) -> dict:
+    """Stands in for a model: it cannot take some rows, leaves some out, and gives some an answer that is no label."""
+    if any(r["id"] % 17 == 0 for r in rows):
+        raise ValueError("too hard")
+    return {r["id"]: "huge" if r["id"] % 13 == 0 else ("long" if len(r["text"]) > 1000 else "short") for r in rows if r["id"] % 19}
+
+
+@query("""SELECT doc_id AS id, CASE WHEN doc_id % 17 = 0 OR doc_id % 19 = 0 OR doc_id % 13 = 0 THEN 'unknown' WHEN length(text) > 1000 THEN 'long' ELSE 'short' END AS label, CASE WHEN doc_id % 17 = 0 OR doc_id % 19 = 0 OR doc_id % 13 = 0 THEN 0.2 ELSE 0.8 END::DOUBLE AS confidence,
+CASE WHEN doc_id % 17 = 0 THEN 'failed' WHEN doc_id % 19 = 0 THEN 'missing' ELSE 'done' END AS status, CASE WHEN doc_id % 17 = 0 OR doc_id % 19 = 0 THEN 2 ELSE 1 END AS attempts FROM documents""")
+def n05_model_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of documents by a model in batches of 30, and a second round for what failed or was left out."""
+    items = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    ledger = spark.createDataFrame([], "id long, version string, content_hash string, status string, error string, attempts int")
+    answers = None
+    for _ in range(2):
+        todo = calls.open_items(items, ledger, "v1", F.col("text"))
+        got = written(calls.answered(todo, _sizes), "answers")
+        ledger = written(calls.noted(ledger, items, got, "v1", F.col("text")), "ledger")
+        answers = got if answers is None else got.unionByName(answers.join(got.select("id"), "id", "left_anti"))
+    return calls.labelled(answers, ["long", "short"]).join(ledger.select("id", "status", "attempts"), "id")

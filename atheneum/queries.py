@@ -293,9 +293,13 @@ def t05_section_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.section_paths(chunking.sections(docs, "p_partkey", "text", "stem"), "p_partkey").select("p_partkey", F.col("ordinal").cast("long").alias("ordinal"), "path")
 
 
-@query("SELECT p_partkey, 'file' AS title FROM part")
+TITLED = "CASE p_size % 3 WHEN 0 THEN concat('# ', p_name, chr(10), 'body', chr(10), '# second') WHEN 1 THEN concat('intro', chr(10), '# Part ', p_partkey) ELSE concat('## Deep ', p_partkey, chr(10), '# Top ', p_name) END"
+
+
+@query("SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN p_name WHEN 1 THEN 'file' ELSE 'Top ' || p_name END AS title FROM part")
 def t02_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _t(spark, sf_dir, "part").select("p_partkey", F.expr(MARKED).alias("text"), F.lit("file").alias("stem"))
+    """The first section of level 1: a heading, the file itself where text comes before all headings, or a heading after a deeper one."""
+    docs = _t(spark, sf_dir, "part").select("p_partkey", F.expr(TITLED).alias("text"), F.lit("file").alias("stem"))
     return chunking.titles(chunking.sections(docs, "p_partkey", "text", "stem"), "p_partkey")
 
 
@@ -315,8 +319,9 @@ def f07_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "documents").select("doc_id", T.summary(None, F.col("text")).alias("summary"))
 
 
-@query()
+@query("""SELECT doc_id, 1::BIGINT AS ordinal, 1 AS level, doc_id::VARCHAR AS title, NULL::BIGINT AS parent, 0 AS start, length(text)::INT AS end, text AS content FROM documents""")
 def t01_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents, which have no heading: t03_section_rows has the nested ones."""
     return chunking.sections(_t(spark, sf_dir, "documents"))
 
 
@@ -614,8 +619,16 @@ def n35_children(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey LEFT JOIN lineitem ON l_orderkey = o_orderkey
 WHERE c_name ILIKE '%A1%' OR n_name ILIKE '%a1%' OR o_orderstatus ILIKE '%a1%' OR l_returnflag ILIKE '%a%' GROUP BY 1, 2, 3, 4""")
 def r09_relationship_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A filter on names, kind or evidence runs before grouping: a match by evidence alone counts only that evidence."""
-    o = _t(spark, sf_dir, "orders").join(_t(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey")).join(_t(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
-    j = o.join(_t(spark, sf_dir, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"), "left")
-    hit = F.col("c_name").ilike("%A1%") | F.col("n_name").ilike("%a1%") | F.col("o_orderstatus").ilike("%a1%") | F.coalesce(F.col("l_returnflag").ilike("%a%"), F.lit(False))
-    return j.where(hit).groupBy(F.col("o_orderkey").alias("id"), F.col("c_name").alias("source"), F.col("n_name").alias("target"), F.col("o_orderstatus").alias("kind")).agg(F.countDistinct("l_linenumber").alias("evidence"))
+    """A filter on names, kind or evidence runs before grouping: a match by evidence alone counts only that evidence.
+
+    Each filter reaches its own table: relationships that a name or the kind brings in keep all evidence, of the others only evidence that matches is read."""
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    c = _t(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey").join(_t(spark, sf_dir, "nation").select("n_nationkey", "n_name"), F.col("n_nationkey") == F.col("c_nationkey"))
+    line = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
+    named = F.col("c_name").ilike("%A1%") | F.col("n_name").ilike("%a1%")
+    by_kind = o.where(F.col("o_orderstatus").ilike("%a1%"))
+    ids = by_kind.select("o_orderkey").union(o.join(c.where(named), F.col("c_custkey") == F.col("o_custkey")).select("o_orderkey")).distinct()
+    whole = o.join(ids, "o_orderkey", "left_semi").join(line, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    told = o.join(ids, "o_orderkey", "left_anti").join(line.where(F.col("l_returnflag").ilike("%a%")), F.col("l_orderkey") == F.col("o_orderkey"))
+    counts = whole.unionByName(told).groupBy("o_orderkey", "o_custkey", "o_orderstatus").agg(F.countDistinct("l_linenumber").alias("evidence"))
+    return counts.join(c, F.col("c_custkey") == F.col("o_custkey")).select(F.col("o_orderkey").alias("id"), F.col("c_name").alias("source"), F.col("n_name").alias("target"), F.col("o_orderstatus").alias("kind"), "evidence")
