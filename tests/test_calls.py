@@ -5,13 +5,12 @@ from pyspark.sql import functions as F
 from atheneum.operators import calls
 
 
-def model(rows):
-    if len(rows) > 4 or any(r["id"] == 3 for r in rows):
-        raise RuntimeError("no")
-    return {r["id"]: r["t"].upper() for r in rows if r["id"] != 5}
-
-
 def test_failures_stay_alone_and_attempts_are_counted(spark):
+    def model(rows):
+        if len(rows) > 4 or any(r["id"] == 3 for r in rows):
+            raise RuntimeError("no")
+        return {r["id"]: r["t"].upper() for r in rows if r["id"] != 5}
+
     items = spark.createDataFrame([(k, f"t{k}") for k in range(10)], "id long, t string").coalesce(1)
     got = {r.id: r for r in calls.answered(items, model, batch=4).collect()}
     assert {i for i in got if got[i].status == "done"} == set(range(10)) - {3, 5} and got[3].error == "RuntimeError: no" and got[5].status == "missing" and got[0].answer == "T0"
