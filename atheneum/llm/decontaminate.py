@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from atheneum.llm.common import apart, raw, table, words_of
+from atheneum.llm.common import apart, raw, table, words_of, written
 
 WINDOW = 13
 #: A shard ends at so many bytes of text.
@@ -165,17 +165,17 @@ class Windows:
         return [(n, sum(b - a for a, b in spans), spans, [self.names[i] for i in sorted(set(items))]) for n, _, spans, items in out]
 
 
-def _passes(benchmark: DataFrame) -> list[list[tuple[str | None, bytes | None]]]:
-    """The benchmark's items in lists of at most PASS_BYTES or one item; one list where all fit."""
-    passes, size = [[]], 0
+def _passes(benchmark: DataFrame) -> Iterator[list[tuple[str | None, bytes | None]]]:
+    """The benchmark's items in lists of at most PASS_BYTES or one item, one list at least; the driver holds a list at a time."""
+    held, size = [], 0
     for item, text in benchmark.select(F.col("item_id").cast("string"), "text").toLocalIterator():
         data = (text or "").encode()
         if size and size + len(data) > PASS_BYTES:
-            passes.append([])
-            size = 0
-        passes[-1].append((item, data))
+            yield held
+            held, size = [], 0
+        held.append((item, data))
         size += len(data)
-    return passes
+    yield held
 
 
 FOUND = "n_words long, spans array<struct<start:int,end:int>>, items array<string>"
@@ -187,7 +187,7 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_co
     benchmark: item_id, text. Null texts have no words; an item without words has no window. A null
     item_id hits words but is never named; equal items count once. Empty tables give no rows or no hits.
     A kept column named n_words, spans or items comes out with `_in` behind it. Texts of any length are read whole.
-    Benchmarks over PASS_BYTES are searched in several passes, whose findings are merged.
+    Benchmarks over PASS_BYTES are searched in several passes, whose findings are stored and merged.
     """
     kept, old = T._parse_datatype_string(FOUND), keep
     given = apart(docs.select(*keep), "n_words", "spans", "items", "_searched", "_found")
@@ -231,8 +231,8 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_co
         shape = T.StructType([f for f in df.schema.fields if f.name != "_found"] + [T.StructField("_found", kept)])
         return df.mapInArrow(run, shape)
 
-    for items in _passes(benchmark):
-        given = searched(given, items)
+    for k, items in enumerate(_passes(benchmark)):
+        given = searched(written(given, "searched") if k else given, items)  # no task holds the windows of two passes
     return given.select(*keep, "_found.n_words", "_found.spans", "_found.items")
 
 

@@ -131,6 +131,16 @@ def test_decontaminate(spark, docs, empty):
     assert decontaminate.find_windows(docs, bench.limit(0), ["doc_id"]).where("size(spans) > 0").count() == 0
 
 
+def test_decontaminate_in_passes(spark, docs, monkeypatch):
+    """A benchmark that takes several passes gives what one pass gives."""
+    bench = spark.createDataFrame([(f"i{k}", " ".join((corpus()[k][1] or "").split()[:20])) for k in range(12)] + [("none", None)], "item_id string, text string")
+    shown = lambda df: sorted(str(tuple(r)) for r in df.collect())
+    want, bare = (shown(decontaminate.find_windows(docs, bench, keep)) for keep in (["doc_id", "text"], ["doc_id"]))
+    monkeypatch.setattr(decontaminate, "PASS_BYTES", 200)
+    assert len(list(decontaminate._passes(bench))) > 3 and shown(decontaminate.find_windows(docs, bench, ["doc_id", "text"])) == want
+    assert shown(decontaminate.find_windows(docs, bench, ["doc_id"])) == bare
+
+
 def test_language_id(docs, empty):
     assert language_id.train(empty) is None
     got = {r.doc_id: r for r in language_id.identify(docs, language_id.train(docs)).collect()}
