@@ -14,7 +14,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir. Where it is unset, a session on one machine has a temporary one, as in tests."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         path = tempfile.mkdtemp(prefix="shared-")
         atexit.register(shutil.rmtree, path, True)
