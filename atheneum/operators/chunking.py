@@ -99,13 +99,19 @@ def titles(found: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def section_paths(found: DataFrame, key: str = "doc_id", depth: int = 6) -> DataFrame:
-    """Sections with path, the titles from the top down joined by ` > `: five joins to the parents, as no section is deeper."""
-    df = found.withColumns({"path": F.col("title"), "_up": F.col("parent")})
-    for _ in range(depth - 1):
-        above = found.select(key, F.col("ordinal").alias("_up"), F.col("title").alias("_title"), F.col("parent").alias("_next"))
-        df = df.join(above, [key, "_up"], "left").withColumn("path", F.when(F.col("_title").isNotNull(), F.concat_ws(" > ", "_title", "path")).otherwise(F.col("path")))
-        df = df.withColumn("_up", F.col("_next")).drop("_title", "_next")
-    return df.drop("_up")
+    """Sections with path, the titles from the top down joined by ` > `.
+
+    The last section before of each level is one above if it stands behind the last ones of all smaller levels: sections
+    are read once in order, by the window that sections() has sorted them for, and no table of them is sent around."""
+    before = W.partitionBy(key).orderBy("ordinal").rowsBetween(W.unboundedPreceding, -1)
+    last = {level: f"_last{level}" for level in range(1, depth)}
+    df = found.withColumns({n: F.max(F.when(F.col("level") == level, F.struct("ordinal", "title"))).over(before) for level, n in last.items()})
+    above, least = [], F.lit(0)
+    for level, n in last.items():
+        at = F.coalesce(F.col(f"{n}.ordinal"), F.lit(0))
+        above.append(F.when((F.col("level") > level) & (at > least), F.col(f"{n}.title")))
+        least = F.greatest(least, at)
+    return df.withColumn("path", F.concat_ws(" > ", *above, "title")).drop(*last.values())
 
 
 def structured_chunks(docs: DataFrame, header: dict[str, Column], parent: tuple[int, int] = (2400, 200), child: tuple[int, int] = (600, 120), key: str = "doc_id") -> DataFrame:
