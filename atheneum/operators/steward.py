@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -62,12 +64,12 @@ def meant_apart(a: Column, b: Column) -> Column:
     return working | series
 
 
-def duplicate_clusters(pairs: DataFrame) -> DataFrame:
+def duplicate_clusters(pairs: DataFrame, apart: Callable[[Column, Column], Column] = meant_apart) -> DataFrame:
     """Clusters (component, members, folders, files, similarity, severity, confidence) of pairs (a, b, similarity) of paths.
 
-    Pairs that are meant apart do not count. A cluster within one folder, but for drafts and versions, is low, else
+    Pairs that are meant apart do not count; a caller that knows more of its files gives a condition of its own. A cluster within one folder, but for drafts and versions, is low, else
     medium. The first six files are listed."""
-    kept = written(pairs.where(~meant_apart(F.col("a"), F.col("b"))), "pairs")
+    kept = written(pairs.where(~apart(F.col("a"), F.col("b"))), "pairs")
     of = graph.components(kept)
     best = kept.join(of.withColumnRenamed("node", "a"), "a").groupBy("component").agg(F.max("similarity").alias("similarity"))
     ranked = of.withColumn("folder", labels.working_folder(F.col("node"))).withColumn("_n", F.row_number().over(W.partitionBy("component").orderBy("node")))
@@ -78,17 +80,19 @@ def duplicate_clusters(pairs: DataFrame) -> DataFrame:
     return by.join(best, "component").withColumns({"severity": severity, "confidence": F.round(F.least("similarity", F.lit(0.99)), 2)})
 
 
-def semantic_duplicates(files: DataFrame, chunks: DataFrame, least_chunks: int = 2, threshold: float = 0.92, most: int = 200) -> DataFrame:
-    """duplicate_clusters of files (path, root, file_hash) by the mean vectors of their chunks (path, embedding).
+def similar_files(files: DataFrame, chunks: DataFrame, least_chunks: int = 2, threshold: float = 0.92, most: int = 200) -> DataFrame:
+    """(root, a, b, similarity): of each root the `most` most similar pairs of files (path, root, file_hash) by the mean
+    vectors of their chunks (path, embedding), by path on ties.
 
-    Files with fewer chunks or equal hashes make no pair; each root's `most` most similar pairs count, by path on ties.
-    Pairs are found by random hyperplanes (vector_index.similar_pairs, recall 0.99 at the threshold) and are exact."""
+    Files with fewer chunks or equal hashes make no pair. No pair is missed (vector_index.top_pairs)."""
     mean = mean_vectors(chunks.where(F.col("embedding").isNotNull()), ["path"], "embedding").where(F.col("n") >= least_chunks)
     rows = written(files.select("path", "root", "file_hash").join(mean, "path").select(F.col("path").alias("id"), F.col("mean").alias("vector"), "root", "file_hash"), "vectors")
-    found = vector_index.similar_pairs(rows, threshold)
-    of = rows.select("id", "root", "file_hash")
-    found = found.join(of.toDF("a", "root", "ha"), "a").join(of.toDF("b", "rb", "hb"), "b").where((F.col("root") == F.col("rb")) & ~F.col("ha").eqNullSafe(F.col("hb")))
-    return duplicate_clusters(vector_index.best_pairs(found, "root", most).select("a", "b", "similarity"))
+    return vector_index.top_pairs(rows, threshold, most, "root", "file_hash")
+
+
+def semantic_duplicates(files: DataFrame, chunks: DataFrame, least_chunks: int = 2, threshold: float = 0.92, most: int = 200, apart: Callable[[Column, Column], Column] = meant_apart) -> DataFrame:
+    """duplicate_clusters of similar_files, which takes the same arguments."""
+    return duplicate_clusters(similar_files(files, chunks, least_chunks, threshold, most).select("a", "b", "similarity"), apart)
 
 
 def unsuppressed(findings: DataFrame) -> DataFrame:

@@ -7,6 +7,9 @@ given a k-th similarity, the others are read only where that bound reaches it.
 
 Pairs come from random hyperplanes: vectors that share all signs of one of several groups of planes are compared
 exactly. The number of groups follows from the wanted recall at the least similarity.
+
+Where only the most similar pairs of a group count, none may be missed: top_pairs compares all vectors of a group by
+blocks, whose products are cheap, and gives out no more than these pairs of each two blocks.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ from atheneum.operators.retrieval import POOL, ranked
 SAMPLE, MOST_CELLS, PROBES = 50_000, 4096, 4
 #: Signs of a group of planes, the wanted share of pairs at the least similarity, and when a group of equal signs is parted further.
 SIGNS, RECALL, HOT, MORE_SIGNS = 14, 0.99, 2000, 10
+#: Vectors of a block that top_pairs compares with others (some 40 MB at 64 dimensions), and of a product within a task.
+BLOCK, TILE = 1 << 15, 1 << 10
 
 
 @dataclass(frozen=True)
@@ -138,6 +143,56 @@ def similar_pairs(vectors: DataFrame, threshold: float, recall: float = RECALL,
     return apart.unionByName(same)
 
 
+def top_pairs(vectors: DataFrame, threshold: float, most: int, by: str, apart: str, block: int = BLOCK) -> DataFrame:
+    """(by, a, b, similarity) with a < b: of each group the `most` most similar pairs, by ids on ties, with a cosine of at least threshold.
+
+    Vectors: (id, vector, by, apart); rows with the same `apart`, null too, make no pair, nor do null and zero vectors. The
+    result is exact: all pairs are compared, in single precision first, and those within its error of the least similarity
+    that still counts in double. Each two blocks of a group are a task's work and give `most` pairs at most, so memory and
+    output stay bounded whatever the vectors; products grow with the square of a group, a block is sent once for each other."""
+    rows = vectors.where(F.col("vector").isNotNull()).where(dot(F.col("vector"), F.col("vector")) > 0)
+    rows = rows.select(F.col(by).alias("_by"), F.coalesce(F.xxhash64(apart), F.lit(0)).alias("_apart"), "id", F.col("vector").cast("array<double>").alias("vector"))
+    sizes = rows.groupBy("_by").agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
+    own, other = F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    dealt = rows.join(sizes.withColumnRenamed("_by", "_of"), F.col("_by").eqNullSafe(F.col("_of"))).withColumns({"own": own, "other": other})
+    dealt = dealt.select("_by", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).alias("second"), "_apart", "id", "vector")
+
+    def compared(table: pa.Table) -> pa.Table:
+        ids = table["id"].to_pylist()
+        order = np.array(sorted(range(len(ids)), key=ids.__getitem__), dtype=np.int64)  # places stand for ids from here on
+        vector = table["vector"].combine_chunks()
+        x = vector.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)[order]
+        x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+        small, of = x.astype(np.float32), table["_apart"].to_numpy()[order]
+        second = table["second"].to_numpy(zero_copy_only=False)[order]
+        across = table["lo"][0].as_py() != table["hi"][0].as_py()
+        left, right = (np.flatnonzero(~second), np.flatnonzero(second)) if across else (np.arange(len(ids)),) * 2
+        least, held = threshold, (np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        for i in range(0, len(left), TILE):
+            for j in range(0 if across else i, len(right), TILE):
+                p, q = left[i : i + TILE], right[j : j + TILE]
+                u, w = np.nonzero(small[p] @ small[q].T >= least - 1e-5)  # rounding to 6 places and single precision err by less
+                u, w = p[u], q[w]
+                a, b = np.minimum(u, w), np.maximum(u, w)
+                keep = (of[a] != of[b]) if across else (u < w) & (of[a] != of[b])
+                a, b = a[keep], b[keep]
+                for k in range(0, len(a), 1 << 16):
+                    c, d = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
+                    sim = np.round((x[c] * x[d]).sum(axis=1), 6)
+                    c, d, sim = (np.concatenate([z, y[sim >= least]]) for z, y in zip((held[1], held[2], held[0]), (c, d, sim), strict=True))
+                    first = np.lexsort((d, c, -sim))[:most]
+                    held = sim[first], c[first], d[first]
+                    if len(first) == most:
+                        least = float(held[0][-1])
+        back = lambda k: table["id"].take(pa.array(order[k]))
+        group = table["_by"].take(pa.array(np.zeros(len(held[0]), np.int64)))
+        return pa.table([group, back(held[1]), back(held[2]), pa.array(held[0])], names=[by, "a", "b", "similarity"])
+
+    kinds = dict(rows.dtypes)
+    found = dealt.groupBy("_by", "lo", "hi").applyInArrow(compared, f"`{by}` {kinds['_by']}, a {kinds['id']}, b {kinds['id']}, similarity double")
+    return best_pairs(found, by, most)
+
+
 def best_pairs(pairs: DataFrame, by: str, most: int) -> DataFrame:
     """The `most` most similar pairs of each group."""
     order = W.partitionBy(by).orderBy(F.desc("similarity"), "a", "b")

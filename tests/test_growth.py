@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from atheneum.operators import chunking
+from atheneum.operators import chunking, vector_index
 
 
 def plan(df):
@@ -24,3 +26,26 @@ def test_section_paths_need_no_join(spark):
         return (path(rows[r.doc_id, r.parent]) + " > " if r.parent else "") + r.title
 
     assert all(r.path == path(r) for r in rows.values())
+
+
+@pytest.mark.parametrize("block", [10_000, 70])
+def test_top_pairs_miss_none(spark, block):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 16))
+    x[100:200] = x[:100] + rng.normal(size=(100, 16)) * rng.uniform(0.05, 0.45, size=(100, 1))
+    x[200:230] = x[:30] * 3  # ties, to be settled by ids
+    rows = [(f"i{k}", v.tolist(), "ab"[k % 2], f"h{k % 200}" if k % 7 else None) for k, v in enumerate(x)]
+    rows += [("zero", [0.0] * 16, "a", "z"), ("null", None, "b", "y")]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sims = np.round(unit @ unit.T, 6)
+    for most in (25, 10_000):
+        want = {}
+        for i in range(300):
+            for j in range(300):
+                a, b = rows[i], rows[j]
+                if a[0] < b[0] and a[2] == b[2] and a[3] != b[3] and sims[i, j] >= 0.92:
+                    want.setdefault(a[2], []).append((-sims[i, j], a[0], b[0]))
+        want = sorted((g, a, b, -s) for g, ps in want.items() for s, a, b in sorted(ps)[:most])
+        given = spark.createDataFrame(rows, "id string, vector array<double>, side string, hash string")
+        got = sorted((r.side, r.a, r.b, r.similarity) for r in vector_index.top_pairs(given, 0.92, most, "side", "hash", block).collect())
+        assert [g[:3] for g in got] == [w[:3] for w in want] and np.allclose([g[3] for g in got], [w[3] for w in want])
