@@ -1,8 +1,8 @@
 """A positional word index in Parquet, and ranked boolean queries that read their own words' postings only.
 
 The index is a folder with three tables: `postings` (bucket, term, segment, id, tf, positions, n), `documents`
-(segment, id, n and the columns that queries filter by) and `gone` (segment, id). Postings are dealt by ranges of
-(bucket, term, id), so a term of very many documents is split over files, files are sorted by term, and a query's
+(segment, id, n and the columns that queries filter by) and `gone` (segment, id). Postings are dealt by bucket and by
+one of PARTS parts of the ids, so a term of very many documents is split over files, files are sorted by term, and a query's
 scan is cut by the folders of its words' buckets and by the files' own statistics. The documents of a later segment
 take the place of those of the same id before; merged() writes the live rows anew.
 """
@@ -14,6 +14,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,8 @@ from atheneum.operators.retrieval import POOL, parse_query, ranked
 
 _TERM = re.compile("[a-z0-9]+")
 BUCKETS = 64
+#: Files that the postings of a bucket are dealt to at most, by their ids.
+PARTS = 32
 
 
 def bucket_of(word: str, buckets: int) -> int:
@@ -61,7 +64,11 @@ class WordIndex:
         return self._read("postings", self._posting).where(F.col("bucket").isin(found) & F.col("term").isin(words))
 
     def match(self, text: str, where: Column | None = None, pool: int = POOL, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-        """(id, bm25, rank_f) of the documents that match the query, as retrieval.word_channel gives them.
+        """(id, bm25, rank_f) of the first `pool` documents that match the query, as retrieval.word_channel gives them; see matches()."""
+        return ranked(self.matches(text, where, k1, b), [F.desc("bm25"), F.asc("id")], pool, "rank_f")
+
+    def matches(self, text: str, where: Column | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+        """(id, bm25) of all documents that match the query, in no order: no task sees them all.
 
         `where` looks at the columns of documents(); lengths and frequencies are those of the documents that pass it."""
         query = parse_query(text)
@@ -109,8 +116,7 @@ class WordIndex:
         for k in range(len(words)):
             idf = F.log(1 + (F.col("docs") - F.col(f"df{k}") + 0.5) / (F.col(f"df{k}") + 0.5))
             score += idf * F.col(f"tf{k}") * (k1 + 1) / (F.col(f"tf{k}") + k1 * (1 - b + b * F.col("n") / F.col("mean")))
-        rows = rows.where(match).crossJoin(F.broadcast(stats)).select("id", F.round(score, 6).alias("bm25"))
-        return ranked(rows, [F.desc("bm25"), F.asc("id")], pool, "rank_f")
+        return rows.where(match).crossJoin(F.broadcast(stats)).select("id", F.round(score, 6).alias("bm25"))
 
     def changed(self, docs: DataFrame, gone: DataFrame | None = None) -> WordIndex:
         """The index with a further segment: docs (id, text, ..) take the place of those of the same id, ids in gone (id) leave."""
@@ -132,7 +138,8 @@ class WordIndex:
         return replace(self, path=path, segments=1)
 
     def _store(self, postings: DataFrame, path: str) -> None:
-        dealt = postings.repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term", "id")
+        # By hashes, as ranges would read and parse all texts twice, the first time for their bounds.
+        dealt = postings.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(PARTS))).sortWithinPartitions("bucket", "term", "id")
         dealt.write.partitionBy("bucket").option("compression", "zstd").parquet(path)
 
 
@@ -147,18 +154,18 @@ def _postings(docs: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                rows, words, tf, places, sizes = [], [], [], [], []
-                for k, t in enumerate(part.column(1).to_pylist()):
-                    found = _TERM.findall((t or "").lower())
-                    where: dict[str, list[int]] = {}
-                    for p, w in enumerate(found):
-                        where.setdefault(w, []).append(p)
-                    rows += [k] * len(where)
-                    words += where
-                    places += where.values()
-                    tf += map(len, where.values())
-                    sizes += [len(found)] * len(where)
-                columns = [pa.array([bucket_of(w, buckets) for w in words], pa.int32()), pa.array(words, pa.string()), part.column(0).take(pa.array(rows, pa.int64())), pa.array(tf, pa.int32()), pa.array(places, pa.list_(pa.int32())), pa.array(sizes, pa.int32())]
+                found = [_TERM.findall((t or "").lower()) for t in part.column(1).to_pylist()]
+                sizes = np.array([len(f) for f in found])
+                words = pa.array([w for f in found for w in f], pa.string()).dictionary_encode()
+                rows = np.repeat(np.arange(len(found)), sizes)
+                key = rows * max(1, len(words.dictionary)) + words.indices.to_numpy()
+                order = np.argsort(key, kind="stable")  # a document's words, each with its places in order
+                start = np.flatnonzero(np.diff(key[order], prepend=-1))
+                of, said = rows[order[start]], words.indices.to_numpy()[order[start]]
+                ends = np.append(start, len(order))
+                places = (np.arange(len(rows)) - (np.cumsum(sizes) - sizes)[rows])[order]
+                bucket = np.array([bucket_of(w, buckets) for w in words.dictionary.to_pylist()], np.int32)
+                columns = [pa.array(bucket[said]), words.dictionary.take(pa.array(said)), part.column(0).take(pa.array(of)), pa.array(np.diff(ends).astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(places.astype(np.int32))), pa.array(sizes[of].astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(columns, names=["bucket", "term", "id", "tf", "positions", "n"])
 
     return docs.select("id", "text").mapInArrow(run, f"bucket int, term string, id {docs.schema['id'].dataType.simpleString()}, tf int, positions array<int>, n int")

@@ -66,3 +66,8 @@ def test_files_of_other_vectors_are_no_versions(spark, tmp_path):
         want = con.execute(queries.SQL[name])
         columns = [c[0] for c in want.description]
         assert sorted(map(tuple, queries.QUERIES[name](spark, str(tmp_path)).select(*columns).collect())) == sorted(want.fetchall())
+
+
+def test_word_query_puts_no_rows_in_one_order(spark):
+    found = plan(queries.r03_word_query(spark, "/root/testdata/sf0.001"))
+    assert "Window" not in found and "TakeOrdered" not in found and "GlobalLimit" not in found
