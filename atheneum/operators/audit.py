@@ -16,6 +16,8 @@ DIMENSIONS = {
     "structure": ["too_deep", "missing_expected_structure", "orphan_folder", "template_drift", "project_completeness", "orphaned_knowledge", "mixed_purpose_folder"],
     "registry": ["unknown_customer", "unknown_initiative", "missing_initiative_metadata"],
 }
+#: Parts that the files of one asset are dealt to.
+SPREAD = 64
 
 
 def inventory(files: DataFrame) -> DataFrame:
@@ -84,9 +86,13 @@ def assets(files: DataFrame) -> DataFrame:
     path, context = F.col("path"), P.project_context(F.col("path"))
     key = F.coalesce(F.concat(F.lit("hash:"), F.col("content_hash")), F.concat(F.lit("name:"), P.extension(path), F.lit(":"), P.asset_name(path)))
     df = files.select(key.alias("asset_key"), "root", "path", context["customer"].alias("customer"), context["project"].alias("project"), F.size(F.split(path, "/")).alias("depth"))
-    out = df.groupBy("asset_key").agg(
-        F.count("*").alias("copy_count"), F.countDistinct("customer").alias("customer_count"), F.countDistinct("project").alias("project_count"), F.countDistinct("root").alias("root_count"),
-        F.min_by("path", F.struct("depth", "path")).alias("canonical"),
+    # Paths in Parquet are small and many fall to one reading task, so they are dealt out before they are sorted by keys; and
+    # distinct counts, which multiply their rows, are taken of the few rows of a key's customers, projects and roots.
+    spread = df.repartition("asset_key", F.pmod(F.xxhash64("path"), F.lit(SPREAD)))
+    few = spread.groupBy("asset_key", "customer", "project", "root").agg(F.count("*").alias("n"), F.min(F.struct("depth", "path")).alias("first"))
+    out = few.groupBy("asset_key").agg(
+        F.sum("n").alias("copy_count"), F.countDistinct("customer").alias("customer_count"), F.countDistinct("project").alias("project_count"), F.countDistinct("root").alias("root_count"),
+        F.min("first")["path"].alias("canonical"),
     )
     return out.withColumn("reuse_score", P.reuse_score(F.col("copy_count"), F.col("project_count"), F.col("customer_count"), F.col("root_count")))
 

@@ -3,11 +3,14 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from atheneum import queries
-from atheneum.operators import chunking, vector_index
+from atheneum.operators import audit, calls, chunking, vector_index
+from atheneum.streaming import machine
 
 
 def plan(df):
@@ -71,3 +74,70 @@ def test_files_of_other_vectors_are_no_versions(spark, tmp_path):
 def test_word_query_puts_no_rows_in_one_order(spark):
     found = plan(queries.r03_word_query(spark, "/root/testdata/sf0.001"))
     assert "Window" not in found and "TakeOrdered" not in found and "GlobalLimit" not in found
+
+
+def test_assets_are_dealt_out_before_they_are_sorted(spark):
+    rows = [(k % 3, f"01 Project/2024/C{k % 5}/p{k % 4}/plan v{k}.md", 1, None) for k in range(200)] + [(k, f"x/plan_{k}.md", 1, None) for k in range(20)]
+    got = audit.assets(spark.createDataFrame(rows, "root int, path string, size_bytes int, content_hash string"))
+    assert plan(got).rindex("REPARTITION_BY_COL") > max(plan(got).rindex("Aggregate"), plan(got).rindex("Expand"))
+    by = {r.asset_key: r for r in got.collect()}
+    r = by["name:.md:plan"]
+    assert (r.copy_count, r.customer_count, r.project_count, r.root_count, r.canonical) == (200, 5, 20, 3, min(p for _, p, _, _ in rows[:200])) and sum(x.copy_count for x in by.values()) == 220
+
+
+def test_models_hold_the_rows_of_one_call(spark):
+    class Batch:
+        """A batch that tells how many of its rows were made into Python objects at once."""
+
+        most = 0
+
+        def __init__(self, b):
+            self.b, self.num_rows, self.column = b, b.num_rows, b.column
+
+        def slice(self, *at):
+            return Batch(self.b.slice(*at))
+
+        def to_pylist(self):
+            Batch.most = max(Batch.most, self.num_rows)
+            return self.b.to_pylist()
+
+    class Items:
+        columns, schema = ["id", "text"], spark.range(1).schema
+
+        def mapInArrow(self, run, _):
+            return run
+
+    run = calls.answered(Items(), lambda rows: {r["id"]: r["text"] for r in rows}, batch=10)
+    (out,) = run(iter([Batch(pa.RecordBatch.from_pydict({"id": list(range(95)), "text": [f"x{k}" for k in range(95)]}))]))
+    assert out.column(1).to_pylist() == [f"x{k}" for k in range(95)] and Batch.most == 10
+
+
+def test_file_watch_asks_no_list_of_timers():
+    class Handle:
+        def __init__(self):
+            self.timers, self.kept = set(), None
+
+        def getValueState(self, *_):
+            return self
+
+        def get(self):
+            return self.kept
+
+        def update(self, row):
+            self.kept = row
+
+        def registerTimer(self, at):
+            self.timers.add(at)
+
+        def deleteTimer(self, at):
+            self.timers.remove(at)
+
+    handle, watch = Handle(), machine.FileWatch(10)
+    watch.init(handle)
+    told = lambda us, h: [r.change for r in watch.handleInputRows(("p",), iter([Row(us=us, file_hash=h)]), None)]
+    assert told(1_000_000, "a") == ["new"] and handle.timers == {11_000}
+    assert told(2_000_000, "b") == ["changed"] and handle.timers == {12_000}
+    assert told(1_500_000, "c") == [] and handle.timers == {12_000}
+    handle.timers.clear()
+    assert [r.change for r in watch.handleExpiredTimer(("p",), None, None)] == ["vanished"]
+    assert told(30_000_000, "b") == ["new"] and handle.timers == {40_000}
