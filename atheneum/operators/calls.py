@@ -36,8 +36,8 @@ def answered(items: DataFrame, model: Callable[[list[dict]], dict], batch: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = b.to_pylist()
-            out = [x for k in range(0, len(rows), batch) for x in one(rows[k : k + batch])]
+            # Only the rows of one call are Python objects at a time; answers are small.
+            out = [x for k in range(0, b.num_rows, batch) for x in one(b.slice(k, batch).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], b.column(names.index(key)).type), *(pa.array([x[k] for x in out], pa.string()) for k in (1, 2, 3))], names=[key, "answer", "status", "error"])
 
     return items.mapInArrow(run, f"{key} {items.schema[key].dataType.simpleString()}, answer string, status string, error string")
