@@ -64,7 +64,8 @@ def drift(folders: DataFrame, initiatives: DataFrame, template: DataFrame) -> Da
     parts = F.split("path", "/")
     inner = F.slice(parts, F.size(F.split("initiative", "/")) + 1, F.size(parts))
     # Every folder name below an initiative is parsed once, and the rows are stored: the rest looks at them often.
-    found = _under(folders.select("path"), initiatives).where("path <> initiative").select("path", P.parent(F.col("path")).alias("parent"), P.name(F.col("path")).alias("name"), F.transform(inner, P.stage_parts).alias("chain"))
+    # Paths in Parquet are small and many fall to one reading task, so they are dealt out before names are parsed.
+    found = _under(folders.select("path").repartition("path"), initiatives).where("path <> initiative").select("path", P.parent(F.col("path")).alias("parent"), P.name(F.col("path")).alias("name"), F.transform(inner, P.stage_parts).alias("chain"))
     found = written(found.where(F.element_at("chain", -1).isNotNull()).distinct(), "stages")
     over = F.filter(F.slice("chain", F.lit(1), F.size("chain") - 1), lambda s: s.isNotNull())
     found = found.select("path", "parent", "name", F.element_at("chain", -1).alias("s"), F.transform(over, lambda s: s["letter"]).alias("letters"))
@@ -102,7 +103,7 @@ def drift(folders: DataFrame, initiatives: DataFrame, template: DataFrame) -> Da
 
 def missing_core(folders: DataFrame, initiatives: DataFrame, template: DataFrame) -> DataFrame:
     """Core stages that are absent, by prefix and by label, below an initiative (path) and below its stages without an index."""
-    found = stages(folders)
+    found = written(stages(folders.select("path").repartition("path")), "parsed")
     direct = found.select(F.col("parent").alias("initiative"), "prefix", "words")
     wrapped = found.join(found.where(F.size("indices") == 0).select(F.col("path").alias("parent"), F.col("parent").alias("initiative")), "parent").select("initiative", "prefix", "words")
     have = direct.unionByName(wrapped).join(initiatives.select(F.col("path").alias("initiative")), "initiative", "left_semi")
