@@ -59,7 +59,7 @@ def st02_file_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     hour = F.timestamp_seconds(F.lit(1_767_225_600) + F.col("k") * 3600)
     scans = d.select(F.col("doc_id").cast("string").alias("path"), F.concat(F.lit("v"), version.cast("string"), F.length("text").cast("string")).alias("file_hash"), hour.alias("scan_at"))
     at = [F.col("scan_at") == F.timestamp_seconds(F.lit(1_767_225_600 + k * 3600)) for k in range(3)]
-    out = _run_in_parts(scans, at, lambda s: machine.file_changes(s, 1800))
+    out = _run_in_parts(written(scans, "scans"), at, lambda s: machine.file_changes(s, 1800))  # texts are read once
     k = ((F.unix_timestamp("scan_at") - 1_767_225_600) / 3600).cast("long")
     return spark.read.parquet(out).select("path", k.alias("k"), "file_hash", "change")
 

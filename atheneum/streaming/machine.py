@@ -111,16 +111,19 @@ class FileWatch(StatefulProcessor):
         self.seen = handle.getValueState("seen", "file_hash string, us long, gone boolean")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
-        last = self.seen.get() if self.seen.exists() else None
+        before = last = self.seen.get()
         for e in sorted(rows, key=lambda e: (e.us, e.file_hash or "")):
             if last and e.us <= last[1]:
                 continue  # a scan that lists a path again, or comes late
             change = "new" if not last or last[2] else "unchanged" if last[0] == e.file_hash else "changed"
             last = (e.file_hash, e.us, False)
             yield Row(path=key[0], us=e.us, file_hash=e.file_hash, change=change)
+        if last == before:
+            return
+        # Each call of the state is a round trip: a path that is not gone has one timer, at a time that its row tells.
         self.seen.update(last)
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
+        if before and not before[2]:
+            self.handle.deleteTimer((before[1] + self.grace_us) // 1000)
         self.handle.registerTimer((last[1] + self.grace_us) // 1000)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:  # noqa: N802, N803
