@@ -16,12 +16,16 @@ always held to its share of the bits allowed.
 
 Where a similarity is demanded, links are candidates only: the exact Jaccard similarity of the shingle
 sets decides. Candidates are thinned to forests by levels of differing bits, so that any two that meet
-within a level are joined by a path of candidates within that level.
+within a level are joined by a path of candidates within that level. What bits miss is found by an exact join:
+under any one order of all shingles, two sets with a similarity of s share one of their first n - ceil(s n) + 1
+(n: the set's size). Sets of different components that do are compared, all of them; the order has shingles
+that are common last, so few do.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +43,14 @@ BLOCK = 1 << 14
 LEVELS = (0.25, 0.5, 0.75, 1.0)
 #: Candidates of one node are verified in up to so many groups.
 SLOTS = 1024
+#: Shingles that come last in the order for prefixes, at most (8 bytes each), and the least count that makes one common.
+COMMON, OFTEN = 1 << 19, 4
+#: Shingles of a batch within which a task counts them. Counts only set the order, under which the join is exact whatever they are.
+BATCH = 1 << 20
+#: Sets under one shingle that a task pairs with each other at most; more are split into pairs of such blocks.
+PREFIX_BLOCK = 1 << 10
+#: Where sets under one shingle make over so many pairs a set, they are first compared with one of them only, in so many rounds at most.
+PAIRS, ROUNDS = 8, 4
 #: Ids whose texts are verified are broadcast up to so many; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -146,6 +158,123 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.where(shared >= F.lit(similarity) * (F.size("a") + F.size("b") - shared)).select("u", "v")
 
 
+def common_shingles(docs: DataFrame, text_col: str, words: int) -> np.ndarray:
+    """Hashes of shingles that many sets have, the most common last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def out() -> pa.RecordBatch:
+            shingles, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(shingles[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], names=["shingle", "n"])
+
+        size = 0
+        for b in batches:
+            for t in raw(b.column(0)):
+                held.append(np.unique(shingle_hashes(t, words)))
+                size += len(held[-1])
+                if size >= BATCH:
+                    yield out()
+                    size = 0
+        if held:
+            yield out()
+
+    counts = docs.select(text_col).mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    found = counts.where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "shingle").limit(COMMON).select("shingle").toArrow()  # COMMON rows at most
+    return found["shingle"].to_numpy().view(np.uint64)[::-1]
+
+
+def prefixes(docs: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame:
+    """(shingle, node, n): of each set of n shingles the first ones, of which similar sets share one; repeated sets may repeat."""
+    common = common_shingles(docs, text_col, words)
+    order = np.argsort(common)
+    ranks = docs.sparkSession.sparkContext.broadcast((common[order], order + 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, rank = ranks.value
+        for b in batches:
+            texts = raw(b.column(0))
+            for start in range(0, len(texts), 256):
+                first, of, sizes = [], [], []
+                seen = set()
+                for t in texts[start : start + 256]:
+                    s = np.unique(shingle_hashes(t, words))
+                    node = _node(s)
+                    if not len(s) or node in seen:
+                        continue
+                    seen.add(node)
+                    if len(often):
+                        at = np.minimum(np.searchsorted(often, s), len(often) - 1)
+                        ordered = s[np.argsort(np.where(often[at] == s, rank[at], 0), kind="stable")]
+                    else:
+                        ordered = s
+                    first.append(ordered[: len(s) - math.ceil(similarity * len(s) * (1 - 1e-12)) + 1])
+                    of.append(node)
+                    sizes.append(len(s))
+                if not of:
+                    continue
+                lengths = [len(x) for x in first]
+                cols = np.concatenate(first).view(np.int64), np.repeat(np.array(of, np.uint64).view(np.int64), lengths), np.repeat(np.array(sizes, np.int32), lengths)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["shingle", "node", "n"])
+
+    return docs.select(text_col).mapInArrow(run, "shingle long, node long, n int")
+
+
+def _across(rows: DataFrame) -> DataFrame:
+    """Those of rows (shingle, node, n, label) whose shingle is under several labels, and the pairs that they make (pairs, size)."""
+    of = rows.groupBy("shingle", "label").agg(F.count("*").alias("k")).groupBy(F.col("shingle").alias("of"))
+    of = of.agg(F.sum("k").alias("size"), ((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("pairs"), F.count("*").alias("labels")).where("labels > 1")
+    return rows.join(of, F.col("shingle") == F.col("of")).select(*rows.columns, "size", "pairs")
+
+
+def _pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """(u, v) of rows (shingle, node, n, label, size): nodes of one shingle and different labels whose sizes allow the similarity."""
+    blocks = F.ceil(F.col("size") / PREFIX_BLOCK).cast("int")
+    own, other = F.pmod(F.xxhash64("node"), blocks).cast("int"), F.explode(F.sequence(F.lit(0), blocks - 1))
+    dealt = rows.withColumn("own", own).withColumn("other", other).select("shingle", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "node", "n", "label")
+    x, y = (dealt.toDF("shingle", "a", "b", *(f"{s}{c}" for c in ("own", "node", "n", "label"))) for s in "xy")
+    # Two of one block meet where both are dealt with it alone.
+    met = x.join(y, ["shingle", "a", "b"]).where("xnode < ynode and xlabel <> ylabel and (a = b or xown <> yown)")
+    alike = F.least("xn", "yn") >= F.lit(similarity * (1 - 1e-12)) * F.greatest("xn", "yn")
+    return met.where(alike).select(F.col("xnode").alias("u"), F.col("ynode").alias("v")).distinct()
+
+
+def _stars(rows: DataFrame) -> DataFrame:
+    """(u, v): of each shingle all nodes with the one whose set is the largest, for a start."""
+    head = rows.groupBy(F.col("shingle").alias("of")).agg(F.max_by(F.struct("node", "label"), F.struct("n", "node")).alias("head"))
+    met = rows.join(head, F.col("shingle") == F.col("of")).where("label <> head.label")
+    return met.select(F.least("node", "head.node").alias("u"), F.greatest("node", "head.node").alias("v")).distinct()
+
+
+def missed(first: DataFrame, found: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """found (u, v), links of similar sets, with further ones: as many as connect all sets that similar ones connect.
+
+    first has the sets' prefixes, sets_of gives the sets (node, shingles) of pairs (u, v). No pair of different
+    components is left out that could be similar."""
+    first = written(first, "prefixes")
+    shared = written(first.groupBy("shingle").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("shingle"), "shared")
+    rows = written(first.join(F.broadcast(shared) if shared.count() <= BROADCAST_IDS else shared, "shingle", "left_semi").distinct(), "meeting")
+
+    def labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
+        of = components(found, "rings")
+        return written(_across(rows.select("shingle", "node", "n").join(of, "node", "left").withColumn("label", F.coalesce("label", "node"))), "across")
+
+    for _ in range(ROUNDS):
+        rows = labelled(rows, found)
+        sums = rows.select("shingle", "size", "pairs").distinct().agg(F.sum("size").alias("size"), F.sum("pairs").alias("pairs")).first()
+        if not sums.size:
+            return found
+        if sums.pairs <= PAIRS * sums.size:
+            break
+        met = written(_stars(rows), "stars")
+        found = written(found.unionByName(similar(met, sets_of(met), similarity)).distinct(), "found")
+    else:
+        rows = labelled(rows, found)
+    met = written(_pairs(rows, similarity), "met")
+    return found.unionByName(similar(met, sets_of(met), similarity))
+
+
 def _keyed(fps: DataFrame, lanes: int) -> DataFrame:
     """(key, fp .., further columns of fps): a row for each start; a key is the start and the segment there."""
     names = fps.columns
@@ -291,13 +420,17 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     else:
         met = links(written(rows.select(*names, "node").distinct(), "distinct"), max_bits, LEVELS).where("u <> v")
         met = written(met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "met")
-        needed = met.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-        # A row of every set that is needed: the one with the least id, or any if ids are null.
-        ids = written(classes.join(needed, "node").select(F.col("least").alias(id_col)).distinct(), "ids")
-        ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-        of = docs.select(id_col, text_col).alias("d").join(ids.alias("i"), F.col(f"d.{id_col}").eqNullSafe(F.col(f"i.{id_col}")), "left_semi")
-        sets = written(shingle_sets(of, text_col, words).groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
-        found = similar(met, sets, similarity)
+
+        def sets_of(met: DataFrame) -> DataFrame:
+            needed = met.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+            # A row of every set that is needed: the one with the least id, or any if ids are null.
+            ids = written(classes.join(needed, "node").select(F.col("least").alias(id_col)).distinct(), "ids")
+            ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+            of = docs.select(id_col, text_col).alias("d").join(ids.alias("i"), F.col(f"d.{id_col}").eqNullSafe(F.col(f"i.{id_col}")), "left_semi")
+            return written(shingle_sets(of, text_col, words).groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+
+        found = written(similar(met, sets_of(met), similarity), "similar")
+        found = missed(prefixes(docs, text_col, words, similarity), found, sets_of, similarity)
     of = written(components(found, "rings"), "rings")
     of = classes.join(of, classes[key] == of.node, "left").select(classes[key], "least", "size", F.coalesce("label", classes[key]).alias("label"))
     of = written(of, "labels")

@@ -584,6 +584,32 @@ def test_near_copies_are_dropped(spark):
     assert all(2 * k in kept for k in range(300)) and found[0] == total[0] and found[1] >= 0.5 * total[1]
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_no_similar_set_is_missed(spark, monkeypatch, small):
+    """Copies around the threshold, a family of one template and a phrase in all texts: what stays is what brute force leaves."""
+    import corpus_pipeline
+
+    if small:  # rounds of stars first, blocks of few sets, few shingles known as common
+        for name, value in (("PAIRS", 0), ("PREFIX_BLOCK", 3), ("COMMON", 5)):
+            monkeypatch.setattr(simhash, name, value)
+    rng, texts = random.Random(6), []
+    phrase = [f"p{k}" for k in range(15)]
+    for k in range(60):
+        words = phrase + [f"w{rng.randrange(10**5)}" for _ in range(60 + 5 * k)]
+        texts.append(list(words))
+        for place in rng.sample(range(len(words)), max(1, len(words) // 47)):
+            words[place] = f"x{rng.randrange(10**5)}"
+        texts.append(words)
+    family = [f"f{k}" for k in range(80)]
+    for _ in range(60):
+        texts.append([f"y{rng.randrange(10**5)}" if rng.random() < 0.02 else w for w in family])
+    rows = [(k, " ".join(w)) for k, w in enumerate(texts)]
+    rng.shuffle(rows)
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    want = brute_near_dedup(rows)
+    assert Counter(map(tuple, got)) == want and 70 < len(want) < 110
+
+
 def test_versions_stay_readable_until_they_expire(spark, tmp_path, docs):
     store = sharding.ShardStore(spark, f"file://{tmp_path}/store", target_bytes=1 << 20, fan_in=2)
     for _ in range(3):
