@@ -19,7 +19,7 @@ sets decides. Candidates are thinned to forests by levels of differing bits, so
 within a level are joined by a path of candidates within that level. What bits miss is found by an exact join:
 under any one order of all shingles, two sets with a similarity of s share one of their first n - ceil(s n) + 1
 (n: the set's size). Sets of different components that do are compared, all of them; the order has shingles
-that are common last, so few do.
+that are common last, so few do, and of those most are told apart by sketches, which bound what two sets share.
 """
 
 from __future__ import annotations
@@ -114,17 +114,28 @@ def _node(distinct: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(distinct.tobytes(), 7)
 
 
+def _sketch(distinct: np.ndarray) -> bytes:
+    """How many of a set's shingles have each last byte; empty if one has over 255 of them."""
+    n = np.bincount((distinct & np.uint64(255)).astype(np.int64), minlength=256)
+    return n.astype(np.uint8).tobytes() if n.max() < 256 else b""
+
+
 def nodes(docs: DataFrame, id_col: str, text_col: str, words: int, lanes: int) -> DataFrame:
-    """id_col, fp, fp1, .. and node, the name of the text's set of shingles."""
+    """id_col, fp, fp1, .., node, the name of the text's set of shingles, and the set's sketch."""
     names = [*_lanes(lanes), "node"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [(*_folded(h, lanes), _node(np.unique(h))) for h in (shingle_hashes(t, words) for t in raw(b.column(1)))]
+            out, sketches = [], []
+            for h in (shingle_hashes(t, words) for t in raw(b.column(1))):
+                distinct = np.unique(h)
+                out.append((*_folded(h, lanes), _node(distinct)))
+                sketches.append(_sketch(distinct))
             out = np.array(out, dtype=np.uint64).reshape(-1, lanes + 1).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(out[:, k])) for k in range(lanes + 1))], names=[id_col, *names])
+            columns = [b.column(0), *(pa.array(np.ascontiguousarray(out[:, k])) for k in range(lanes + 1)), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=[id_col, *names, "sketch"])
 
-    shape = T.StructType([docs.schema[id_col], *(T.StructField(n, T.LongType()) for n in names)])
+    shape = T.StructType([docs.schema[id_col], *(T.StructField(n, T.LongType()) for n in names), T.StructField("sketch", T.BinaryType())])
     return docs.select(id_col, text_col).mapInArrow(run, shape)
 
 
@@ -143,19 +154,42 @@ def shingle_sets(docs: DataFrame, text_col: str, words: int) -> DataFrame:
     return docs.select(text_col).mapInArrow(run, "node long, shingles array<long>")
 
 
-def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of pairs (u, v) of nodes whose sets (node, shingles) have at least this Jaccard similarity.
+def _both(pairs: DataFrame, of: DataFrame) -> DataFrame:
+    """pairs (u, v) of nodes with a and b, what of (node, value) has for them.
 
-    A node's set is sent once for each of up to SLOTS groups of its pairs, so no task meets all pairs of a node of many."""
+    A node's value is sent once for each of up to SLOTS groups of its pairs, so no task meets all pairs of a node of many."""
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
     pairs = pairs.withColumns({"us": slot("v"), "vs": slot("u")})
 
     def side(node: str, group: str, name: str) -> DataFrame:
-        return pairs.select(node, group).distinct().join(sets.select(F.col("node").alias(node), F.col("shingles").alias(name)), node)
+        return pairs.select(node, group).distinct().join(of.toDF(node, name), node)
 
-    both = pairs.join(side("u", "us", "a"), ["u", "us"]).join(side("v", "vs", "b"), ["v", "vs"])
+    return pairs.join(side("u", "us", "a"), ["u", "us"]).join(side("v", "vs", "b"), ["v", "vs"])
+
+
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of pairs (u, v) of nodes whose sets (node, shingles) have at least this Jaccard similarity."""
     shared = F.size(F.array_intersect("a", "b"))
-    return both.where(shared >= F.lit(similarity) * (F.size("a") + F.size("b") - shared)).select("u", "v")
+    return _both(pairs, sets.select("node", "shingles")).where(shared >= F.lit(similarity) * (F.size("a") + F.size("b") - shared)).select("u", "v")
+
+
+def possible(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """pairs (u, v) without those whose sketches (node, sketch) show that fewer shingles are shared than the similarity asks for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 4096):
+                part = batch.slice(start, 4096)
+                a, b = part.column(2).to_pylist(), part.column(3).to_pylist()
+                known = np.array([bool(x) and bool(y) for x, y in zip(a, b, strict=True)], dtype=bool)
+                x, y = (np.frombuffer(b"".join(z for z, k in zip(side, known, strict=True) if k), np.uint8).reshape(-1, 256) for side in (a, b))
+                most = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+                keep = ~known
+                keep[known] = most >= similarity * (1 - 1e-12) * (x.sum(axis=1, dtype=np.int64) + y.sum(axis=1, dtype=np.int64) - most)
+                kept = pa.array(np.flatnonzero(keep))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(kept), part.column(1).take(kept)], names=["u", "v"])
+
+    return _both(pairs, sketches.select("node", "sketch")).select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
 def common_shingles(docs: DataFrame, text_col: str, words: int) -> np.ndarray:
@@ -247,13 +281,13 @@ def _stars(rows: DataFrame) -> DataFrame:
     return met.select(F.least("node", "head.node").alias("u"), F.greatest("node", "head.node").alias("v")).distinct()
 
 
-def missed(first: DataFrame, found: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+def missed(first: DataFrame, found: DataFrame, verified: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
     """found (u, v), links of similar sets, with further ones: as many as connect all sets that similar ones connect.
 
-    first has the sets' prefixes, sets_of gives the sets (node, shingles) of pairs (u, v). No pair of different
+    first has the sets' prefixes, verified gives those of pairs (u, v) that are similar. No pair of different
     components is left out that could be similar."""
     first = written(first, "prefixes")
-    shared = written(first.groupBy("shingle").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("shingle"), "shared")
+    shared = written(first.groupBy("shingle").agg(F.count("*").alias("rows")).where("rows > 1").select("shingle"), "shared")  # repeated sets count, too, and leave below
     rows = written(first.join(F.broadcast(shared) if shared.count() <= BROADCAST_IDS else shared, "shingle", "left_semi").distinct(), "meeting")
 
     def labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -267,12 +301,10 @@ def missed(first: DataFrame, found: DataFrame, sets_of: Callable[[DataFrame], Da
             return found
         if sums.pairs <= PAIRS * sums.size:
             break
-        met = written(_stars(rows), "stars")
-        found = written(found.unionByName(similar(met, sets_of(met), similarity)).distinct(), "found")
+        found = written(found.unionByName(verified(_stars(rows))).distinct(), "found")
     else:
         rows = labelled(rows, found)
-    met = written(_pairs(rows, similarity), "met")
-    return found.unionByName(similar(met, sets_of(met), similarity))
+    return found.unionByName(verified(_pairs(rows, similarity)))
 
 
 def _keyed(fps: DataFrame, lanes: int) -> DataFrame:
@@ -429,8 +461,13 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             of = docs.select(id_col, text_col).alias("d").join(ids.alias("i"), F.col(f"d.{id_col}").eqNullSafe(F.col(f"i.{id_col}")), "left_semi")
             return written(shingle_sets(of, text_col, words).groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
 
+        def verified(met: DataFrame) -> DataFrame:
+            met = written(possible(met, sketches, similarity), "possible")
+            return similar(met, sets_of(met), similarity)
+
+        sketches = rows.groupBy("node").agg(F.first("sketch").alias("sketch"))
         found = written(similar(met, sets_of(met), similarity), "similar")
-        found = missed(prefixes(docs, text_col, words, similarity), found, sets_of, similarity)
+        found = missed(prefixes(docs, text_col, words, similarity), found, verified, similarity)
     of = written(components(found, "rings"), "rings")
     of = classes.join(of, classes[key] == of.node, "left").select(classes[key], "least", "size", F.coalesce("label", classes[key]).alias("label"))
     of = written(of, "labels")
