@@ -32,6 +32,8 @@ from atheneum.operators.retrieval import POOL, ranked
 
 #: Vectors that the cells are fitted to, and the most cells: their centres are all that queries hold on the driver.
 SAMPLE, MOST_CELLS, PROBES = 50_000, 4096, 4
+#: Vectors of a cell that a file holds, about.
+FILE_ROWS = 100_000
 #: Signs of a group of planes, the wanted share of pairs at the least similarity, and when a group of equal signs is parted further.
 SIGNS, RECALL, HOT, MORE_SIGNS = 14, 0.99, 2000, 10
 #: Vectors of a block that top_pairs compares with others (some 40 MB at 64 dimensions), and of a product within a task.
@@ -74,23 +76,39 @@ class VectorIndex:
         return ranked(first.select("id", "similarity"), [F.desc("similarity"), F.asc("id")], pool, "rank_v")
 
 
+def _placed(rows: DataFrame, centres: np.ndarray) -> DataFrame:
+    """rows with the cell of the nearest centre and the angle to it, by products of batches and centres."""
+    sent = rows.sparkSession.sparkContext.broadcast(centres)  # at most MOST_CELLS rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, small = sent.value, sent.value.T.astype(np.float32)
+        for batch in batches:
+            for start in range(0, batch.num_rows, TILE):
+                part = batch.slice(start, TILE)
+                x = part.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
+                x = x / np.linalg.norm(x, axis=1, keepdims=True)
+                cell = (x.astype(np.float32) @ small).argmax(axis=1).astype(np.int32)
+                angle = np.arccos(np.clip((x * of[cell]).sum(axis=1), -1, 1))  # in double: searches rely on it
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell), pa.array(angle)], names=[*part.schema.names, "cell", "angle"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("angle", T.DoubleType())]))
+
+
 def build(vectors: DataFrame, path: str, cells: int | None = None, seed: int = 7) -> VectorIndex:
     """An index of vectors (id, vector, and columns to filter by) in a new folder; null and zero vectors are left out."""
     rows = vectors.where(F.col("vector").isNotNull()).where(dot(F.col("vector"), F.col("vector")) > 0)
     n = rows.count()
     cells = cells or max(1, min(MOST_CELLS, int(math.sqrt(n) / 2)))
-    featured = rows.withColumn("_f", array_to_vector(F.col("vector").cast("array<double>")))
-    sample = featured.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < (1 << 30) * min(1.0, SAMPLE / max(1, n))).select("_f")
     if n <= cells or cells == 1:
-        centres, placed = np.array([r.vector for r in rows.orderBy("id").limit(1).collect()], dtype=np.float64), featured.withColumn("cell", F.lit(0))
+        centres = np.array([r.vector for r in rows.orderBy("id").limit(1).collect()], dtype=np.float64)
     else:
-        model = KMeans(k=cells, featuresCol="_f", predictionCol="cell", distanceMeasure="cosine", seed=seed, maxIter=10).fit(sample)
-        centres, placed = np.array(model.clusterCenters()), model.transform(featured)
+        sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < (1 << 30) * min(1.0, SAMPLE / n)).select(array_to_vector(F.col("vector").cast("array<double>")).alias("_f"))
+        centres = np.array(KMeans(k=cells, featuresCol="_f", predictionCol="cell", distanceMeasure="cosine", seed=seed, maxIter=10).fit(sample).clusterCenters())
     centres = centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-300) if len(centres) else np.zeros((0, 1))
-    of = vectors.sparkSession.createDataFrame(list(enumerate(centres.tolist())), "cell int, _centre array<double>")
-    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine(F.col("vector"), F.col("_centre")))))
-    placed = placed.join(F.broadcast(of), "cell").withColumn("angle", angle).drop("_f", "_centre")  # at most MOST_CELLS rows
-    placed.repartitionByRange("cell", "angle").sortWithinPartitions("cell", "angle").write.partitionBy("cell").parquet(path)
+    placed = _placed(rows, centres)
+    # By hashes, as ranges would place all vectors twice, the first time for their bounds; a cell of many vectors is dealt to several files.
+    dealt = placed.repartition("cell", F.pmod(F.xxhash64("id"), F.lit(max(1, math.ceil(n / cells / FILE_ROWS))))).sortWithinPartitions("cell", "angle")
+    dealt.write.partitionBy("cell").parquet(path)
     return VectorIndex(vectors.sparkSession, path, placed.schema, centres)
 
 

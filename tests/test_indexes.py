@@ -133,3 +133,24 @@ def test_files_that_are_meant_apart(spark):
     stems = ["Page1_Page2 v3 Plan_v2_final copy (3)", "final", "v2 copy", "Plan_conflict of Ann (1)", "draft draft"]
     got = spark.createDataFrame([(f"x/{s}.pdf",) for s in stems], "p string").select(P.working_stem(F.col("p")).alias("s"))
     assert [r.s for r in got.collect()] == ["plan", "final", "copy", "plan", "draft"]
+
+
+def test_vectors_are_placed_once(spark, tmp_path):
+    """Building reads the vectors to count them, for the centre and to place them; each row has the nearest centre and its angle."""
+    rng = np.random.default_rng(3)
+    given = spark.createDataFrame([(k, [float(x) for x in rng.normal(size=8)]) for k in range(400)], "id long, vector array<double>")
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    vector_index.build(given.mapInArrow(counted, given.schema), f"{tmp_path}/one", cells=1)
+    assert read.value <= 3 * 400
+    index = vector_index.build(given, f"{tmp_path}/ten", cells=10)
+    stored = index._read().collect()
+    assert sorted(r.id for r in stored) == list(range(400))
+    for r in stored:
+        similarity = index.centres @ (np.array(r.vector) / np.linalg.norm(r.vector))
+        assert similarity[r.cell] >= similarity.max() - 1e-5 and abs(np.arccos(similarity[r.cell]) - r.angle) < 1e-9
