@@ -41,8 +41,8 @@ MAX_BITS = 3
 BLOCK = 1 << 14
 #: Levels of differing bits that candidates are thinned by, as shares of the bits allowed.
 LEVELS = (0.25, 0.5, 0.75, 1.0)
-#: Candidates of one node are verified in up to so many groups.
-SLOTS = 1024
+#: Nodes of a part when candidates are verified; the values of two parts are in a task at once.
+PART = 2048
 #: Shingles that come last in the order for prefixes, at most (8 bytes each), and the least count that makes one common.
 COMMON, OFTEN = 1 << 19, 4
 #: Shingles of a batch within which a task counts them. Counts only set the order, under which the join is exact whatever they are.
@@ -154,42 +154,55 @@ def shingle_sets(docs: DataFrame, text_col: str, words: int) -> DataFrame:
     return docs.select(text_col).mapInArrow(run, "node long, shingles array<long>")
 
 
-def _both(pairs: DataFrame, of: DataFrame) -> DataFrame:
-    """pairs (u, v) of nodes with a and b, what of (node, value) has for them.
+def _compared(pairs: DataFrame, of: DataFrame, keep: Callable[[pa.Array, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """Those of pairs (u, v) of nodes that keep tells of their values, which of (node, value) has.
 
-    A node's value is sent once for each of up to SLOTS groups of its pairs, so no task meets all pairs of a node of many."""
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
-    pairs = pairs.withColumns({"us": slot("v"), "vs": slot("u")})
+    Nodes are dealt into parts of about PART; two parts meet in a task with the values of the nodes that have pairs there, so a
+    value is sent once for each part its node has pairs with, not for each pair. keep takes the values and the places of u and v in them."""
+    parts = max(1, -(-pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().count() // PART))
+    own, other = (F.pmod(F.xxhash64(c), F.lit(parts)) for c in "uv")
+    dealt = pairs.select(F.least(own, other).alias("a"), F.greatest(own, other).alias("b"), "u", "v")
+    sent = dealt.select("a", "b", F.explode(F.array("u", "v")).alias("node")).distinct().join(of.toDF("node", "value"), "node").select(F.col("a").alias("c"), F.col("b").alias("d"), "node", "value")
 
-    def side(node: str, group: str, name: str) -> DataFrame:
-        return pairs.select(node, group).distinct().join(of.toDF(node, name), node)
+    def run(met: pa.Table, sent: pa.Table) -> pa.Table:
+        met = met.select(["u", "v"])
+        if not met.num_rows or not sent.num_rows:
+            return met.slice(0, 0)
+        nodes = sent["node"].to_numpy()
+        order = np.argsort(nodes)
+        at = [order[np.searchsorted(nodes, met[c].to_numpy(), sorter=order)] for c in "uv"]
+        return met.take(pa.array(np.flatnonzero(keep(pa.concat_arrays(sent["value"].chunks), *at))))
 
-    return pairs.join(side("u", "us", "a"), ["u", "us"]).join(side("v", "vs", "b"), ["v", "vs"])
+    return dealt.groupBy("a", "b").cogroup(sent.groupBy("c", "d")).applyInArrow(run, "u long, v long")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Those of pairs (u, v) of nodes whose sets (node, shingles) have at least this Jaccard similarity."""
-    shared = F.size(F.array_intersect("a", "b"))
-    return _both(pairs, sets.select("node", "shingles")).where(shared >= F.lit(similarity) * (F.size("a") + F.size("b") - shared)).select("u", "v")
+
+    def keep(values: pa.Array, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        shingles, ends = values.values.to_numpy(), values.offsets.to_numpy()
+        sizes = np.diff(ends)
+        shared = [len(np.intersect1d(shingles[ends[x] : ends[x + 1]], shingles[ends[y] : ends[y + 1]], assume_unique=True)) for x, y in zip(u.tolist(), v.tolist(), strict=True)]
+        return np.array(shared) >= similarity * (sizes[u] + sizes[v] - np.array(shared))
+
+    return _compared(pairs, sets.select("node", "shingles"), keep)
 
 
 def possible(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
     """pairs (u, v) without those whose sketches (node, sketch) show that fewer shingles are shared than the similarity asks for."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 4096):
-                part = batch.slice(start, 4096)
-                a, b = part.column(2).to_pylist(), part.column(3).to_pylist()
-                known = np.array([bool(x) and bool(y) for x, y in zip(a, b, strict=True)], dtype=bool)
-                x, y = (np.frombuffer(b"".join(z for z, k in zip(side, known, strict=True) if k), np.uint8).reshape(-1, 256) for side in (a, b))
-                most = np.minimum(x, y).sum(axis=1, dtype=np.int64)
-                keep = ~known
-                keep[known] = most >= similarity * (1 - 1e-12) * (x.sum(axis=1, dtype=np.int64) + y.sum(axis=1, dtype=np.int64) - most)
-                kept = pa.array(np.flatnonzero(keep))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(kept), part.column(1).take(kept)], names=["u", "v"])
+    def keep(values: pa.Array, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        each = values.to_pylist()
+        known = np.array([bool(x) for x in each])
+        counts = np.frombuffer(b"".join(x or bytes(256) for x in each), np.uint8).reshape(-1, 256)
+        sizes, out = counts.sum(axis=1, dtype=np.int64), ~(known[u] & known[v])
+        for start in range(0, len(u), 4096):
+            x, y = u[start : start + 4096], v[start : start + 4096]
+            most = np.minimum(counts[x], counts[y]).sum(axis=1, dtype=np.int64)
+            out[start : start + 4096] |= most >= similarity * (1 - 1e-12) * (sizes[x] + sizes[y] - most)
+        return out
 
-    return _both(pairs, sketches.select("node", "sketch")).select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    return _compared(pairs, sketches.select("node", "sketch"), keep)
 
 
 def common_shingles(docs: DataFrame, text_col: str, words: int) -> np.ndarray:
@@ -220,7 +233,7 @@ def common_shingles(docs: DataFrame, text_col: str, words: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame:
-    """(shingle, node, n): of each set of n shingles the first ones, of which similar sets share one; repeated sets may repeat."""
+    """(shingle, node, n, at): of each set of n shingles the first ones, of which similar sets share one, and their places; repeated sets may repeat."""
     common = common_shingles(docs, text_col, words)
     order = np.argsort(common)
     ranks = docs.sparkSession.sparkContext.broadcast((common[order], order + 1))
@@ -250,27 +263,32 @@ def prefixes(docs: DataFrame, text_col: str, words: int, similarity: float) -> D
                     continue
                 lengths = [len(x) for x in first]
                 cols = np.concatenate(first).view(np.int64), np.repeat(np.array(of, np.uint64).view(np.int64), lengths), np.repeat(np.array(sizes, np.int32), lengths)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["shingle", "node", "n"])
+                at = np.concatenate([np.arange(k, dtype=np.int32) for k in lengths])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*cols, at)], names=["shingle", "node", "n", "at"])
 
-    return docs.select(text_col).mapInArrow(run, "shingle long, node long, n int")
+    return docs.select(text_col).mapInArrow(run, "shingle long, node long, n int, at int")
 
 
 def _across(rows: DataFrame) -> DataFrame:
-    """Those of rows (shingle, node, n, label) whose shingle is under several labels, and the pairs that they make (pairs, size)."""
+    """Those of rows (shingle, node, n, at, label) whose shingle is under several labels, and the pairs that they make (pairs, size)."""
     of = rows.groupBy("shingle", "label").agg(F.count("*").alias("k")).groupBy(F.col("shingle").alias("of"))
     of = of.agg(F.sum("k").alias("size"), ((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("pairs"), F.count("*").alias("labels")).where("labels > 1")
     return rows.join(of, F.col("shingle") == F.col("of")).select(*rows.columns, "size", "pairs")
 
 
 def _pairs(rows: DataFrame, similarity: float) -> DataFrame:
-    """(u, v) of rows (shingle, node, n, label, size): nodes of one shingle and different labels whose sizes allow the similarity."""
+    """(u, v) of rows (shingle, node, n, at, label, size): nodes of one shingle and different labels whose sizes and places allow the similarity.
+
+    Similar sets of x and y shingles share m, at least s (x + y) / (1 + s), so of the first x - m + 1 and y - m + 1 they share one."""
     blocks = F.ceil(F.col("size") / PREFIX_BLOCK).cast("int")
     own, other = F.pmod(F.xxhash64("node"), blocks).cast("int"), F.explode(F.sequence(F.lit(0), blocks - 1))
-    dealt = rows.withColumn("own", own).withColumn("other", other).select("shingle", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "node", "n", "label")
-    x, y = (dealt.toDF("shingle", "a", "b", *(f"{s}{c}" for c in ("own", "node", "n", "label"))) for s in "xy")
+    dealt = rows.withColumn("own", own).withColumn("other", other).select("shingle", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "node", "n", "at", "label")
+    x, y = (dealt.toDF("shingle", "a", "b", *(f"{s}{c}" for c in ("own", "node", "n", "at", "label"))) for s in "xy")
     # Two of one block meet where both are dealt with it alone.
     met = x.join(y, ["shingle", "a", "b"]).where("xnode < ynode and xlabel <> ylabel and (a = b or xown <> yown)")
-    alike = F.least("xn", "yn") >= F.lit(similarity * (1 - 1e-12)) * F.greatest("xn", "yn")
+    share = similarity * (1 - 1e-12)
+    both = F.ceil(F.lit(share / (1 + similarity)) * (F.col("xn") + F.col("yn")))
+    alike = (F.least("xn", "yn") >= F.lit(share) * F.greatest("xn", "yn")) & (F.col("xat") + both <= F.col("xn")) & (F.col("yat") + both <= F.col("yn"))
     return met.where(alike).select(F.col("xnode").alias("u"), F.col("ynode").alias("v")).distinct()
 
 
@@ -282,7 +300,7 @@ def _stars(rows: DataFrame) -> DataFrame:
 
 
 def missed(first: DataFrame, found: DataFrame, verified: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
-    """found (u, v), links of similar sets, with further ones: as many as connect all sets that similar ones connect.
+    """(u, v): as many links of sets as connect all that found, links of similar sets, and other similar sets connect.
 
     first has the sets' prefixes, verified gives those of pairs (u, v) that are similar. No pair of different
     components is left out that could be similar."""
@@ -290,20 +308,28 @@ def missed(first: DataFrame, found: DataFrame, verified: Callable[[DataFrame], D
     shared = written(first.groupBy("shingle").agg(F.count("*").alias("rows")).where("rows > 1").select("shingle"), "shared")  # repeated sets count, too, and leave below
     rows = written(first.join(F.broadcast(shared) if shared.count() <= BROADCAST_IDS else shared, "shingle", "left_semi").distinct(), "meeting")
 
-    def labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
-        of = components(found, "rings")
-        return written(_across(rows.select("shingle", "node", "n").join(of, "node", "left").withColumn("label", F.coalesce("label", "node"))), "across")
+    def stars(found: DataFrame) -> DataFrame:
+        """Each node with the least one of its component, which connects what found does with fewer links."""
+        return written(components(found, "rings").where("node <> label").select(F.col("label").alias("u"), F.col("node").alias("v")), "stars")
+
+    found = stars(found)
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        return written(_across(rows.select("shingle", "node", "n", "at").join(found, F.col("node") == F.col("v"), "left").withColumn("label", F.coalesce("u", "node")).drop("u", "v")), "across")
 
     for _ in range(ROUNDS):
-        rows = labelled(rows, found)
+        rows = labelled(rows)
         sums = rows.select("shingle", "size", "pairs").distinct().agg(F.sum("size").alias("size"), F.sum("pairs").alias("pairs")).first()
         if not sums.size:
             return found
         if sums.pairs <= PAIRS * sums.size:
             break
-        found = written(found.unionByName(verified(_stars(rows))).distinct(), "found")
+        more = written(verified(_stars(rows)), "more")
+        if more.isEmpty():  # the same nodes would be compared again
+            break
+        found = stars(found.unionByName(more))
     else:
-        rows = labelled(rows, found)
+        rows = labelled(rows)
     return found.unionByName(verified(_pairs(rows, similarity)))
 
 
@@ -462,10 +488,12 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             return written(shingle_sets(of, text_col, words).groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
 
         def verified(met: DataFrame) -> DataFrame:
+            met = written(met, "met")
+            needed = met.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+            sketches = rows.join(needed, "node", "left_semi").groupBy("node").agg(F.first("sketch").alias("sketch"))
             met = written(possible(met, sketches, similarity), "possible")
             return similar(met, sets_of(met), similarity)
 
-        sketches = rows.groupBy("node").agg(F.first("sketch").alias("sketch"))
         found = written(similar(met, sets_of(met), similarity), "similar")
         found = missed(prefixes(docs, text_col, words, similarity), found, verified, similarity)
     of = written(components(found, "rings"), "rings")

@@ -609,6 +609,16 @@ def test_no_similar_set_is_missed(spark, monkeypatch, small):
     want = brute_near_dedup(rows)
     assert Counter(map(tuple, got)) == want and 70 < len(want) < 110
 
+def test_sets_meet_at_the_places_that_their_similarity_asks_for(spark):
+    """Sets that share only shingles late among their first ones can't be similar, and aren't paired; those at the threshold are."""
+    rows = []
+    for node, shingles in ((1, range(100)), (2, range(100, 200)), (3, range(200, 300))):
+        rows += [(s, node, 100, at) for at, s in enumerate(list(shingles)[:21])]
+    rows += [(900, 1, 100, 18), (900, 2, 100, 17)]  # similarity 0.8 needs 89 of 100 shared, so one of the first 12
+    rows += [(901, 2, 100, 11), (901, 3, 100, 3)]
+    of = spark.createDataFrame([(*r, r[1], 2) for r in rows], "shingle long, node long, n int, at int, label long, size long")
+    assert [(r.u, r.v) for r in simhash._pairs(of, 0.8).collect()] == [(2, 3)]
+
 
 def test_versions_stay_readable_until_they_expire(spark, tmp_path, docs):
     store = sharding.ShardStore(spark, f"file://{tmp_path}/store", target_bytes=1 << 20, fan_in=2)
