@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -64,35 +67,73 @@ def meant_apart(a: Column, b: Column) -> Column:
     return working | series
 
 
+def _looks(path: Column) -> dict[str, Column]:
+    """What meant_apart looks at of a file."""
+    return {"_stem": P.working_stem(path), "_folder": labels.working_folder(path), "_name": P.name(path), "_timed": P.under_temporal(path), "_dated": P.date_stamped(path)}
+
+
+def _meant_apart(rows: pa.Table) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """meant_apart of rows of looks by their places, for files of one `_within` only."""
+    folder, name, within = (rows[c].combine_chunks().dictionary_encode().indices.to_numpy() for c in ("_folder", "_name", "_within"))
+    timed, dated = (rows[c].to_numpy() for c in ("_timed", "_dated"))
+    texts = [t.encode() for t in rows["_stem"].to_pylist()]
+    stems = sorted(set(texts))
+    at = {t: k for k, t in enumerate(stems)}
+    first = np.array([at[t] for t in texts])
+    # In order, the stems that begin with one follow it; no UTF-8 text has the byte FF.
+    past = np.array([bisect_left(stems, t + b"\xff") for t in stems])[first]
+    named = np.array([t != b"" for t in texts])
+
+    def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        begins = ((first[a] <= first[b]) & (first[b] < past[a])) | ((first[b] <= first[a]) & (first[a] < past[b]))
+        series = timed[a] & timed[b] & (name[a] != name[b]) & (dated[a] | dated[b])
+        return (within[a] == within[b]) & (series | named[a] & named[b] & begins & (folder[a] == folder[b]))
+
+    return apart
+
+
 def duplicate_clusters(pairs: DataFrame, apart: Callable[[Column, Column], Column] = meant_apart) -> DataFrame:
     """Clusters (component, members, folders, files, similarity, severity, confidence) of pairs (a, b, similarity) of paths.
 
     Pairs that are meant apart do not count; a caller that knows more of its files gives a condition of its own. A cluster within one folder, but for drafts and versions, is low, else
     medium. The first six files are listed."""
-    kept = written(pairs.where(~apart(F.col("a"), F.col("b"))), "pairs")
+    return _clusters(written(pairs.where(~apart(F.col("a"), F.col("b"))), "pairs"))
+
+
+def _clusters(kept: DataFrame) -> DataFrame:
     of = graph.components(kept)
     best = kept.join(of.withColumnRenamed("node", "a"), "a").groupBy("component").agg(F.max("similarity").alias("similarity"))
-    ranked = of.withColumn("folder", labels.working_folder(F.col("node"))).withColumn("_n", F.row_number().over(W.partitionBy("component").orderBy("node")))
-    by = ranked.groupBy("component").agg(
-        F.count("*").alias("members"), F.countDistinct("folder").alias("folders"), F.array_sort(F.collect_list(F.when(F.col("_n") <= 6, F.col("node")))).alias("files"),
-    )
+    by = of.groupBy("component").agg(F.count("*").alias("members"), F.countDistinct(labels.working_folder(F.col("node"))).alias("folders"))
+    listed = of.withColumn("_n", F.row_number().over(W.partitionBy("component").orderBy("node"))).where("_n <= 6")
+    listed = listed.groupBy("component").agg(F.array_sort(F.collect_list("node")).alias("files"))
     severity = F.when(F.col("folders") == 1, "low").otherwise("medium")
-    return by.join(best, "component").withColumns({"severity": severity, "confidence": F.round(F.least("similarity", F.lit(0.99)), 2)})
+    return by.join(listed, "component").join(best, "component").withColumns({"severity": severity, "confidence": F.round(F.least("similarity", F.lit(0.99)), 2)})
+
+
+def _file_vectors(files: DataFrame, chunks: DataFrame, least_chunks: int, looks: dict[str, Column]) -> DataFrame:
+    """(id, vector, root, file_hash) and looks of files with enough chunks; the vector is the mean of theirs."""
+    mean = mean_vectors(chunks.where(F.col("embedding").isNotNull()), ["path"], "embedding").where(F.col("n") >= least_chunks)
+    rows = files.select("path", "root", "file_hash", *(c.alias(name) for name, c in looks.items())).join(mean, "path")
+    return written(rows.select(F.col("path").alias("id"), F.col("mean").alias("vector"), "root", "file_hash", *looks), "vectors")
 
 
 def similar_files(files: DataFrame, chunks: DataFrame, least_chunks: int = 2, threshold: float = 0.92, most: int = 200) -> DataFrame:
     """(root, a, b, similarity): of each root the `most` most similar pairs of files (path, root, file_hash) by the mean
     vectors of their chunks (path, embedding), by path on ties.
 
-    Files with fewer chunks or equal hashes make no pair. No pair is missed (vector_index.top_pairs)."""
-    mean = mean_vectors(chunks.where(F.col("embedding").isNotNull()), ["path"], "embedding").where(F.col("n") >= least_chunks)
-    rows = written(files.select("path", "root", "file_hash").join(mean, "path").select(F.col("path").alias("id"), F.col("mean").alias("vector"), "root", "file_hash"), "vectors")
-    return vector_index.top_pairs(rows, threshold, most, "root", "file_hash")
+    Files with fewer chunks or equal hashes make no pair. None of these pairs is missed (vector_index.top_pairs)."""
+    return vector_index.top_pairs(_file_vectors(files, chunks, least_chunks, {}), threshold, most, "root", "file_hash")
+
 
+def semantic_duplicates(files: DataFrame, chunks: DataFrame, least_chunks: int = 2, threshold: float = 0.92, within: Column | None = None) -> DataFrame:
+    """The clusters, as duplicate_clusters gives them, of all pairs of files of a root that are as similar as similar_files asks, however many.
 
-def semantic_duplicates(files: DataFrame, chunks: DataFrame, least_chunks: int = 2, threshold: float = 0.92, most: int = 200, apart: Callable[[Column, Column], Column] = meant_apart) -> DataFrame:
-    """duplicate_clusters of similar_files, which takes the same arguments."""
-    return duplicate_clusters(similar_files(files, chunks, least_chunks, threshold, most).select("a", "b", "similarity"), apart)
+    Files are meant apart as by meant_apart; where `within` is given, only those of one value of it. Of the pairs of two
+    blocks, those are written that link what all of them would (vector_index.linking_pairs)."""
+    looks = _looks(F.col("path")) | {"_within": F.lit("") if within is None else F.coalesce(within.cast("string"), F.lit(""))}
+    rows = _file_vectors(files, chunks, least_chunks, looks)
+    pairs = vector_index.linking_pairs(rows, threshold, "root", "file_hash", tuple(looks), _meant_apart)
+    return _clusters(written(pairs.select("a", "b", "similarity"), "pairs"))
 
 
 def unsuppressed(findings: DataFrame) -> DataFrame:

@@ -9,13 +9,14 @@ Pairs come from random hyperplanes: vectors that share all signs of one of sever
 exactly. The number of groups follows from the wanted recall at the least similarity.
 
 Where only the most similar pairs of a group count, none may be missed: top_pairs compares all vectors of a group by
-blocks, whose products are cheap, and gives out no more than these pairs of each two blocks.
+blocks, whose products are cheap, and gives out no more than these pairs of each two blocks. Where pairs only serve to
+link, linking_pairs compares the same blocks and gives out as many pairs as link what all of them would.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,8 +37,10 @@ SAMPLE, MOST_CELLS, PROBES = 50_000, 4096, 4
 FILE_ROWS = 100_000
 #: Signs of a group of planes, the wanted share of pairs at the least similarity, and when a group of equal signs is parted further.
 SIGNS, RECALL, HOT, MORE_SIGNS = 14, 0.99, 2000, 10
-#: Vectors of a block that top_pairs compares with others (some 40 MB at 64 dimensions), and of a product within a task.
+#: Vectors of a block that is compared with others (some 40 MB at 64 dimensions), and of a product within a task.
 BLOCK, TILE = 1 << 15, 1 << 10
+#: Single precision and rounding to 6 places err by less.
+SLACK = 1e-5
 
 
 @dataclass(frozen=True)
@@ -161,6 +164,41 @@ def similar_pairs(vectors: DataFrame, threshold: float, recall: float = RECALL,
     return apart.unionByName(same)
 
 
+def _dealt(vectors: DataFrame, by: str, apart: str, block: int, more: tuple[str, ...] = ()) -> DataFrame:
+    """(_by, lo, hi, second, _apart, id, vector, more) of vectors that are not null or zero: each two blocks lo <= hi of a
+    group with their vectors, the second's marked."""
+    rows = vectors.where(F.col("vector").isNotNull()).where(dot(F.col("vector"), F.col("vector")) > 0)
+    rows = rows.select(F.col(by).alias("_by"), F.coalesce(F.xxhash64(apart), F.lit(0)).alias("_apart"), "id", F.col("vector").cast("array<double>").alias("vector"), *more)
+    sizes = rows.groupBy("_by").agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
+    own, other = F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    dealt = rows.join(sizes.withColumnRenamed("_by", "_of"), F.col("_by").eqNullSafe(F.col("_of"))).withColumns({"own": own, "other": other})
+    return dealt.select("_by", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).alias("second"), "_apart", "id", "vector", *more)
+
+
+def _blocks(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]:
+    """The rows of two blocks in the order of ids, their unit vectors in that order, the places of either block, and whether they are two."""
+    ids = table["id"].to_pylist()
+    order = np.array(sorted(range(len(ids)), key=ids.__getitem__), dtype=np.int64)  # places stand for ids from here on
+    vector = table["vector"].combine_chunks()
+    x = vector.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)[order]
+    x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    second = table["second"].to_numpy(zero_copy_only=False)[order]
+    across = table["lo"][0].as_py() != table["hi"][0].as_py()
+    left, right = (np.flatnonzero(~second), np.flatnonzero(second)) if across else (np.arange(len(ids)),) * 2
+    return order, x, left, right, across
+
+
+def _pairs_of(table: pa.Table, order: np.ndarray, by: str, a: np.ndarray, b: np.ndarray, similarity: np.ndarray) -> pa.Table:
+    back = lambda k: table["id"].take(pa.array(order[k]))
+    group = table["_by"].take(pa.array(np.zeros(len(a), np.int64)))
+    return pa.table([group, back(a), back(b), pa.array(similarity)], names=[by, "a", "b", "similarity"])
+
+
+def _compared(dealt: DataFrame, by: str, run: Callable[[pa.Table], pa.Table]) -> DataFrame:
+    kinds = dict(dealt.dtypes)
+    return dealt.groupBy("_by", "lo", "hi").applyInArrow(run, f"`{by}` {kinds['_by']}, a {kinds['id']}, b {kinds['id']}, similarity double")
+
+
 def top_pairs(vectors: DataFrame, threshold: float, most: int, by: str, apart: str, block: int = BLOCK) -> DataFrame:
     """(by, a, b, similarity) with a < b: of each group the `most` most similar pairs, by ids on ties, with a cosine of at least threshold.
 
@@ -168,28 +206,16 @@ def top_pairs(vectors: DataFrame, threshold: float, most: int, by: str, apart: s
     result is exact: all pairs are compared, in single precision first, and those within its error of the least similarity
     that still counts in double. Each two blocks of a group are a task's work and give `most` pairs at most, so memory and
     output stay bounded whatever the vectors; products grow with the square of a group, a block is sent once for each other."""
-    rows = vectors.where(F.col("vector").isNotNull()).where(dot(F.col("vector"), F.col("vector")) > 0)
-    rows = rows.select(F.col(by).alias("_by"), F.coalesce(F.xxhash64(apart), F.lit(0)).alias("_apart"), "id", F.col("vector").cast("array<double>").alias("vector"))
-    sizes = rows.groupBy("_by").agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
-    own, other = F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    dealt = rows.join(sizes.withColumnRenamed("_by", "_of"), F.col("_by").eqNullSafe(F.col("_of"))).withColumns({"own": own, "other": other})
-    dealt = dealt.select("_by", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).alias("second"), "_apart", "id", "vector")
+    dealt = _dealt(vectors, by, apart, block)
 
     def compared(table: pa.Table) -> pa.Table:
-        ids = table["id"].to_pylist()
-        order = np.array(sorted(range(len(ids)), key=ids.__getitem__), dtype=np.int64)  # places stand for ids from here on
-        vector = table["vector"].combine_chunks()
-        x = vector.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)[order]
-        x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+        order, x, left, right, across = _blocks(table)
         small, of = x.astype(np.float32), table["_apart"].to_numpy()[order]
-        second = table["second"].to_numpy(zero_copy_only=False)[order]
-        across = table["lo"][0].as_py() != table["hi"][0].as_py()
-        left, right = (np.flatnonzero(~second), np.flatnonzero(second)) if across else (np.arange(len(ids)),) * 2
         least, held = threshold, (np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))
         for i in range(0, len(left), TILE):
             for j in range(0 if across else i, len(right), TILE):
                 p, q = left[i : i + TILE], right[j : j + TILE]
-                u, w = np.nonzero(small[p] @ small[q].T >= least - 1e-5)  # rounding to 6 places and single precision err by less
+                u, w = np.nonzero(small[p] @ small[q].T >= least - SLACK)
                 u, w = p[u], q[w]
                 a, b = np.minimum(u, w), np.maximum(u, w)
                 keep = (of[a] != of[b]) if across else (u < w) & (of[a] != of[b])
@@ -202,13 +228,81 @@ def top_pairs(vectors: DataFrame, threshold: float, most: int, by: str, apart: s
                     held = sim[first], c[first], d[first]
                     if len(first) == most:
                         least = float(held[0][-1])
-        back = lambda k: table["id"].take(pa.array(order[k]))
-        group = table["_by"].take(pa.array(np.zeros(len(held[0]), np.int64)))
-        return pa.table([group, back(held[1]), back(held[2]), pa.array(held[0])], names=[by, "a", "b", "similarity"])
+        return _pairs_of(table, order, by, held[1], held[2], held[0])
 
-    kinds = dict(rows.dtypes)
-    found = dealt.groupBy("_by", "lo", "hi").applyInArrow(compared, f"`{by}` {kinds['_by']}, a {kinds['id']}, b {kinds['id']}, similarity double")
-    return best_pairs(found, by, most)
+    return best_pairs(_compared(dealt, by, compared), by, most)
+
+
+def linking_pairs(vectors: DataFrame, threshold: float, by: str, apart: str, more: tuple[str, ...] = (), excluding: Callable[[pa.Table], Callable] | None = None, block: int = BLOCK) -> DataFrame:
+    """(by, a, b, similarity) with a < b: pairs of a group with a cosine of at least threshold that link just what all such
+    pairs link, the most similar of each component among them.
+
+    Vectors as for top_pairs, with columns `more`. `excluding` is given these columns of a task's rows and returns a
+    function of two arrays of places in them: the pairs that do not count. The result is exact: all pairs are compared, in
+    single precision first; those that could link two trees of the task's forest or raise the highest similarity of one, in
+    double. A task gives this forest and the best pair of each tree, under 3 pairs for 2 vectors however many are alike."""
+    dealt = _dealt(vectors, by, apart, block, more)
+
+    def compared(table: pa.Table) -> pa.Table:
+        order, x, left, right, across = _blocks(table)
+        small, of, n = x.astype(np.float32), table["_apart"].to_numpy()[order], len(order)
+        out = excluding(table.select(list(more)).take(pa.array(order))) if excluding else lambda a, b: np.zeros(len(a), bool)
+        tree, top, best, links = np.arange(n), np.full(n, -np.inf), {}, {}  # by vector its tree; by tree the highest similarity and its pair
+        mixed, step = np.random.default_rng(5), max(1, (1 << 22) // x.shape[1])
+
+        def root(k: int) -> int:
+            while tree[k] != k:
+                tree[k] = k = int(tree[tree[k]])
+            return k
+
+        def link(a: np.ndarray, b: np.ndarray, sim: np.ndarray) -> None:
+            nonlocal tree
+            for c, d, s in zip(a.tolist(), b.tolist(), sim.tolist(), strict=True):
+                u, w = root(c), root(d)
+                if u != w:
+                    tree[w], links[c, d] = u, s
+                    if top[w] > top[u]:
+                        top[u], best[u] = top[w], best[w]
+                    best.pop(w, None)
+                if s > top[u]:
+                    top[u], best[u] = s, (c, d)
+            while ((up := tree[tree]) != tree).any():
+                tree = up
+
+        for i in range(0, len(left), TILE):
+            for j in range(0 if across else i, len(right), TILE):
+                p, q = left[i : i + TILE], right[j : j + TILE]
+                product = small[p] @ small[q].T
+                met = product >= threshold - SLACK
+                if not met.any():
+                    continue
+                # Nothing is above 1 after rounding.
+                met &= (tree[p][:, None] != tree[q]) | (product > np.where(top < 1, top - SLACK, np.inf)[tree[p]][:, None])
+                u, w = np.nonzero(met)
+                u, w = p[u], q[w]
+                a, b = np.minimum(u, w), np.maximum(u, w)
+                keep = (of[a] != of[b]) if across else (u < w) & (of[a] != of[b])
+                a, b = a[keep], b[keep]
+                keep = ~out(a, b)
+                a, b = a[keep], b[keep]
+                if len(a) > step:  # mixed, so that the first part links most of what the rest would
+                    at = mixed.permutation(len(a))
+                    a, b = a[at], b[at]
+                while len(a):
+                    c, d, a, b = a[:step], b[:step], a[step:], b[step:]
+                    sim = np.round((x[c] * x[d]).sum(axis=1), 6)
+                    u, w = np.minimum(tree[c], tree[d]), np.maximum(tree[c], tree[d])
+                    counts = np.flatnonzero((sim >= threshold) & ((u != w) | (sim > top[u])))
+                    counts = counts[np.argsort(-sim[counts], kind="stable")]
+                    counts = counts[np.sort(np.unique(u[counts] * n + w[counts], return_index=True)[1])]  # the best of each two trees
+                    link(c[counts], d[counts], sim[counts])
+                    keep = (tree[a] != tree[b]) | (top[tree[a]] < 1)
+                    a, b = a[keep], b[keep]
+        links.update({pair: float(top[k]) for k, pair in best.items()})
+        a, b = np.array(list(links), dtype=np.int64).reshape(-1, 2).T
+        return _pairs_of(table, order, by, a, b, np.array(list(links.values()), dtype=np.float64))
+
+    return _compared(dealt, by, compared)
 
 
 def best_pairs(pairs: DataFrame, by: str, most: int) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from atheneum import queries
-from atheneum.operators import audit, calls, chunking, vector_index
+from atheneum.operators import audit, calls, chunking, steward, vector_index
 from atheneum.streaming import machine
 
 
@@ -141,3 +141,88 @@ def test_file_watch_asks_no_list_of_timers():
     handle.timers.clear()
     assert [r.change for r in watch.handleExpiredTimer(("p",), None, None)] == ["vanished"]
     assert told(30_000_000, "b") == ["new"] and handle.timers == {40_000}
+
+
+def components_of(pairs):
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b, _ in pairs:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    top = {}
+    for a, _, s in pairs:
+        top[find(a)] = max(top.get(find(a), -1), s)
+    return {n: (find(n), top[find(n)]) for n in root}
+
+
+@pytest.mark.parametrize("block", [10_000, 70])
+def test_linking_pairs_link_all(spark, block, monkeypatch):
+    """The same components and highest similarities as all pairs give, by few pairs, with groups of equal vectors."""
+    monkeypatch.setattr(vector_index, "TILE", 40)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 16))
+    x[100:200] = x[:100] + rng.normal(size=(100, 16)) * rng.uniform(0.05, 0.45, size=(100, 1))
+    x[200:400] = x[3] * rng.uniform(1, 2, size=(200, 1))  # alike but for rounding
+    x[400:500] = x[5] + rng.normal(size=(100, 16)) * 0.2  # many pairs, each of its own similarity
+    rows = [(f"i{k}", v.tolist(), "ab"[k % 2], f"h{k % 450}" if k % 7 else None, k % 5) for k, v in enumerate(x)]
+    rows += [("zero", [0.0] * 16, "a", "z", 0), ("null", None, "b", "y", 0)]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sims = np.round(unit @ unit.T, 6)
+
+    def excluding(table):
+        kind = table["kind"].to_numpy()
+        return lambda a, b: (kind[a] == 1) & (kind[b] != 2)  # not the same both ways: a is the lesser id
+
+    given = spark.createDataFrame(rows, "id string, vector array<double>, side string, hash string, kind int")
+    for out in (None, excluding):
+        want = []
+        for i in range(600):
+            for j in range(600):
+                a, b = rows[i], rows[j]
+                if a[0] < b[0] and a[2] == b[2] and a[3] != b[3] and sims[i, j] >= 0.92 and not (out and a[4] == 1 and b[4] != 2):
+                    want.append((a[0], b[0], float(sims[i, j])))
+        got = [(r.a, r.b, r.similarity) for r in vector_index.linking_pairs(given, 0.92, "side", "hash", ("kind",), out, block).collect()]
+        all_pairs = {(a, b): s for a, b, s in want}
+        assert all(abs(all_pairs[a, b] - s) < 2e-6 for a, b, s in got) and len(set(got)) == len(got)
+        one, two = components_of(want), components_of(got)
+        assert {n: c for n, (c, _) in one.items()} == {n: c for n, (c, _) in two.items()} and all(abs(one[n][1] - two[n][1]) < 2e-6 for n in one)
+        assert len(want) > 5000 and (block < 600 or len(got) < 1.5 * len(one))
+
+
+def test_files_are_meant_apart_in_tasks_as_in_columns(spark):
+    folders = ["r", "r/p/Deck", "r/p/Deck/Drafts", "r/2024", "r/2024/v2", "r/q1/ä", ""]
+    names = ["Plan.md", "plan_v2 copy.md", "Planet.md", "3 mar 24.md", "4 mar 24 x.md", "v2.md", ".md", "plän.md", "pläne.md", "Pl.md", "\U0010ffff.md", "\U0010ffffa.md", " .md"]
+    paths = sorted(f"{f}/{n}" if f else n for f in folders for n in names)
+    df = spark.createDataFrame([(p,) for p in paths], "path string").withColumns(steward._looks(F.col("path"))).withColumn("_within", F.lit("")).orderBy("path")
+    apart = steward._meant_apart(df.toArrow())
+    at = {r.path: k for k, r in enumerate(df.collect())}
+    pairs = df.select(F.col("path").alias("a")).crossJoin(df.select(F.col("path").alias("b"))).withColumn("apart", steward.meant_apart(F.col("a"), F.col("b"))).collect()
+    got = apart(np.array([at[r.a] for r in pairs]), np.array([at[r.b] for r in pairs]))
+    assert got.tolist() == [r.apart for r in pairs] and 100 < sum(got) < len(pairs) / 2
+
+
+def test_clusters_come_from_more_than_200_pairs(spark, tmp_path):
+    """450 vectors like another one: with 200 pairs a root, most clusters and members were left out."""
+    import duckdb
+
+    rng = np.random.default_rng(6)
+    v = np.repeat(rng.normal(size=(150, 32)), 4, axis=0)
+    v[40:100] = v[40]  # one large group
+    v += rng.normal(size=v.shape) * 0.05
+    v = v[rng.permutation(len(v))]
+    spark.createDataFrame([(k, [float(y) for y in x]) for k, x in enumerate(v)], "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    name = "n26_semantic_duplicates"
+    want = con.execute(queries.SQL[name])
+    columns = [c[0] for c in want.description]
+    want = sorted(want.fetchall())
+    assert sorted(map(tuple, queries.QUERIES[name](spark, str(tmp_path)).select(*columns).collect())) == want
+    members = sum(r[columns.index("members")] for r in want)
+    assert len(want) > 100 and members > 600
